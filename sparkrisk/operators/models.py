@@ -286,8 +286,9 @@ def poly_svm(df: DataFrame, label: str, numeric: Sequence[str], categorical: Seq
     x = prep.transform(data)
     d = len(x.select("_svm_x").first()[0])
     z = maclaurin_features(x, "_svm_x", d, dims, degree, seed=seed)
-    svm = LinearSVC(featuresCol="rm_features", labelCol="_label", regParam=reg, maxIter=max_iter,
-                    weightCol="_weight" if class_weights else None)
+    svm = LinearSVC(featuresCol="rm_features", labelCol="_label", regParam=reg, maxIter=max_iter)
+    if class_weights:
+        svm.setWeightCol("_weight")
     fitted = svm.fit(z)
     return PolySVM(prep.stages[0].labels, PipelineModel(prep.stages[1:]), fitted, d, dims, degree, seed)
 

@@ -49,6 +49,7 @@ def frame_hash(pdf: pd.DataFrame) -> tuple[list[str], int, str]:
 
 
 def compare(spark, con, name: str, sf_dir: str) -> dict:
+    from sparkrisk.plans import model_queries  # noqa: F401  (registers model queries)
     from sparkrisk.plans.registry import ORACLE_SQL, QUERIES
     t0 = time.time()
     sdf = QUERIES[name](spark, sf_dir)
@@ -74,6 +75,7 @@ def compare(spark, con, name: str, sf_dir: str) -> dict:
 
 
 def main(argv: list[str]) -> int:
+    from sparkrisk.plans import model_queries  # noqa: F401
     from sparkrisk.plans.registry import QUERIES
     from sparkrisk.session import local_session
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
