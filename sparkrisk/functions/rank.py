@@ -77,9 +77,11 @@ def shuffle_rank(df: DataFrame, key: str | Sequence[str], seed: int = 42,
     w_in = Window.partitionBy(*part).orderBy(tmp_h, *keys)
     ranked = (hashed.join(F.broadcast(offsets), part)
                     .withColumn(out, (F.row_number().over(w_in) + F.col(tmp_off)).cast("bigint")))
+    extra = [out]
     if total:
         ranked = ranked.withColumn(total, F.col("_sr_total").cast("bigint"))
-    return ranked.drop(tmp_h, tmp_b, tmp_off, "_sr_total")
+        extra.append(total)
+    return ranked.select(*[c for c in df.columns if c not in extra], *extra)
 
 
 def fold_of(rn: Column | str, n: Column | str, k: int) -> Column:
