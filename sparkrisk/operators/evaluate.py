@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from .shape import fold_split
 
 
 def _c(c: str | Column) -> Column:
@@ -154,8 +155,8 @@ def cross_validate(df: DataFrame, k: int, fit: Callable[[DataFrame], object],
     """
     out = None
     for i in (folds if folds is not None else range(1, k + 1)):
-        train = df.where(F.col(fold_col) != i).drop(fold_col)
-        held = df.where(F.col(fold_col) == i).drop(fold_col)
+        train, held = fold_split(df, i, fold_col)
+        train, held = train.drop(fold_col), held.drop(fold_col)
         if rebalance is not None:
             train = rebalance(train)
         model = fit(train)

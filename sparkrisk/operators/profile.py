@@ -234,18 +234,24 @@ def categorical_summary(df: DataFrame, cols: Sequence[str], top: int = 6) -> Dat
     With at most ``top + 1`` levels every level is listed; otherwise the ``top``
     most frequent (ties by value) and one '(Other)' row. NULLs form an "NA's" row.
     Output: (column, value, n, rank).
+
+    Scales with the number of levels: level counts and totals are aggregates,
+    and the top-k filter is a plain ``row_number() <= k`` so Spark applies a
+    map-side group limit before the shuffle (no task sees all levels of a column).
     """
     long = _long_strings(df, cols)
     counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     known = counts.where(F.col("value").isNotNull())
+    per_col = known.groupBy("column").agg(F.count(F.lit(1)).alias("_levels"), F.sum("n").alias("_total"))
     w = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
-    ranked = (known.withColumn("rank", F.row_number().over(w))
-                   .withColumn("_levels", F.count(F.lit(1)).over(Window.partitionBy("column"))))
+    best = known.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top + 1)
+    best = best.join(per_col, "column")
     keep_all = F.col("_levels") <= top + 1
-    shown = ranked.where(keep_all | (F.col("rank") <= top)).select("column", "value", "n", "rank")
-    other = (ranked.where(~keep_all & (F.col("rank") > top))
-             .groupBy("column").agg(F.sum("n").alias("n"))
-             .select("column", F.lit("(Other)").alias("value"), "n", F.lit(top + 1).alias("rank")))
+    shown = best.where(keep_all | (F.col("rank") <= top)).select("column", "value", "n", "rank")
+    other = (best.where(~keep_all & (F.col("rank") <= top))
+             .groupBy("column").agg(F.sum("n").alias("_shown"), F.first("_total").alias("_total"))
+             .select("column", F.lit("(Other)").alias("value"),
+                     (F.col("_total") - F.col("_shown")).cast("bigint").alias("n"), F.lit(top + 1).alias("rank")))
     nas = (counts.where(F.col("value").isNull())
            .select("column", F.lit("NA's").alias("value"), "n", F.lit(top + 2).alias("rank")))
     return shown.unionByName(other).unionByName(nas).withColumn("rank", F.col("rank").cast("int"))

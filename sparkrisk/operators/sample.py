@@ -65,36 +65,56 @@ def down_sample(df: DataFrame, label: str, key: str | Sequence[str], seed: int =
 
 
 # SMP6 -------------------------------------------------------------------------
+DRAW_CHUNK = 1_000_000
+
+
+def _draws(spark, label: str, label_type: str, shortfall: dict, seed: int, n_by_class: dict) -> DataFrame | None:
+    """(label, _u_rn): one row per draw with replacement, generated in parallel.
+
+    All draws are one ``spark.range``; a draw id is mapped to its class by an
+    equi-join on id chunks (each class spans a few chunks of DRAW_CHUNK ids),
+    then filtered to the class's id interval: a bucketed range join, so neither
+    the number of classes nor the number of draws meets one task.
+    """
+    spans, start = [], 0
+    for cls, short in shortfall.items():
+        spans.append((cls, start, start + short, n_by_class[cls]))
+        start += short
+    if start == 0:
+        return None
+    classes = spark.createDataFrame(spans, f"{label} {label_type}, _lo long, _hi long, _n long")
+    classes = classes.withColumn("_chunk", F.explode(F.sequence(
+        F.floor(F.col("_lo") / DRAW_CHUNK).cast("long"), F.floor((F.col("_hi") - 1) / DRAW_CHUNK).cast("long"))))
+    ids = spark.range(0, start).withColumn("_chunk", F.floor(F.col("id") / DRAW_CHUNK).cast("long"))
+    # the class table holds #classes + draws/DRAW_CHUNK rows: bounded, broadcast
+    drawn = (ids.join(F.broadcast(classes), "_chunk")
+                .where((F.col("id") >= F.col("_lo")) & (F.col("id") < F.col("_hi"))))
+    j = F.col("id") - F.col("_lo") + 1
+    pick = F.lit(1) + F.pmod(u32(seeded_md5(seed, F.col(label), j)), F.col("_n"))
+    return drawn.select(label, pick.alias("_u_rn"))
+
+
 def up_sample(df: DataFrame, label: str, key: str | Sequence[str], seed: int = 42) -> DataFrame:
     """Every class grown to the largest class size: all original rows plus
     (largest - n_class) rows drawn with replacement from the class.
 
     Draw j of class c picks the row of rank ``1 + u32(md5(seed-c-j)) % n_c``.
-    Draws are generated by ``spark.range`` (spread over tasks), counted per
-    picked rank with a partial aggregate (a row picked often is still one row
-    in the shuffle), then joined 1:1 to the ranked rows and expanded.
+    Draws are generated in parallel, counted per picked rank with a partial
+    aggregate (a row picked often is still one row in the shuffle), then joined
+    1:1 to the ranked rows and expanded.
     """
     spark = df.sparkSession
     counts = class_counts(df, label)
     if not counts:
         return df
     largest = max(counts.values())
-    label_type = dict(df.dtypes)[label]
-    draws = None
-    for cls, n_c in counts.items():
-        short = largest - n_c
-        if short <= 0 or cls is None:
-            continue
-        d = (spark.range(1, short + 1)
-             .select(F.lit(cls).cast(label_type).alias(label),
-                     (F.lit(1) + F.pmod(u32(seeded_md5(seed, F.lit(cls), F.col("id"))), F.lit(n_c)))
-                     .alias("_u_rn")))
-        draws = d if draws is None else draws.unionByName(d)
+    shortfall = {c: largest - n for c, n in counts.items() if c is not None and n < largest}
+    draws = _draws(spark, label, dict(df.dtypes)[label], shortfall, seed, counts)
     if draws is None:
         return df
     copies = draws.groupBy(label, "_u_rn").agg(F.count(F.lit(1)).alias("_u_extra"))
     ranked = shuffle_rank(df, key, seed, within=label, out="_u_rn", total=None)
     joined = ranked.join(copies, [label, "_u_rn"], "left")
-    times = F.col("_u_extra") + 1
-    expanded = joined.withColumn("_u_copy", F.explode(F.sequence(F.lit(1), F.coalesce(times, F.lit(1)).cast("int"))))
+    times = F.coalesce(F.col("_u_extra") + 1, F.lit(1)).cast("int")
+    expanded = joined.withColumn("_u_copy", F.explode(F.sequence(F.lit(1), times)))
     return expanded.select(*df.columns)

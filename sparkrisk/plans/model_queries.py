@@ -197,8 +197,11 @@ def mdl14_train_and_score(spark, d):
     unlabelled = docs.join(labels, "doc_id", "left_anti")
     model = M.random_forest(train, "quality", ["n_chars"], ["lang", "source"], trees=TREES, mtry="sqrt",
                             max_depth=DEPTH, seed=SEED, key="doc_id")
+    run = f"{ensure_checkpoint_dir(spark).rstrip('/')}/submissions/{uuid.uuid4().hex}"
+    M.save_model(model, f"{run}/model")
+    model = M.load_model(f"{run}/model")
     sub = SH.submission(M.score(model, unlabelled), "doc_id", "predicted", "quality")
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/submissions/{uuid.uuid4().hex}"
+    folder = f"{run}/pred"
     io.write_csv(sub, folder)
     return io.read_csv(spark, folder, schema="doc_id bigint, quality string")
 
@@ -237,3 +240,64 @@ def imp3_impute_cart(spark, d):
     filled = IM.impute_cart(o, ["o_orderpriority"], "o_orderkey", ["o_totalprice"], ["o_orderstatus", "month"],
                             sweeps=2, seed=SEED, max_depth=8)
     return filled.select("o_orderkey", "o_orderpriority")
+
+
+# End-to-end flows (SURVEY entries B, C, D) ---------------------------------------------
+def _doc_tables(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
+    labels = table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "good")
+                                              .otherwise("poor").alias("quality"))
+    return SH.bind_columns(docs, labels, "doc_id"), docs.join(labels, "doc_id", "left_anti")
+
+
+@register("flow_classification_cv")
+def flow_classification_cv(spark, d):
+    from . import flows
+    train, _ = _doc_tables(spark, d)
+    return sig_all(flows.classification_cv(train, "doc_id", "quality", ["lang", "source"], ["n_chars"], "poor",
+                                           k=FOLDS, trees=TREES, mtry="sqrt", max_depth=DEPTH,
+                                           class_weights={"good": 1.0, "poor": 2.0}, seed=SEED))
+
+
+@register("flow_classification_submission")
+def flow_classification_submission(spark, d):
+    from . import flows
+    train, test = _doc_tables(spark, d)
+    return flows.classify_and_submit(train, test, "doc_id", "quality", ["lang", "source"], ["n_chars"],
+                                     trees=TREES, mtry="sqrt", max_depth=DEPTH, seed=SEED)
+
+
+@register("flow_holdout_boosted")
+def flow_holdout_boosted(spark, d):
+    from . import flows
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate",
+                                         "o_orderpriority")
+    o = o.withColumn("month", S.month_of("o_orderdate")).drop("o_orderdate")
+    o = o.withColumn("o_orderstatus", F.when(F.col("o_orderstatus") == "F", "F").otherwise("other"))
+    return sig_all(flows.holdout_boosted(o, "o_orderkey", "o_orderstatus", ["o_orderpriority", "month"],
+                                         ["o_totalprice"], "F", "other", COSTS_CV["miss"],
+                                         COSTS_CV["false_alarm"], p=TRAIN_SHARE, rounds=BOOST_ROUNDS,
+                                         sentinel=PRIORITY_SENTINEL, seed=SEED))
+
+
+@register("flow_regression")
+def flow_regression(spark, d):
+    from . import flows
+    p = table(spark, d, "part").select("p_partkey", "p_size", "p_type", "p_brand", "p_retailprice")
+    return sig_all(flows.regression_flow(p, "p_partkey", "p_retailprice", ["p_size"], ["p_type", "p_brand"],
+                                         test_size=TEST_SHARE, trees=REGRESSOR_TREES, max_depth=6, seed=SEED))
+
+
+# DOR4 ------------------------------------------------------------------------------------
+@register("dor4_tune_mtry")
+def dor4_tune_mtry(spark, d):
+    data = cut_lineage(SM.assign_folds(lineitem_labelled(spark, d), LINEITEM_KEY, 3, SEED))
+
+    def cv_recall(mtry):
+        fit = (lambda part: M.random_forest(part, LABEL, NUMERIC, CATEGORICAL, trees=20, mtry=mtry,
+                                            max_depth=DEPTH, seed=SEED, key=LINEITEM_KEY))
+        res = E.cross_validate(data, 3, fit, lambda m, df: M.score(m, df), _recall)
+        return res.where(F.col("part") == "held_out").agg(F.avg("recall")).first()[0]
+
+    grid = SEL.tune_mtry([1, 2, 4], cv_recall)
+    return sig_all(spark.createDataFrame(grid, "mtry int, held_out_recall double"))

@@ -232,12 +232,29 @@ def prj5_select_by_type(spark, d):
     return SH.select_by_type(table(spark, d, "orders"), "string")
 
 
+@register("prj3_drop_columns", """
+SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment FROM customer
+""")
+def prj3_drop_columns(spark, d):
+    return SH.drop_columns(table(spark, d, "customer"), ["c_name"])
+
+
+@register("prj4_select_columns", """
+SELECT p_partkey, p_brand, p_size FROM part
+""")
+def prj4_select_columns(spark, d):
+    return SH.select_columns(table(spark, d, "part"), ["p_partkey", "p_brand", "p_size"])
+
+
 @register("jn1_join_on", """
-SELECT o.*, c.c_name, c.c_nationkey, c.c_acctbal, c.c_mktsegment
+SELECT o.o_orderkey, o.o_custkey, o.o_orderstatus, o.o_totalprice, o.o_orderpriority,
+       c.c_name, c.c_nationkey, c.c_acctbal, c.c_mktsegment
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
 """)
 def jn1_join_on(spark, d):
-    return SH.join_on(table(spark, d, "orders"), table(spark, d, "customer"), ("o_custkey", "c_custkey"))
+    # timestamps are left out of compared outputs (engines return different resolutions)
+    orders = table(spark, d, "orders").drop("o_orderdate")
+    return SH.join_on(orders, table(spark, d, "customer"), ("o_custkey", "c_custkey"))
 
 
 @register("jn2_map_columns", """
@@ -313,12 +330,13 @@ def set2_stack_tagged(spark, d):
 # Scalar recodes and derived columns
 # ----------------------------------------------------------------------------
 @register("scl6_null_sentinel", f"""
-SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate,
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
        nullif(o_orderpriority, '{PRIORITY_SENTINEL}') AS o_orderpriority
 FROM orders
 """)
 def scl6_null_sentinel(spark, d):
-    return S.null_sentinel(table(spark, d, "orders"), ["o_orderpriority"], PRIORITY_SENTINEL)
+    orders = table(spark, d, "orders").drop("o_orderdate")
+    return S.null_sentinel(orders, ["o_orderpriority"], PRIORITY_SENTINEL)
 
 
 @register("flt4_split_missing", f"""
@@ -369,6 +387,17 @@ def scl3_parse_date(spark, d):
     return o.select("o_orderkey", S.day_diff(S.parse_date("day"), F.lit("1995-01-01")).alias("days_since"))
 
 
+@register("scl10_to_number", """
+SELECT o_orderkey, TRY_CAST(o_orderstatus AS DOUBLE) AS status_number,
+       TRY_CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS priority_rank
+FROM orders
+""")
+def scl10_to_number(spark, d):
+    o = table(spark, d, "orders")
+    return o.select("o_orderkey", S.to_number("o_orderstatus").alias("status_number"),
+                    S.to_number(F.substring("o_orderpriority", 1, 1), "int").alias("priority_rank"))
+
+
 @register("agg12_count_values_in", """
 SELECT l_orderkey, l_linenumber,
        CAST(CAST(l_returnflag IN ('R', 'O') AS INTEGER) + CAST(l_linestatus IN ('R', 'O') AS INTEGER) AS INTEGER)
@@ -410,6 +439,37 @@ def fe3_standardize(spark, d):
     return z.select("p_partkey", F.round("p_size", 6).alias("p_size"), F.round("p_retailprice", 6).alias("p_retailprice"))
 
 
+@register("fe2_fit_levels", """
+SELECT o_orderkey, CASE WHEN o_orderstatus IN ('F', 'O') THEN 'train' ELSE 'test' END AS part,
+       CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS "o_orderpriority_1_URGENT",
+       CASE WHEN o_orderpriority = '2-HIGH' THEN 1 ELSE 0 END AS "o_orderpriority_2_HIGH",
+       CASE WHEN o_orderpriority = '3-MEDIUM' THEN 1 ELSE 0 END AS "o_orderpriority_3_MEDIUM",
+       CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 1 ELSE 0 END AS "o_orderpriority_4_NOT_SPECIFIED",
+       CASE WHEN o_orderpriority = '5-LOW' THEN 1 ELSE 0 END AS "o_orderpriority_5_LOW"
+FROM orders
+""")
+def fe2_fit_levels(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    train = o.where(F.col("o_orderstatus").isin("F", "O")).drop("o_orderstatus")
+    test = o.where(~F.col("o_orderstatus").isin("F", "O")).drop("o_orderstatus")
+    levels = FE.fit_levels([train, test], ["o_orderpriority"])      # joint levels: equal columns
+    both = SH.stack_tagged({"train": train, "test": test})
+    return FE.one_hot(both, ["o_orderpriority"], levels)
+
+
+@register("dor2_scale_only", """
+SELECT p_partkey,
+  round(p_size / CASE WHEN stddev_pop(p_size) OVER () = 0 THEN 1 ELSE stddev_pop(p_size) OVER () END, 6) AS p_size,
+  round(p_retailprice / CASE WHEN stddev_pop(p_retailprice) OVER () = 0 THEN 1
+        ELSE stddev_pop(p_retailprice) OVER () END, 6) AS p_retailprice
+FROM part
+""")
+def dor2_scale_only(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
+    z = FE.standardize(p, ["p_size", "p_retailprice"], with_mean=False)
+    return z.select("p_partkey", F.round("p_size", 6).alias("p_size"), F.round("p_retailprice", 6).alias("p_retailprice"))
+
+
 @register("imp1_impute_median", """
 WITH x AS (SELECT c_custkey, CASE WHEN c_mktsegment = 'MACHINERY' THEN NULL ELSE c_acctbal END AS c_acctbal
            FROM customer)
