@@ -12,6 +12,7 @@ Design rules
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -131,16 +132,124 @@ def drop_sparse(df: DataFrame, threshold: float = 0.5, sentinel: str | None = "?
 
 
 # AGG7 / AGG9 ------------------------------------------------------------------
+SKETCH_ACCURACY = 10_000      # least GK accuracy: rank error <= n / accuracy
+BRACKET_MAX = 1_000_000       # accuracy grows with n so a bracket holds <= ~2 * BRACKET_MAX values
+
+
+def _quantile_targets(n: int, p: float) -> tuple[float, int, int]:
+    pos = p * (n - 1)
+    return pos, int(math.floor(pos)), int(math.ceil(pos))
+
+
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """Exact interpolated quantiles (``quantile_cont``) per column: (column, p, value).
 
-    Distributed: one range-partitioned sort of the non-missing values (ties are
-    split by a row id, so one hot value spreads over many tasks), per-partition
-    counts -> running offsets (one row per column and partition), then only the
-    rows at the needed ranks are joined back. Nothing per-value is held in one
-    task, unlike a hash-map percentile.
+    See :func:`quantile_values`; columns whose bracket check failed are
+    answered by :func:`exact_quantiles_sorted`.
+    """
+    values, failed = quantile_values(df, cols, probs)
+    rows = [(c, p, v) for (c, p), v in values.items()]
+    out = df.sparkSession.createDataFrame(rows, "column string, p double, value double")
+    if failed:
+        out = out.unionByName(exact_quantiles_sorted(df, sorted(failed), probs))
+    return out
+
+
+def quantile_values(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+                    counts: dict[str, int] | None = None) -> tuple[dict, set]:
+    """({(column, p): value}, columns that need the sorted fallback).
+
+    Two scans, no shuffle of the data:
+
+    1. one aggregate with the row count and a mergeable GK sketch per column
+       brackets every needed rank k between two sketch values lo <= hi;
+    2. one aggregate counts values below lo, equal to lo and equal to hi, and
+       collects only the values strictly between lo and hi (about 2 * n /
+       accuracy of them, accuracy = max(SKETCH_ACCURACY, n / BRACKET_MAX), so
+       at most ~2 * BRACKET_MAX whatever the size or skew: a hot value sits on
+       the bracket edge and is counted, not collected).
+
+    The k-th value is then read off these counts. Every answer is verified
+    from the counts; a bracket that does not contain its rank (the sketch
+    guarantee failed) falls back to :func:`exact_quantiles_sorted`.
+    """
+    cols = list(cols)
+    probs = [float(p) for p in probs]
+    vals = {c: _as_value(df, c).cast("double") for c in cols}
+    # pass 1: counts (unless known), then sketch probabilities around every target rank
+    if counts is None:
+        first = df.agg(*[F.count(vals[c]).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+        counts = {c: first[f"n{i}"] for i, c in enumerate(cols)}
+    plan = {}
+    sketch_aggs = []
+    for i, c in enumerate(cols):
+        n = counts[c]
+        if not n:
+            continue
+        ranks = sorted({k for p in probs for k in _quantile_targets(n, p)[1:]})
+        accuracy = max(SKETCH_ACCURACY, -(-n // BRACKET_MAX))
+        eps = 1.0 / accuracy
+        qs = []
+        for k in ranks:
+            qs += [max(0.0, k / n - 3 * eps - 1.0 / n), min(1.0, (k + 1) / n + 3 * eps + 1.0 / n)]
+        plan[c] = (n, ranks)
+        sketch_aggs.append(F.percentile_approx(vals[c], qs, accuracy).alias(f"s{i}"))
+    if not plan:
+        return {}, set()
+    sk = df.agg(*sketch_aggs).first()
+    brackets = {}
+    for i, c in enumerate(cols):
+        if c not in plan:
+            continue
+        q = sk[f"s{i}"]
+        brackets[c] = [(q[2 * j], q[2 * j + 1]) for j in range(len(plan[c][1]))]
+    # pass 2: counts around and values inside every bracket, one aggregate
+    aggs, keys = [], []
+    for c, (n, ranks) in plan.items():
+        v = vals[c]
+        for j, (lo, hi) in enumerate(brackets[c]):
+            t = len(keys)
+            keys.append((c, ranks[j], lo, hi))
+            inside = F.when((v > F.lit(lo)) & (v < F.lit(hi)), v)
+            aggs += [F.count_if(v < F.lit(lo)).alias(f"b{t}"), F.count_if(v == F.lit(lo)).alias(f"l{t}"),
+                     F.count_if(v == F.lit(hi)).alias(f"h{t}"),
+                     F.sort_array(F.collect_list(inside)).alias(f"m{t}")]
+    second = df.agg(*aggs).first()
+    found, failed = {}, set()
+    for t, (c, k, lo, hi) in enumerate(keys):
+        r = k - second[f"b{t}"]
+        value = None
+        if r >= 0:
+            mid = second[f"m{t}"]
+            if r < second[f"l{t}"]:
+                value = lo
+            elif r - second[f"l{t}"] < len(mid):
+                value = mid[r - second[f"l{t}"]]
+            elif r - second[f"l{t}"] - len(mid) < second[f"h{t}"]:
+                value = hi
+        if value is None:
+            failed.add(c)
+        else:
+            found[(c, k)] = value
+    values = {}
+    for c, (n, _) in plan.items():
+        if c in failed:
+            continue
+        for p in probs:
+            pos, klo, khi = _quantile_targets(n, p)
+            vlo, vhi = found[(c, klo)], found[(c, khi)]
+            values[(c, p)] = vlo + (pos - klo) * (vhi - vlo)
+    return values, failed
+
+
+def exact_quantiles_sorted(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Exact quantiles by one distributed sort (fallback of :func:`exact_quantiles`).
+
+    One range-partitioned sort of the non-missing values (ties are split by a
+    row id, so one hot value spreads over many tasks), per-partition counts ->
+    running offsets (one row per column and partition), then only the rows at
+    the needed ranks are joined back.
     """
-    spark = df.sparkSession
     src = df.select(F.monotonically_increasing_id().alias("_q_row"),
                     *[_as_value(df, c).cast("double").alias(c) for c in cols])
     long = (src.unpivot("_q_row", list(cols), "column", "v")
@@ -173,7 +282,6 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
     res = targets.join(lo, ["column", "_q_lo"]).join(hi, ["column", "_q_hi"])
     frac = F.col("_q_pos") - F.col("_q_lo")
     value = F.col("_v_lo") + frac * (F.col("_v_hi") - F.col("_v_lo"))
-    del spark
     return res.select("column", "p", value.alias("value"))
 
 
@@ -181,12 +289,15 @@ def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None, exact: boo
                     probs: Sequence[float] = (0.25, 0.5, 0.75), digits: int | None = None) -> DataFrame:
     """count, mean, sample std, min, quartiles, max per numeric column (describe()).
 
-    NaN counts as missing. ``exact=False`` uses the mergeable GK sketch
-    (``percentile_approx``) - one pass, bounded memory, for very large columns.
+    NaN counts as missing. One moments aggregate, then (exact) the two
+    quantile passes of :func:`quantile_values`; ``exact=False`` adds the GK
+    sketch to the moments aggregate instead (a single pass). One row per
+    column comes back; nothing row-sized reaches the driver.
     """
     if cols is None:
         cols = [c for c, t in df.dtypes if t in NUMERIC_TYPES]
     cols = list(cols)
+    probs = [float(p) for p in probs]
     aggs = []
     for i, c in enumerate(cols):
         v = _as_value(df, c).cast("double")
@@ -194,35 +305,38 @@ def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None, exact: boo
                  F.stddev_samp(v).alias(f"_s{i}"), F.min(v).alias(f"_lo{i}"),
                  F.max(v).alias(f"_hi{i}")]
         if not exact:
-            aggs.append(F.percentile_approx(v, list(probs), 100_000).alias(f"_q{i}"))
-    wide = df.agg(*aggs)
+            aggs.append(F.percentile_approx(v, probs, 100_000).alias(f"_q{i}"))
+    row = df.agg(*aggs).first()
     qnames = [f"q{int(round(p * 100))}" for p in probs]
-    fields = []
-    for i, c in enumerate(cols):
-        parts = [F.lit(c).alias("column"), F.col(f"_n{i}").alias("count"), F.col(f"_m{i}").alias("mean"),
-                 F.col(f"_s{i}").alias("std"), F.col(f"_lo{i}").alias("min")]
-        if not exact:
-            parts += [F.col(f"_q{i}")[j].alias(q) for j, q in enumerate(qnames)]
-        parts.append(F.col(f"_hi{i}").alias("max"))
-        fields.append(F.struct(*parts))
-    out = wide.select(F.inline(F.array(*fields)))
     if exact:
-        q = exact_quantiles(df, cols, probs)
-        qwide = q.groupBy("column").pivot("p", [float(p) for p in probs]).agg(F.first("value"))
-        qwide = qwide.select("column", *[F.col(f"`{float(p)}`").alias(n) for p, n in zip(probs, qnames)])
-        out = out.join(qwide, "column", "left")
-        out = out.select("column", "count", "mean", "std", "min", *qnames, "max")
-    if digits is not None:
-        out = out.select("column", "count",
-                         *[F.round(c, digits).alias(c) for c in out.columns if c not in ("column", "count")])
-    return out
+        values, failed = quantile_values(df, cols, probs, {c: row[f"_n{i}"] for i, c in enumerate(cols)})
+        if failed:
+            for r in exact_quantiles_sorted(df, sorted(failed), probs).collect():
+                values[(r["column"], r["p"])] = r["value"]
+        quant = {c: [values.get((c, p)) for p in probs] for c in cols}
+    else:
+        quant = {c: (list(row[f"_q{i}"]) if row[f"_q{i}"] is not None else [None] * len(probs))
+                 for i, c in enumerate(cols)}
+
+    def rnd(x):
+        return round(x, digits) if (digits is not None and x is not None) else x
+
+    data = [(c, row[f"_n{i}"], rnd(row[f"_m{i}"]), rnd(row[f"_s{i}"]), rnd(row[f"_lo{i}"]),
+             *[rnd(q) for q in quant[c]], rnd(row[f"_hi{i}"])) for i, c in enumerate(cols)]
+    schema = ("column string, count bigint, mean double, std double, min double, "
+              + ", ".join(f"{q} double" for q in qnames) + ", max double")
+    return df.sparkSession.createDataFrame(data, schema)
 
 
 def median_of(df: DataFrame, cols: Sequence[str], exact: bool = True) -> dict[str, float]:
     """Median of each column (NULL/NaN ignored) as a small dict on the driver."""
     if exact:
-        rows = exact_quantiles(df, cols, [0.5]).collect()
-        return {r["column"]: r["value"] for r in rows}
+        values, failed = quantile_values(df, cols, [0.5])
+        out = {c: values.get((c, 0.5)) for c in cols}
+        if failed:
+            for r in exact_quantiles_sorted(df, sorted(failed), [0.5]).collect():
+                out[r["column"]] = r["value"]
+        return out
     row = df.agg(*[F.percentile_approx(_as_value(df, c), 0.5, 100_000).alias(c) for c in cols]).first()
     return {c: row[c] for c in cols}
 

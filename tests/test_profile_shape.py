@@ -38,6 +38,20 @@ def test_exact_quantiles_match_numpy(spark):
         assert math.isclose(v, float(np.percentile(vals, p * 100)), rel_tol=1e-12, abs_tol=1e-12)
 
 
+def test_sorted_quantiles_and_coarse_sketch_match_numpy(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    vals = np.concatenate([rng.normal(size=700), np.full(350, -1.0)])  # a third of the rows on one value
+    df = spark.createDataFrame([(float(v),) for v in vals], "v double").repartition(5)
+    probs = [0.05, 0.5, 0.77, 1.0]
+    got = {r.p: r.value for r in P.exact_quantiles_sorted(df, ["v"], probs).collect()}
+    monkeypatch.setattr(P, "SKETCH_ACCURACY", 20)     # wide brackets still give exact answers
+    coarse = {r.p: r.value for r in P.exact_quantiles(df, ["v"], probs).collect()}
+    for p in probs:
+        ref = float(np.percentile(vals, p * 100))
+        assert math.isclose(got[p], ref, rel_tol=1e-12, abs_tol=1e-12)
+        assert math.isclose(coarse[p], ref, rel_tol=1e-12, abs_tol=1e-12)
+
+
 def test_numeric_summary_ignores_nan(spark):
     out = P.numeric_summary(sentinel_mix(spark), ["x"]).first()
     assert out["count"] == 3 and out["mean"] == 2.0 and out["q50"] == 2.0 and out["min"] == 1.0
