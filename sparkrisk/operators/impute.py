@@ -107,7 +107,7 @@ def _initial_draw(df: DataFrame, col: str, key: str, seed: int) -> DataFrame:
 
 def impute_cart(df: DataFrame, cols: Sequence[str], key: str, numeric: Sequence[str],
                 categorical: Sequence[str], sweeps: int = 2, seed: int = 42, max_depth: int = 10,
-                min_instances: int = 5, layout_partitions: int = 64) -> DataFrame:
+                min_instances: int = 5, layout_partitions: int | None = None) -> DataFrame:
     """Chained-equation CART imputation of ``cols`` (m = 1).
 
     ``numeric``/``categorical`` list every predictor column (imputed columns may

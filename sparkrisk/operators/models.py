@@ -32,9 +32,15 @@ from .features import assembler_pipeline, feature_names
 MAX_DEPTH = 30  # MLlib's hard limit
 
 
-def canonical_layout(df: DataFrame, key: str | Sequence[str], partitions: int = 64) -> DataFrame:
-    """Fixed partitioning and order so tree fits do not depend on the input layout."""
+def canonical_layout(df: DataFrame, key: str | Sequence[str], partitions: int | None = None) -> DataFrame:
+    """Fixed partitioning and order so tree fits do not depend on the input layout.
+
+    ``partitions`` defaults to the session's ``spark.sql.shuffle.partitions``
+    (the cluster's sizing); the layout is fixed for a given setting.
+    """
     keys = [key] if isinstance(key, str) else list(key)
+    if partitions is None:
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     return df.repartition(partitions, *keys).sortWithinPartitions(*keys)
 
 
@@ -74,7 +80,7 @@ def _fit_classifier(df: DataFrame, label: str, numeric, categorical, estimator,
 def random_forest(df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str] = (),
                   trees: int = 50, mtry: int | str = 17, class_weights: Mapping | None = None,
                   max_depth: int = 10, max_bins: int = 64, seed: int = 42, key: str | None = None,
-                  layout_partitions: int = 64) -> PipelineModel:
+                  layout_partitions: int | None = None) -> PipelineModel:
     """Random forest classifier; ``mtry`` candidate features per split."""
     rf = RandomForestClassifier(featuresCol="features", labelCol="_label", numTrees=trees,
                                 featureSubsetStrategy=str(mtry), maxDepth=min(max_depth, MAX_DEPTH),
@@ -86,7 +92,7 @@ def random_forest(df: DataFrame, label: str, numeric: Sequence[str], categorical
 def decision_tree(df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str] = (),
                   max_depth: int = 10, min_instances: int = 2, min_info_gain: float = 0.0,
                   max_bins: int = 64, seed: int = 42, key: str | None = None,
-                  class_weights: Mapping | None = None, layout_partitions: int = 64) -> PipelineModel:
+                  class_weights: Mapping | None = None, layout_partitions: int | None = None) -> PipelineModel:
     """Single entropy decision tree."""
     dt = DecisionTreeClassifier(featuresCol="features", labelCol="_label", impurity="entropy",
                                 maxDepth=min(max_depth, MAX_DEPTH), minInstancesPerNode=min_instances,
@@ -163,7 +169,7 @@ class BoostedTrees:
 
 def boosted_tree(df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str] = (),
                  rounds: int = 3, max_depth: int = 5, key: str | None = None, seed: int = 42,
-                 max_bins: int = 64, layout_partitions: int = 64) -> BoostedTrees:
+                 max_bins: int = 64, layout_partitions: int | None = None) -> BoostedTrees:
     """SAMME (multi-class AdaBoost): each round fits a weighted entropy tree, the
     weight of misclassified rows grows by exp(alpha). The weight update is one
     projection and one aggregate; lineage is cut each round."""
@@ -314,7 +320,7 @@ def linear_coefficients(model: PipelineModel, df: DataFrame) -> DataFrame:
 # MDL10 ------------------------------------------------------------------------
 def random_forest_regressor(df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str] = (),
                             trees: int = 100, max_depth: int = 10, max_bins: int = 64, seed: int = 42,
-                            key: str | None = None, layout_partitions: int = 64) -> PipelineModel:
+                            key: str | None = None, layout_partitions: int | None = None) -> PipelineModel:
     """Random forest regressor, every feature a candidate at each split."""
     data = canonical_layout(df, key, layout_partitions) if key is not None else df
     rf = RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=trees,
