@@ -31,11 +31,12 @@ MAX_BUCKET_ROWS = 1_000_000   # rows per hash bucket the in-bucket window may so
 MAX_DIGITS = 6
 
 
-def bucket_digits(df: DataFrame) -> int:
+def bucket_digits(df: DataFrame, n: int | None = None) -> int:
     """Hex digits of the bucket prefix for ``df``: enough buckets to keep each
     under MAX_BUCKET_ROWS rows and to give every shuffle partition about four
-    buckets, so the in-bucket windows are balanced and small (one count job)."""
-    n = df.count()
+    buckets, so the in-bucket windows are balanced and small (one count job
+    unless the row count ``n`` is already known)."""
+    n = df.count() if n is None else n
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     need = max(n / MAX_BUCKET_ROWS, 4 * parts, 1)
     return max(1, min(MAX_DIGITS, math.ceil(math.log(need, 16))))
@@ -64,16 +65,17 @@ def u32(hex_col: Column) -> Column:
 
 def shuffle_rank(df: DataFrame, key: str | Sequence[str], seed: int = 42,
                  within: str | Sequence[str] | None = None, out: str = "rn",
-                 total: str | None = "n_group", digits: int | None = None) -> DataFrame:
+                 total: str | None = "n_group", digits: int | None = None,
+                 n_hint: int | None = None) -> DataFrame:
     """Add ``out`` = 1..n in seeded random order (SRT1), per ``within`` group if given.
 
     ``key`` must be unique (within ``within``); ties on the hash are broken by it.
     ``total`` (if not None) receives the group size n. ``digits`` (bucket
-    prefix length) defaults to :func:`bucket_digits`; the result does not
-    depend on it.
+    prefix length) defaults to :func:`bucket_digits` (``n_hint``: a known row
+    count, saves its count job); the result does not depend on it.
     """
     if digits is None:
-        digits = bucket_digits(df)
+        digits = bucket_digits(df, n_hint)
     keys = _names(key)
     groups = _names(within)
     tmp_h, tmp_b, tmp_nb, tmp_off = "_sr_h", "_sr_b", "_sr_nb", "_sr_off"

@@ -21,11 +21,17 @@ def _c(c: str | Column) -> Column:
 
 
 # EVL1 -------------------------------------------------------------------------
-def recall(df: DataFrame, pred: str, truth: str, relevant) -> DataFrame:
-    """(tp, fn, recall) of one class: TP / (TP + FN)."""
+def _grouped(df: DataFrame, by: str | Sequence[str] | None):
+    if by is None:
+        return df.groupBy()
+    return df.groupBy(*([by] if isinstance(by, str) else list(by)))
+
+
+def recall(df: DataFrame, pred: str, truth: str, relevant, by: str | Sequence[str] | None = None) -> DataFrame:
+    """(tp, fn, recall) of one class: TP / (TP + FN); one row per ``by`` group."""
     is_rel = _c(truth) == F.lit(relevant)
     hit = _c(pred) == F.lit(relevant)
-    out = df.agg(F.count_if(is_rel & hit).alias("tp"), F.count_if(is_rel & ~hit).alias("fn"))
+    out = _grouped(df, by).agg(F.count_if(is_rel & hit).alias("tp"), F.count_if(is_rel & ~hit).alias("fn"))
     return out.withColumn("recall", F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fn")))
 
 
@@ -36,8 +42,9 @@ def confusion_matrix(df: DataFrame, pred: str, truth: str) -> DataFrame:
               .agg(F.count(F.lit(1)).alias("n")))
 
 
-def confusion_stats(df: DataFrame, pred: str, truth: str, positive) -> DataFrame:
-    """One row of two-class statistics with ``positive`` as the event class.
+def confusion_stats(df: DataFrame, pred: str, truth: str, positive,
+                    by: str | Sequence[str] | None = None) -> DataFrame:
+    """One row (per ``by`` group) of two-class statistics with ``positive`` as the event class.
 
     accuracy, kappa, sensitivity, specificity, ppv, npv, prevalence,
     detection_rate, detection_prevalence, balanced_accuracy, no_information_rate
@@ -45,9 +52,10 @@ def confusion_stats(df: DataFrame, pred: str, truth: str, positive) -> DataFrame
     """
     t, p = _c(truth), _c(pred)
     pos_t, pos_p = t == F.lit(positive), p == F.lit(positive)
-    base = df.where(t.isNotNull() & p.isNotNull()).agg(
+    base = _grouped(df.where(t.isNotNull() & p.isNotNull()), by).agg(
         F.count_if(pos_t & pos_p).alias("tp"), F.count_if(~pos_t & pos_p).alias("fp"),
         F.count_if(pos_t & ~pos_p).alias("fn"), F.count_if(~pos_t & ~pos_p).alias("tn"))
+    keys = [] if by is None else ([by] if isinstance(by, str) else list(by))
     tp, fp, fn, tn = (F.col(x).cast("double") for x in ("tp", "fp", "fn", "tn"))
     n = tp + fp + fn + tn
     acc = (tp + tn) / n
@@ -55,7 +63,7 @@ def confusion_stats(df: DataFrame, pred: str, truth: str, positive) -> DataFrame
     sens = F.try_divide(tp, tp + fn)
     spec = F.try_divide(tn, tn + fp)
     return base.select(
-        "tp", "fp", "fn", "tn",
+        *keys, "tp", "fp", "fn", "tn",
         acc.alias("accuracy"),
         F.try_divide(acc - pe, 1 - pe).alias("kappa"),
         sens.alias("sensitivity"), spec.alias("specificity"),
@@ -100,8 +108,8 @@ def per_class_stats(df: DataFrame, pred: str, truth: str) -> DataFrame:
 
 
 # EVL3-EVL7 / AGG13 / UDF3 / UDF4 ----------------------------------------------
-def regression_metrics(df: DataFrame, pred: str, truth: str) -> DataFrame:
-    """One pass: n, r2, mae, mse, rmse, mape.
+def regression_metrics(df: DataFrame, pred: str, truth: str, by: str | Sequence[str] | None = None) -> DataFrame:
+    """One pass: n, r2, mae, mse, rmse, mape (one row per ``by`` group).
 
     r2 = 1 - SSE / (n * var_pop(y)); mape = mean(|pred - y| / y) as a fraction
     with the signed denominator; rows with y = 0 are left out of mape (where
@@ -109,13 +117,14 @@ def regression_metrics(df: DataFrame, pred: str, truth: str) -> DataFrame:
     """
     p, y = _c(pred).cast("double"), _c(truth).cast("double")
     e = p - y
-    agg = df.where(p.isNotNull() & y.isNotNull()).agg(
+    keys = [] if by is None else ([by] if isinstance(by, str) else list(by))
+    agg = _grouped(df.where(p.isNotNull() & y.isNotNull()), by).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(e * e).alias("_sse"), F.var_pop(y).alias("_vy"),
         F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"),
         F.avg(F.try_divide(F.abs(e), y)).alias("mape"))
     return agg.select(
-        "n",
+        *keys, "n",
         (F.lit(1.0) - F.try_divide(F.col("_sse"), F.col("_vy") * F.col("n"))).alias("r2"),
         "mae", "mse", F.sqrt("mse").alias("rmse"), "mape")
 

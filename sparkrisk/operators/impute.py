@@ -90,19 +90,20 @@ def impute_audit(df: DataFrame, truth: str, imputed: str) -> tuple[DataFrame, Da
 
 
 # IMP3 -------------------------------------------------------------------------
-def _initial_draw(df: DataFrame, col: str, key: str, seed: int) -> DataFrame:
-    """Fill gaps of ``col`` with an observed value drawn by seeded hash (mice's start)."""
+def _initial_draw(df: DataFrame, col: str, key: str, seed: int) -> tuple[DataFrame, int]:
+    """Fill gaps of ``col`` with an observed value drawn by seeded hash (mice's start).
+
+    Returns (filled frame, number of known values)."""
     known = df.where(F.col(col).isNotNull()).select(key, col)
-    ranked = shuffle_rank(known, key, seed, out="_i_rn", total="_i_n")
-    n_known = ranked.select("_i_n").limit(1).collect()
-    if not n_known:
-        return df
-    n = n_known[0]["_i_n"]
+    n = known.count()
+    if not n:
+        return df, 0
+    ranked = shuffle_rank(known, key, seed, out="_i_rn", total=None, n_hint=n)
     pick = F.lit(1) + F.pmod(u32(seeded_md5(seed, F.lit(f"init-{col}"), F.col(key))), F.lit(n))
     gaps = df.where(F.col(col).isNull()).withColumn("_i_rn", pick)
     donors = ranked.select("_i_rn", F.col(col).alias("_i_val"))
     filled = gaps.join(donors, "_i_rn").withColumn(col, F.col("_i_val")).drop("_i_rn", "_i_val")
-    return df.where(F.col(col).isNotNull()).unionByName(filled.select(*df.columns))
+    return df.where(F.col(col).isNotNull()).unionByName(filled.select(*df.columns)), n
 
 
 def impute_cart(df: DataFrame, cols: Sequence[str], key: str, numeric: Sequence[str],
@@ -116,8 +117,9 @@ def impute_cart(df: DataFrame, cols: Sequence[str], key: str, numeric: Sequence[
     """
     miss_flags = {c: f"_miss_{i}" for i, c in enumerate(cols)}
     cur = df.withColumns({flag: F.col(c).isNull() for c, flag in miss_flags.items()})
+    n_known = {}
     for c in cols:
-        cur = _initial_draw(cur, c, key, seed)
+        cur, n_known[c] = _initial_draw(cur, c, key, seed)
     cur = cut_lineage(cur)
     types = dict(df.dtypes)
     for sweep in range(1, sweeps + 1):
@@ -145,7 +147,7 @@ def impute_cart(df: DataFrame, cols: Sequence[str], key: str, numeric: Sequence[
             scored = model.transform(cur).withColumn("_cart_leaf", F.col("_cart_leaf").cast("double"))
             scored = scored.select(*cur.columns, "_cart_leaf")
             donors = shuffle_rank(scored.where(~F.col(flag)).select(key, "_cart_leaf", c), key, seed,
-                                  within="_cart_leaf", out="_d_rn", total="_d_n")
+                                  within="_cart_leaf", out="_d_rn", total="_d_n", n_hint=n_known[c])
             sizes = donors.select("_cart_leaf", "_d_n").distinct()
             gaps = scored.where(F.col(flag)).join(F.broadcast(sizes), "_cart_leaf")  # one row per leaf
             salt = F.lit(f"s{sweep}-{c}")

@@ -54,17 +54,23 @@ def lineitem_labelled(spark, d) -> DataFrame:
                      band.alias(LABEL))
 
 
-def _stats(scored: DataFrame, pred: str = "predicted") -> DataFrame:
-    return sig_all(E.confusion_stats(scored, pred, LABEL, POSITIVE))
+def _stats(scored: DataFrame, pred: str = "predicted", by: str | None = None) -> DataFrame:
+    out = sig_all(E.confusion_stats(scored, pred, LABEL, POSITIVE, by=by))
+    return out.withColumnRenamed("split", "part") if by == "split" else out
 
 
-def _recall(scored: DataFrame, pred: str = "predicted") -> DataFrame:
-    return sig_all(E.recall(scored, pred, LABEL, POSITIVE))
+def _recall(scored: DataFrame, pred: str = "predicted", by: str | None = None) -> DataFrame:
+    out = sig_all(E.recall(scored, pred, LABEL, POSITIVE, by=by))
+    return out.withColumnRenamed("split", "part") if by == "split" else out
+
+
+def _split_data(spark, d) -> DataFrame:
+    """lineitem with the 70/30 stratified 'split' column, materialised once."""
+    return cut_lineage(SM.stratified_split(lineitem_labelled(spark, d), LABEL, LINEITEM_KEY, TRAIN_SHARE, SEED))
 
 
 def _split(spark, d):
-    data = SM.stratified_split(lineitem_labelled(spark, d), LABEL, LINEITEM_KEY, TRAIN_SHARE, SEED)
-    data = cut_lineage(data)
+    data = _split_data(spark, d)
     return data.where(F.col("split") == "train").drop("split"), data.where(F.col("split") == "test").drop("split")
 
 
@@ -96,22 +102,20 @@ def mdl3_feature_importance(spark, d):
 # MDL4 + EVL2 ---------------------------------------------------------------------
 @register("mdl4_decision_tree")
 def mdl4_decision_tree(spark, d):
-    train, test = _split(spark, d)
+    data = _split_data(spark, d)
+    train = data.where(F.col("split") == "train").drop("split")
     model = M.decision_tree(train, LABEL, NUMERIC, CATEGORICAL, max_depth=DEPTH, seed=SEED, key=LINEITEM_KEY)
-    return SH.stack_tagged({"train": _stats(M.score(model, train)), "test": _stats(M.score(model, test))})
+    return _stats(M.score(model, data), by="split")       # both parts in one scoring pass
 
 
 # MDL5 ------------------------------------------------------------------------------
 @register("mdl5_cost_sensitive")
 def mdl5_cost_sensitive(spark, d):
-    train, test = _split(spark, d)
+    data = _split_data(spark, d)
+    train = data.where(F.col("split") == "train").drop("split")
     model = M.decision_tree(train, LABEL, NUMERIC, CATEGORICAL, max_depth=DEPTH, seed=SEED, key=LINEITEM_KEY)
     costs = M.cost_matrix(["low", "high"], COSTS_CV["miss"], COSTS_CV["false_alarm"])
-    labels = M.labels_of(model)
-    parts = {}
-    for name, df in (("train", train), ("test", test)):
-        parts[name] = _stats(M.cost_sensitive(M.score(model, df), labels, costs))
-    return SH.stack_tagged(parts)
+    return _stats(M.cost_sensitive(M.score(model, data), M.labels_of(model), costs), by="split")
 
 
 # MDL6 (+ MDL5 on the vote shares) + MDL11 + SMP5 / SMP6 ---------------------------
@@ -162,19 +166,18 @@ def mdl10_rf_regressor(spark, d):
                                             "l_extendedprice")
     data = cut_lineage(SM.random_split(li, LINEITEM_KEY, TEST_SHARE, SEED))
     train = data.where(F.col("split") == "train")
-    test = data.where(F.col("split") == "test")
     model = M.random_forest_regressor(train, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"],
                                       ["l_returnflag"], trees=REGRESSOR_TREES, max_depth=6, seed=SEED,
                                       key=LINEITEM_KEY)
-    parts = {name: sig_all(E.regression_metrics(model.transform(df), "prediction", "l_extendedprice"))
-             for name, df in (("train", train), ("test", test))}
-    return SH.stack_tagged(parts)
+    metrics = E.regression_metrics(model.transform(data), "prediction", "l_extendedprice", by="split")
+    return sig_all(metrics).withColumnRenamed("split", "part")
 
 
 # MDL12 -----------------------------------------------------------------------------
 @register("mdl12_leave_one_out")
 def mdl12_leave_one_out(spark, d):
-    train, test = _split(spark, d)
+    data = _split_data(spark, d)
+    train = data.where(F.col("split") == "train").drop("split")
     features = NUMERIC + CATEGORICAL
 
     def fit_and_score(kept):
@@ -182,7 +185,7 @@ def mdl12_leave_one_out(spark, d):
         cat = [c for c in CATEGORICAL if c in kept]
         model = M.random_forest(train, LABEL, num, cat, trees=20, mtry="sqrt", max_depth=DEPTH,
                                 seed=SEED, key=LINEITEM_KEY)
-        return SH.stack_tagged({"train": _recall(M.score(model, train)), "test": _recall(M.score(model, test))})
+        return _recall(M.score(model, data), by="split")
 
     return SEL.leave_one_out_features(features, fit_and_score)
 
