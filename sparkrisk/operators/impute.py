@@ -16,7 +16,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import StringIndexer, StringIndexerModel
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -106,6 +106,17 @@ def _initial_draw(df: DataFrame, col: str, key: str, seed: int) -> tuple[DataFra
     return df.where(F.col(col).isNotNull()).unionByName(filled.select(*df.columns)), n
 
 
+def _indexers(model) -> list:
+    """Every fitted StringIndexerModel inside a (nested) pipeline model."""
+    out = []
+    for st in getattr(model, "stages", []):
+        if isinstance(st, StringIndexerModel):
+            out.append(st)
+        else:
+            out += _indexers(st)
+    return out
+
+
 def impute_cart(df: DataFrame, cols: Sequence[str], key: str, numeric: Sequence[str],
                 categorical: Sequence[str], sweeps: int = 2, seed: int = 42, max_depth: int = 10,
                 min_instances: int = 5, layout_partitions: int | None = None) -> DataFrame:
@@ -122,29 +133,34 @@ def impute_cart(df: DataFrame, cols: Sequence[str], key: str, numeric: Sequence[
         cur, n_known[c] = _initial_draw(cur, c, key, seed)
     cur = cut_lineage(cur)
     types = dict(df.dtypes)
+    # encoders are fitted once per column: gaps are filled with observed values,
+    # so the level sets do not change between sweeps
+    prepared = {}
+    for c in cols:
+        num = [x for x in numeric if x != c]
+        cat = [x for x in categorical if x != c]
+        stages = [StringIndexer(inputCol=c, outputCol="_cart_y", stringOrderType="alphabetAsc",
+                                handleInvalid="keep")] if types[c] not in NUMERIC else []
+        stages.append(assembler_pipeline(num, cat, out="_cart_f", one_hot_encode=False))
+        enc = Pipeline(stages=stages).fit(cur)
+        levels = [len(lv) for st in _indexers(enc) for lv in st.labelsArray]
+        prepared[c] = (enc, max([32] + [n + 1 for n in levels]))
     for sweep in range(1, sweeps + 1):
         for c in cols:
             flag = miss_flags[c]
-            num = [x for x in numeric if x != c]
-            cat = [x for x in categorical if x != c]
-            is_cat = types[c] not in NUMERIC
-            feats = assembler_pipeline(num, cat, out="_cart_f", one_hot_encode=False)
-            stages = [feats]
-            if is_cat:
-                stages.insert(0, StringIndexer(inputCol=c, outputCol="_cart_y", stringOrderType="alphabetAsc",
-                                               handleInvalid="keep"))
+            enc, bins = prepared[c]
+            if types[c] not in NUMERIC:
                 tree = DecisionTreeClassifier(featuresCol="_cart_f", labelCol="_cart_y", leafCol="_cart_leaf",
                                               maxDepth=max_depth, minInstancesPerNode=min_instances,
-                                              maxBins=512, seed=seed, predictionCol="_cart_p",
+                                              maxBins=bins, seed=seed, predictionCol="_cart_p",
                                               rawPredictionCol="_cart_raw", probabilityCol="_cart_prob")
             else:
                 tree = DecisionTreeRegressor(featuresCol="_cart_f", labelCol=c, leafCol="_cart_leaf",
                                              maxDepth=max_depth, minInstancesPerNode=min_instances,
-                                             maxBins=512, seed=seed, predictionCol="_cart_p")
-            stages.append(tree)
-            train = canonical_layout(cur.where(~F.col(flag)), key, layout_partitions)
-            model = Pipeline(stages=stages).fit(train)
-            scored = model.transform(cur).withColumn("_cart_leaf", F.col("_cart_leaf").cast("double"))
+                                             maxBins=bins, seed=seed, predictionCol="_cart_p")
+            encoded = enc.transform(cur)
+            model = tree.fit(canonical_layout(encoded.where(~F.col(flag)), key, layout_partitions))
+            scored = model.transform(encoded).withColumn("_cart_leaf", F.col("_cart_leaf").cast("double"))
             scored = scored.select(*cur.columns, "_cart_leaf")
             donors = shuffle_rank(scored.where(~F.col(flag)).select(key, "_cart_leaf", c), key, seed,
                                   within="_cart_leaf", out="_d_rn", total="_d_n", n_hint=n_known[c])
