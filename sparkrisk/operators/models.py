@@ -244,14 +244,15 @@ def maclaurin_features(df: DataFrame, features: str, d: int, dims: int = 512, de
     z(x) = gamma^(degree/2) * prod_i (w_i . x) / sqrt(dims) with Rademacher w_i,
     so E[z(x).z(y)] = (gamma x.y)^degree (Kar & Karnick 2012). Runs as an
     Arrow-batched pandas UDF (one matrix product per batch); the projections
-    (degree * d * dims numbers) are shipped once with the function.
+    (degree * d * dims numbers) are a broadcast variable, shipped once per executor.
     """
     gamma = 1.0 / d if gamma is None else gamma
-    w = maclaurin_weights(d, dims, degree, seed)
+    w_b = df.sparkSession.sparkContext.broadcast(maclaurin_weights(d, dims, degree, seed))
     scale = gamma ** (degree / 2.0) / math.sqrt(dims)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def rm_map(xs: pd.Series) -> pd.Series:
+        w = w_b.value
         x = np.stack(xs.to_numpy()) if len(xs) else np.zeros((0, d))
         z = np.full((x.shape[0], dims), scale)
         for i in range(degree):

@@ -106,3 +106,42 @@ def test_split_same_under_repartition(spark):
     a = SM.stratified_split(df.repartition(2), "y", "k", 0.7, 4)
     b = SM.stratified_split(df.repartition(5), "y", "k", 0.7, 4)
     assert rows(a) == rows(b)
+
+
+def test_up_sample_draws_span_chunks(spark, monkeypatch):
+    monkeypatch.setattr(SM, "DRAW_CHUNK", 7)        # many chunks per class, classes share chunks
+    data = [(i, "a" if i < 3 else ("b" if i < 10 else "c")) for i in range(60)]
+    df = spark.createDataFrame(data, "k long, y string")
+    out = SM.up_sample(df, "y", "k", 5)
+    counts = {r.y: r["count"] for r in out.groupBy("y").count().collect()}
+    assert counts == {"a": 50, "b": 50, "c": 50}
+    monkeypatch.setattr(SM, "DRAW_CHUNK", 1_000_000)
+    assert rows(SM.up_sample(df, "y", "k", 5)) == rows(out)   # chunking does not change the draws
+
+
+try:
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=300, deadline=None)
+    @given(n=st.integers(1, 5000), k=st.integers(1, 12), data=st.data())
+    def test_fold_closed_form_property(n, k, data):
+        i = data.draw(st.integers(1, n))
+        closed = 1 if n == 1 else max(1, -(-((i - 1) * k) // (n - 1)))
+        assert closed == cut_fold(i, n, k)
+        sizes = [0] * (k + 1)
+        if n <= 200:
+            for j in range(1, n + 1):
+                sizes[cut_fold(j, n, k)] += 1
+            assert sum(sizes) == n
+
+    @settings(max_examples=4, deadline=None)
+    @given(n_pos=st.integers(1, 12), n_neg=st.integers(1, 40), seed=st.integers(0, 10_000))
+    def test_down_sample_property(spark, n_pos, n_neg, seed):
+        df = _labelled(spark, n_pos, n_neg)
+        out = SM.down_sample(df, "y", "k", seed)
+        counts = {r.y: r["count"] for r in out.groupBy("y").count().collect()}
+        assert set(counts.values()) == {min(n_pos, n_neg)}
+        assert set(rows(out)) <= set(rows(df))
+except ImportError:  # hypothesis is optional
+    pass
