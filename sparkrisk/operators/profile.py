@@ -93,6 +93,22 @@ def class_distribution(df: DataFrame, label: str, attrs: Sequence[str]) -> DataF
 
 
 # AGG5 / UDF2 ------------------------------------------------------------------
+def _sentinel_count(col, dtype: str, sentinel: str | None):
+    """count of values equal to the sentinel, without formatting numbers per row:
+    strings compare directly, numbers only match a numeric sentinel."""
+    if sentinel is None:
+        return F.lit(0).cast("bigint")
+    if dtype == "string":
+        return F.count_if(col == F.lit(sentinel))
+    if dtype in NUMERIC_TYPES:
+        try:
+            number = float(sentinel)
+        except ValueError:
+            return F.lit(0).cast("bigint")
+        return F.count_if(col.cast("double") == F.lit(number))
+    return F.count_if(col.cast("string") == F.lit(sentinel))
+
+
 def missing_profile(df: DataFrame, sentinel: str | None = "?",
                     cols: Sequence[str] | None = None) -> DataFrame:
     """Per column: rows, NULLs, NaNs, sentinel hits and the missing ratio; one scan."""
@@ -104,8 +120,7 @@ def missing_profile(df: DataFrame, sentinel: str | None = "?",
         aggs.append(F.count_if(col.isNull()).alias(f"_null{i}"))
         aggs.append((F.count_if(F.isnan(col)) if types[c] in FLOAT_TYPES
                      else F.lit(0).cast("bigint")).alias(f"_nan{i}"))
-        aggs.append((F.count_if(col.cast("string") == F.lit(sentinel)) if sentinel is not None
-                     else F.lit(0).cast("bigint")).alias(f"_sent{i}"))
+        aggs.append(_sentinel_count(col, types[c], sentinel).alias(f"_sent{i}"))
     wide = df.agg(*aggs)
     rows = F.array(*[
         F.struct(F.lit(i + 1).alias("pos"), F.lit(c).alias("column"),

@@ -60,7 +60,7 @@ def down_sample(df: DataFrame, label: str, key: str | Sequence[str], seed: int =
     if not counts:
         return df
     smallest = min(counts.values())
-    ranked = shuffle_rank(df, key, seed, within=label, out="_d_rn", total=None)
+    ranked = shuffle_rank(df, key, seed, within=label, out="_d_rn", total=None, n_hint=sum(counts.values()))
     return ranked.where(F.col("_d_rn") <= smallest).drop("_d_rn")
 
 
@@ -113,7 +113,7 @@ def up_sample(df: DataFrame, label: str, key: str | Sequence[str], seed: int = 4
     if draws is None:
         return df
     copies = draws.groupBy(label, "_u_rn").agg(F.count(F.lit(1)).alias("_u_extra"))
-    ranked = shuffle_rank(df, key, seed, within=label, out="_u_rn", total=None)
+    ranked = shuffle_rank(df, key, seed, within=label, out="_u_rn", total=None, n_hint=sum(counts.values()))
     joined = ranked.join(copies, [label, "_u_rn"], "left")
     times = F.coalesce(F.col("_u_extra") + 1, F.lit(1)).cast("int")
     expanded = joined.withColumn("_u_copy", F.explode(F.sequence(F.lit(1), times)))

@@ -131,3 +131,22 @@ def test_stack_tagged_roundtrip(spark):
     t = SH.stack_tagged({"train": a, "test": b})
     parts = SH.split_tagged(t, ["train", "test"])
     assert rows(parts["train"]) == [(1, "x")] and rows(parts["test"]) == [(2, None)]
+
+
+def test_numeric_sentinel(spark):
+    df = spark.createDataFrame([(-1, -1.0, "-1"), (2, 2.5, "x"), (-1, None, None)], "i int, d double, s string")
+    prof = {r.column: r.n_sentinel for r in P.missing_profile(df, "-1").collect()}
+    assert prof == {"i": 2, "d": 1, "s": 1}
+    assert {r.column: r.n_sentinel for r in P.missing_profile(df, "?").collect()} == {"i": 0, "d": 0, "s": 0}
+
+
+def test_hot_key_audit_and_duplicates(spark):
+    # one key holds a third of all rows on the left side
+    left = spark.range(0, 3000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"))
+    right = spark.range(0, 3000, 2).select(F.col("id").alias("k"))
+    a = SH.join_audit(left, right, "k").first().asDict()
+    joined = left.join(right, "k").count()
+    assert a["joined_rows"] == joined and a["left_rows"] == 3000 and a["right_rows"] == 1500
+    assert a["left_unmatched"] == left.join(right, "k", "left_anti").count()
+    dup = {r.k: r.n for r in P.duplicate_keys(left, "k").collect()}
+    assert dup == {7: 1000}

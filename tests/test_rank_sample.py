@@ -145,3 +145,12 @@ try:
         assert set(rows(out)) <= set(rows(df))
 except ImportError:  # hypothesis is optional
     pass
+
+
+def test_up_sample_hot_class(spark):
+    # a class with one row must be drawn (largest - 1) times: every copy is that row
+    data = [(0, "rare")] + [(i, "common") for i in range(1, 301)]
+    df = spark.createDataFrame(data, "k long, y string")
+    out = SM.up_sample(df, "y", "k", 1)
+    assert out.where("y = 'rare'").count() == 300
+    assert out.where("y = 'rare'").select("k").distinct().count() == 1
