@@ -16,6 +16,7 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
@@ -169,10 +170,16 @@ class BoostedTrees:
 
 def boosted_tree(df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str] = (),
                  rounds: int = 3, max_depth: int = 5, key: str | None = None, seed: int = 42,
-                 max_bins: int = 64, layout_partitions: int | None = None) -> BoostedTrees:
+                 max_bins: int = 64, layout_partitions: int | None = None,
+                 checkpoint_every: int = 5) -> BoostedTrees:
     """SAMME (multi-class AdaBoost): each round fits a weighted entropy tree, the
-    weight of misclassified rows grows by exp(alpha). The weight update is one
-    projection and one aggregate; lineage is cut each round."""
+    weight of misclassified rows grows by exp(alpha).
+
+    The weight update is one projection and one aggregate. Each round's frame
+    is persisted (the fitted trees are fixed, so a lost block recomputes to the
+    same rows) and lineage is cut into the reliable checkpoint folder every
+    ``checkpoint_every`` rounds, so long runs never replay a long chain.
+    """
     indexer = _label_indexer(label).fit(df)
     labels = list(indexer.labels)
     k = len(labels)
@@ -181,6 +188,7 @@ def boosted_tree(df: DataFrame, label: str, numeric: Sequence[str], categorical:
     if key is not None:
         data = canonical_layout(data, key, layout_partitions)
     data = cut_lineage(data.withColumn("_w", F.lit(1.0)))
+    held = []
     out_rounds = []
     for r in range(rounds):
         tree = DecisionTreeClassifier(featuresCol="features", labelCol="_label", weightCol="_w",
@@ -199,10 +207,20 @@ def boosted_tree(df: DataFrame, label: str, numeric: Sequence[str], categorical:
         err = max(err, 1e-10)
         alpha = math.log((1.0 - err) / err) + math.log(k - 1)
         out_rounds.append((PipelineModel([feats, model]), alpha))
-        if err <= 1e-10:
+        if err <= 1e-10 or r == rounds - 1:
             break
         new_w = F.col("_w") * F.exp(F.lit(alpha) * miss) / F.lit(agg["t"])
-        data = cut_lineage(pred.withColumn("_w", new_w).drop("_bp", "_br", "_bq"))
+        nxt = pred.withColumn("_w", new_w).drop("_bp", "_br", "_bq")
+        if (r + 1) % checkpoint_every == 0:
+            data = cut_lineage(nxt)
+            for h in held:
+                h.unpersist()
+            held = []
+        else:
+            data = nxt.persist(StorageLevel.MEMORY_AND_DISK)
+            held.append(data)
+    for h in held:
+        h.unpersist()
     return BoostedTrees(labels, out_rounds)
 
 
