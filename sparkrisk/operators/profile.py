@@ -369,7 +369,8 @@ def categorical_summary(df: DataFrame, cols: Sequence[str], top: int = 6) -> Dat
     map-side group limit before the shuffle (no task sees all levels of a column).
     """
     long = _long_strings(df, cols)
-    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    # the (column, value) table is read by three branches: written once instead of scanning three times
+    counts = cut_lineage(long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
     known = counts.where(F.col("value").isNotNull())
     per_col = known.groupBy("column").agg(F.count(F.lit(1)).alias("_levels"), F.sum("n").alias("_total"))
     w = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
@@ -413,24 +414,30 @@ def near_constant(df: DataFrame, cols: Sequence[str] | None = None,
 
 # PRJ10 ------------------------------------------------------------------------
 def schema_profile(df: DataFrame, exact: bool = True) -> DataFrame:
-    """(pos, column, type, n_rows, n_null, n_distinct) for every column, like str()."""
+    """(pos, column, type, n_rows, n_null, n_distinct) for every column, like str().
+
+    Exact: one scan; rows, NULLs and distinct values all come from the
+    (column, value) count table (partial aggregation before the shuffle).
+    ``exact=False``: one wide aggregate with HyperLogLog distinct counts.
+    """
     cols = list(df.columns)
     types = dict(df.dtypes)
-    base = df.agg(F.count(F.lit(1)).alias("_rows"),
-                  *[F.count_if(F.col(c).isNull()).alias(f"_null{i}") for i, c in enumerate(cols)],
-                  *([] if exact else
-                    [F.approx_count_distinct(c).alias(f"_d{i}") for i, c in enumerate(cols)]))
-    rows = F.array(*[
-        F.struct(F.lit(i + 1).alias("pos"), F.lit(c).alias("column"), F.lit(types[c]).alias("type"),
-                 F.col("_rows").alias("n_rows"), F.col(f"_null{i}").alias("n_null"),
-                 *([] if exact else [F.col(f"_d{i}").alias("n_distinct")]))
-        for i, c in enumerate(cols)])
-    out = base.select(F.inline(rows))
     if not exact:
-        return out
-    distinct = (_long_strings(df, cols).where(F.col("value").isNotNull())
-                .select("column", "value").distinct()      # partial + final distinct
-                .groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct")))
-    return (out.join(distinct, "column", "left")
-               .select("pos", "column", "type", "n_rows", "n_null",
-                       F.coalesce("n_distinct", F.lit(0)).cast("bigint").alias("n_distinct")))
+        base = df.agg(F.count(F.lit(1)).alias("_rows"),
+                      *[F.count_if(F.col(c).isNull()).alias(f"_null{i}") for i, c in enumerate(cols)],
+                      *[F.approx_count_distinct(c).alias(f"_d{i}") for i, c in enumerate(cols)])
+        rows = F.array(*[
+            F.struct(F.lit(i + 1).alias("pos"), F.lit(c).alias("column"), F.lit(types[c]).alias("type"),
+                     F.col("_rows").alias("n_rows"), F.col(f"_null{i}").alias("n_null"),
+                     F.col(f"_d{i}").alias("n_distinct"))
+            for i, c in enumerate(cols)])
+        return base.select(F.inline(rows))
+    counts = _long_strings(df, cols).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    per = counts.groupBy("column").agg(
+        F.sum("n").cast("bigint").alias("n_rows"),
+        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).cast("bigint").alias("n_null"),
+        F.count("value").cast("bigint").alias("n_distinct"))
+    meta = df.sparkSession.createDataFrame([(i + 1, c, types[c]) for i, c in enumerate(cols)],
+                                           "pos int, column string, type string")
+    return (meta.join(F.broadcast(per), "column", "left")          # one row per column on both sides
+            .select("pos", "column", "type", "n_rows", "n_null", "n_distinct"))

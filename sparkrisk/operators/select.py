@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..session import collect_bounded
+from ..session import collect_bounded, cut_lineage
 
 
 # SRT4 / SRT3 ------------------------------------------------------------------
@@ -55,7 +55,8 @@ def rank_features(df: DataFrame, label: str, categorical: Sequence[str] = (), nu
     long = (data.select(F.col(label).cast("string").alias("_y"), *[F.col(c).cast("string").alias(c) for c in feats])
                 .unpivot(["_y"], feats, "feature", "value")
                 .where(F.col("value").isNotNull()))
-    cells = long.groupBy("feature", "value", "_y").agg(F.count(F.lit(1)).alias("o"))
+    # the cell table feeds margins, grid and totals: written once instead of scanning the input again
+    cells = cut_lineage(long.groupBy("feature", "value", "_y").agg(F.count(F.lit(1)).alias("o")))
     # margins; the grid of every (value, label) pair per feature is joined on
     # the feature name, so unobserved cells count with O = 0
     values = cells.groupBy("feature", "value").agg(F.sum("o").alias("n_v"))
