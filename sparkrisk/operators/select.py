@@ -48,29 +48,31 @@ def rank_features(df: DataFrame, label: str, categorical: Sequence[str] = (), nu
 
     Numeric features are cut into ``bins`` equal-width bins first. Information
     gain is the mutual information of feature and label in nats; chi2 sums
-    (O - E)^2 / E over every (value, label) pair of the feature.
+    (O - E)^2 / E over every (value, label) pair of the feature, the
+    unobserved pairs through their expected counts (no grid of pairs is built).
     """
     data = equal_width_bins(df.where(F.col(label).isNotNull()), list(numeric), bins)
     feats = list(categorical) + list(numeric)
     long = (data.select(F.col(label).cast("string").alias("_y"), *[F.col(c).cast("string").alias(c) for c in feats])
                 .unpivot(["_y"], feats, "feature", "value")
                 .where(F.col("value").isNotNull()))
-    # the cell table feeds margins, grid and totals: written once instead of scanning the input again
+    # the cell table feeds the margins and the sums: written once instead of scanning the input again
     cells = cut_lineage(long.groupBy("feature", "value", "_y").agg(F.count(F.lit(1)).alias("o")))
-    # margins; the grid of every (value, label) pair per feature is joined on
-    # the feature name, so unobserved cells count with O = 0
     values = cells.groupBy("feature", "value").agg(F.sum("o").alias("n_v"))
     labels = cells.groupBy("feature", "_y").agg(F.sum("o").alias("n_y"))
     totals = values.groupBy("feature").agg(F.sum("n_v").alias("n"), F.count(F.lit(1)).alias("_r"))
-    grid = (values.join(labels, "feature").join(totals, "feature")
-                  .join(cells, ["feature", "value", "_y"], "left"))
-    o = F.coalesce(F.col("o"), F.lit(0)).cast("double")
+    # margins are joined to the observed cells only (one row per feature for the totals)
+    obs = (cells.join(values, ["feature", "value"]).join(labels, ["feature", "_y"])
+                .join(F.broadcast(totals), "feature"))
+    o = F.col("o").cast("double")
     nv, ny, n = (F.col(x).cast("double") for x in ("n_v", "n_y", "n"))
     e = nv * ny / n
-    per = grid.groupBy("feature").agg(
-        F.sum((o - e) * (o - e) / e).alias("_chi2"),
-        F.first("n").cast("double").alias("_n"),
-        F.sum(F.when(o > 0, o / n * F.log(o * n / (nv * ny))).otherwise(F.lit(0.0))).alias("info_gain"),
+    # chi2 over every (value, label) pair = sum over observed cells of (O - E)^2 / E
+    # plus the expected counts of the unobserved cells, N - sum over observed cells of E
+    per = obs.groupBy("feature").agg(
+        (F.sum((o - e) * (o - e) / e) + (F.first(n) - F.sum(e))).alias("_chi2"),
+        F.first(n).alias("_n"),
+        F.sum(o / n * F.log(o * n / (nv * ny))).alias("info_gain"),
         F.first("_r").alias("_r"), F.count_distinct("_y").alias("_c"))
     chi2 = F.col("_chi2")
     dof = ((F.col("_r") - 1) * (F.col("_c") - 1)).cast("int")

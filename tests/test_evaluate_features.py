@@ -79,3 +79,21 @@ def test_fit_levels_joint(spark):
     a = spark.createDataFrame([("x",), ("y",)], "c string")
     b = spark.createDataFrame([("z",), (None,)], "c string")
     assert FE.fit_levels([a, b], ["c"]) == {"c": ["x", "y", "z"]}
+
+
+def test_rank_features_with_unobserved_cells(spark):
+    import numpy as np
+    from sparkrisk.operators import select as SEL
+    data = [("a", "y")] * 6 + [("a", "n")] * 2 + [("b", "y")] * 1 + [("b", "n")] * 5 + [("c", "y")] * 4
+    df = spark.createDataFrame(data, "f string, label string")
+    r = SEL.rank_features(df, "label", ["f"], p_values=True).first()
+    table = np.array([[6, 2], [1, 5], [4, 0]], dtype=float)          # value 'c' never has label 'n'
+    n = table.sum()
+    e = table.sum(1, keepdims=True) * table.sum(0, keepdims=True) / n
+    chi2 = ((table - e) ** 2 / e).sum()
+    nz = table > 0
+    mi = (table[nz] / n * np.log(table[nz] * n / (table.sum(1, keepdims=True) * table.sum(0, keepdims=True))[nz])).sum()
+    assert r.chi2 == pytest.approx(chi2, rel=1e-12) and r.dof == 2
+    assert r.info_gain == pytest.approx(mi, rel=1e-12)
+    assert r.cramers_v == pytest.approx(np.sqrt(chi2 / n), rel=1e-12)
+    assert r.p_value == pytest.approx(np.exp(-chi2 / 2), rel=1e-9)             # chi2 survival with 2 dof
