@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.feature import StringIndexer, StringIndexerModel
@@ -90,6 +91,33 @@ def impute_audit(df: DataFrame, truth: str, imputed: str) -> tuple[DataFrame, Da
 
 
 # IMP3 -------------------------------------------------------------------------
+JOIN_KEY_ROWS = 100_000   # gaps per (group, donor, salt) key in a donor lookup
+
+
+def _donor_lookup(gaps: DataFrame, donors: DataFrame, group: list[str], value: str, key: str,
+                  seed: int, salt: str, sizes: DataFrame) -> DataFrame:
+    """Give every gap the value of a donor drawn by seeded hash from its group.
+
+    ``donors``: (group..., _d_rn, value) numbered 1..n per group; ``sizes``:
+    (group..., _d_n, _g_n) donors and gaps per group, one row per group
+    (bounded: a tree's leaves or a single group), broadcast. A group whose
+    gaps outnumber its donors by more than JOIN_KEY_ROWS is salted: the gap
+    side takes a hashed salt in [0, S) and each donor row is repeated S times,
+    so no join key carries more than about JOIN_KEY_ROWS gaps. The drawn
+    donor, and so the result, does not depend on S.
+    """
+    s_col = F.greatest(F.lit(1), F.ceil(F.col("_g_n") / (F.col("_d_n") * F.lit(JOIN_KEY_ROWS)))).cast("int")
+    sizes = F.broadcast(sizes.withColumn("_salts", s_col))
+    picked = gaps.join(sizes, group)
+    picked = (picked.withColumn("_d_rn", F.lit(1) + F.pmod(u32(seeded_md5(seed, F.lit(salt), F.col(key))),
+                                                           F.col("_d_n")))
+                    .withColumn("_salt", F.pmod(u32(seeded_md5(seed, F.lit(f"salt-{salt}"), F.col(key))),
+                                                F.col("_salts"))))
+    spread = (donors.join(sizes.select(*group, "_salts"), group)
+                    .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))))
+    return picked.drop(value).join(spread.select(*group, "_d_rn", "_salt", value), [*group, "_d_rn", "_salt"])
+
+
 def _initial_draw(df: DataFrame, col: str, key: str, seed: int) -> tuple[DataFrame, int]:
     """Fill gaps of ``col`` with an observed value drawn by seeded hash (mice's start).
 
@@ -98,11 +126,14 @@ def _initial_draw(df: DataFrame, col: str, key: str, seed: int) -> tuple[DataFra
     n = known.count()
     if not n:
         return df, 0
-    ranked = shuffle_rank(known, key, seed, out="_i_rn", total=None, n_hint=n)
-    pick = F.lit(1) + F.pmod(u32(seeded_md5(seed, F.lit(f"init-{col}"), F.col(key))), F.lit(n))
-    gaps = df.where(F.col(col).isNull()).withColumn("_i_rn", pick)
-    donors = ranked.select("_i_rn", F.col(col).alias("_i_val"))
-    filled = gaps.join(donors, "_i_rn").withColumn(col, F.col("_i_val")).drop("_i_rn", "_i_val")
+    gaps = df.where(F.col(col).isNull()).withColumn("_one", F.lit(1))
+    n_gaps = gaps.count()
+    if not n_gaps:
+        return df, n
+    donors = (shuffle_rank(known, key, seed, out="_d_rn", total=None, n_hint=n)
+              .withColumn("_one", F.lit(1)))
+    sizes = df.sparkSession.createDataFrame([(1, n, n_gaps)], "_one int, _d_n long, _g_n long")
+    filled = _donor_lookup(gaps, donors, ["_one"], col, key, seed, f"init-{col}", sizes)
     return df.where(F.col(col).isNotNull()).unionByName(filled.select(*df.columns)), n
 
 
@@ -161,16 +192,20 @@ def impute_cart(df: DataFrame, cols: Sequence[str], key: str, numeric: Sequence[
             encoded = enc.transform(cur)
             model = tree.fit(canonical_layout(encoded.where(~F.col(flag)), key, layout_partitions))
             scored = model.transform(encoded).withColumn("_cart_leaf", F.col("_cart_leaf").cast("double"))
-            scored = scored.select(*cur.columns, "_cart_leaf")
+            # read by the donor ranking, the leaf sizes and the lookup: computed once (deterministic,
+            # so a lost block recomputes to the same rows); the sweep ends in a reliable checkpoint
+            scored = scored.select(*cur.columns, "_cart_leaf").persist(StorageLevel.MEMORY_AND_DISK)
             donors = shuffle_rank(scored.where(~F.col(flag)).select(key, "_cart_leaf", c), key, seed,
-                                  within="_cart_leaf", out="_d_rn", total="_d_n", n_hint=n_known[c])
-            sizes = donors.select("_cart_leaf", "_d_n").distinct()
-            gaps = scored.where(F.col(flag)).join(F.broadcast(sizes), "_cart_leaf")  # one row per leaf
-            salt = F.lit(f"s{sweep}-{c}")
-            gaps = gaps.withColumn("_d_rn", F.lit(1) + F.pmod(u32(seeded_md5(seed, salt, F.col(key))), F.col("_d_n")))
-            picked = (gaps.drop(c).join(donors.select("_cart_leaf", "_d_rn", F.col(c)), ["_cart_leaf", "_d_rn"])
-                      .select(*cur.columns))
+                                  within="_cart_leaf", out="_d_rn", total=None, n_hint=n_known[c])
+            gaps = scored.where(F.col(flag))
+            # donors and gaps per leaf in one aggregate: one row per leaf (at most 2**depth)
+            sizes = (scored.groupBy("_cart_leaf")
+                     .agg(F.count_if(~F.col(flag)).alias("_d_n"), F.count_if(F.col(flag)).alias("_g_n"))
+                     .where((F.col("_d_n") > 0) & (F.col("_g_n") > 0)))
+            picked = _donor_lookup(gaps, donors, ["_cart_leaf"], c, key, seed, f"s{sweep}-{c}",
+                                   sizes).select(*cur.columns)
             cur = cut_lineage(scored.where(~F.col(flag)).select(*cur.columns).unionByName(picked))
+            scored.unpersist()
     return cur.drop(*miss_flags.values())
 
 

@@ -114,3 +114,13 @@ def test_impute_median_fit_apply(spark):
     df = spark.createDataFrame([(1.0,), (None,), (3.0,), (float("nan"),), (10.0,)], "v double")
     out = [r.v for r in IM.impute_median(df, ["v"]).collect()]
     assert out == [1.0, 3.0, 3.0, 3.0, 10.0]
+
+
+def test_impute_cart_salting_is_exact(spark, separable, monkeypatch):
+    df = separable.withColumn("cat2", F.when(F.col("k") % 3 == 0, None).otherwise(F.col("y")))
+    base = IM.impute_cart(df, ["cat2"], "k", ["x", "noise"], ["cat"], sweeps=1, seed=5, max_depth=3)
+    monkeypatch.setattr(IM, "JOIN_KEY_ROWS", 1)        # every leaf salted into many keys
+    salted = IM.impute_cart(df, ["cat2"], "k", ["x", "noise"], ["cat"], sweeps=1, seed=5, max_depth=3)
+    a = sorted((r.k, r.cat2) for r in base.select("k", "cat2").collect())
+    b = sorted((r.k, r.cat2) for r in salted.select("k", "cat2").collect())
+    assert a == b and len(a) == 2000
