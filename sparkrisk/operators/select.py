@@ -41,17 +41,38 @@ def equal_width_bins(df: DataFrame, cols: Sequence[str], bins: int = 10) -> Data
     return df.withColumns(exprs)
 
 
+def quantile_bins(df: DataFrame, cols: Sequence[str], bins: int = 10, accuracy: int = 10_000) -> DataFrame:
+    """Replace numeric columns by their quantile bin (1..bins): cut points from
+    one GK-sketch aggregate (``percentile_approx``), a value's bin is one plus
+    the number of cut points below it."""
+    if not cols:
+        return df
+    probs = [i / bins for i in range(1, bins)]
+    row = df.agg(*[F.percentile_approx(c, probs, accuracy).alias(f"q{i}") for i, c in enumerate(cols)]).first()
+    exprs = {}
+    for i, c in enumerate(cols):
+        cuts = sorted(set(row[f"q{i}"] or []))
+        b = F.lit(1)
+        for cut in cuts:
+            b = b + (F.col(c).cast("double") > F.lit(float(cut))).cast("int")
+        exprs[c] = F.when(F.col(c).isNotNull(), b)
+    return df.withColumns(exprs)
+
+
 # MDL13 ------------------------------------------------------------------------
 def rank_features(df: DataFrame, label: str, categorical: Sequence[str] = (), numeric: Sequence[str] = (),
-                  bins: int = 10, p_values: bool = False) -> DataFrame:
+                  bins: int = 10, p_values: bool = False, cuts: str = "width") -> DataFrame:
     """(feature, info_gain, chi2, dof, cramers_v, rank[, p_value]) ranked by information gain.
 
-    Numeric features are cut into ``bins`` equal-width bins first. Information
+    Numeric features are cut into ``bins`` equal-width bins first
+    (``cuts='quantile'``: equal-frequency bins from a GK sketch). Information
     gain is the mutual information of feature and label in nats; chi2 sums
     (O - E)^2 / E over every (value, label) pair of the feature, the
     unobserved pairs through their expected counts (no grid of pairs is built).
     """
-    data = equal_width_bins(df.where(F.col(label).isNotNull()), list(numeric), bins)
+    labelled = df.where(F.col(label).isNotNull())
+    data = (quantile_bins(labelled, list(numeric), bins) if cuts == "quantile"
+            else equal_width_bins(labelled, list(numeric), bins))
     feats = list(categorical) + list(numeric)
     long = (data.select(F.col(label).cast("string").alias("_y"), *[F.col(c).cast("string").alias(c) for c in feats])
                 .unpivot(["_y"], feats, "feature", "value")

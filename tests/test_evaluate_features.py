@@ -97,3 +97,13 @@ def test_rank_features_with_unobserved_cells(spark):
     assert r.info_gain == pytest.approx(mi, rel=1e-12)
     assert r.cramers_v == pytest.approx(np.sqrt(chi2 / n), rel=1e-12)
     assert r.p_value == pytest.approx(np.exp(-chi2 / 2), rel=1e-9)             # chi2 survival with 2 dof
+
+
+def test_quantile_bins_equal_frequency(spark):
+    from sparkrisk.operators import select as SEL
+    df = spark.range(0, 1000).select((F.col("id") * 1.0).alias("x"), (F.col("id") % 2).cast("string").alias("y"))
+    binned = SEL.quantile_bins(df, ["x"], 4)
+    sizes = sorted(r["count"] for r in binned.groupBy("x").count().collect())
+    assert len(sizes) == 4 and max(sizes) - min(sizes) <= 2
+    r = {x.feature: x for x in SEL.rank_features(df, "y", numeric=["x"], cuts="quantile", bins=4).collect()}
+    assert r["x"].dof == 3 and r["x"].chi2 < 1.0

@@ -68,6 +68,9 @@ def test_boosting_one_round_equals_tree(spark, separable):
 def test_poly_svm_learns(spark, separable):
     m = M.poly_svm(separable, "y", ["x", "noise"], ["cat"], dims=128, max_iter=50)
     assert _acc(m.transform(separable)) > 0.9
+    w = M.poly_svm(separable, "y", ["x", "noise"], ["cat"], dims=128, max_iter=50,
+                   class_weights={"no": 0.1, "yes": 0.2})        # weighted fit (DOR5)
+    assert _acc(w.transform(separable)) > 0.9
 
 
 def test_linear_regression_equals_sql(spark):
