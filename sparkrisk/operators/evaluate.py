@@ -151,25 +151,41 @@ def residual_histogram(df: DataFrame, pred: str, truth: str, bins: int = 20) ->
 # MDL11 ------------------------------------------------------------------------
 def cross_validate(df: DataFrame, k: int, fit: Callable[[DataFrame], object],
                    predict: Callable[[object, DataFrame], DataFrame],
-                   metrics: Callable[[DataFrame], DataFrame],
+                   metrics: Callable[..., DataFrame],
                    rebalance: Callable[[DataFrame], DataFrame] | None = None,
                    fold_col: str = "fold", folds: Sequence[int] | None = None) -> DataFrame:
     """k-fold CV with rebalancing applied to the training part of each fold only.
 
-    ``df`` carries a ``fold`` column (see ``assign_folds``) and should be cached
-    or checkpointed by the caller. Per fold: rebalance(train) -> fit -> predict
-    on both the (rebalanced) training part and the held-out part -> metrics.
-    Returns (fold, part, <metric columns>); fits are distributed, the loop over
-    folds is a driver loop.
+    ``df`` carries a ``fold`` column (see ``assign_folds``) and should be
+    checkpointed by the caller. Per fold: rebalance(train) -> fit -> one
+    scoring pass over the (rebalanced) training part and the held-out part ->
+    ``metrics(scored, by="part")``, one row per part. The rebalanced part is
+    persisted for the fold (fit and scoring read it; it is deterministic, so a
+    lost block recomputes to the same rows) and released once the fold's few
+    metric rows are collected. Returns (fold, part, <metric columns>); fits are
+    distributed, the loop over folds runs on the driver.
     """
-    out = None
+    from pyspark import StorageLevel
+    from .shape import stack_tagged
+    rows, schema = [], None
     for i in (folds if folds is not None else range(1, k + 1)):
         train, held = fold_split(df, i, fold_col)
         train, held = train.drop(fold_col), held.drop(fold_col)
         if rebalance is not None:
             train = rebalance(train)
-        model = fit(train)
-        for part, data in (("train", train), ("held_out", held)):
-            m = metrics(predict(model, data)).select(F.lit(i).alias("fold"), F.lit(part).alias("part"), "*")
-            out = m if out is None else out.unionByName(m)
-    return out
+        train = train.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            model = fit(train)
+            scored = predict(model, stack_tagged({"train": train, "held_out": held}, tag="part"))
+            m = metrics(scored, by="part")
+            schema = m.schema
+            rows += [(i, *r) for r in m.collect()]
+        finally:
+            train.unpersist()
+    spark = df.sparkSession
+    if schema is None:
+        return spark.createDataFrame([], "fold int")
+    from pyspark.sql.types import IntegerType, StructField, StructType
+    out = spark.createDataFrame(rows, StructType([StructField("fold", IntegerType())] + list(schema.fields)))
+    ordered = ["fold", "part"] + [c for c in out.columns if c not in ("fold", "part")]
+    return out.select(*ordered)

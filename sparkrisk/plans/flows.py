@@ -72,7 +72,7 @@ def classification_cv(train: DataFrame, key: str, label: str, categorical: Seque
                                max_depth=max_depth, seed=seed, key=key)
 
     return E.cross_validate(data, k, fit, lambda m, d: M.score(m, d),
-                            lambda d: E.recall(d, "predicted", label, positive),
+                            lambda d, by=None: E.recall(d, "predicted", label, positive, by=by),
                             rebalance=lambda d: SM.down_sample(d, label, key, seed))
 
 

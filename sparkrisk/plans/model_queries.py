@@ -64,6 +64,10 @@ def _recall(scored: DataFrame, pred: str = "predicted", by: str | None = None) -
     return out.withColumnRenamed("split", "part") if by == "split" else out
 
 
+def _cv_recall(scored: DataFrame, by: str | None = None) -> DataFrame:
+    return _recall(scored, by=by)
+
+
 def _split_data(spark, d) -> DataFrame:
     """lineitem with the 70/30 stratified 'split' column, materialised once."""
     return cut_lineage(SM.stratified_split(lineitem_labelled(spark, d), LABEL, LINEITEM_KEY, TRAIN_SHARE, SEED))
@@ -87,7 +91,7 @@ def mdl1_random_forest_cv(spark, d):
         data, FOLDS,
         fit=_rf,
         predict=lambda m, df: M.score(m, df),
-        metrics=_recall,
+        metrics=_cv_recall,
         rebalance=lambda df: SM.down_sample(df, LABEL, LINEITEM_KEY, SEED))
 
 
@@ -131,9 +135,9 @@ def mdl6_boosted_tree_cv(spark, d):
     def predict(model, df):
         return M.cost_sensitive(M.boosted_score(model, df, out="vote"), model.labels, costs)
 
-    down = E.cross_validate(data, FOLDS, fit, predict, _recall,
+    down = E.cross_validate(data, FOLDS, fit, predict, _cv_recall,
                             rebalance=lambda df: SM.down_sample(df, LABEL, LINEITEM_KEY, SEED))
-    up = E.cross_validate(data, FOLDS, fit, predict, _recall,
+    up = E.cross_validate(data, FOLDS, fit, predict, _cv_recall,
                           rebalance=lambda df: SM.up_sample(df, LABEL, LINEITEM_KEY, SEED))
     return SH.stack_tagged({"down": down, "up": up}, tag="rebalance")
 
@@ -299,7 +303,7 @@ def dor4_tune_mtry(spark, d):
     def cv_recall(mtry):
         fit = (lambda part: M.random_forest(part, LABEL, NUMERIC, CATEGORICAL, trees=20, mtry=mtry,
                                             max_depth=DEPTH, seed=SEED, key=LINEITEM_KEY))
-        res = E.cross_validate(data, 3, fit, lambda m, df: M.score(m, df), _recall)
+        res = E.cross_validate(data, 3, fit, lambda m, df: M.score(m, df), _cv_recall)
         return res.where(F.col("part") == "held_out").agg(F.avg("recall")).first()[0]
 
     grid = SEL.tune_mtry([1, 2, 4], cv_recall)
