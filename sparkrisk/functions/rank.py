@@ -13,8 +13,9 @@ A global ``row_number() over (order by h, key)`` would run in one task. Instead:
 1. bucket = first ``digits`` hex characters of ``h`` (order preserving, at most
    ``16**digits`` buckets; md5 spreads unique keys evenly, so no bucket is hot);
 2. rows per bucket: a partial+final hash aggregate, at most ``16**digits`` rows;
-3. running offsets over that small table (bounded, broadcast back);
-4. ``row_number()`` inside each bucket, plus the bucket's offset.
+3. running offsets over that small table (bounded by the bucket count);
+4. ``row_number()`` inside each bucket (the rows' only shuffle), plus the
+   bucket's offset, joined on the bucket the rows are already partitioned by.
 
 The result equals the single global window exactly.
 """
@@ -91,10 +92,13 @@ def shuffle_rank(df: DataFrame, key: str | Sequence[str], seed: int = 42,
                    F.lit(0)).alias(tmp_off),
         F.sum(tmp_nb).over(w_all).alias("_sr_total"),
     )
-    # offsets has at most (#groups x 16**digits) rows: bounded, safe to broadcast
+    # number rows inside each bucket first (the one shuffle of the rows, by bucket), then add the
+    # bucket's offset: the rows are already partitioned by the bucket, so the join moves only the
+    # offsets table (#groups x 16**digits rows); AQE turns it into a broadcast when that is small
     w_in = Window.partitionBy(*part).orderBy(tmp_h, *keys)
-    ranked = (hashed.join(F.broadcast(offsets), part)
-                    .withColumn(out, (F.row_number().over(w_in) + F.col(tmp_off)).cast("bigint")))
+    ranked = (hashed.withColumn("_sr_in", F.row_number().over(w_in))
+                    .join(offsets, part)
+                    .withColumn(out, (F.col("_sr_in") + F.col(tmp_off)).cast("bigint")))
     extra = [out]
     if total:
         ranked = ranked.withColumn(total, F.col("_sr_total").cast("bigint"))

@@ -65,7 +65,7 @@ def down_sample(df: DataFrame, label: str, key: str | Sequence[str], seed: int =
 
 
 # SMP6 -------------------------------------------------------------------------
-DRAW_CHUNK = 1_000_000
+DRAW_CHUNK = 100_000_000   # draw ids per chunk: the class table holds #classes + draws / DRAW_CHUNK rows
 
 
 def _draws(spark, label: str, label_type: str, shortfall: dict, seed: int, n_by_class: dict) -> DataFrame | None:
