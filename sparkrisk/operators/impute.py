@@ -92,6 +92,7 @@ def impute_audit(df: DataFrame, truth: str, imputed: str) -> tuple[DataFrame, Da
 
 # IMP3 -------------------------------------------------------------------------
 JOIN_KEY_ROWS = 100_000   # gaps per (group, donor, salt) key in a donor lookup
+MAX_DEPTH = 20            # leaf tables (<= 2**depth rows) are broadcast: about 1M rows at most
 
 
 def _donor_lookup(gaps: DataFrame, donors: DataFrame, group: list[str], value: str, key: str,
@@ -157,6 +158,8 @@ def impute_cart(df: DataFrame, cols: Sequence[str], key: str, numeric: Sequence[
     be among them; the label must not). Each gap ends with a value observed in
     its column. Lineage is cut after every column update.
     """
+    if max_depth > MAX_DEPTH:
+        raise ValueError(f"max_depth {max_depth} > {MAX_DEPTH}: the per-leaf tables would not stay small")
     miss_flags = {c: f"_miss_{i}" for i, c in enumerate(cols)}
     cur = df.withColumns({flag: F.col(c).isNull() for c, flag in miss_flags.items()})
     n_known = {}

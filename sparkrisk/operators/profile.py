@@ -63,7 +63,7 @@ def frequency(df: DataFrame, col: str, levels: Sequence | None = None,
         spark = df.sparkSession
         lv = spark.createDataFrame([(v, i) for i, v in enumerate(levels)],
                                    f"{col} {dict(df.dtypes)[col]}, _lvl int")
-        counts = (F.broadcast(lv).join(counts, col, "left")
+        counts = (lv.join(counts, col, "left")
                   .select(col, F.coalesce(F.col(n_col), F.lit(0)).cast("bigint").alias(n_col), "_lvl"))
         if order == "level":
             return counts.orderBy("_lvl").drop("_lvl")
