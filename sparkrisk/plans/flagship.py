@@ -1,4 +1,4 @@
-"""Flagship flow: the readmission-style preparation on the order tables.
+"""Flagship flow: the classification preparation (audit, join, type, derive, profile) on the order tables.
 
 orders ⋈ customer, nation name looked up in place of the nation key (JN1-JN3),
 closed level list on the priority (SCL1), order age in days and month (SCL4,
