@@ -95,15 +95,14 @@ def holdout_boosted(train: DataFrame, key: str, label: str, categorical: Sequenc
                                 seed=seed)
     split = cut_lineage(SM.stratified_split(data, label, key, p, seed))
     tr = split.where(F.col("split") == "train").drop("split")
-    va = split.where(F.col("split") == "test").drop("split")
     model = M.boosted_tree(tr, label, num, cat, rounds=rounds, max_depth=max_depth, key=key, seed=seed)
     costs = M.cost_matrix([negative, positive], miss_cost, false_alarm_cost)
 
-    def stats(d):
-        scored = M.cost_sensitive(M.boosted_score(model, d, out="vote"), model.labels, costs)
-        return E.confusion_stats(scored, "predicted", label, positive)
-
-    return SH.stack_tagged({"train": stats(tr), "validation": stats(va)})
+    # both parts scored in one pass, statistics grouped by part
+    scored = M.cost_sensitive(M.boosted_score(model, split, out="vote"), model.labels, costs)
+    scored = scored.withColumn("part", F.when(F.col("split") == "train", "train").otherwise("validation"))
+    stats = E.confusion_stats(scored, "predicted", label, positive, by="part")
+    return stats.select(*[c for c in stats.columns if c != "part"], "part")
 
 
 def regression_flow(df: DataFrame, key: str, label: str, numeric: Sequence[str], categorical: Sequence[str],
@@ -122,14 +121,12 @@ def regression_flow(df: DataFrame, key: str, label: str, numeric: Sequence[str],
     scale = FE.fit_standardize(encoded.where(F.col("split") == "train") if fit_scope == "train" else encoded,
                                features)
     ready = cut_lineage(FE.apply_standardize(encoded, scale))
-    tr, te = ready.where(F.col("split") == "train"), ready.where(F.col("split") == "test")
+    tr = ready.where(F.col("split") == "train")
     linear = M.linear_regression(tr, label, features)
     forest = M.random_forest_regressor(tr, label, features, trees=trees, max_depth=max_depth, seed=seed, key=key)
     parts = {}
     for mname, model in (("linear", linear), ("forest", forest)):
-        for pname, d in (("train", tr), ("test", te)):
-            m = E.regression_metrics(model.transform(d), "prediction", label)
-            parts[f"{mname}|{pname}"] = m
-    out = SH.stack_tagged(parts, tag="_tag")
-    return out.select(F.split("_tag", r"\|")[0].alias("model"), F.split("_tag", r"\|")[1].alias("part"),
-                      *[c for c in out.columns if c != "_tag"])
+        # one scoring pass over both parts per model, metrics grouped by part
+        parts[mname] = E.regression_metrics(model.transform(ready), "prediction", label, by="split")
+    out = SH.stack_tagged(parts, tag="model").withColumnRenamed("split", "part")
+    return out.select("model", "part", *[c for c in out.columns if c not in ("model", "part")])
