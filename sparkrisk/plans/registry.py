@@ -387,6 +387,13 @@ def scl3_parse_date(spark, d):
     return o.select("o_orderkey", S.day_diff(S.parse_date("day"), F.lit("1995-01-01")).alias("days_since"))
 
 
+@register("scl2_as_category", """
+SELECT p_partkey, CAST(p_size AS VARCHAR) AS p_size, p_type FROM part
+""")
+def scl2_as_category(spark, d):
+    return S.as_category(table(spark, d, "part").select("p_partkey", "p_size", "p_type"), ["p_size", "p_type"])
+
+
 @register("scl10_to_number", """
 SELECT o_orderkey, TRY_CAST(o_orderstatus AS DOUBLE) AS status_number,
        TRY_CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS priority_rank

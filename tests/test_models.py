@@ -127,3 +127,19 @@ def test_impute_cart_salting_is_exact(spark, separable, monkeypatch):
     a = sorted((r.k, r.cat2) for r in base.select("k", "cat2").collect())
     b = sorted((r.k, r.cat2) for r in salted.select("k", "cat2").collect())
     assert a == b and len(a) == 2000
+
+
+def test_impute_cart_numeric_and_chained(spark, separable):
+    df = (separable.withColumn("cat2", F.when(F.col("k") % 5 == 0, None).otherwise(F.col("y")))
+                   .withColumn("x2", F.when(F.col("k") % 7 == 0, None).otherwise(F.col("x"))))
+    out = IM.impute_cart(df, ["cat2", "x2"], "k", ["x2", "noise"], ["cat", "cat2"], sweeps=2, seed=9, max_depth=5)
+    assert out.count() == 2000
+    assert out.where(F.col("cat2").isNull() | F.col("x2").isNull()).count() == 0
+    observed = {r.x2 for r in df.where(F.col("x2").isNotNull()).select("x2").distinct().collect()}
+    assert {r.x2 for r in out.select("x2").distinct().collect()} <= observed      # donors are observed values
+    kept = (out.alias("o").join(df.alias("d"), "k")
+            .where(F.col("d.x2").isNotNull() & (F.col("o.x2") != F.col("d.x2"))).count())
+    assert kept == 0
+    err = (out.alias("o").join(df.alias("d"), "k").where(F.col("d.x2").isNull())
+           .agg(F.avg(F.abs(F.col("o.x2") - F.col("d.x"))).alias("e")).first().e)
+    assert err < 25          # leaf donors are close to the truth (x spans 0..100)
