@@ -46,10 +46,15 @@ def test_sorted_quantiles_and_coarse_sketch_match_numpy(spark, monkeypatch):
     got = {r.p: r.value for r in P.exact_quantiles_sorted(df, ["v"], probs).collect()}
     monkeypatch.setattr(P, "SKETCH_ACCURACY", 20)     # wide brackets still give exact answers
     coarse = {r.p: r.value for r in P.exact_quantiles(df, ["v"], probs).collect()}
+    monkeypatch.setattr(P, "ACCURACY_MAX", 20)        # brackets too big to collect: narrowing rounds
+    monkeypatch.setattr(P, "BRACKET_MAX", 30)
+    narrowed, failed = P.quantile_values(df, ["v"], probs)
+    assert not failed
     for p in probs:
         ref = float(np.percentile(vals, p * 100))
         assert math.isclose(got[p], ref, rel_tol=1e-12, abs_tol=1e-12)
         assert math.isclose(coarse[p], ref, rel_tol=1e-12, abs_tol=1e-12)
+        assert math.isclose(narrowed[("v", p)], ref, rel_tol=1e-12, abs_tol=1e-12)
 
 
 def test_numeric_summary_ignores_nan(spark):
