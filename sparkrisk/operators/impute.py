@@ -124,13 +124,13 @@ def _initial_draw(df: DataFrame, col: str, key: str, seed: int) -> tuple[DataFra
 
     Returns (filled frame, number of known values)."""
     known = df.where(F.col(col).isNotNull()).select(key, col)
-    n = known.count()
+    row = df.agg(F.count(col).alias("n"), F.count_if(F.col(col).isNull()).alias("g")).first()   # one pass
+    n, n_gaps = row["n"], row["g"]
     if not n:
         return df, 0
-    gaps = df.where(F.col(col).isNull()).withColumn("_one", F.lit(1))
-    n_gaps = gaps.count()
     if not n_gaps:
         return df, n
+    gaps = df.where(F.col(col).isNull()).withColumn("_one", F.lit(1))
     donors = (shuffle_rank(known, key, seed, out="_d_rn", total=None, n_hint=n)
               .withColumn("_one", F.lit(1)))
     sizes = df.sparkSession.createDataFrame([(1, n, n_gaps)], "_one int, _d_n long, _g_n long")

@@ -19,8 +19,8 @@ MAX_CLASSES = 100_000
 
 
 def class_counts(df: DataFrame, label: str) -> dict:
-    """{class: rows}; one row per class reaches the driver (bounded)."""
-    rows = collect_bounded(df.groupBy(label).agg(F.count(F.lit(1)).alias("n")),
+    """{class: rows} over non-NULL labels; one row per class reaches the driver (bounded)."""
+    rows = collect_bounded(df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n")),
                            MAX_CLASSES, "class_counts")
     return {r[label]: r["n"] for r in rows}
 
@@ -55,11 +55,16 @@ def random_split(df: DataFrame, key: str | Sequence[str], test_size: float = 0.3
 
 # SMP5 -------------------------------------------------------------------------
 def down_sample(df: DataFrame, label: str, key: str | Sequence[str], seed: int = 42) -> DataFrame:
-    """Every class cut to the size of the smallest class, without replacement."""
+    """Every class cut to the size of the smallest class, without replacement.
+
+    As with a factor's level table, a NULL label belongs to no class: those rows
+    are not part of the result.
+    """
     counts = class_counts(df, label)
     if not counts:
         return df
     smallest = min(counts.values())
+    df = df.where(F.col(label).isNotNull())
     ranked = shuffle_rank(df, key, seed, within=label, out="_d_rn", total=None, n_hint=sum(counts.values()))
     return ranked.where(F.col("_d_rn") <= smallest).drop("_d_rn")
 
@@ -107,8 +112,9 @@ def up_sample(df: DataFrame, label: str, key: str | Sequence[str], seed: int = 4
     counts = class_counts(df, label)
     if not counts:
         return df
+    df = df.where(F.col(label).isNotNull())          # a NULL label belongs to no class (as in down_sample)
     largest = max(counts.values())
-    shortfall = {c: largest - n for c, n in counts.items() if c is not None and n < largest}
+    shortfall = {c: largest - n for c, n in counts.items() if n < largest}
     draws = _draws(spark, label, dict(df.dtypes)[label], shortfall, seed, counts)
     if draws is None:
         return df

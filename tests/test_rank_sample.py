@@ -154,3 +154,11 @@ def test_up_sample_hot_class(spark):
     out = SM.up_sample(df, "y", "k", 1)
     assert out.where("y = 'rare'").count() == 300
     assert out.where("y = 'rare'").select("k").distinct().count() == 1
+
+
+def test_null_labels_belong_to_no_class(spark):
+    data = [(i, "a" if i < 4 else ("b" if i < 20 else None)) for i in range(25)]
+    df = spark.createDataFrame(data, "k long, y string")
+    down = {r.y: r["count"] for r in SM.down_sample(df, "y", "k").groupBy("y").count().collect()}
+    up = {r.y: r["count"] for r in SM.up_sample(df, "y", "k").groupBy("y").count().collect()}
+    assert down == {"a": 4, "b": 4} and up == {"a": 16, "b": 16}
