@@ -71,6 +71,7 @@ def down_sample(df: DataFrame, label: str, key: str | Sequence[str], seed: int =
 
 # SMP6 -------------------------------------------------------------------------
 DRAW_CHUNK = 100_000_000   # draw ids per chunk: the class table holds #classes + draws / DRAW_CHUNK rows
+COPY_CHUNK = 1_000_000     # copies of one row expanded by one task, at most
 
 
 def _draws(spark, label: str, label_type: str, shortfall: dict, seed: int, n_by_class: dict) -> DataFrame | None:
@@ -120,7 +121,25 @@ def up_sample(df: DataFrame, label: str, key: str | Sequence[str], seed: int = 4
         return df
     copies = draws.groupBy(label, "_u_rn").agg(F.count(F.lit(1)).alias("_u_extra"))
     ranked = shuffle_rank(df, key, seed, within=label, out="_u_rn", total=None, n_hint=sum(counts.values()))
+    heavy = None
+    if max(shortfall.values(), default=0) > COPY_CHUNK:       # otherwise no row can exceed COPY_CHUNK copies
+        limit = sum(shortfall.values()) // COPY_CHUNK + 1
+        rows = collect_bounded(copies.where(F.col("_u_extra") > COPY_CHUNK), limit, "heavily drawn rows")
+        if rows:
+            heavy = spark.createDataFrame(rows, copies.schema)
     joined = ranked.join(copies, [label, "_u_rn"], "left")
+    if heavy is not None:
+        joined = joined.where(F.col("_u_extra").isNull() | (F.col("_u_extra") <= COPY_CHUNK))
     times = F.coalesce(F.col("_u_extra") + 1, F.lit(1)).cast("int")
-    expanded = joined.withColumn("_u_copy", F.explode(F.sequence(F.lit(1), times)))
-    return expanded.select(*df.columns)
+    out = joined.withColumn("_u_copy", F.explode(F.sequence(F.lit(1), times))).select(*df.columns)
+    if heavy is not None:
+        # rows drawn more than COPY_CHUNK times: their copies are cut into chunks spread over tasks
+        hot = ranked.join(F.broadcast(heavy), [label, "_u_rn"])     # at most draws / COPY_CHUNK rows
+        total = F.col("_u_extra") + 1
+        chunks = (hot.withColumn("_u_c", F.explode(F.sequence(F.lit(0), F.ceil(total / COPY_CHUNK).cast("long") - 1)))
+                     .withColumn("_u_n", F.least(F.lit(COPY_CHUNK), total - F.col("_u_c") * COPY_CHUNK).cast("int")))
+        n_chunks = sum(-(-(r["_u_extra"] + 1) // COPY_CHUNK) for r in rows)
+        spread = chunks.repartition(max(1, n_chunks))            # round robin: one chunk per task
+        out = out.unionByName(spread.withColumn("_u_copy", F.explode(F.sequence(F.lit(1), F.col("_u_n"))))
+                              .select(*df.columns))
+    return out

@@ -147,13 +147,16 @@ except ImportError:  # hypothesis is optional
     pass
 
 
-def test_up_sample_hot_class(spark):
+def test_up_sample_hot_class(spark, monkeypatch):
     # a class with one row must be drawn (largest - 1) times: every copy is that row
-    data = [(0, "rare")] + [(i, "common") for i in range(1, 301)]
+    data = [(0, "rare")] + [(i, "common") for i in range(1, 301)] + [(i, "mid") for i in range(301, 331)]
     df = spark.createDataFrame(data, "k long, y string")
     out = SM.up_sample(df, "y", "k", 1)
     assert out.where("y = 'rare'").count() == 300
     assert out.where("y = 'rare'").select("k").distinct().count() == 1
+    monkeypatch.setattr(SM, "COPY_CHUNK", 7)      # heavy rows: copies cut into chunks over tasks
+    split = SM.up_sample(df, "y", "k", 1)
+    assert rows(split) == rows(out)
 
 
 def test_null_labels_belong_to_no_class(spark):
