@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import stats
-from .shape import fold_split
+from .shape import fold_split, stack_tagged
 
 
 def _c(c: str | Column) -> Column:
@@ -165,8 +167,6 @@ def cross_validate(df: DataFrame, k: int, fit: Callable[[DataFrame], object],
     metric rows are collected. Returns (fold, part, <metric columns>); fits are
     distributed, the loop over folds runs on the driver.
     """
-    from pyspark import StorageLevel
-    from .shape import stack_tagged
     rows, schema = [], None
     for i in (folds if folds is not None else range(1, k + 1)):
         train, held = fold_split(df, i, fold_col)
@@ -185,7 +185,6 @@ def cross_validate(df: DataFrame, k: int, fit: Callable[[DataFrame], object],
     spark = df.sparkSession
     if schema is None:
         return spark.createDataFrame([], "fold int")
-    from pyspark.sql.types import IntegerType, StructField, StructType
     out = spark.createDataFrame(rows, StructType([StructField("fold", IntegerType())] + list(schema.fields)))
     ordered = ["fold", "part"] + [c for c in out.columns if c not in ("fold", "part")]
     return out.select(*ordered)

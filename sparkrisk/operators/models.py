@@ -20,7 +20,7 @@ from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
-from pyspark.ml.feature import StringIndexer
+from pyspark.ml.feature import StandardScaler, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -301,7 +301,6 @@ def poly_svm(df: DataFrame, label: str, numeric: Sequence[str], categorical: Seq
              degree: int = 3, dims: int = 512, class_weights: Mapping | None = None, reg: float = 0.0,
              max_iter: int = 100, seed: int = 42) -> PolySVM:
     """Approximate polynomial-kernel SVM (two classes)."""
-    from pyspark.ml.feature import StandardScaler
     data = class_weight_col(df, label, class_weights) if class_weights else df
     prep = Pipeline(stages=[
         _label_indexer(label),
