@@ -98,11 +98,20 @@ def map_columns(df: DataFrame, mapping: DataFrame, key, replace: Sequence[str] |
 
 
 # JN3 --------------------------------------------------------------------------
-def join_chain(base: DataFrame, steps: Sequence[tuple[DataFrame, object]], how: str = "inner") -> DataFrame:
-    """Join a chain of tables: ``base ⋈ steps[0] ⋈ steps[1] ...`` on each step's key."""
+def join_chain(base: DataFrame, steps: Sequence[tuple], how: str = "inner") -> DataFrame:
+    """Join a chain of tables: ``base ⋈ steps[0] ⋈ steps[1] ...`` on each step's key.
+
+    A step is ``(table, key)`` or ``(table, key, max_rows)``: the table is then
+    broadcast once proven to have at most ``max_rows`` rows (a lookup with few
+    keys must not be joined by a shuffle on those few keys). Joins run in the
+    written order (Spark reorders only with CBO and table statistics): put the
+    largest table last, joining it to the already joined smaller tables, so it
+    is shuffled once.
+    """
     out = base
-    for other, key in steps:
-        out = join_on(out, other, key, how)
+    for step in steps:
+        other, key = step[0], step[1]
+        out = join_on(out, other, key, how, step[2] if len(step) > 2 else None)
     return out
 
 
