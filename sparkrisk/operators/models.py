@@ -265,12 +265,16 @@ def maclaurin_features(df: DataFrame, features: str, d: int, dims: int = 512, de
     (degree * d * dims numbers) are a broadcast variable, shipped once per executor.
     """
     gamma = 1.0 / d if gamma is None else gamma
-    w_b = df.sparkSession.sparkContext.broadcast(maclaurin_weights(d, dims, degree, seed))
+    weights = maclaurin_weights(d, dims, degree, seed)
+    try:
+        w_b = df.sparkSession.sparkContext.broadcast(weights)
+    except Exception:  # Spark Connect: the projections travel with the function instead
+        w_b = None
     scale = gamma ** (degree / 2.0) / math.sqrt(dims)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def rm_map(xs: pd.Series) -> pd.Series:
-        w = w_b.value
+        w = w_b.value if w_b is not None else weights
         x = np.stack(xs.to_numpy()) if len(xs) else np.zeros((0, d))
         z = np.full((x.shape[0], dims), scale)
         for i in range(degree):

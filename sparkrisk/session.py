@@ -39,7 +39,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster the folder comes from ``spark.checkpoint.dir`` (a shared file
     system). Only a ``local[...]`` master may fall back to a fresh temp folder.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a Spark Connect session: the server's spark.checkpoint.dir applies
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            raise RuntimeError("spark.checkpoint.dir is unset on the Spark Connect server")
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current
