@@ -267,14 +267,15 @@ def maclaurin_features(df: DataFrame, features: str, d: int, dims: int = 512, de
     gamma = 1.0 / d if gamma is None else gamma
     weights = maclaurin_weights(d, dims, degree, seed)
     try:
-        w_b = df.sparkSession.sparkContext.broadcast(weights)
+        payload = (True, df.sparkSession.sparkContext.broadcast(weights))
     except Exception:  # Spark Connect: the projections travel with the function instead
-        w_b = None
+        payload = (False, weights)
+    del weights            # the function below must capture only the payload
     scale = gamma ** (degree / 2.0) / math.sqrt(dims)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def rm_map(xs: pd.Series) -> pd.Series:
-        w = w_b.value if w_b is not None else weights
+        w = payload[1].value if payload[0] else payload[1]
         x = np.stack(xs.to_numpy()) if len(xs) else np.zeros((0, d))
         z = np.full((x.shape[0], dims), scale)
         for i in range(degree):
