@@ -613,6 +613,27 @@ def evl2_confusion_stats(spark, d):
     return sig_all(E.confusion_stats(_rule_scored(spark, d), "pred", "truth", "yes"))
 
 
+_MULTI_SQL = ("SELECT l_returnflag AS truth, CASE WHEN l_discount < 0.03 THEN 'A' WHEN l_discount < 0.07 THEN 'N' "
+              "ELSE 'R' END AS pred FROM lineitem")
+
+
+@register("evl2_per_class_stats", f"""
+WITH s AS ({_MULTI_SQL}),
+t AS (SELECT truth AS cls, count(*) AS n_truth, count(*) FILTER (WHERE pred = truth) AS tp FROM s GROUP BY truth),
+p AS (SELECT pred AS cls, count(*) AS n_pred FROM s GROUP BY pred)
+SELECT coalesce(t.cls, p.cls) AS "class", CAST(coalesce(n_truth, 0) AS BIGINT) AS n_truth,
+       CAST(coalesce(n_pred, 0) AS BIGINT) AS n_pred,
+       {sig_sql('CAST(coalesce(tp, 0) AS DOUBLE) / n_truth')} AS recall,
+       {sig_sql('CAST(coalesce(tp, 0) AS DOUBLE) / n_pred')} AS precision
+FROM t FULL OUTER JOIN p ON t.cls = p.cls
+""")
+def evl2_per_class_stats(spark, d):
+    li = table(spark, d, "lineitem")
+    pred = (F.when(F.col("l_discount") < 0.03, "A").when(F.col("l_discount") < 0.07, "N").otherwise("R"))
+    scored = li.select(F.col("l_returnflag").alias("truth"), pred.alias("pred"))
+    return sig_all(E.per_class_stats(scored, "pred", "truth"))
+
+
 _REG_SQL = (f"SELECT {RESID_INTERCEPT} + {RESID_SLOPE} * l_quantity AS pred, l_extendedprice AS y FROM lineitem")
 
 
