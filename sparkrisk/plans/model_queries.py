@@ -308,3 +308,24 @@ def dor4_tune_mtry(spark, d):
 
     grid = SEL.tune_mtry([1, 2, 4], cv_recall)
     return sig_all(spark.createDataFrame(grid, "mtry int, held_out_recall double"))
+
+
+# Flagship (entry) ------------------------------------------------------------------------
+_FLAGSHIP_LONG = " UNION ALL ".join(
+    f"SELECT '{a}' AS attr, {a} AS value, o_orderstatus FROM p" for a in ("c_mktsegment", "c_nation",
+                                                                          "o_orderpriority", "month"))
+
+
+@register("flagship_class_profile", f"""
+WITH p AS (SELECT o.o_orderstatus, c.c_mktsegment, n.n_name AS c_nation,
+                  CASE WHEN o.o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW')
+                       THEN o.o_orderpriority END AS o_orderpriority,
+                  strftime(o.o_orderdate, '%m') AS month
+           FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey),
+long AS ({_FLAGSHIP_LONG}),
+c AS (SELECT attr, value, o_orderstatus, count(*) AS n FROM long GROUP BY attr, value, o_orderstatus)
+SELECT attr, value, o_orderstatus, n, n / sum(n) OVER (PARTITION BY attr, value) AS share FROM c
+""")
+def flagship_class_profile(spark, d):
+    from . import flagship
+    return flagship.class_profile(spark, d)
