@@ -51,6 +51,6 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def read_table(spark: SparkSession, folder, name: str) -> DataFrame:
     """``<folder>/<name>.parquet``."""
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return spark.read.parquet(f"{str(folder).rstrip('/')}/{name}.parquet")
