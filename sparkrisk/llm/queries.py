@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash
+from . import bpe, quality_rules, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,3 +38,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@register
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every document; the target multinomial is that of documents labelled good."""
+    docs = read(spark, sf_dir, "documents")
+    ratios = quality_rules.fit_ratios(docs, quality_rules.trusted_ids(read(spark, sf_dir, "labels")))
+    return quality_rules.verdicts(docs, ratios)
