@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
 
@@ -63,6 +64,19 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, max_rows) else df
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Put this package's folder on the path of Python workers started from now on.
+
+    Needed where the driver imports it from a folder (tests); on a cluster the package is installed or sent
+    with --py-files, and the entry does nothing.
+    """
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "")
+    if top not in known.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join([top, known] if known else [top])
+
+
 class Steps:
     """Tables written to the shared checkpoint folder: they cut lineage and survive a lost executor.
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import bpe, quality_rules, simhash
+from . import bpe, decontam, quality_rules, simhash
+from .common import let_workers_import
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -19,8 +20,13 @@ RANKS = "byte_bpe_50k.tiktoken"
 
 
 def register(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        let_workers_import(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = query
+    return query
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,3 +52,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     ratios = quality_rules.fit_ratios(docs, quality_rules.trusted_ids(read(spark, sf_dir, "labels")))
     return quality_rules.verdicts(docs, ratios)
+
+
+@register
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in every document."""
+    return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
