@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, quality_rules, simhash
+from . import bpe, decontam, quality_rules, simhash, toxicity
 from .common import let_workers_import
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,3 +58,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in every document."""
     return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@register
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.scores(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
