@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, quality_rules, simhash, toxicity
+from . import bpe, decontam, quality_classifier, quality_rules, simhash, toxicity
 from .common import let_workers_import
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,3 +65,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     docs = read(spark, sf_dir, "documents")
     return toxicity.scores(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
+@register
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = read(spark, sf_dir, "documents")
+    return quality_classifier.scores(docs, quality_classifier.fit(docs, read(spark, sf_dir, "labels")))
