@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, quality_classifier, quality_rules, simhash, toxicity
+from . import bpe, chat, decontam, quality_classifier, quality_rules, simhash, toxicity
 from .common import let_workers_import
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,3 +72,36 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     docs = read(spark, sf_dir, "documents")
     return quality_classifier.scores(docs, quality_classifier.fit(docs, read(spark, sf_dir, "labels")))
+
+
+#: Fixed values of the contract: the conversation that holds control strings.
+EXTRA_TURNS = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+@register
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted, and its digests read back from the output."""
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame(EXTRA_TURNS, "conv_id bigint, turn bigint, role string, text string")
+    return chat.digests(chat.render_turns(rows.unionByName(extra)))
+
+
+#: Turns hashed and counted from the table itself. A turn's frame: assistant "<|im_start|>" + role + "\n" + text
+#: + "</s>\n" (18 characters and the role), others "[INST] " + role + "\n" + text + " [/INST]\n" (17), plus
+#: "<s>" before the first; a control string inside a text costs one character more.
+ORACLE_SQL["op4_chat_format"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), marked AS (
+  SELECT *, len(regexp_extract_all(text, '<\\*/?s>|\[\\*/?INST\]|<\\*<SYS>>|<\\*</SYS>>|<\\*\|im_start\|>|<\\*\|im_end\|>')) AS n_marks
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN 18 ELSE 17 END + length(coalesce(role, '')) + length(text) + n_marks) + 3 AS BIGINT) AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
