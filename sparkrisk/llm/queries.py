@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, quality_classifier, quality_rules, simhash, toxicity
+from . import bpe, chat, decontam, quality_classifier, quality_rules, simhash, toxicity, warc
 from .common import let_workers_import
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,3 +105,20 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(CASE WHEN role = 'assistant' THEN 18 ELSE 17 END + length(coalesce(role, '')) + length(text) + n_marks) + 3 AS BIGINT) AS formatted_chars
 FROM marked GROUP BY conv_id
 """
+
+
+@register
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record in seekable bundles, read back from the bundles."""
+    return warc.read_records(warc.archive(read(spark, sf_dir, "pages")))
+
+
+ORACLE_SQL["op5_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS n, sha256(html) AS digest FROM p),
+f AS (SELECT digest, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY digest)
+SELECT d.page_id, CAST(d.n AS BIGINT) AS payload_bytes, d.digest AS payload_digest,
+       CASE WHEN f.first IS NULL OR f.first = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN f.first <> d.page_id THEN f.first END AS refers_to
+FROM d LEFT JOIN f ON d.digest = f.digest
+"""
