@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, quality_classifier, quality_rules, simhash, toxicity, warc
+from . import bpe, chat, decontam, quality_classifier, quality_rules, simhash, toxicity, url_filter, warc
 from .common import let_workers_import
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,3 +122,9 @@ SELECT d.page_id, CAST(d.n AS BIGINT) AS payload_bytes, d.digest AS payload_dige
        CASE WHEN f.first <> d.page_id THEN f.first END AS refers_to
 FROM d LEFT JOIN f ON d.digest = f.digest
 """
+
+
+@register
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url."""
+    return url_filter.judge(read(spark, sf_dir, "pages"))
