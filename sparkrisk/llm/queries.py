@@ -8,7 +8,8 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, quality_classifier, quality_rules, simhash, toxicity, url_filter, warc
+from . import (bpe, chat, decontam, licenses, quality_classifier, quality_rules, simhash, toxicity, url_filter,
+               warc)
 from .common import let_workers_import
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,3 +129,9 @@ FROM d LEFT JOIN f ON d.digest = f.digest
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule and verdict of every page's url."""
     return url_filter.judge(read(spark, sf_dir, "pages"))
+
+
+@register
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences found in every document."""
+    return licenses.found_licenses(read(spark, sf_dir, "documents"))
