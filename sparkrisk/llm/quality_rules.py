@@ -49,58 +49,65 @@ def split_words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
-def repeat_words(windows: Column, ordered: Column) -> Column:
+def repeat_words(ordered: Column) -> Column:
     """Words that lie in a window found twice or more. ``ordered``: (hash, place) of each window, sorted."""
     found = F.filter(ordered, lambda x, k: (x["h"] == F.get(ordered, k - 1)["h"]) | (x["h"] == F.get(ordered, k + 1)["h"]))
     covered = F.flatten(F.transform(found, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))
     return F.size(F.array_distinct(covered)).cast("bigint")
 
 
-def _free(cols: list[str], name: str) -> str:
-    while name in cols:
-        name += "_"
-    return name
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ratio")
+
+
+def _prefix(cols: list[str]) -> str:
+    """A prefix that no column name begins with."""
+    prefix = "_rules_"
+    while any(c.lower().startswith(prefix) for c in cols):
+        prefix = "_" + prefix
+    return prefix
 
 
 def _measured(docs: DataFrame, text_col: str, ratios: list[int] | None) -> tuple[DataFrame, str]:
-    """``docs`` with one more struct column of all counts and the verdict; its name."""
-    tag = _free([c.lower() for c in docs.columns], "_rules")
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn(tag, F.struct(t.alias("t"), split_words(t).alias("words")))
-    words = F.col(f"{tag}.words")
-    lines = F.filter(F.split(F.col(f"{tag}.t"), "\n", -1), lambda x: x.rlike(A_WORD))
-    rows = rows.withColumn(tag, F.struct(
-        F.size(words).cast("bigint").alias("n_words"),
-        F.char_length(F.array_join(words, "")).cast("bigint").alias("word_chars"),
-        (F.char_length(F.col(f"{tag}.t")) - F.char_length(F.regexp_replace(F.col(f"{tag}.t"), SYMBOLS, ""))
-         ).cast("bigint").alias("n_symbols"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"),
-        word_hashes(words).alias("hashes")))
-    hashes = F.col(f"{tag}.hashes")
+    """``docs`` with a column for each of MEASURES, and the prefix of these columns' names.
+
+    What several expressions use is a column of its own (never a struct, which the optimiser takes apart and
+    unfolds into every use), so it is computed once.
+    """
+    at = _prefix(docs.columns)
+
+    def col(name: str) -> Column:
+        return F.col(at + name)
+
+    rows = docs.withColumn(at + "t", F.coalesce(F.col(text_col), F.lit(""))).withColumn(at + "words", split_words(F.col(text_col)))
+    rows = rows.withColumn(at + "lines", F.filter(F.split(col("t"), "\n", -1), lambda x: x.rlike(A_WORD)))
+    rows = rows.withColumns({
+        at + "n_words": F.size(col("words")).cast("bigint"),
+        at + "word_chars": F.char_length(F.array_join(col("words"), "")).cast("bigint"),
+        at + "n_symbols": (F.char_length(col("t")) - F.char_length(F.regexp_replace(col("t"), SYMBOLS, ""))).cast("bigint"),
+        at + "n_dup_lines": (F.size(col("lines")) - F.size(F.array_distinct(col("lines")))).cast("bigint"),
+        at + "hashes": word_hashes(col("words"))}).drop(at + "t", at + "words", at + "lines")
+    hashes = col("hashes")
     windows = F.transform(F.sequence(F.lit(0), F.size(hashes) - 3),
                           lambda i: F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1), F.get(hashes, i + 2)))
-    windows = F.when(F.size(hashes) >= 3, windows).otherwise(F.array().cast("array<bigint>"))
-    table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<int>") if ratios else None
-    total = (F.aggregate(ngrams(hashes), F.lit(0).cast("bigint"), lambda s, b: s + F.get(table, b))
-             if ratios else F.lit(0).cast("bigint"))
-    counts = [F.col(f"{tag}.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines")]
-    rows = rows.withColumn(tag, F.struct(*counts, total.alias("total"), windows.alias("windows")))
-    counts.append(F.col(f"{tag}.total").alias("total"))
-    windows = F.col(f"{tag}.windows")
+    total = F.lit(0).cast("bigint")
+    if ratios:
+        table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<int>")  # a constant, folded once
+        total = F.aggregate(ngrams(hashes), total, lambda s, b: s + F.get(table, b))
+    rows = rows.withColumns({
+        at + "total": total,
+        at + "windows": F.when(F.size(hashes) >= 3, windows).otherwise(F.array().cast("array<bigint>"))}).drop(at + "hashes")
+    windows = col("windows")
     twice = F.size(F.array_distinct(windows)) < F.size(windows)  # most texts repeat no window: nothing to sort
     ordered = F.when(twice, F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-    rows = rows.withColumn(tag, F.struct(*counts, ordered.alias("ordered"), windows.alias("windows")))
-    ordered = F.col(f"{tag}.ordered")
-    rows = rows.withColumn(tag, F.struct(
-        *counts, F.when(ordered.isNull(), F.lit(0).cast("bigint"))
-        .otherwise(repeat_words(F.col(f"{tag}.windows"), ordered)).alias("n_repeat_words")))
-    n, rep = F.col(f"{tag}.n_words"), F.col(f"{tag}.n_repeat_words")
-    grams = F.greatest(2 * n - 1, F.lit(1))
-    failed = (n < MIN_WORDS) | (100 * rep > MAX_REPEAT * n)
-    return rows.withColumn(tag, F.struct(
-        *counts, rep.alias("n_repeat_words"), failed.alias("base_failed"),
-        (F.col(f"{tag}.total") / grams / 1e6).alias("log_ratio"),
-        (~failed & (F.col(f"{tag}.total") >= F.lit(THRESHOLD) * grams)).alias("kept"))), tag
+    rows = rows.withColumn(at + "ordered", ordered).drop(at + "windows")
+    rows = rows.withColumn(at + "n_repeat_words", F.when(col("ordered").isNull(), F.lit(0).cast("bigint"))
+                           .otherwise(repeat_words(col("ordered")))).drop(at + "ordered")
+    grams = F.greatest(2 * col("n_words") - 1, F.lit(1))
+    rows = rows.withColumns({
+        at + "base_failed": (col("n_words") < MIN_WORDS) | (100 * col("n_repeat_words") > MAX_REPEAT * col("n_words")),
+        at + "log_ratio": col("total") / grams / 1e6})
+    rows = rows.withColumn(at + "kept", ~col("base_failed") & (col("total") >= F.lit(THRESHOLD) * grams))
+    return rows.drop(at + "total"), at
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality") -> DataFrame:
@@ -139,12 +146,14 @@ def verdicts(docs: DataFrame, ratios: list[int] | None, id_col: str = "doc_id",
     table gives an empty result. Without ``ratios`` the method rejects nothing. Windows are compared by
     64-bit hashes.
     """
-    rows, tag = _measured(docs.select(F.col(id_col), F.col(text_col)), text_col, ratios)
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ratio")
-    return rows.select(F.col(id_col), *[F.col(f"{tag}.{c}").alias(c) for c in names])
+    rows, at = _measured(docs.select(F.col(id_col), F.col(text_col)), text_col, ratios)
+    return rows.select(F.col(id_col), *[F.col(at + c).alias(c) for c in MEASURES])
 
 
 def keep_good(docs: DataFrame, ratios: list[int] | None, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns and no others."""
-    rows, tag = _measured(docs, text_col, ratios)
-    return rows.where(F.col(f"{tag}.kept")).drop(tag)
+    rows, at = _measured(docs, text_col, ratios)
+    # A filter over these columns would be pushed below the projections, with all that it uses unfolded into
+    # it; it stays above a projection that is not deterministic.
+    fenced = F.when(F.monotonically_increasing_id() >= 0, F.col(at + "kept"))
+    return rows.withColumn(at + "kept", fenced).where(F.col(at + "kept")).drop(*[at + c for c in MEASURES])
