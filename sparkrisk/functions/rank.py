@@ -13,11 +13,14 @@ A global ``row_number() over (order by h, key)`` would run in one task. Instead:
 1. bucket = first ``digits`` hex characters of ``h`` (order preserving, at most
    ``16**digits`` buckets; md5 spreads unique keys evenly, so no bucket is hot);
 2. rows per bucket: a partial+final hash aggregate, at most ``16**digits`` rows;
-3. running offsets over that small table (bounded by the bucket count);
+3. running offsets over that small table: inside bucket groups of a shared
+   prefix, then over the groups, so that no task windows over more than
+   ``16**ONE_LEVEL`` rows;
 4. ``row_number()`` inside each bucket (the rows' only shuffle), plus the
    bucket's offset, joined on the bucket the rows are already partitioned by.
 
-The result equals the single global window exactly.
+The result equals the single global window exactly. NULL is a group value like
+any other (grouping and join use a text key that is never NULL): no row is lost.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from pyspark.sql import functions as F
 
 MAX_BUCKET_ROWS = 1_000_000   # rows per hash bucket the in-bucket window may sort
 MAX_DIGITS = 6
+ONE_LEVEL = 3                 # digits up to which one window over all offsets is small (4,096 rows)
 
 
 def bucket_digits(df: DataFrame, n: int | None = None) -> int:
@@ -82,16 +86,12 @@ def shuffle_rank(df: DataFrame, key: str | Sequence[str], seed: int = 42,
     tmp_h, tmp_b, tmp_nb, tmp_off = "_sr_h", "_sr_b", "_sr_nb", "_sr_off"
     hashed = (df.withColumn(tmp_h, seeded_md5(seed, *keys))
                 .withColumn(tmp_b, F.substring(tmp_h, 1, digits)))
-    part = groups + [tmp_b]
+    named = [f"_sr_g{i}" for i in range(len(groups))]
+    hashed = hashed.withColumns({n: F.coalesce(F.concat(F.lit("="), F.col(f"`{g}`").cast("string")), F.lit("NULL"))
+                                 for n, g in zip(named, groups)})
+    part = named + [tmp_b]
     counts = hashed.groupBy(*part).agg(F.count(F.lit(1)).alias(tmp_nb))
-    w_run = (Window.partitionBy(*groups) if groups else Window.partitionBy()).orderBy(tmp_b)
-    w_all = Window.partitionBy(*groups) if groups else Window.partitionBy()
-    offsets = counts.select(
-        *part,
-        F.coalesce(F.sum(tmp_nb).over(w_run.rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias(tmp_off),
-        F.sum(tmp_nb).over(w_all).alias("_sr_total"),
-    )
+    offsets = _offsets(counts, named, tmp_b, tmp_nb, tmp_off, digits)
     # number rows inside each bucket first (the one shuffle of the rows, by bucket), then add the
     # bucket's offset: the rows are already partitioned by the bucket, so the join moves only the
     # offsets table (#groups x 16**digits rows); AQE turns it into a broadcast when that is small
@@ -106,6 +106,23 @@ def shuffle_rank(df: DataFrame, key: str | Sequence[str], seed: int = 42,
     return ranked.select(*[c for c in df.columns if c not in extra], *extra)
 
 
+def _offsets(counts: DataFrame, groups: list[str], bucket: str, n: str, off: str, digits: int) -> DataFrame:
+    """Rows before each bucket in its group (``off``) and the group's size (``_sr_total``)."""
+    def before(value: str, window) -> Column:
+        return F.coalesce(F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    if digits <= ONE_LEVEL:
+        return counts.select(*groups, bucket, before(n, Window.partitionBy(*groups).orderBy(bucket)).alias(off),
+                             F.sum(n).over(Window.partitionBy(*groups)).alias("_sr_total"))
+    key = [*groups, "_sr_p"]
+    inner = counts.withColumn("_sr_p", F.substring(bucket, 1, digits - ONE_LEVEL))
+    tops = inner.groupBy(*key).agg(F.sum(n).alias("_sr_t"))
+    tops = tops.select(*key, before("_sr_t", Window.partitionBy(*groups).orderBy("_sr_p")).alias("_sr_up"),
+                       F.sum("_sr_t").over(Window.partitionBy(*groups)).alias("_sr_total"))
+    inner = inner.select(*key, bucket, before(n, Window.partitionBy(*key).orderBy(bucket)).alias("_sr_low"))
+    return inner.join(tops, key).select(*groups, bucket, (F.col("_sr_low") + F.col("_sr_up")).alias(off), "_sr_total")
+
+
 def fold_of(rn: Column | str, n: Column | str, k: int) -> Column:
     """Fold of the rn-th of n rows when 1..n is cut into k equal-width intervals.
 

@@ -9,31 +9,59 @@ from __future__ import annotations
 import math
 
 
-def _betacf(a: float, b: float, x: float) -> float:
-    """Continued fraction for the regularised incomplete beta (modified Lentz)."""
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 10_000):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < 1e-15:
+MAX_STEPS = 20_000_000
+
+
+def _stirling_rest(z: float) -> float:
+    """ln Gamma(z) less its leading terms (z - 1/2) ln z - z + ln(2 pi) / 2."""
+    if z < 15.0:
+        return math.lgamma(z) - ((z - 0.5) * math.log(z) - z + 0.5 * math.log(2 * math.pi))
+    r = 1.0 / (z * z)
+    return (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r / 1680))) / z
+
+
+def _log1p_less(u: float) -> float:
+    """ln(1 + u) - u, without cancellation for small u."""
+    if abs(u) > 0.05:
+        return math.log1p(u) - u
+    total, power = 0.0, u
+    for k in range(2, 30):
+        power *= -u
+        total += power / k
+        if abs(power) < 1e-18 * abs(total):
             break
-    return h
+    return total
+
+
+def _ln_beta_front(a: float, b: float, x: float) -> float:
+    """ln of x^a (1-x)^b Gamma(a+b) / (Gamma(a) Gamma(b)), stable for large a and b.
+
+    The leading Stirling terms cancel exactly: what is left is the distance of x from a / (a + b).
+    """
+    n = a + b
+    u, v = (n * x - a) / a, (n * (1 - x) - b) / b
+    return (a * _log1p_less(u) + b * _log1p_less(v) + 0.5 * math.log(a * b / (2 * math.pi * n))
+            + _stirling_rest(n) - _stirling_rest(a) - _stirling_rest(b))
+
+
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    """1 / (1 + d1 / (1 + d2 / ...)) of the incomplete beta (DLMF 8.17.22), by the numerators and
+    denominators of its convergents, scaled as they grow."""
+    p0, p1, q0, q1 = 0.0, 1.0, 1.0, 1.0
+    last = 1.0
+    for step in range(1, MAX_STEPS):
+        m, odd = divmod(step, 2)
+        if odd:
+            d = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        else:
+            d = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        p0, p1, q0, q1 = p1, p1 + d * p0, q1, q1 + d * q0
+        if q1:
+            p0, p1, q0, q1 = p0 / q1, p1 / q1, q0 / q1, 1.0
+            if odd == 0 and abs(p1 - last) <= 4e-16 * abs(p1):
+                return p1
+            last = p1 if odd == 0 else last
+    raise ArithmeticError(f"the incomplete beta of {a}, {b} at {x} has not converged")
 
 
 def betainc(a: float, b: float, x: float) -> float:
@@ -42,11 +70,9 @@ def betainc(a: float, b: float, x: float) -> float:
         return 0.0
     if x >= 1.0:
         return 1.0
-    ln_front = (math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-                + a * math.log(x) + b * math.log1p(-x))
     if x < (a + 1.0) / (a + b + 2.0):
-        return math.exp(ln_front) * _betacf(a, b, x) / a
-    return 1.0 - math.exp(ln_front) * _betacf(b, a, 1.0 - x) / b
+        return math.exp(_ln_beta_front(a, b, x)) * _beta_fraction(a, b, x) / a
+    return 1.0 - math.exp(_ln_beta_front(b, a, 1.0 - x)) * _beta_fraction(b, a, 1.0 - x) / b
 
 
 def beta_ppf(q: float, a: float, b: float) -> float:
@@ -79,36 +105,29 @@ def clopper_pearson(x: int, n: int, conf: float = 0.95) -> tuple[float, float]:
 
 
 def gammainc_upper(s: float, x: float) -> float:
-    """Regularised upper incomplete gamma Q(s, x)."""
+    """Regularised upper incomplete gamma Q(s, x): the power series of the lower one below s + 1, else
+    Legendre's continued fraction by its convergents."""
     if x <= 0:
         return 1.0
+    front = math.exp(-x + s * math.log(x) - math.lgamma(s))
     if x < s + 1.0:
         term = total = 1.0 / s
-        ap = s
-        for _ in range(100_000):
-            ap += 1.0
-            term *= x / ap
+        for k in range(1, MAX_STEPS):
+            term *= x / (s + k)
             total += term
-            if abs(term) < abs(total) * 1e-16:
-                break
-        return max(0.0, 1.0 - total * math.exp(-x + s * math.log(x) - math.lgamma(s)))
-    tiny = 1e-300
-    b = x + 1.0 - s
-    c = 1.0 / tiny
-    d = 1.0 / b
-    h = d
-    for i in range(1, 100_000):
-        an = -i * (i - s)
-        b += 2.0
-        d = an * d + b
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = b + an / c
-        c = c if abs(c) > tiny else tiny
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < 1e-16:
-            break
-    return math.exp(-x + s * math.log(x) - math.lgamma(s)) * h
+            if term < total * 1e-17:
+                return max(0.0, 1.0 - total * front)
+    else:
+        p0, p1, q0, q1 = 0.0, 1.0, 1.0, x + 1.0 - s
+        last = p1 / q1
+        for k in range(1, MAX_STEPS):
+            top, low = -k * (k - s), x + 2 * k + 1.0 - s
+            p0, p1, q0, q1 = p1, low * p1 + top * p0, q1, low * q1 + top * q0
+            p0, p1, q0, q1 = p0 / q1, p1 / q1, q0 / q1, 1.0
+            if abs(p1 - last) <= 1e-16 * abs(p1):
+                return front * p1
+            last = p1
+    raise ArithmeticError(f"the incomplete gamma of {s} at {x} has not converged")
 
 
 def chi2_sf(stat: float, dof: int) -> float:
@@ -119,9 +138,9 @@ def chi2_sf(stat: float, dof: int) -> float:
 
 
 def mcnemar_p(b: int, c: int, correct: bool = True) -> float:
-    """McNemar test p-value on the two discordant counts (continuity corrected)."""
+    """McNemar test p-value on the two discordant counts (continuity corrected unless they are equal)."""
     if b + c == 0:
         return float("nan")
-    diff = abs(b - c) - (1 if correct else 0)
+    diff = abs(b - c) - (1 if correct and b != c else 0)
     stat = diff * diff / (b + c)
     return math.erfc(math.sqrt(stat / 2.0))

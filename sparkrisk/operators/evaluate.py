@@ -137,9 +137,17 @@ def residuals(df: DataFrame, pred: str, truth: str, out: str = "residual") -> Da
     return df.withColumn(out, _c(truth).cast("double") - _c(pred).cast("double"))
 
 
+def missing_residuals(df: DataFrame, pred: str, truth: str) -> int:
+    """Rows whose residual is NULL or NaN (left out of the histogram)."""
+    return residuals(df, pred, truth).where(F.col("residual").isNull() | F.isnan("residual")).count()
+
+
 def residual_histogram(df: DataFrame, pred: str, truth: str, bins: int = 20) -> DataFrame:
-    """(bin, lower, upper, n): equal-width histogram of residuals; one tiny agg + one grouped count."""
-    r = residuals(df, pred, truth).select("residual").where(F.col("residual").isNotNull())
+    """(bin, lower, upper, n): equal-width histogram of residuals; one tiny agg + one grouped count.
+
+    NULL and NaN residuals belong to no bin; :func:`missing_residuals` counts them.
+    """
+    r = residuals(df, pred, truth).select("residual").where(F.col("residual").isNotNull() & ~F.isnan("residual"))
     lo, hi = r.agg(F.min("residual"), F.max("residual")).first()
     if lo is None:
         return df.sparkSession.createDataFrame([], "bin int, lower double, upper double, n bigint")

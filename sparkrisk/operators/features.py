@@ -12,7 +12,7 @@ import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,11 +55,16 @@ def one_hot(df: DataFrame, cols: Sequence[str], levels: Mapping[str, Sequence] |
     NULL (or a value outside ``levels``) gives zeros in every dummy column.
     """
     levels = dict(levels) if levels is not None else fit_levels(df, cols)
-    exprs = []
+    kept = [x for x in df.columns if not (drop_original and x in cols)]
+    exprs, taken = [], {x.lower() for x in kept}
     for c in cols:
         for v in levels[c]:
-            exprs.append(F.when(F.col(c).cast("string") == F.lit(str(v)), 1).otherwise(0).alias(_dummy_name(c, v)))
-    kept = [x for x in df.columns if not (drop_original and x in cols)]
+            name, k = _dummy_name(c, v), 1
+            while name.lower() in taken:       # levels that differ in signs only, or a column of that name
+                k += 1
+                name = f"{_dummy_name(c, v)}_{k}"
+            taken.add(name.lower())
+            exprs.append(F.when(F.col(c).cast("string") == F.lit(str(v)), 1).otherwise(0).alias(name))
     return df.select(*kept, *exprs)
 
 
@@ -92,19 +97,35 @@ def standardize(df: DataFrame, cols: Sequence[str], with_mean: bool = True,
 
 
 # FE6 --------------------------------------------------------------------------
+def gappy_columns(df: DataFrame, numeric: Sequence[str]) -> list[str]:
+    """Numeric columns with a NULL or NaN; one aggregate pass, one row to the driver."""
+    if not numeric:
+        return []
+    row = df.agg(*[F.max((F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).cast("int")).alias(f"g{i}")
+                   for i, c in enumerate(numeric)]).first()
+    return [c for i, c in enumerate(numeric) if row[f"g{i}"]]
+
+
 def assembler_pipeline(numeric: Sequence[str], categorical: Sequence[str], out: str = "features",
-                       one_hot_encode: bool = True) -> Pipeline:
+                       one_hot_encode: bool = True, gappy: Sequence[str] = ()) -> Pipeline:
     """StringIndexer (unseen -> extra index) [+ OneHotEncoder] + VectorAssembler.
 
     Trees take ``one_hot_encode=False``: indexed columns keep nominal metadata,
-    so splits treat them as categories.
+    so splits treat them as categories. ``gappy`` numeric columns (see
+    :func:`gappy_columns`) enter as a filled value and a missing indicator,
+    since no MLlib fit takes NaN.
     """
     stages = []
+    fills = {c: (f"{c}__filled", f"{c}__missing") for c in gappy if c in numeric}
+    if fills:
+        made = ", ".join(f"coalesce(nanvl(double(`{c}`), NULL), 0D) AS `{v}`, "
+                         f"double(`{c}` IS NULL OR isnan(double(`{c}`))) AS `{m}`" for c, (v, m) in fills.items())
+        stages.append(SQLTransformer(statement=f"SELECT *, {made} FROM __THIS__"))
     idx = [f"{c}__idx" for c in categorical]
     if categorical:
         stages.append(StringIndexer(inputCols=list(categorical), outputCols=idx,
                                     handleInvalid="keep", stringOrderType="alphabetAsc"))
-    inputs = list(numeric)
+    inputs = [x for c in numeric for x in fills.get(c, (c,))]
     if categorical and one_hot_encode:
         oh = [f"{c}__oh" for c in categorical]
         stages.append(OneHotEncoder(inputCols=idx, outputCols=oh, dropLast=False, handleInvalid="keep"))
@@ -115,11 +136,12 @@ def assembler_pipeline(numeric: Sequence[str], categorical: Sequence[str], out:
     return Pipeline(stages=stages)
 
 
-def assemble(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], out: str = "features",
-             one_hot_encode: bool = True) -> tuple[PipelineModel, DataFrame]:
-    """Fit the design-matrix pipeline on ``df`` and return (model, transformed df)."""
-    model = assembler_pipeline(numeric, categorical, out, one_hot_encode).fit(df)
-    return model, model.transform(df)
+def encoder_levels(model) -> list[int]:
+    """Levels of every string-indexed column inside a (nested) fitted pipeline."""
+    out = []
+    for stage in getattr(model, "stages", []):
+        out += [len(v) for v in stage.labelsArray] if isinstance(stage, StringIndexerModel) else encoder_levels(stage)
+    return out
 
 
 def feature_names(df: DataFrame, col: str = "features") -> list[str]:

@@ -17,18 +17,20 @@ from collections.abc import Mapping, Sequence
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
-from pyspark.ml.feature import StringIndexer, StringIndexerModel
+from pyspark.ml.feature import StringIndexer
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rank import seeded_md5, shuffle_rank, u32
+from ..functions.scalar import fill_value
 from ..session import cut_lineage
 from .evaluate import confusion_matrix
-from .features import assembler_pipeline
+from .features import assembler_pipeline, encoder_levels, gappy_columns
 from .models import canonical_layout
 from .profile import frequency, median_of
 
+INTEGERS = ("int", "bigint", "smallint", "tinyint")
 NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
 
 
@@ -39,15 +41,10 @@ def fit_median(df: DataFrame, cols: Sequence[str], exact: bool = True) -> dict[s
 
 
 def apply_fill(df: DataFrame, values: Mapping[str, float]) -> DataFrame:
-    """Replace NULL / NaN by the fitted value, keeping each column's type."""
+    """Replace NULL / NaN by the fitted value; an integer column becomes double where the value is no integer."""
     types = dict(df.dtypes)
-    out = {}
-    for c, v in values.items():
-        col = F.col(c)
-        if types[c] in ("double", "float"):
-            col = F.nanvl(col, F.lit(None).cast(types[c]))
-        out[c] = F.coalesce(col, F.lit(v).cast(types[c]))
-    return df.withColumns(out)
+    wide = [c for c, v in values.items() if types[c] in INTEGERS and v is not None and float(v) != int(v)]
+    return fill_value(df.withColumns({c: F.col(c).cast("double") for c in wide}), values)
 
 
 def impute_median(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = None,
@@ -67,7 +64,7 @@ def impute_multinomial(train: DataFrame, col: str, numeric: Sequence[str], categ
     """
     known = train.where(F.col(col).isNotNull())
     label_idx = StringIndexer(inputCol=col, outputCol="_imp_label", stringOrderType="alphabetAsc")
-    feats = assembler_pipeline(numeric, categorical, out="_imp_features")
+    feats = assembler_pipeline(numeric, categorical, out="_imp_features", gappy=gappy_columns(known, numeric))
     lr = LogisticRegression(featuresCol="_imp_features", labelCol="_imp_label", family="multinomial",
                             maxIter=max_iter, predictionCol="_imp_pred",
                             probabilityCol="_imp_prob", rawPredictionCol="_imp_raw")
@@ -138,26 +135,25 @@ def _initial_draw(df: DataFrame, col: str, key: str, seed: int) -> tuple[DataFra
     return df.where(F.col(col).isNotNull()).unionByName(filled.select(*df.columns)), n
 
 
-def _indexers(model) -> list:
-    """Every fitted StringIndexerModel inside a (nested) pipeline model."""
-    out = []
-    for st in getattr(model, "stages", []):
-        if isinstance(st, StringIndexerModel):
-            out.append(st)
-        else:
-            out += _indexers(st)
-    return out
-
-
 def impute_cart(df: DataFrame, cols: Sequence[str], key: str, numeric: Sequence[str],
                 categorical: Sequence[str], sweeps: int = 2, seed: int = 42, max_depth: int = 10,
                 min_instances: int = 5, layout_partitions: int | None = None) -> DataFrame:
     """Chained-equation CART imputation of ``cols`` (m = 1).
 
     ``numeric``/``categorical`` list every predictor column (imputed columns may
-    be among them; the label must not). Each gap ends with a value observed in
-    its column. Lineage is cut after every column update.
+    be among them; the label must not). Each gap (NULL or NaN) ends with a value
+    observed in its column; a wholly empty column stays as it is and predicts
+    nothing. Gaps of predictors that are not imputed enter the trees as a
+    missing indicator. Lineage is cut after every column update.
     """
+    floats = [c for c, t in df.dtypes if t in ("double", "float") and c in cols]
+    df = df.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast(dict(df.dtypes)[c])) for c in floats})
+    known = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)]).first() if cols else []
+    empty = {c for i, c in enumerate(cols) if not known[f"n{i}"]}
+    cols = [c for c in cols if c not in empty]
+    numeric, categorical = [c for c in numeric if c not in empty], [c for c in categorical if c not in empty]
+    if not cols:
+        return df
     if max_depth > MAX_DEPTH:
         raise ValueError(f"max_depth {max_depth} > {MAX_DEPTH}: the per-leaf tables would not stay small")
     miss_flags = {c: f"_miss_{i}" for i, c in enumerate(cols)}
@@ -175,10 +171,10 @@ def impute_cart(df: DataFrame, cols: Sequence[str], key: str, numeric: Sequence[
         cat = [x for x in categorical if x != c]
         stages = [StringIndexer(inputCol=c, outputCol="_cart_y", stringOrderType="alphabetAsc",
                                 handleInvalid="keep")] if types[c] not in NUMERIC else []
-        stages.append(assembler_pipeline(num, cat, out="_cart_f", one_hot_encode=False))
+        gappy = gappy_columns(cur, [x for x in num if x not in miss_flags])
+        stages.append(assembler_pipeline(num, cat, out="_cart_f", one_hot_encode=False, gappy=gappy))
         enc = Pipeline(stages=stages).fit(cur)
-        levels = [len(lv) for st in _indexers(enc) for lv in st.labelsArray]
-        prepared[c] = (enc, max([32] + [n + 1 for n in levels]))
+        prepared[c] = (enc, max([32] + [n + 1 for n in encoder_levels(enc)]))
     for sweep in range(1, sweeps + 1):
         for c in cols:
             flag = miss_flags[c]
@@ -210,12 +206,3 @@ def impute_cart(df: DataFrame, cols: Sequence[str], key: str, numeric: Sequence[
             cur = cut_lineage(scored.where(~F.col(flag)).select(*cur.columns).unionByName(picked))
             scored.unpersist()
     return cur.drop(*miss_flags.values())
-
-
-def impute_cart_on(df: DataFrame, cols: Sequence[str], key: str, exclude: Sequence[str] = (),
-                   **kw) -> DataFrame:
-    """:func:`impute_cart` with predictors taken from the schema minus ``exclude`` and ``key``."""
-    skip = set(exclude) | {key}
-    numeric = [c for c, t in df.dtypes if t in NUMERIC and c not in skip]
-    categorical = [c for c, t in df.dtypes if t == "string" and c not in skip]
-    return impute_cart(df, cols, key, numeric, categorical, **kw)

@@ -28,11 +28,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .features import assembler_pipeline, feature_names
+from .features import assembler_pipeline, encoder_levels, feature_names, gappy_columns
 
 MAX_DEPTH = 30  # MLlib's hard limit
 
 
+def _depth(max_depth: int) -> int:
+    if not 0 <= max_depth <= MAX_DEPTH:
+        raise ValueError(f"max_depth {max_depth}: MLlib grows trees to depth {MAX_DEPTH} at most")
+    return max_depth
+
+
+def _encoder(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], one_hot_encode: bool,
+             max_bins: int = 0) -> tuple[PipelineModel, int]:
+    """(fitted feature pipeline, bins): enough bins for every level of the widest category, and ``max_bins`` at least."""
+    enc = assembler_pipeline(numeric, categorical, one_hot_encode=one_hot_encode,
+                             gappy=gappy_columns(df, numeric)).fit(df)
+    return enc, max([max_bins, *(n + 1 for n in encoder_levels(enc))])
+
+
 def canonical_layout(df: DataFrame, key: str | Sequence[str], partitions: int | None = None) -> DataFrame:
     """Fixed partitioning and order so tree fits do not depend on the input layout.
 
@@ -65,16 +79,18 @@ def labels_of(model: PipelineModel) -> list[str]:
 
 
 def _fit_classifier(df: DataFrame, label: str, numeric, categorical, estimator, key,
-                    class_weights, layout_partitions, one_hot_encode: bool) -> PipelineModel:
+                    class_weights, layout_partitions, one_hot_encode: bool, max_bins: int = 0) -> PipelineModel:
     data = df
     if class_weights:
         data = class_weight_col(data, label, class_weights)
         estimator.setWeightCol("_weight")
     if key is not None:
         data = canonical_layout(data, key, layout_partitions)
-    stages = [_label_indexer(label), assembler_pipeline(numeric, categorical, one_hot_encode=one_hot_encode),
-              estimator]
-    return Pipeline(stages=stages).fit(data)
+    enc, bins = _encoder(data, numeric, categorical, one_hot_encode, max_bins)
+    if max_bins:
+        estimator.setMaxBins(bins)
+    indexer = _label_indexer(label).fit(data)
+    return PipelineModel([indexer, enc, estimator.fit(enc.transform(indexer.transform(data)))])
 
 
 # MDL1 -------------------------------------------------------------------------
@@ -84,9 +100,8 @@ def random_forest(df: DataFrame, label: str, numeric: Sequence[str], categorical
                   layout_partitions: int | None = None) -> PipelineModel:
     """Random forest classifier; ``mtry`` candidate features per split."""
     rf = RandomForestClassifier(featuresCol="features", labelCol="_label", numTrees=trees,
-                                featureSubsetStrategy=str(mtry), maxDepth=min(max_depth, MAX_DEPTH),
-                                maxBins=max_bins, seed=seed)
-    return _fit_classifier(df, label, numeric, categorical, rf, key, class_weights, layout_partitions, False)
+                                featureSubsetStrategy=str(mtry), maxDepth=_depth(max_depth), seed=seed)
+    return _fit_classifier(df, label, numeric, categorical, rf, key, class_weights, layout_partitions, False, max_bins)
 
 
 # MDL4 -------------------------------------------------------------------------
@@ -96,9 +111,9 @@ def decision_tree(df: DataFrame, label: str, numeric: Sequence[str], categorical
                   class_weights: Mapping | None = None, layout_partitions: int | None = None) -> PipelineModel:
     """Single entropy decision tree."""
     dt = DecisionTreeClassifier(featuresCol="features", labelCol="_label", impurity="entropy",
-                                maxDepth=min(max_depth, MAX_DEPTH), minInstancesPerNode=min_instances,
-                                minInfoGain=min_info_gain, maxBins=max_bins, seed=seed)
-    return _fit_classifier(df, label, numeric, categorical, dt, key, class_weights, layout_partitions, False)
+                                maxDepth=_depth(max_depth), minInstancesPerNode=min_instances,
+                                minInfoGain=min_info_gain, seed=seed)
+    return _fit_classifier(df, label, numeric, categorical, dt, key, class_weights, layout_partitions, False, max_bins)
 
 
 # MDL8 -------------------------------------------------------------------------
@@ -183,7 +198,7 @@ def boosted_tree(df: DataFrame, label: str, numeric: Sequence[str], categorical:
     indexer = _label_indexer(label).fit(df)
     labels = list(indexer.labels)
     k = len(labels)
-    feats = assembler_pipeline(numeric, categorical, one_hot_encode=False).fit(df)
+    feats, bins = _encoder(df, numeric, categorical, False, max_bins)
     data = feats.transform(indexer.transform(df))
     if key is not None:
         data = canonical_layout(data, key, layout_partitions)
@@ -192,8 +207,8 @@ def boosted_tree(df: DataFrame, label: str, numeric: Sequence[str], categorical:
     out_rounds = []
     for r in range(rounds):
         tree = DecisionTreeClassifier(featuresCol="features", labelCol="_label", weightCol="_w",
-                                      impurity="entropy", maxDepth=min(max_depth, MAX_DEPTH),
-                                      maxBins=max_bins, seed=seed + r,
+                                      impurity="entropy", maxDepth=_depth(max_depth),
+                                      maxBins=bins, seed=seed + r,
                                       predictionCol="_bp", rawPredictionCol="_br", probabilityCol="_bq")
         model = tree.fit(data)
         pred = model.transform(data)
@@ -225,7 +240,10 @@ def boosted_tree(df: DataFrame, label: str, numeric: Sequence[str], categorical:
 
 
 def boosted_score(model: BoostedTrees, df: DataFrame, out: str = "predicted") -> DataFrame:
-    """Score with a boosted model: features are assembled once, each tree votes."""
+    """Score with a boosted model: features are assembled once, each tree votes.
+
+    The columns of ``df`` all stay; what scoring adds besides ``probability`` and ``out`` goes.
+    """
     feats = model.rounds[0][0].stages[0]
     scored = feats.transform(df)
     k = len(model.labels)
@@ -244,7 +262,7 @@ def boosted_score(model: BoostedTrees, df: DataFrame, out: str = "predicted") ->
     for i, cls in enumerate(model.labels):
         cond = F.col("probability")[i] == best
         choice = F.when(cond, F.lit(cls)) if choice is None else choice.when(cond, F.lit(cls))
-    drop = [c for c in scored.columns if c.startswith("_b") or c.endswith("__idx") or c == "features"]
+    drop = [c for c in scored.columns if c not in df.columns and c not in ("probability", out)]
     return scored.withColumn(out, choice).drop(*drop)
 
 
@@ -309,7 +327,7 @@ def poly_svm(df: DataFrame, label: str, numeric: Sequence[str], categorical: Seq
     data = class_weight_col(df, label, class_weights) if class_weights else df
     prep = Pipeline(stages=[
         _label_indexer(label),
-        assembler_pipeline(numeric, categorical, out="_svm_raw", one_hot_encode=True),
+        assembler_pipeline(numeric, categorical, out="_svm_raw", one_hot_encode=True, gappy=gappy_columns(df, numeric)),
         StandardScaler(inputCol="_svm_raw", outputCol="_svm_x", withMean=True, withStd=True),
     ]).fit(data)
     x = prep.transform(data)
@@ -328,7 +346,8 @@ def linear_regression(df: DataFrame, label: str, numeric: Sequence[str], categor
     """Ordinary least squares (normal equations, no regularisation)."""
     lr = LinearRegression(featuresCol="features", labelCol=label, solver="normal", regParam=0.0,
                           standardization=False)
-    return Pipeline(stages=[assembler_pipeline(numeric, categorical), lr]).fit(df)
+    enc, _ = _encoder(df, numeric, categorical, True)
+    return PipelineModel([enc, lr.fit(enc.transform(df))])
 
 
 def linear_coefficients(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -347,9 +366,9 @@ def random_forest_regressor(df: DataFrame, label: str, numeric: Sequence[str], c
     """Random forest regressor, every feature a candidate at each split."""
     data = canonical_layout(df, key, layout_partitions) if key is not None else df
     rf = RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=trees,
-                               featureSubsetStrategy="all", maxDepth=min(max_depth, MAX_DEPTH),
-                               maxBins=max_bins, seed=seed)
-    return Pipeline(stages=[assembler_pipeline(numeric, categorical, one_hot_encode=False), rf]).fit(data)
+                               featureSubsetStrategy="all", maxDepth=_depth(max_depth), seed=seed)
+    enc, bins = _encoder(data, numeric, categorical, False, max_bins)
+    return PipelineModel([enc, rf.setMaxBins(bins).fit(enc.transform(data))])
 
 
 # MDL3 / SRT3 ------------------------------------------------------------------

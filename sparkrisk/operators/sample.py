@@ -36,7 +36,10 @@ def assign_folds(df: DataFrame, key: str | Sequence[str], k: int = 5, seed: int
 # SMP3 -------------------------------------------------------------------------
 def stratified_split(df: DataFrame, label: str, key: str | Sequence[str], p: float = 0.7,
                      seed: int = 42, out: str = "split") -> DataFrame:
-    """Within each class, the first ceil(p * n_class) rows in hash order are 'train'."""
+    """Within each class, the first ceil(p * n_class) rows in hash order are 'train'.
+
+    Every row gets a part; rows with a NULL label are split like a class of their own.
+    """
     ranked = shuffle_rank(df, key, seed, within=label, out="_s_rn", total="_s_n")
     n_train = F.ceil(F.lit(float(p)) * F.col("_s_n"))
     return (ranked.withColumn(out, F.when(F.col("_s_rn") <= n_train, F.lit("train")).otherwise(F.lit("test")))

@@ -35,7 +35,11 @@ from ..session import cut_lineage
 def prepare(train: DataFrame, others: Sequence[DataFrame], key: str, label: str, categorical: Sequence[str],
             numeric: Sequence[str], sentinel: str | None = "?", threshold: float = 0.5,
             impute: str = "cart", seed: int = 42) -> tuple[list[DataFrame], list[str], list[str]]:
-    """Shared preparation; returns ([train, *others], kept categorical, kept numeric)."""
+    """Shared preparation; returns ([train, *others], kept categorical, kept numeric).
+
+    Every kept column with a gap (NULL or NaN) in a frame is filled in that frame: by chained trees of the
+    frame's own rows, or by models fitted on ``train`` (multinomial for categories, medians for numbers).
+    """
     dup = P.duplicate_keys(train, key).limit(1).count()
     if dup:
         raise ValueError(f"duplicate {key} values in the training table")
@@ -47,18 +51,24 @@ def prepare(train: DataFrame, others: Sequence[DataFrame], key: str, label: str,
         frames = [S.null_sentinel(f.drop(*sparse), cat, sentinel) for f in frames]
     else:
         frames = [f.drop(*sparse) for f in frames]
-    gaps = [r["column"] for r in P.missing_profile(frames[0], None, cat).where("n_null > 0").collect()]
-    if gaps:
-        if impute == "cart":
-            frames = [IM.impute_cart(f, gaps, key, num, [c for c in cat], seed=seed) for f in frames]
-        else:
-            filled = []
-            for g in gaps:
-                _, filled = IM.impute_multinomial(frames[0], g, num, [c for c in cat if c != g], frames[1:])
-                frames = filled
+    gaps = [[c for c in cat + num if c in found] for f in frames for found in [_gaps(f, cat, num)]]
+    if impute == "cart":
+        return [IM.impute_cart(f, g, key, num, cat, seed=seed) if g else f for f, g in zip(frames, gaps)], cat, num
+    some = {c for g in gaps for c in g}
+    medians = IM.fit_median(frames[0], [c for c in num if c in some])
+    frames = [IM.apply_fill(f, {c: v for c, v in medians.items() if v is not None}) for f in frames]
+    for g in [c for c in cat if c in some]:
+        _, frames = IM.impute_multinomial(frames[0], g, num, [c for c in cat if c != g], frames[1:])
     return frames, cat, num
 
 
+def _gaps(df: DataFrame, cat: Sequence[str], num: Sequence[str]) -> set[str]:
+    """Columns with a NULL (or, for numbers, NaN); one aggregate."""
+    numbers = set(FE.gappy_columns(df, list(num)))
+    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"g{i}") for i, c in enumerate(cat)]).first() if cat else None
+    return numbers | {c for i, c in enumerate(cat) if row[f"g{i}"]}
+
+
 def classification_cv(train: DataFrame, key: str, label: str, categorical: Sequence[str],
                       numeric: Sequence[str], positive, k: int = 5, trees: int = 50, mtry: int | str = 17,
                       class_weights: Mapping | None = None, sentinel: str | None = "?",

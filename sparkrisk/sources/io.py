@@ -17,18 +17,19 @@ from pyspark.sql.types import StructType
 
 def normalise_names(names: Sequence[str]) -> list[str]:
     """Header names -> identifiers: invalid characters become '_', a leading
-    digit gets an 'X' prefix, duplicates get a '_2', '_3' ... suffix."""
-    out, seen = [], {}
+    digit gets an 'X' prefix, names taken already (whatever their case) get the
+    first free '_2', '_3' ... suffix."""
+    out, taken = [], set()
     for n in names:
         s = re.sub(r"[^0-9A-Za-z_]", "_", n.strip()) or "X"
         if s[0].isdigit():
             s = "X" + s
-        if s in seen:
-            seen[s] += 1
-            s = f"{s}_{seen[s]}"
-        else:
-            seen[s] = 1
-        out.append(s)
+        free, k = s, 1
+        while free.lower() in taken:
+            k += 1
+            free = f"{s}_{k}"
+        taken.add(free.lower())
+        out.append(free)
     return out
 
 

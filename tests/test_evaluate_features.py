@@ -46,7 +46,10 @@ def test_special_functions():
     assert stats.chi2_sf(3.841458820694124, 1) == pytest.approx(0.05, rel=1e-9)
     assert stats.chi2_sf(5.991464547107979, 2) == pytest.approx(0.05, rel=1e-9)
     assert stats.binom_sf(6, 10, 0.5) == pytest.approx(386 / 1024)
-    assert stats.mcnemar_p(10, 10) == pytest.approx(math.erfc(math.sqrt(0.05 / 2)))
+    assert stats.mcnemar_p(10, 10) == stats.mcnemar_p(1, 1) == 1.0
+    assert stats.mcnemar_p(12, 8) == pytest.approx(math.erfc(math.sqrt(9 / 20 / 2)))
+    # normal limit at large n, where lgamma terms would cancel
+    assert stats.binom_sf(500_001_000_001, 10**12, 0.5) == pytest.approx(0.0227501, rel=1e-4)
     t = E.confusion_tests(3, 1, 2, 4)
     assert 0 < t["accuracy_lower"] < 0.7 < t["accuracy_upper"] < 1
 
