@@ -250,7 +250,10 @@ def fold(node: tuple) -> tuple:
     if kind == "or" and parts[0][0] == "const":
         return parts[0] if parts[0][1] else parts[1]
     if all(p[0] == "const" for p in parts if isinstance(p, tuple)):
-        return ("const", expression(node)({}))
+        try:
+            return ("const", expression(node)({}))
+        except TypeError as e:
+            raise TemplateError(f"constants do not go together: {e}") from e
     return node
 
 
