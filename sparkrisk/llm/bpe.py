@@ -28,7 +28,7 @@ from .common import chunks
 
 #: Entries of a generation of the memos of encoded words and pieces (two generations are held, so that common
 #: entries outlive a change), and entries after which the memo of token pairs starts anew.
-MEMO_WORDS, MEMO_PAIRS = 120_000, 500_000
+MEMO_WORDS, MEMO_PAIRS = 300_000, 500_000
 #: Longer words and pieces are encoded each time, so that the memo's bytes stay bounded.
 MEMO_CHARS = 40
 #: A blank beside other white space: there a piece can cross the border between two words.
