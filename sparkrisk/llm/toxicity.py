@@ -29,6 +29,8 @@ ORDER, SPAN, DECAY = 4, 6, 0.7
 WINDOW = 12
 #: Bounds of the training sample: documents per class, sentences per class, landmarks per kind.
 MAX_DOCS, MAX_SENTENCES, LANDMARKS = {1: 3000, 0: 6000}, {1: 5000, 0: 20_000}, 64
+#: Windows of each class that a machine starts from.
+MAX_WINDOWS = 4000
 #: Longest sentence that is trained on (characters); scoring has no such bound.
 TRAIN_CHARS = 1000
 #: Least G statistic of a landmark word, and shrinkage of the machine.
@@ -87,21 +89,31 @@ def decayed(table: np.ndarray) -> list[np.ndarray]:
     return [(table * DECAY ** k).astype(np.float32) for k in range(SPAN - ORDER + 2)]
 
 
+def largest(sums: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The largest window of each text: windows that begin in it (those in the padding reach the next text)."""
+    if not len(sums):
+        return np.zeros(len(starts))
+    bounds = np.column_stack([starts, starts + sizes]).ravel()
+    return np.maximum(np.maximum.reduceat(sums, bounds)[::2], 0.0)  # an empty text gives its padding's zero
+
+
 def worst_windows(texts: pa.Array, weight: list[np.ndarray]) -> np.ndarray:
     """The largest window sum of each text; 0 for texts without letters."""
     out = []
     for part in chunks(texts):
         data, offsets = utf8(part)
         codes, starts = spread(data, offsets)
-        sums = window_sums(codes, weight)
-        out.append(np.maximum(np.maximum.reduceat(sums, starts), 0.0) if len(sums) else np.zeros(len(part)))
+        out.append(largest(window_sums(codes, weight), starts, np.diff(offsets)))
     return np.concatenate(out) if out else np.zeros(0)
 
 
 # --- training (on the driver, over the bounded sample) -----------------------------------------------------
 
-def features(text: bytes) -> dict[int, float]:
-    """Decayed counts of the subsequences that start in the first WINDOW characters of ``text``."""
+Features = tuple[np.ndarray, np.ndarray]
+
+
+def features(text: bytes) -> Features:
+    """(keys, decayed counts) of the subsequences that start in the first WINDOW characters of ``text``."""
     codes = CODE[np.frombuffer(text, np.uint8)].tolist() + [0] * SPAN
     out: dict[int, float] = {}
     for i in range(min(WINDOW, len(text))):
@@ -114,22 +126,21 @@ def features(text: bytes) -> dict[int, float]:
                 for c in rest:
                     key = key << 5 | c
                 out[key] = out.get(key, 0.0) + DECAY ** (gap[-1] - ORDER + 1)
-    return out
+    return np.fromiter(out, np.int32, len(out)), np.fromiter(out.values(), np.float32, len(out))
 
 
-def kernel(a: list[dict[int, float]], b: list[dict[int, float]]) -> np.ndarray:
+def kernel(a: list[Features], b: list[Features]) -> np.ndarray:
     """Kernel matrix of two lists of feature maps."""
-    ids = {k: i for i, k in enumerate(sorted({k for x in b for k in x}))}
-    right = np.zeros((len(ids) + 1, len(b)), np.float32)
-    for j, x in enumerate(b):
-        for k, v in x.items():
-            right[ids[k], j] = v
+    keys = np.unique(np.concatenate([k for k, _ in b])) if b else np.zeros(0, np.int32)
+    right = np.zeros((len(keys) + 1, len(b)), np.float32)  # the last row stands for keys that b lacks
+    for j, (k, v) in enumerate(b):
+        right[np.searchsorted(keys, k), j] = v
     out = np.zeros((len(a), len(b)))
-    for i, x in enumerate(a):
-        known = [(ids[k], v) for k, v in x.items() if k in ids]
-        if known:
-            at, v = zip(*known)
-            out[i] = np.array(v) @ right[list(at)]
+    for i, (k, v) in enumerate(a):
+        at = np.searchsorted(keys, k)
+        known = at < len(keys)
+        known[known] = keys[at[known]] == k[known]
+        out[i] = v[known] @ right[at[known]]
     return out
 
 
@@ -171,7 +182,7 @@ def train(sentences: list[tuple[str, int]], words: list[str], common: list[str])
     telling landmarks; ``common``: the others. Positives are windows at telling words, negatives windows of
     clean sentences, chosen anew where the last machine is nearest to failing."""
     landmarks = [features(w.encode()) for w in [*words, *common]]
-    landmarks = [x for x in landmarks if x]
+    landmarks = [x for x in landmarks if len(x[0])]
     k_ll = kernel(landmarks, landmarks)
     scale = 1 / np.sqrt(np.diag(k_ll))
     values, vectors = np.linalg.eigh(k_ll * scale * scale[:, None])
@@ -185,7 +196,7 @@ def train(sentences: list[tuple[str, int]], words: list[str], common: list[str])
             for m in re.finditer(r"[^\W\d_]+", low):
                 if m.group() in telling:
                     piece = low[m.start():m.start() + WINDOW + SPAN]
-                    if piece not in seen and len(good) < 6000:
+                    if piece not in seen and len(good) < MAX_WINDOWS:
                         seen.add(piece)
                         good.append(features(piece.encode()))
     plain = len(good)
@@ -193,7 +204,7 @@ def train(sentences: list[tuple[str, int]], words: list[str], common: list[str])
     bad_texts = [t.lower().encode() for t, label in sentences if not label]
     rng = np.random.default_rng(11)
     bad = []
-    for k in rng.permutation(len(bad_texts))[:4000]:
+    for k in rng.permutation(len(bad_texts))[:MAX_WINDOWS]:
         t = bad_texts[k]
         at = int(rng.integers(0, max(1, len(t) - WINDOW)))
         bad.append(features(t[at:at + WINDOW + SPAN]))
@@ -209,22 +220,30 @@ def train(sentences: list[tuple[str, int]], words: list[str], common: list[str])
         w = squared_hinge(z, y, cost)
         alpha = root @ w[:-1]
         table = np.zeros(1 << (5 * ORDER))
-        for x, a in zip(landmarks, alpha):
-            for k, v in x.items():
-                table[k] += v * a
+        for (k, v), a in zip(landmarks, alpha):
+            table[k] += v * a
         hard = []
         data, offsets = utf8(arr)
         codes, starts = spread(data, offsets)
         sums = window_sums(codes, decayed(table))
-        ends = np.append(starts[1:], len(sums))
-        top = np.maximum.reduceat(sums, starts) if len(sums) else np.zeros(len(starts))
-        for k in np.argsort(-top)[:1500].tolist():
-            at = int(np.argmax(sums[starts[k]:ends[k]]))
+        sizes = np.diff(offsets)
+        for k in np.argsort(-largest(sums, starts, sizes), kind="stable")[:1500].tolist():
+            at = int(np.argmax(sums[starts[k]:starts[k] + sizes[k]]))
             hard.append(features(bad_texts[k][at:at + WINDOW + SPAN]))
         bad += hard
     return table, float(w[-1])
 
 
+def squashed(margin: np.ndarray) -> np.ndarray:
+    """The margin as it is up to twice the machine's own, and slower growing beyond.
+
+    Whole insults lie far beyond the margin, spoiled ones just there; without this the curve's middle would
+    lie halfway to the whole ones, and spoiled insults below it.
+    """
+    size = np.abs(margin)
+    return np.sign(margin) * (np.minimum(size, 2) + 0.3 * np.log1p(np.maximum(size - 2, 0)))
+
+
 def platt(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope (not negative) and offset of a logistic curve through smoothed labels, by damped Newton steps."""
     pos, neg = weight[label == 1].sum(), weight[label == 0].sum()
@@ -265,7 +284,7 @@ class Model:
         return decayed(table)
 
     def score(self, worst: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * (worst + self.bias) + self.offset, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * squashed(worst + self.bias) + self.offset, -30, 30)))
 
 
 def _sentences(rows: DataFrame) -> DataFrame:
@@ -331,7 +350,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     y = np.array([r["y"] for r in pairs])
     margin = np.array([r["m"] for r in pairs]) + bias
     share = np.where(y == 1, sizes[1] / per_class[1], sizes[0] / per_class[0])  # undo the classes' bounds
-    model.slope, model.offset = platt(margin, y, share * len(y) / share.sum())
+    model.slope, model.offset = platt(squashed(margin), y, share * len(y) / share.sum())
     return model
 
 

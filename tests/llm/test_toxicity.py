@@ -41,9 +41,8 @@ def test_weights_equal_the_kernel():
     landmarks = [T.features(w.encode()) for w in ("idea", "window", "another")]
     alpha = rng.normal(size=3)
     table = np.zeros(1 << (5 * T.ORDER))
-    for x, a in zip(landmarks, alpha):
-        for k, v in x.items():
-            table[k] += v * a
+    for (k, v), a in zip(landmarks, alpha):
+        table[k] += v * a
     text = b"win-dow and an1other i d e a"
     data = np.frombuffer(text, np.uint8)
     codes, _ = T.spread(data, np.array([0, len(data)]))
@@ -86,8 +85,8 @@ def test_held_out_accuracy_and_spoiled_insults(spark, fitted):
 
 def test_longer_than_a_chunk_and_last_words():
     table = np.zeros(1 << (5 * T.ORDER))
-    for k, v in T.features(b"scoundrel").items():
-        table[k] += v
+    k, v = T.features(b"scoundrel")
+    table[k] += v
     weight = T.decayed(table)
     plain = "quiet " * 600_000
     out = T.worst_windows(pa.array([plain, None, "", "scoundrel", plain + "scoundrel"]), weight)
