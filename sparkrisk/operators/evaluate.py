@@ -8,6 +8,7 @@ interval, McNemar, binomial test) are computed from the few resulting counts.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -163,7 +164,7 @@ def cross_validate(df: DataFrame, k: int, fit: Callable[[DataFrame], object],
                    predict: Callable[[object, DataFrame], DataFrame],
                    metrics: Callable[..., DataFrame],
                    rebalance: Callable[[DataFrame], DataFrame] | None = None,
-                   fold_col: str = "fold", folds: Sequence[int] | None = None) -> DataFrame:
+                   fold_col: str = "fold", folds: Sequence[int] | None = None, parallel: int = 3) -> DataFrame:
     """k-fold CV with rebalancing applied to the training part of each fold only.
 
     ``df`` carries a ``fold`` column (see ``assign_folds``) and should be
@@ -173,10 +174,11 @@ def cross_validate(df: DataFrame, k: int, fit: Callable[[DataFrame], object],
     persisted for the fold (fit and scoring read it; it is deterministic, so a
     lost block recomputes to the same rows) and released once the fold's few
     metric rows are collected. Returns (fold, part, <metric columns>); fits are
-    distributed, the loop over folds runs on the driver.
+    distributed, and ``parallel`` folds, which are independent, are submitted at
+    a time: a tree fit is one small job per level, so one fold alone leaves
+    executors idle. Results do not depend on it.
     """
-    rows, schema = [], None
-    for i in (folds if folds is not None else range(1, k + 1)):
+    def one(i: int) -> tuple[list, StructType]:
         train, held = fold_split(df, i, fold_col)
         train, held = train.drop(fold_col), held.drop(fold_col)
         if rebalance is not None:
@@ -186,13 +188,16 @@ def cross_validate(df: DataFrame, k: int, fit: Callable[[DataFrame], object],
             model = fit(train)
             scored = predict(model, stack_tagged({"train": train, "held_out": held}, tag="part"))
             m = metrics(scored, by="part")
-            schema = m.schema
-            rows += [(i, *r) for r in m.collect()]
+            return [(i, *r) for r in m.collect()], m.schema
         finally:
             train.unpersist()
+
     spark = df.sparkSession
-    if schema is None:
+    with ThreadPoolExecutor(max(1, parallel)) as pool:
+        done = list(pool.map(one, folds if folds is not None else range(1, k + 1)))
+    if not done:
         return spark.createDataFrame([], "fold int")
+    rows, schema = [r for part, _ in done for r in part], done[0][1]
     out = spark.createDataFrame(rows, StructType([StructField("fold", IntegerType())] + list(schema.fields)))
     ordered = ["fold", "part"] + [c for c in out.columns if c not in ("fold", "part")]
     return out.select(*ordered)

@@ -37,7 +37,7 @@ NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
 # IMP1 / AGG9 / SCL7 -----------------------------------------------------------
 def fit_median(df: DataFrame, cols: Sequence[str], exact: bool = True) -> dict[str, float]:
     """Medians of the known values (NULL and NaN ignored)."""
-    return median_of(df, cols, exact)
+    return median_of(df, cols, exact) if cols else {}
 
 
 def apply_fill(df: DataFrame, values: Mapping[str, float]) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
-from pyspark.ml.feature import StandardScaler, StringIndexer
+from pyspark.ml.feature import PolynomialExpansion, StandardScaler, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -179,7 +179,7 @@ class BoostedTrees:
         self.rounds = rounds  # [(PipelineModel without label indexer, alpha)]
 
     def transform(self, df: DataFrame, out: str = "predicted") -> DataFrame:
-        """Vote shares per class in ``probability`` (array) and the plurality class in ``out``."""
+        """Weighted class shares in ``probability`` (array) and the class with the largest in ``out``."""
         return boosted_score(self, df, out)
 
 
@@ -240,8 +240,10 @@ def boosted_tree(df: DataFrame, label: str, numeric: Sequence[str], categorical:
 
 
 def boosted_score(model: BoostedTrees, df: DataFrame, out: str = "predicted") -> DataFrame:
-    """Score with a boosted model: features are assembled once, each tree votes.
+    """Score with a boosted model: features are assembled once, each tree votes with its leaf's class shares.
 
+    The shares, averaged by the trees' weights, are the ``probability`` that a cost rule needs (whole votes of
+    a few trees are no probabilities: nearly any single vote would decide).
     The columns of ``df`` all stay; what scoring adds besides ``probability`` and ``out`` goes.
     """
     feats = model.rounds[0][0].stages[0]
@@ -252,7 +254,8 @@ def boosted_score(model: BoostedTrees, df: DataFrame, out: str = "predicted") ->
         tree = m.stages[-1].copy()
         tree.setPredictionCol(f"_b{r}_pred").setRawPredictionCol(f"_b{r}_raw").setProbabilityCol(f"_b{r}_prob")
         scored = tree.transform(scored)
-        votes = [v + F.when(F.col(f"_b{r}_pred") == i, F.lit(alpha)).otherwise(0.0) for i, v in enumerate(votes)]
+        share = vector_to_array(F.col(f"_b{r}_prob"))
+        votes = [v + F.lit(alpha) * share[i] for i, v in enumerate(votes)]
     total = votes[0]
     for v in votes[1:]:
         total = total + v
@@ -303,8 +306,11 @@ def maclaurin_features(df: DataFrame, features: str, d: int, dims: int = 512, de
     return df.withColumn(out, array_to_vector(rm_map(vector_to_array(F.col(features)))))
 
 
+EXACT_DIMS = 1000   # monomials up to which the polynomial map is made exactly
+
+
 class PolySVM:
-    """Standardised features -> random Maclaurin map -> linear SVM."""
+    """Standardised features -> polynomial map (``dims`` 0: all monomials, else random Maclaurin) -> linear SVM."""
 
     def __init__(self, labels, prep, svm, d, dims, degree, seed):
         self.labels, self.prep, self.svm = list(labels), prep, svm
@@ -312,7 +318,7 @@ class PolySVM:
 
     def transform(self, df: DataFrame, out: str = "predicted") -> DataFrame:
         x = self.prep.transform(df)
-        z = maclaurin_features(x, "_svm_x", self.d, self.dims, self.degree, seed=self.seed)
+        z = _polynomial(x, self.d, self.dims, self.degree, self.seed)
         s = self.svm.transform(z)
         lab = F.array(*[F.lit(v) for v in self.labels])
         keep = [c for c in df.columns]
@@ -320,10 +326,18 @@ class PolySVM:
                         F.element_at(lab, F.col("prediction").cast("int") + 1).alias(out))
 
 
+def _polynomial(x: DataFrame, d: int, dims: int, degree: int, seed: int) -> DataFrame:
+    """``_svm_x`` -> ``rm_features``: every monomial up to ``degree``, or the random map."""
+    if not dims:
+        return PolynomialExpansion(degree=degree, inputCol="_svm_x", outputCol="rm_features").transform(x)
+    return maclaurin_features(x, "_svm_x", d, dims, degree, seed=seed)
+
+
 def poly_svm(df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str] = (),
-             degree: int = 3, dims: int = 512, class_weights: Mapping | None = None, reg: float = 0.0,
+             degree: int = 3, dims: int = 4096, class_weights: Mapping | None = None, reg: float = 0.0,
              max_iter: int = 100, seed: int = 42) -> PolySVM:
-    """Approximate polynomial-kernel SVM (two classes)."""
+    """Polynomial-kernel SVM (two classes): over all monomials where they are at most EXACT_DIMS, else over a
+    random map of ``dims`` dimensions."""
     data = class_weight_col(df, label, class_weights) if class_weights else df
     prep = Pipeline(stages=[
         _label_indexer(label),
@@ -332,7 +346,9 @@ def poly_svm(df: DataFrame, label: str, numeric: Sequence[str], categorical: Seq
     ]).fit(data)
     x = prep.transform(data)
     d = len(x.select("_svm_x").first()[0])
-    z = maclaurin_features(x, "_svm_x", d, dims, degree, seed=seed)
+    if math.comb(d + degree, degree) - 1 <= EXACT_DIMS:
+        dims = 0
+    z = _polynomial(x, d, dims, degree, seed)
     svm = LinearSVC(featuresCol="rm_features", labelCol="_label", regParam=reg, maxIter=max_iter)
     if class_weights:
         svm.setWeightCol("_weight")

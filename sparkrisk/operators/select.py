@@ -83,7 +83,8 @@ def rank_features(df: DataFrame, label: str, categorical: Sequence[str] = (), nu
     labels = cells.groupBy("feature", "_y").agg(F.sum("o").alias("n_y"))
     totals = values.groupBy("feature").agg(F.sum("n_v").alias("n"), F.count(F.lit(1)).alias("_r"))
     # margins are joined to the observed cells only (one row per feature for the totals)
-    obs = (cells.join(values, ["feature", "value"]).join(labels, ["feature", "_y"])
+    # (feature, label) margins are features x classes rows: broadcast, else the cells would meet on that few keys
+    obs = (cells.join(values, ["feature", "value"]).join(F.broadcast(labels), ["feature", "_y"])
                 .join(F.broadcast(totals), "feature"))
     o = F.col("o").cast("double")
     nv, ny, n = (F.col(x).cast("double") for x in ("n_v", "n_y", "n"))

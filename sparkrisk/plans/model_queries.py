@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +26,11 @@ from ..operators import select as SEL
 from ..operators import shape as SH
 from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import io
-from .registry import PRIORITY_SENTINEL, SEED, register
+from .registry import PRIORITY_SENTINEL, SEED, _md5_sql, _rule_scored, register
 from .tables import LINEITEM_KEY, sig_all, sig_sql, table
 
 LABEL = "price_band"
+FLOW_SENTINEL = "fr"    # plays the role of '?' in documents.lang for the flows
 POSITIVE = "high"
 NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 CATEGORICAL = ["l_returnflag", "l_linestatus"]
@@ -36,15 +38,17 @@ CATEGORICAL = ["l_returnflag", "l_linestatus"]
 # Fixed values taken over from the reference's settings
 TREES = 50              # forest size of the classifier
 REGRESSOR_TREES = 100   # forest size of the regressor
+SEARCH_TREES = 60       # forest size of the mtry search
 FOLDS = 5
 BOOST_ROUNDS = 3
 CLASS_WEIGHTS = {"high": 2.0, "low": 1.0}      # weights (2, 1) in level order
 COSTS_CV = {"miss": 1.2, "false_alarm": 0.2}   # cost matrix of the cross-validated boosting
+COSTS_TREE = {"miss": 30.0, "false_alarm": 7.0}   # cost matrix of the single tree
 TRAIN_SHARE = 0.7
 TEST_SHARE = 0.3
 
 MTRY = 2
-DEPTH = 8
+DEPTH = 10              # tree depth of every classifier and regressor here (the library's default)
 
 
 def lineitem_labelled(spark, d) -> DataFrame:
@@ -129,7 +133,7 @@ def mdl6_boosted_tree_cv(spark, d):
     costs = M.cost_matrix(["low", "high"], COSTS_CV["miss"], COSTS_CV["false_alarm"])
 
     def fit(train):
-        return M.boosted_tree(train, LABEL, NUMERIC, CATEGORICAL, rounds=BOOST_ROUNDS, max_depth=4,
+        return M.boosted_tree(train, LABEL, NUMERIC, CATEGORICAL, rounds=BOOST_ROUNDS, max_depth=DEPTH,
                               key=LINEITEM_KEY, seed=SEED)
 
     def predict(model, df):
@@ -147,7 +151,7 @@ def mdl6_boosted_tree_cv(spark, d):
 def mdl7_poly_svm(spark, d):
     train, test = _split(spark, d)
     train = SM.down_sample(train, LABEL, LINEITEM_KEY, SEED)
-    model = M.poly_svm(train, LABEL, NUMERIC, CATEGORICAL, degree=3, dims=256, max_iter=50, seed=SEED)
+    model = M.poly_svm(train, LABEL, NUMERIC, CATEGORICAL, degree=3, class_weights=CLASS_WEIGHTS, seed=SEED)
     return SH.stack_tagged({"train": _stats(model.transform(train)), "test": _stats(model.transform(test))})
 
 
@@ -171,7 +175,7 @@ def mdl10_rf_regressor(spark, d):
     data = cut_lineage(SM.random_split(li, LINEITEM_KEY, TEST_SHARE, SEED))
     train = data.where(F.col("split") == "train")
     model = M.random_forest_regressor(train, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"],
-                                      ["l_returnflag"], trees=REGRESSOR_TREES, max_depth=6, seed=SEED,
+                                      ["l_returnflag"], trees=REGRESSOR_TREES, max_depth=DEPTH, seed=SEED,
                                       key=LINEITEM_KEY)
     metrics = E.regression_metrics(model.transform(data), "prediction", "l_extendedprice", by="split")
     return sig_all(metrics).withColumnRenamed("split", "part")
@@ -187,7 +191,7 @@ def mdl12_leave_one_out(spark, d):
     def fit_and_score(kept):
         num = [c for c in NUMERIC if c in kept]
         cat = [c for c in CATEGORICAL if c in kept]
-        model = M.random_forest(train, LABEL, num, cat, trees=20, mtry="sqrt", max_depth=DEPTH,
+        model = M.random_forest(train, LABEL, num, cat, trees=TREES, mtry=MTRY, max_depth=DEPTH,
                                 seed=SEED, key=LINEITEM_KEY)
         return _recall(M.score(model, data), by="split")
 
@@ -245,7 +249,7 @@ def imp4_impute_audit(spark, d):
 def imp3_impute_cart(spark, d):
     o = _orders_with_gaps(spark, d)
     filled = IM.impute_cart(o, ["o_orderpriority"], "o_orderkey", ["o_totalprice"], ["o_orderstatus", "month"],
-                            sweeps=2, seed=SEED, max_depth=8)
+                            sweeps=2, seed=SEED, max_depth=DEPTH)
     return filled.select("o_orderkey", "o_orderpriority")
 
 
@@ -263,7 +267,8 @@ def flow_classification_cv(spark, d):
     train, _ = _doc_tables(spark, d)
     return sig_all(flows.classification_cv(train, "doc_id", "quality", ["lang", "source"], ["n_chars"], "poor",
                                            k=FOLDS, trees=TREES, mtry="sqrt", max_depth=DEPTH,
-                                           class_weights={"good": 1.0, "poor": 2.0}, seed=SEED))
+                                           class_weights={"good": 2.0, "poor": 1.0}, sentinel=FLOW_SENTINEL,
+                                           seed=SEED))
 
 
 @register("flow_classification_submission")
@@ -271,7 +276,8 @@ def flow_classification_submission(spark, d):
     from . import flows
     train, test = _doc_tables(spark, d)
     return flows.classify_and_submit(train, test, "doc_id", "quality", ["lang", "source"], ["n_chars"],
-                                     trees=TREES, mtry="sqrt", max_depth=DEPTH, seed=SEED)
+                                     trees=TREES, mtry="sqrt", max_depth=DEPTH, sentinel=FLOW_SENTINEL,
+                                     seed=SEED)
 
 
 @register("flow_holdout_boosted")
@@ -283,7 +289,7 @@ def flow_holdout_boosted(spark, d):
     o = o.withColumn("o_orderstatus", F.when(F.col("o_orderstatus") == "F", "F").otherwise("other"))
     return sig_all(flows.holdout_boosted(o, "o_orderkey", "o_orderstatus", ["o_orderpriority", "month"],
                                          ["o_totalprice"], "F", "other", COSTS_CV["miss"],
-                                         COSTS_CV["false_alarm"], p=TRAIN_SHARE, rounds=BOOST_ROUNDS,
+                                         COSTS_CV["false_alarm"], p=TRAIN_SHARE, rounds=BOOST_ROUNDS, max_depth=DEPTH,
                                          sentinel=PRIORITY_SENTINEL, seed=SEED))
 
 
@@ -292,24 +298,145 @@ def flow_regression(spark, d):
     from . import flows
     p = table(spark, d, "part").select("p_partkey", "p_size", "p_type", "p_brand", "p_retailprice")
     return sig_all(flows.regression_flow(p, "p_partkey", "p_retailprice", ["p_size"], ["p_type", "p_brand"],
-                                         test_size=TEST_SHARE, trees=REGRESSOR_TREES, max_depth=6, seed=SEED))
+                                         test_size=TEST_SHARE, trees=REGRESSOR_TREES, max_depth=DEPTH, seed=SEED))
 
 
 # DOR4 ------------------------------------------------------------------------------------
 @register("dor4_tune_mtry")
 def dor4_tune_mtry(spark, d):
-    data = cut_lineage(SM.assign_folds(lineitem_labelled(spark, d), LINEITEM_KEY, 3, SEED))
+    data = cut_lineage(SM.assign_folds(lineitem_labelled(spark, d), LINEITEM_KEY, FOLDS, SEED))
 
     def cv_recall(mtry):
-        fit = (lambda part: M.random_forest(part, LABEL, NUMERIC, CATEGORICAL, trees=20, mtry=mtry,
+        fit = (lambda part: M.random_forest(part, LABEL, NUMERIC, CATEGORICAL, trees=SEARCH_TREES, mtry=mtry,
                                             max_depth=DEPTH, seed=SEED, key=LINEITEM_KEY))
-        res = E.cross_validate(data, 3, fit, lambda m, df: M.score(m, df), _cv_recall)
+        res = E.cross_validate(data, FOLDS, fit, lambda m, df: M.score(m, df), _cv_recall)
         return res.where(F.col("part") == "held_out").agg(F.avg("recall")).first()[0]
 
     grid = SEL.tune_mtry([1, 2, 4], cv_recall)
     return sig_all(spark.createDataFrame(grid, "mtry int, held_out_recall double"))
 
 
+# What SQL can say of the model queries -----------------------------------------------------
+_GAP = f"o_orderpriority = '{PRIORITY_SENTINEL}'"
+_FILL_SQL = f"""
+SELECT o_orderkey, {_GAP} AS was_gap, CASE WHEN {_GAP} THEN NULL ELSE o_orderpriority END AS known_value,
+       TRUE AS filled_with_observed FROM orders
+"""
+
+
+def _fill_check(spark, d, filled: DataFrame) -> DataFrame:
+    """Per order: was it a gap, the known value as it came back, and is the value now one that was observed."""
+    before = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderpriority") == PRIORITY_SENTINEL).alias("was_gap"))
+    seen = [r[0] for r in table(spark, d, "orders").where(F.col("o_orderpriority") != PRIORITY_SENTINEL)
+            .select("o_orderpriority").distinct().orderBy("o_orderpriority").limit(100).collect()]
+    return (filled.join(before, "o_orderkey")
+            .select("o_orderkey", "was_gap", F.when(~F.col("was_gap"), F.col("o_orderpriority")).alias("known_value"),
+                    F.coalesce(F.col("o_orderpriority").isin(seen), F.lit(False)).alias("filled_with_observed")))
+
+
+@register("imp2_fill_check", _FILL_SQL)
+def imp2_fill_check(spark, d):
+    return _fill_check(spark, d, imp2_impute_multinomial(spark, d))
+
+
+@register("imp3_fill_check", _FILL_SQL)
+def imp3_fill_check(spark, d):
+    return _fill_check(spark, d, imp3_impute_cart(spark, d))
+
+
+@register("imp4_distribution_after", """
+SELECT count(*) AS n FROM orders
+""")
+def imp4_distribution_after(spark, d):
+    """Rows of the distribution after filling add up to all rows (its levels depend on the fit)."""
+    o = _orders_with_gaps(spark, d)
+    _, (filled,) = IM.impute_multinomial(o, "o_orderpriority", ["o_totalprice"], ["o_orderstatus", "month"])
+    _, after = IM.impute_audit(o.select("o_orderkey", F.col("o_orderpriority").alias("truth"))
+                               .join(filled.select("o_orderkey", F.col("o_orderpriority").alias("imputed")), "o_orderkey"),
+                               "truth", "imputed")
+    return after.where(F.col("imputed").isNotNull()).agg(F.sum("n").cast("bigint").alias("n"))
+
+
+@register("mdl14_keys_check", """
+SELECT doc_id, TRUE AS known_class FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+""")
+def mdl14_keys_check(spark, d):
+    return mdl14_train_and_score(spark, d).select("doc_id", F.col("quality").isin("good", "poor").alias("known_class"))
+
+
+@register("flow_submission_keys_check", """
+SELECT doc_id, TRUE AS known_class FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+""")
+def flow_submission_keys_check(spark, d):
+    out = flow_classification_submission(spark, d)
+    return out.select("doc_id", F.col("quality").isin("good", "poor").alias("known_class"))
+
+
+@register("mdl5_rule_check", """
+SELECT count(*) AS n, CAST(0 AS BIGINT) AS differing FROM lineitem
+""")
+def mdl5_rule_check(spark, d):
+    """The decision of the single tree under its cost matrix against the rule worked out from its probabilities."""
+    data = lineitem_labelled(spark, d)
+    model = M.decision_tree(data, LABEL, NUMERIC, CATEGORICAL, max_depth=DEPTH, seed=SEED, key=LINEITEM_KEY)
+    labels = M.labels_of(model)
+    costs = M.cost_matrix(["low", "high"], COSTS_TREE["miss"], COSTS_TREE["false_alarm"])
+    p = vector_to_array("probability")
+    scored = M.cost_sensitive(M.score(model, data, out="plain"), labels, costs)
+    high, low = p[labels.index("high")], p[labels.index("low")]
+    rule = F.when(high * COSTS_TREE["miss"] > low * COSTS_TREE["false_alarm"], "high").otherwise("low")
+    tie = high * COSTS_TREE["miss"] == low * COSTS_TREE["false_alarm"]
+    return scored.agg(F.count("*").alias("n"), F.count_if(~tie & (rule != F.col("predicted"))).alias("differing"))
+
+
+_FOLD_SQL = f"""
+WITH l AS (SELECT *, CASE WHEN l_extendedprice > 2000.0 * l_quantity THEN 'high' ELSE 'low' END AS band FROM lineitem),
+r AS (SELECT band, row_number() OVER (ORDER BY {_md5_sql(*LINEITEM_KEY)}, {', '.join(LINEITEM_KEY)}) AS rn,
+             count(*) OVER () AS n FROM l),
+f AS (SELECT band, CASE WHEN n <= 1 THEN 1 ELSE greatest(1, ((rn - 1) * {FOLDS} + n - 2) // (n - 1)) END AS fold FROM r),
+c AS (SELECT k.fold, f.fold = k.fold AS held, f.band, count(*) AS n
+      FROM f, (SELECT DISTINCT fold FROM f) k GROUP BY 1, 2, 3)
+SELECT CAST(fold AS INTEGER) AS fold, CASE WHEN held THEN 'held_out' ELSE 'train' END AS part,
+       CAST(CASE WHEN held THEN max(n) FILTER (WHERE band = 'high') ELSE min(n) END AS BIGINT) AS n_relevant,
+       TRUE AS learnt
+FROM c GROUP BY fold, held
+"""
+
+
+@register("mdl1_cv_counts", _FOLD_SQL)
+def mdl1_cv_counts(spark, d):
+    """Per fold and part: relevant rows (exact in SQL through the md5 folds), and is recall over 0.9."""
+    out = mdl1_random_forest_cv(spark, d)
+    return out.select("fold", "part", (F.col("tp") + F.col("fn")).cast("bigint").alias("n_relevant"),
+                      (F.col("recall") > 0.9).alias("learnt"))
+
+
+@register("evl2_confusion_tests")
+def evl2_confusion_tests(spark, d):
+    """Interval, P[accuracy > no-information rate] and McNemar p of the rule-made predictions."""
+    row = E.confusion_report(_rule_scored(spark, d), "pred", "truth", "yes")
+    names = ["tp", "fp", "fn", "tn", "accuracy", "accuracy_lower", "accuracy_upper", "accuracy_p_value", "mcnemar_p_value"]
+    kinds = ["long"] * 4 + ["double"] * 5
+    return sig_all(spark.createDataFrame([[row[k] for k in names]], ", ".join(f"{n} {k}" for n, k in zip(names, kinds))))
+
+
+@register("mdl13_p_value", f"""
+WITH c AS (SELECT l_returnflag AS v, l_linestatus AS y, count(*) AS o FROM lineitem GROUP BY 1, 2),
+v AS (SELECT v, sum(o) AS nv FROM c GROUP BY v), y AS (SELECT y, sum(o) AS ny FROM c GROUP BY y),
+n AS (SELECT sum(o) AS n, count(DISTINCT v) AS r, count(DISTINCT y) AS k FROM c),
+x AS (SELECT sum((coalesce(o, 0) - nv * ny / n) * (coalesce(o, 0) - nv * ny / n) / (nv * ny / n)) AS chi2,
+             max((r - 1) * (k - 1)) AS dof
+      FROM v CROSS JOIN y CROSS JOIN n LEFT JOIN c ON c.v = v.v AND c.y = y.y)
+SELECT 'l_returnflag' AS feature, {sig_sql('chi2')} AS chi2, CAST(dof AS INTEGER) AS dof,
+       {sig_sql('exp(-chi2 / 2)')} AS p_value FROM x
+""")
+def mdl13_p_value(spark, d):
+    """Chi-squared test of return flag against line status: two degrees of freedom, so p = exp(-chi2 / 2)."""
+    li = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus")
+    return sig_all(SEL.rank_features(li, "l_linestatus", ["l_returnflag"], p_values=True)
+                   .select("feature", "chi2", "dof", "p_value"))
+
+
 # Flagship (entry) ------------------------------------------------------------------------
 _FLAGSHIP_LONG = " UNION ALL ".join(
     f"SELECT '{a}' AS attr, {a} AS value, o_orderstatus FROM p" for a in ("c_mktsegment", "c_nation",

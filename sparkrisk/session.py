@@ -6,9 +6,11 @@ Library code never creates a session; it uses ``df.sparkSession``. Only tests,
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
@@ -26,6 +28,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -54,7 +57,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):   # local-cluster[...] has several machines' worth of workers
         raise RuntimeError(
             "spark.checkpoint.dir is unset: point it at a shared folder (HDFS/S3/...) "
             "so iterative operators can cut lineage")
@@ -64,14 +67,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` into the reliable checkpoint folder (survives executor loss)."""
+    """Materialise ``df`` into the reliable checkpoint folder (survives executor loss).
+
+    Spark deletes a checkpoint once nothing refers to it if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, as our sessions do.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def bounded(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows+1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def bounded(df: DataFrame, max_rows: int, max_bytes: int = 256 << 20) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows and about ``max_bytes`` bytes as text.
+
+    One aggregate whose tasks send a row each; nothing meets in one task.
+    """
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 8 for c in df.columns), F.lit(0))
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(width.cast("bigint")).alias("b")).first()
+    return row["n"] <= max_rows and (row["b"] or 0) <= max_bytes
 
 
 def collect_bounded(df: DataFrame, max_rows: int, what: str) -> list:
