@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rank import fold_of, seeded_md5, shuffle_rank, u32
+from ..functions.rank import by_rank, fold_of, seeded_md5, shuffle_rank, u32
 from ..session import collect_bounded
 
 MAX_CLASSES = 100_000
@@ -29,8 +29,7 @@ def class_counts(df: DataFrame, label: str) -> dict:
 def assign_folds(df: DataFrame, key: str | Sequence[str], k: int = 5, seed: int = 42,
                  fold_col: str = "fold") -> DataFrame:
     """Shuffle by seeded hash, then cut positions 1..n into k equal-width intervals."""
-    ranked = shuffle_rank(df, key, seed, out="_f_rn", total="_f_n")
-    return ranked.withColumn(fold_col, fold_of("_f_rn", "_f_n", k)).drop("_f_rn", "_f_n")
+    return by_rank(df, key, seed, lambda rn, n: fold_of(rn, n, k), fold_col)
 
 
 # SMP3 -------------------------------------------------------------------------
@@ -40,20 +39,20 @@ def stratified_split(df: DataFrame, label: str, key: str | Sequence[str], p: flo
 
     Every row gets a part; rows with a NULL label are split like a class of their own.
     """
-    ranked = shuffle_rank(df, key, seed, within=label, out="_s_rn", total="_s_n")
-    n_train = F.ceil(F.lit(float(p)) * F.col("_s_n"))
-    return (ranked.withColumn(out, F.when(F.col("_s_rn") <= n_train, F.lit("train")).otherwise(F.lit("test")))
-                  .drop("_s_rn", "_s_n"))
+    def part(rn, n):
+        return F.when(rn <= F.ceil(F.lit(float(p)) * n), F.lit("train")).otherwise(F.lit("test"))
+
+    return by_rank(df, key, seed, part, out, within=label)
 
 
 # SMP4 -------------------------------------------------------------------------
 def random_split(df: DataFrame, key: str | Sequence[str], test_size: float = 0.3, seed: int = 42,
                  out: str = "split") -> DataFrame:
     """Plain split with exactly ceil(test_size * n) 'test' rows (first in hash order)."""
-    ranked = shuffle_rank(df, key, seed, out="_s_rn", total="_s_n")
-    n_test = F.ceil(F.lit(float(test_size)) * F.col("_s_n"))
-    return (ranked.withColumn(out, F.when(F.col("_s_rn") <= n_test, F.lit("test")).otherwise(F.lit("train")))
-                  .drop("_s_rn", "_s_n"))
+    def part(rn, n):
+        return F.when(rn <= F.ceil(F.lit(float(test_size)) * n), F.lit("test")).otherwise(F.lit("train"))
+
+    return by_rank(df, key, seed, part, out)
 
 
 # SMP5 -------------------------------------------------------------------------
@@ -68,8 +67,8 @@ def down_sample(df: DataFrame, label: str, key: str | Sequence[str], seed: int =
         return df
     smallest = min(counts.values())
     df = df.where(F.col(label).isNotNull())
-    ranked = shuffle_rank(df, key, seed, within=label, out="_d_rn", total=None, n_hint=sum(counts.values()))
-    return ranked.where(F.col("_d_rn") <= smallest).drop("_d_rn")
+    told = by_rank(df, key, seed, lambda rn, n: rn <= smallest, "_d_in", within=label, n_hint=sum(counts.values()))
+    return told.where("_d_in").drop("_d_in")
 
 
 # SMP6 -------------------------------------------------------------------------
@@ -123,6 +122,9 @@ def up_sample(df: DataFrame, label: str, key: str | Sequence[str], seed: int = 4
     if draws is None:
         return df
     copies = draws.groupBy(label, "_u_rn").agg(F.count(F.lit(1)).alias("_u_extra"))
+    # nothing is drawn from the largest classes: their rows need no rank and pass as they are
+    full = [c for c, n in counts.items() if n == largest]
+    as_is, df = df.where(F.col(label).isin(full)), df.where(~F.col(label).isin(full))
     ranked = shuffle_rank(df, key, seed, within=label, out="_u_rn", total=None, n_hint=sum(counts.values()))
     heavy = None
     if max(shortfall.values(), default=0) > COPY_CHUNK:       # otherwise no row can exceed COPY_CHUNK copies
@@ -145,4 +147,4 @@ def up_sample(df: DataFrame, label: str, key: str | Sequence[str], seed: int = 4
         spread = chunks.repartition(max(1, n_chunks))            # round robin: one chunk per task
         out = out.unionByName(spread.withColumn("_u_copy", F.explode(F.sequence(F.lit(1), F.col("_u_n"))))
                               .select(*df.columns))
-    return out
+    return out.unionByName(as_is.select(*df.columns))
