@@ -36,6 +36,8 @@ TREE_SAMPLE = 32_768
 LEAF, CHUNK = 3_000, 12_000
 #: Nodes a tree may have (its size is broadcast), and rounds in which the stars must settle.
 MAX_NODES, MAX_ROUNDS = 200_000, 60
+#: Links of a node beyond which it is a hub: hubs (at most links / HUB of them) are joined by broadcast.
+HUB = 20_000
 
 
 # --- fingerprints ------------------------------------------------------------------------------------------
@@ -227,28 +229,45 @@ def links(prints: DataFrame, max_bits: int, steps: Steps) -> DataFrame:
 
 # --- components --------------------------------------------------------------------------------------------
 
+def _with_lowest(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """``edges`` (a, b) with the lowest neighbour m of their a. ``low``: (a, m, n links).
+
+    A hub may hold a third of all links: hubs are few, so their minima are broadcast to the links instead of
+    all of a hub's links going to one task; only the links of other nodes are shuffled.
+    """
+    if not (low.agg(F.max("n")).first()[0] or 0) > HUB:
+        return edges.join(low.select("a", "m"), "a")
+    hubs = F.broadcast(low.where(F.col("n") > HUB).select(F.col("a").alias("hub"), F.col("m").alias("hub_m")))
+    told = edges.join(hubs, edges["a"] == hubs["hub"], "left")
+    rest = told.where("hub IS NULL").select("a", "b").join(low.where(F.col("n") <= HUB).select("a", "m"), "a")
+    return told.where("hub IS NOT NULL").select("a", "b", F.col("hub_m").alias("m")).unionByName(rest.select("a", "b", "m"))
+
+
 def components(edges: DataFrame, steps: Steps) -> DataFrame:
     """(node, root) of every node of the links (a, b): root is the smallest node of its component.
 
     Alternating stars: each node hands its larger neighbours to its smallest one (large star), then its
-    smaller neighbours too (small star), until nothing changes; the number of links never grows. A hub's
-    minimum is pre-aggregated, and its links are joined by a shuffle whose large partitions Spark splits.
+    smaller neighbours too (small star), until nothing changes; the number of links never grows. Minima are
+    summed up in each task before they move, and the links of a hub stay where they are (see _with_lowest).
+    Nodes may be of any type that has an order.
     """
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    before, old = None, ""
+    now = steps.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before, old = None, steps.last
     for _ in range(MAX_ROUNDS):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = (both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("n"))
+        large = (_with_lowest(both, low).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .where("a <> b").distinct())
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        star = (large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = steps.keep(large)
+        large_path = steps.last
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        star = (_with_lowest(large, low).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                 .unionByName(low.select("a", F.col("m").alias("b"))).distinct())
         now = steps.keep(star)
+        steps.drop(large_path)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if old:
-            steps.drop(old)
-        old = steps.last
+        steps.drop(old)
+        old = f"{steps.root}/{steps.made - 1}"
         if state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = state
@@ -265,13 +284,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     steps = Steps(docs.sparkSession, "simhash")
     rows = steps.keep(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), words_each, seed).alias("fp")))
-    prints = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(links(prints, max_bits, steps), steps)
-    named = (prints.join(roots, prints["fp"] == roots["node"], "left")
-             .select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = named.join(least, "root").select("fp", "component_id")
-    return (rows.join(linked, "fp")
+    prints = steps.keep(rows.groupBy("fp").agg(F.min("id").alias("least")))
+    # A node is ordered by its smallest id, NULL last, so that a component's root bears its name.
+    node = F.struct(F.col("least").isNull().alias("unnamed"), F.col("least").alias("least"), F.col("fp").alias("fp"))
+    nodes = prints.select("fp", node.alias("node"))
+    found = links(prints, max_bits, steps)
+    edges = (found.join(nodes.withColumnRenamed("node", "x"), F.col("a") == F.col("fp")).drop("fp")
+             .join(nodes.withColumnRenamed("node", "y"), F.col("b") == F.col("fp"))
+             .select(F.col("x").alias("a"), F.col("y").alias("b")))
+    roots = components(edges, steps).select(F.col("node.fp").alias("fp"), F.col("root.least").alias("name"), F.lit(True).alias("linked"))
+    # Written, so that both sides of the last join are plain shuffles: Spark then splits the partition of a
+    # fingerprint that many copies share.
+    named = steps.keep(prints.join(roots, "fp", "left").select(
+        "fp", F.when(F.col("linked"), F.col("name")).otherwise(F.col("least")).alias("component_id")))
+    return (rows.join(named, "fp")
             .select(F.col("id").alias(id_col), fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id"))
 
 
@@ -288,7 +314,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     while tag in cols:
         tag += "_"
     rows = steps.keep(docs.withColumn(tag, F.monotonically_increasing_id()))
-    found = near_duplicates(rows.select(F.struct(F.col(id_col).alias("i"), F.col(tag).alias("r")).alias("k"), text_col),
+    found = near_duplicates(rows.select(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col(tag).alias("r")).alias("k"), text_col),
                             "k", text_col, words_each, max_bits, seed)
     keep = found.where("k = component_id").select(F.col("k.r").alias(tag))
     return rows.join(keep, tag, "left_semi").select(*[F.col(f"`{c}`") for c in cols])

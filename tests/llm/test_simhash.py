@@ -121,5 +121,13 @@ def test_one_of_each_group_stays(odd_docs, no_docs):
 def test_copies_of_null_ids(spark):
     docs = spark.createDataFrame([(None, "a b c d e f")] * 3 + [(9, "a b c d e f")], "doc_id bigint, text string")
     assert {r.component_id for r in S.near_duplicates(docs).collect()} == {9}
-    assert S.keep_one(docs).count() == 1
+    assert [r.doc_id for r in S.keep_one(docs).collect()] == [9]
     assert S.near_duplicates(docs.where(F.col("doc_id").isNull())).first().component_id is None
+
+
+def test_hubs_are_joined_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(S, "HUB", 5)
+    edges = [(5, k) for k in range(10, 40)] + [(39, 60), (60, 3)] + [(100, 100 + k) for k in range(1, 9)] + [(200, 201)]
+    out = S.components(spark.createDataFrame(edges, "a bigint, b bigint"), Steps(spark, "test")).collect()
+    want = {**{k: 3 for k in (5, 60, *range(10, 40))}, **{100 + k: 100 for k in range(1, 9)}, 201: 200}
+    assert {r.node: r.root for r in out} == want
