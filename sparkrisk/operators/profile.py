@@ -35,9 +35,18 @@ def _as_value(df: DataFrame, c: str):
     return F.nanvl(col, F.lit(None).cast(t)) if t in FLOAT_TYPES else col
 
 
-def _long_strings(df: DataFrame, cols: Sequence[str], id_cols: Sequence[str] = ()) -> DataFrame:
-    """Unpivot ``cols`` into (column, value) with values cast to string."""
-    cast = df.select(*id_cols, *[F.col(c).cast("string").alias(c) for c in cols])
+def _long_strings(df: DataFrame, cols: Sequence[str], id_cols: Sequence[str] = (), nan_missing: bool = False) -> DataFrame:
+    """Unpivot ``cols`` into (column, value) with values cast to string.
+
+    -0.0 is the value 0.0; NaN is a value, or NULL with ``nan_missing``.
+    """
+    floats = {c for c, t in df.dtypes if t in FLOAT_TYPES}
+
+    def text(c: str):
+        col = _as_value(df, c) if nan_missing else F.col(c)
+        return ((col + F.lit(0.0)).cast(dict(df.dtypes)[c]) if c in floats else col).cast("string").alias(c)
+
+    cast = df.select(*id_cols, *[text(c) for c in cols])
     return cast.unpivot(list(id_cols), list(cols), "column", "value")
 
 
@@ -416,15 +425,15 @@ def near_constant(df: DataFrame, cols: Sequence[str] | None = None,
                   max_top_share: float = 0.99) -> DataFrame:
     """(column, top_value, top_n, n_rows, top_share, n_distinct, near_constant).
 
-    The top value is the most frequent non-NULL value (ties: smallest value).
+    The top value is the most frequent non-NULL value (ties: smallest value); NaN is missing, like NULL.
     """
     cols = _cols(df, cols)
-    long = _long_strings(df, cols)
+    long = _long_strings(df, cols, nan_missing=True)
     counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     per_col = counts.groupBy("column").agg(
         F.sum("n").alias("n_rows"),
         F.count("value").alias("n_distinct"),
-        F.min_by("value", F.struct(F.when(F.col("value").isNotNull(), -F.col("n")), F.col("value")))
+        F.min_by("value", F.struct(F.col("value").isNull(), -F.col("n"), F.col("value")))
          .alias("top_value"),
         F.max(F.when(F.col("value").isNotNull(), F.col("n"))).alias("top_n"),
     )

@@ -117,3 +117,12 @@ def test_no_silent_loss_of_convergence(monkeypatch):
         stats.betainc(5000.0, 5000.0, 0.5)
     with pytest.raises(ArithmeticError):
         stats.gammainc_upper(500.0, 480.0)
+
+
+def test_profiles_take_zero_signs_and_nan(spark):
+    from sparkrisk.operators import profile as P
+    df = spark.createDataFrame([(0.0,), (-0.0,), (1.0,), (NAN,), (None,)], "v double")
+    row = P.schema_profile(df).first()
+    assert (row.n_rows, row.n_null, row.n_distinct) == (5, 1, 3)
+    near = P.near_constant(df).first()
+    assert (near.top_value, near.top_n, near.n_distinct) == ("0.0", 2, 2)
