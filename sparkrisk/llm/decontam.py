@@ -253,11 +253,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     an item under five words is one shingle; items with a NULL id are left out; repeated rows and items are
     reported each. Only the named columns are read, so others cannot clash. Either table empty: no rows.
     """
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
-    found = _found(rows, benchmark, "_text", item_col, item_text, words_each, similarity, radius)
+    found = _found(docs, benchmark, text_col, item_col, item_text, words_each, similarity, radius)
     if not found:
         found = [F.array().cast(MATCH)]
-    parts = [rows.select(F.col(id_col), F.explode(c).alias("m")) for c in found]
+    parts = [docs.select(F.col(id_col), F.explode(c).alias("m")) for c in found]
     return reduce(DataFrame.unionByName, parts).select(F.col(id_col), "m.*")
 
 

@@ -311,7 +311,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     steps = Steps(docs.sparkSession, "dedup")
     cols = docs.columns
     tag = "_row"
-    while tag in cols:
+    while tag in {c.lower() for c in cols}:
         tag += "_"
     rows = steps.keep(docs.withColumn(tag, F.monotonically_increasing_id()))
     found = near_duplicates(rows.select(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col(tag).alias("r")).alias("k"), text_col),
