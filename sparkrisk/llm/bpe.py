@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import chunks
 
-#: Entries of a generation of the memos of encoded words and pieces (two generations are held, so that common
-#: entries outlive a change), and entries after which the memo of token pairs starts anew.
-MEMO_WORDS, MEMO_PAIRS = 300_000, 500_000
+#: Entries of a generation of the memos of encoded words and of pieces (two generations are held while a task
+#: runs, so that common entries outlive a change), and entries after which the memo of token pairs starts anew.
+MEMO_WORDS, MEMO_PIECES, MEMO_PAIRS = 150_000, 75_000, 300_000
 #: Longer words and pieces are encoded each time, so that the memo's bytes stay bounded.
 MEMO_CHARS = 40
 #: A blank beside other white space: there a piece can cross the border between two words.
@@ -205,16 +205,24 @@ class Codec:
         masked = self.newer.sub("\ue000", text)  # a private-use character: no letter, digit or white space
         return [text[m.start():m.end()] for m in self.pattern.finditer(masked)]
 
+    def forget(self) -> None:
+        """Drop the memos' older generations: what a worker holds between tasks."""
+        self._words = self._words[0], {}
+        self._pieces = self._pieces[0], {}
+
     def _encode_pieces(self, text: str) -> list[int]:
+        pieces = self.pieces(text)
+        if len(pieces) == 1:  # a whole word: memoised as such
+            return self.encode_piece(pieces[0].encode("utf-8"))
         (memo, old), out = self._pieces, []
-        for piece in self.pieces(text):
+        for piece in pieces:
             ids = memo.get(piece)
             if ids is None:
                 ids = old.get(piece)
                 if ids is None:
                     ids = tuple(self.encode_piece(piece.encode("utf-8")))
                 if len(piece) <= MEMO_CHARS:
-                    if len(memo) >= MEMO_WORDS:
+                    if len(memo) >= MEMO_PIECES:
                         self._pieces = memo, old = {}, memo
                     memo[piece] = ids
             out += ids
@@ -326,6 +334,7 @@ def token_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
             yield pa.StructArray.from_arrays(
                 [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
                 ["n_tokens", "ids_sha256", "decoded_sha256"])
+        codec.forget()
 
     return (docs.select(F.col(id_col), digests(F.col(text_col)).alias("_d"))
             .select(F.col(id_col), "_d.n_tokens", "_d.ids_sha256", "_d.decoded_sha256"))

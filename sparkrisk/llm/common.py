@@ -16,7 +16,7 @@ from ..session import ensure_checkpoint_dir
 #: Rows up to which a table of a few numbers a row is broadcast (about 100 MB); beyond it joins shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of text that a Python task works on at a time (a longer single text is one chunk).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Labels are learnt from documents whose crc32(doc_id as text) mod FOLDS is not HELD_OUT.
 FOLDS, HELD_OUT = 4, 2
 

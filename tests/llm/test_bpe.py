@@ -40,6 +40,7 @@ def test_small_vocabulary_needs_backtracking():
 
 def test_memos_start_anew(monkeypatch):
     monkeypatch.setattr(bpe, "MEMO_WORDS", 3)
+    monkeypatch.setattr(bpe, "MEMO_PIECES", 3)
     monkeypatch.setattr(bpe, "MEMO_PAIRS", 3)
     codec = bpe.Codec(TOKENS, PATTERN)
     text = "thinking about unthinkable reorderings of seldomly mentioned words, thinking"
