@@ -7,9 +7,10 @@ block for at least one block if the whole is within RADIUS, so no fingerprint in
 Candidates are verified by exact weighted similarity: the multiset Jaccard of the shingles themselves, each
 counted as often as it occurs.
 
-Windows that share no shingle with any item have similarity zero whatever their fingerprint, so only the
-places where a document's shingles touch the benchmark's vocabulary are fingerprinted, at every start there.
-This changes no result and makes the work follow the text's length, not the number of item sizes.
+A similarity of SIMILARITY needs a least number of shared shingles, in whatever order, and a window shares at
+most as many as it has places whose shingle the item has. Windows with fewer such places than that are left
+out before the fingerprint, and no others. This changes no result and makes the work follow the text's length,
+not the number of item sizes.
 
 The benchmark is the stated query set. Its index goes to the tasks in blocks of items of bounded bytes, so a
 large benchmark costs more passes, not more memory.
@@ -17,6 +18,7 @@ large benchmark costs more passes, not more memory.
 
 from __future__ import annotations
 
+import math
 import pickle
 import re
 from collections import Counter
@@ -102,11 +104,8 @@ class Index:
             at = len(self.items)
             self.items.append((item_id, len(words), shingles(words, self.n)))
             prints.append(simhash(codes))
-            places: dict[int, list[int]] = {}
-            for place, code in enumerate(codes.tolist()):
-                places.setdefault(code, []).append(place)
-            for code, own in places.items():
-                by_code.setdefault((n, code), []).append((at, own[0], own[-1]))
+            for code in set(codes.tolist()):
+                by_code.setdefault((n, code), []).append(at)
         self.prints = np.array(prints, np.uint64)
         self.by_code = by_code
         self.sizes = sorted({n for n, _ in by_code})
@@ -139,28 +138,38 @@ class Index:
         return dict(zip(some[near].tolist(), bits[near].tolist()))
 
     def starts(self, n_words: int, codes: np.ndarray, at: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
-        """For each number of words, the window starts at which a similar item could begin.
+        """For each number of words, the window starts at which a similar item could stand.
 
-        A window that is similar enough shares a shingle with the item, so it begins within the edits that
-        the similarity allows of where that shingle puts the item's beginning. ``at`` gets the shingle codes.
+        Multiset Jaccard s of sets of a and b shingles needs s * (a + b) / (1 + s) shared ones, wherever they
+        stand. The places in a window whose shingle an item has are at least the shared ones, so every window
+        with that many places is a start. ``at`` gets the shingle codes.
         """
-        spans: dict[int, list[tuple[int, int]]] = {}
+        spans: dict[int, list[np.ndarray]] = {}
         for n in self.sizes:
             if n_words < n:
                 continue
             at[n] = shingle_codes(codes, n)
+            touched: dict[int, list[int]] = {}
             for place in np.flatnonzero(self.gate[n][at[n] >> np.uint64(44)]).tolist():
-                for item, first, last in self.by_code.get((n, int(at[n][place])), ()):
-                    size = self.items[item][1]
-                    slack = int((1 - self.similarity) * size) + 1
-                    end = max(0, n_words - size)
-                    low, high = place - last - slack, place - first + slack
-                    if low <= end:
-                        spans.setdefault(size, []).append((max(0, low), min(end, max(0, high))))
+                for item in self.by_code.get((n, int(at[n][place])), ()):
+                    touched.setdefault(item, []).append(place)
+            for item, places in touched.items():
+                size = self.items[item][1]
+                width = min(size, n_words) - n + 1  # shingles of a window; the item has size - n + 1
+                need = self.similarity * (width + size - n + 1) / (1 + self.similarity)
+                least = max(1, math.ceil(need - 1e-9 * need))
+                if len(places) < least:
+                    continue
+                where = np.array(places)
+                low = np.maximum(where[least - 1:] - width + 1, 0)
+                high = np.minimum(where[:len(where) - least + 1], max(0, n_words - size))
+                some = low <= high
+                if some.any():
+                    spans.setdefault(size, []).append(np.array([low[some], high[some]]))
         out = {}
         for size, ranges in spans.items():
             edge = np.zeros(n_words + 2, np.int64)
-            low, high = np.array(ranges).T
+            low, high = np.hstack(ranges)
             np.add.at(edge, low, 1)
             np.add.at(edge, high + 1, -1)
             out[size] = np.flatnonzero(np.cumsum(edge) > 0)

@@ -95,3 +95,25 @@ def test_index_survives_pickling():
     block = pickle.dumps(([(1, "a b c d e f g")], D.WORDS_EACH, D.SIMILARITY, D.RADIUS))
     index = D.Index(*pickle.loads(block))
     assert [m[0] for m in index.matches("x a b c d e f g y")] == [1]
+
+
+def test_moved_parts_are_found(spark):
+    """Windows that hold an item's sentences in another order are as similar as their shingles say."""
+    rng = random.Random(8)
+    items = [(i, [f"w{rng.randrange(5000)}" for _ in range(size)]) for i, size in enumerate((60, 60, 61, 90, 48))]
+    docs = []
+    for key, (_, words) in enumerate(items):
+        half = len(words) // 2
+        filler = [f"f{rng.randrange(5000)}" for _ in range(200)]
+        docs.append((key, " ".join(filler[:90] + words[half:] + words[:half] + filler[90:])))
+        third = len(words) // 3
+        docs.append((key + 10, " ".join(words[third:] + words[:third])))
+        docs.append((key + 20, " ".join(words[half:] + words[:half - 3])))  # shorter than the item
+    items = [(i, " ".join(words)) for i, words in items]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    b = spark.createDataFrame(items, "item_id bigint, text string")
+    found = D.contaminated(d, b).collect()
+    got = {(r.doc_id, r.item_id) for r in found}
+    assert got == brute(docs, items) and {(0, 0), (10, 0), (3, 3)} <= got
+    assert next(r for r in found if r.doc_id == 0).first_word == 90
+    assert {r.doc_id for r in D.keep_clean(d, b).collect()} == {k for k, _ in docs} - {k for k, _ in got}
