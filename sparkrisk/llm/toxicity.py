@@ -2,7 +2,8 @@
 
 The kernel of two strings sums, over the common subsequences of ORDER letters that span at most SPAN + 1
 characters, DECAY per skipped character on either side; other characters only widen a gap, so insults with
-inserted or separated letters still match. Landmarks are the words that tell sentences of toxic documents
+inserted or separated letters still match. A character is a code point, and a run of signs, blanks or other
+non-letters, however long, counts as one. Landmarks are the words that tell sentences of toxic documents
 from sentences of clean ones, and frequent words; a linear machine is trained on the kernel's Nystroem map of
 labelled sentences' windows. The decision is linear in the subsequence counts, so after training it collapses
 into one weight per subsequence: scoring a text costs a table lookup per character and gap pattern, exactly
@@ -13,7 +14,9 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -42,13 +45,12 @@ LOOKALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a
 
 
 def _letters() -> np.ndarray:
-    """Code of each byte: 1-26 letters without case, 27-31 for continuation bytes, 0 for everything else."""
+    """Code of each ASCII byte: 1-26 letters without case, 0 for everything else."""
     code = np.zeros(256, np.int32)
     for k in range(26):
         code[ord("a") + k] = code[ord("A") + k] = k + 1
     for sign, letter in LOOKALIKE.items():
         code[ord(sign)] = code[ord(letter)]
-    code[0x80:0xC0] = 27 + np.arange(64) % 5
     return code
 
 
@@ -56,12 +58,40 @@ CODE = _letters()
 PAD = SPAN + WINDOW
 
 
+@cache
+def other_letters() -> np.ndarray:
+    """Code of each code point beyond ASCII: 27-31 for letters of any script, 0 for everything else."""
+    letter = np.fromiter((chr(k).isalpha() for k in range(0x80, sys.maxunicode + 1)), bool)
+    return np.concatenate([np.zeros(0x80, np.int8),
+                           np.where(letter, 27 + np.arange(0x80, sys.maxunicode + 1) % 64 % 5, 0).astype(np.int8)])
+
+
+def places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of UTF-8 texts and their offsets: one place per letter, and one per run of other characters."""
+    code = CODE[data]
+    wide = np.flatnonzero(data >= 0xC0)
+    if len(wide):
+        point = data[wide].astype(np.int64)
+        size = 2 + (point >= 0xE0) + (point >= 0xF0)
+        point &= 0x7F >> size
+        for k in range(1, 4):
+            more = size > k
+            point[more] = point[more] << 6 | data[np.minimum(wide[more] + k, len(data) - 1)] & 0x3F
+        code[wide] = other_letters()[np.minimum(point, sys.maxunicode)]
+        first = np.flatnonzero(data & 0xC0 != 0x80)
+        code, offsets = code[first], np.searchsorted(first, offsets)
+    keep = code != 0
+    keep[1:] |= keep[:-1].copy()
+    keep[offsets[:-1][offsets[:-1] < len(code)]] = True
+    kept = np.flatnonzero(keep)
+    return code[kept], np.searchsorted(kept, offsets)
+
+
 def spread(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Letter codes of the texts with PAD zeros after each, and where each text starts."""
-    n = len(offsets) - 1
-    starts = offsets[:-1] + PAD * np.arange(n)
-    out = np.zeros(int(offsets[-1]) + PAD * n, np.int32)
-    codes = CODE[data]
+    """Codes of the texts with PAD zeros after each, and where each text starts (last: the end)."""
+    codes, offsets = places(data, offsets)
+    starts = offsets + PAD * np.arange(len(offsets))
+    out = np.zeros(int(starts[-1]), np.int32)
     for s, a, b in zip(starts.tolist(), offsets[:-1].tolist(), offsets[1:].tolist()):
         out[s:s + b - a] = codes[a:b]
     return out, starts
@@ -89,11 +119,11 @@ def decayed(table: np.ndarray) -> list[np.ndarray]:
     return [(table * DECAY ** k).astype(np.float32) for k in range(SPAN - ORDER + 2)]
 
 
-def largest(sums: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def largest(sums: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The largest window of each text: windows that begin in it (those in the padding reach the next text)."""
     if not len(sums):
-        return np.zeros(len(starts))
-    bounds = np.column_stack([starts, starts + sizes]).ravel()
+        return np.zeros(len(starts) - 1)
+    bounds = np.column_stack([starts[:-1], starts[1:] - PAD]).ravel()
     return np.maximum(np.maximum.reduceat(sums, bounds)[::2], 0.0)  # an empty text gives its padding's zero
 
 
@@ -101,9 +131,8 @@ def worst_windows(texts: pa.Array, weight: list[np.ndarray]) -> np.ndarray:
     """The largest window sum of each text; 0 for texts without letters."""
     out = []
     for part in chunks(texts):
-        data, offsets = utf8(part)
-        codes, starts = spread(data, offsets)
-        out.append(largest(window_sums(codes, weight), starts, np.diff(offsets)))
+        codes, starts = spread(*utf8(part))
+        out.append(largest(window_sums(codes, weight), starts))
     return np.concatenate(out) if out else np.zeros(0)
 
 
@@ -112,11 +141,21 @@ def worst_windows(texts: pa.Array, weight: list[np.ndarray]) -> np.ndarray:
 Features = tuple[np.ndarray, np.ndarray]
 
 
+def codes_of(text: bytes) -> np.ndarray:
+    data = np.frombuffer(text, np.uint8)
+    return places(data, np.array([0, len(data)]))[0]
+
+
 def features(text: bytes) -> Features:
     """(keys, decayed counts) of the subsequences that start in the first WINDOW characters of ``text``."""
-    codes = CODE[np.frombuffer(text, np.uint8)].tolist() + [0] * SPAN
+    return counted(codes_of(text))
+
+
+def counted(places: np.ndarray) -> Features:
+    """The same of a window's codes."""
+    codes = places.tolist() + [0] * SPAN
     out: dict[int, float] = {}
-    for i in range(min(WINDOW, len(text))):
+    for i in range(min(WINDOW, len(places))):
         if not codes[i]:
             continue
         for gap in GAPS:
@@ -195,20 +234,19 @@ def train(sentences: list[tuple[str, int]], words: list[str], common: list[str])
             low = text.lower()
             for m in re.finditer(r"[^\W\d_]+", low):
                 if m.group() in telling:
-                    piece = low[m.start():m.start() + WINDOW + SPAN]
-                    if piece not in seen and len(good) < MAX_WINDOWS:
-                        seen.add(piece)
-                        good.append(features(piece.encode()))
+                    piece = codes_of(low[m.start():].encode())[:WINDOW + SPAN]
+                    if piece.tobytes() not in seen and len(good) < MAX_WINDOWS:
+                        seen.add(piece.tobytes())
+                        good.append(counted(piece))
     plain = len(good)
     good += [features(s.encode()) for w in words for s in [w, *spoiled(w)]]
-    bad_texts = [t.lower().encode() for t, label in sentences if not label]
+    codes, starts = spread(*utf8(pa.array([t.lower() for t, label in sentences if not label], pa.string())))
+    sizes = np.diff(starts) - PAD
     rng = np.random.default_rng(11)
     bad = []
-    for k in rng.permutation(len(bad_texts))[:MAX_WINDOWS]:
-        t = bad_texts[k]
-        at = int(rng.integers(0, max(1, len(t) - WINDOW)))
-        bad.append(features(t[at:at + WINDOW + SPAN]))
-    arr = pa.array([t.decode("utf-8", "replace") for t in bad_texts], pa.string())
+    for k in rng.permutation(len(sizes))[:MAX_WINDOWS]:
+        at = starts[k] + int(rng.integers(0, max(1, sizes[k] - WINDOW)))
+        bad.append(counted(codes[at:at + WINDOW + SPAN]))
     z_good = kernel(good, landmarks) @ root
     cost_good = np.concatenate([np.full(plain, 1.0), np.full(len(good) - plain, max(0.2, plain / 4 / max(1, len(good) - plain)))])
     cost_good *= 2000 / cost_good.sum()
@@ -223,13 +261,11 @@ def train(sentences: list[tuple[str, int]], words: list[str], common: list[str])
         for (k, v), a in zip(landmarks, alpha):
             table[k] += v * a
         hard = []
-        data, offsets = utf8(arr)
-        codes, starts = spread(data, offsets)
         sums = window_sums(codes, decayed(table))
-        sizes = np.diff(offsets)
-        for k in np.argsort(-largest(sums, starts, sizes), kind="stable")[:1500].tolist():
-            at = int(np.argmax(sums[starts[k]:starts[k] + sizes[k]]))
-            hard.append(features(bad_texts[k][at:at + WINDOW + SPAN]))
+        for k in np.argsort(-largest(sums, starts), kind="stable")[:1500].tolist():
+            if sizes[k]:
+                at = starts[k] + int(np.argmax(sums[starts[k]:starts[k] + sizes[k]]))
+                hard.append(counted(codes[at:at + WINDOW + SPAN]))
         bad += hard
     return table, float(w[-1])
 

@@ -114,3 +114,42 @@ def test_query(spark):
     toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     held = [r for r in rows if r.held_out and r.doc_id in toxic and r.doc_id in english]
     assert np.mean([r.predicted == toxic[r.doc_id] for r in held]) > 0.9
+
+
+SEPARATORS = ["\u00b7", "\u00ad", "\u200b", "\u0336", "--", " - ", "\u200b\u200d", "\U0001f600", " \u2022\u2022 "]
+
+
+@pytest.mark.parametrize("sign", SEPARATORS)
+def test_separators_of_any_width_stay_in_the_span(sign):
+    """A run of non-letters is one skipped character, however many bytes or signs it has."""
+    table = np.zeros(1 << (5 * T.ORDER))
+    k, v = T.features(b"scoundrel")
+    table[k] += v
+    weight = T.decayed(table)
+    got, one = T.worst_windows(pa.array(["you " + sign.join("scoundrel") + " there", "you " + ".".join("scoundrel") + " there"]), weight)
+    assert got == pytest.approx(one) and got > 0
+    assert T.features(sign.join("idiot").encode())[0].tolist() == T.features(b"i.d.i.o.t")[0].tolist() != []
+
+
+def test_characters_not_bytes_are_counted():
+    """Letters of several bytes are one character, alone and as inserted letters, and texts stay apart."""
+    for word in ("\u0434\u0443\u0440\u0430\u043a", "\u0e01\u0e02\u0e04\u0e07", "\u00e9\u00e8\u00ea\u00eb"):
+        plain, gapped = T.features(word.encode()), T.features("\u00b7".join(word).encode())
+        assert len(plain[0]) and set(plain[0].tolist()) >= set(gapped[0].tolist()) != set()
+    keys = T.features(b"idio")[0].tolist()
+    assert set(keys) <= set(T.features("\u4f60".join("idio").encode())[0].tolist())
+    texts = ["a\u00b7", "\u00b7b", "", None, "--x--\u00e9", "\U0001f600"]
+    data, offsets = T.utf8(pa.array(texts, pa.string()))
+    codes, starts = T.spread(data, offsets)
+    assert (np.diff(starts) - T.PAD).tolist() == [2, 2, 0, 0, 4, 1]
+    assert [codes[s:e - T.PAD].tolist() for s, e in zip(starts, starts[1:])] == [[1, 0], [0, 2], [], [], [0, 24, 0, 27 + 0xe9 % 64 % 5], [0]]
+
+
+def test_separated_insults_score_as_toxic(spark, fitted):
+    """Insults with separators of several bytes or signs are found in whole texts."""
+    clean = "therti onanes and the ertist was here. "
+    hard = [clean + s.join(w) + " tieson" for w in INSULTS for s in SEPARATORS]
+    rows = T.scores(spark.createDataFrame(list(enumerate(hard)), "doc_id bigint, text string"), fitted[2]).collect()
+    assert sum(r.predicted for r in rows) >= len(hard) - len(SEPARATORS)
+    calm = T.scores(spark.createDataFrame([(1, clean * 200)], "doc_id bigint, text string"), fitted[2]).first()
+    assert calm.predicted == 0
