@@ -34,9 +34,9 @@ WINDOW = 12
 MAX_DOCS, MAX_SENTENCES, LANDMARKS = {1: 3000, 0: 6000}, {1: 5000, 0: 20_000}, 64
 #: Windows of each class that a machine starts from.
 MAX_WINDOWS = 4000
-#: Longest sentence that is trained on (characters); scoring has no such bound.
+#: Characters of the pieces that longer sentences are cut into for training; scoring has no such bound.
 TRAIN_CHARS = 1000
-#: Least G statistic of a landmark word, and shrinkage of the machine.
+#: G statistic of a sure landmark word (the best others stand in where no word reaches it), and shrinkage of the machine.
 LEAST_G, RIDGE = 25.0, 1e-3
 
 GAPS = [g for g in combinations(range(1, SPAN + 1), ORDER - 1)]
@@ -324,15 +324,22 @@ class Model:
 
 
 def _sentences(rows: DataFrame) -> DataFrame:
-    """(y, s): distinct sentences of the labelled texts; copies count once."""
+    """(y, s): distinct sentences of the labelled texts, long ones in pieces; copies count once."""
     parts = F.explode(F.split(F.coalesce("text", F.lit("")), r"[.!?\n]+"))
+    cut = F.lit(rf"(?s).{{1,{TRAIN_CHARS - 1}}}(?:\s|$)|.{{1,{TRAIN_CHARS}}}")  # behind a blank if there is one
+    pieces = F.when(F.length("s") <= TRAIN_CHARS, F.array("s")).otherwise(F.regexp_extract_all("s", cut, F.lit(0)))
     return (rows.select("y", parts.alias("s")).withColumn("s", F.trim("s"))
-            .where((F.length("s") > 0) & (F.length("s") <= TRAIN_CHARS)).distinct())
+            .select("y", F.explode(pieces).alias("s")).withColumn("s", F.trim("s"))
+            .where(F.length("s") > 0).distinct())
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic") -> Model | None:
-    """Train on labelled documents outside the held-out fold; None without documents of both classes.
+    """Train on labelled documents outside the held-out fold.
+
+    None, and so scores of 0, without documents and sentences of both classes, or if no word of ORDER letters
+    or more is in a larger share of the toxic sentences than of the others. Where no word is sure (few or
+    mostly copied toxic sentences), the best ones by G are the landmarks.
 
     The sample is bounded by MAX_DOCS per class, in order of a hash of the id; ids with differing labels and
     NULL ids or labels are left out. Word statistics over its sentences are a Spark aggregate; bounded
@@ -363,8 +370,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             return None
         e1, e0 = (F.col("a") + F.col("b")) * n1 / (n1 + n0), (F.col("a") + F.col("b")) * n0 / (n1 + n0)
         g = 2 * (F.col("a") * F.log(F.col("a") / e1) + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / e0)).otherwise(0))
-        telling = (counts.where((F.col("a") >= 3) & (F.col("a") * n0 > 6 * F.col("b") * n1)).withColumn("g", g)
-                   .where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "w").limit(LANDMARKS).collect())
+        sure = (F.col("a") >= 3) & (F.col("a") * n0 > 6 * F.col("b") * n1) & (F.col("g") >= LEAST_G)
+        over = (counts.where((F.col("a") > 0) & (F.col("a") * n0 > F.col("b") * n1)).withColumn("g", g)
+                .withColumn("sure", sure).orderBy(F.desc("sure"), F.desc("g"), "w").limit(LANDMARKS).collect())
+        telling = [r for r in over if r["sure"]] or over
         if not telling:
             return None
         common = counts.where("b > 0").orderBy(F.desc("b"), "w").limit(LANDMARKS).collect()

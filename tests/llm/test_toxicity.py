@@ -153,3 +153,32 @@ def test_separated_insults_score_as_toxic(spark, fitted):
     assert sum(r.predicted for r in rows) >= len(hard) - len(SEPARATORS)
     calm = T.scores(spark.createDataFrame([(1, clean * 200)], "doc_id bigint, text string"), fitted[2]).first()
     assert calm.predicted == 0
+
+
+def small_corpus(toxic_texts, n=60):
+    docs, _ = corpus(n * 5, seed=9)
+    clean = [t for k, (_, t) in enumerate(docs) if k % 5]
+    texts = [(t, 1) for t in toxic_texts] + [(t, 0) for t in clean]
+    return [(i, t) for i, (t, _) in enumerate(texts)], [(i, 1, y) for i, (_, y) in enumerate(texts)]
+
+
+@pytest.mark.parametrize("toxic", [
+    ["theres an grumblefool here. "] * 20,  # copies of one sentence
+    ["the onest thanes are grumblefool erti" + " onti erres stesan" * 80 + f" there{i}" for i in range(20)],  # only long sentences
+])
+def test_few_or_long_toxic_sentences_still_give_a_model(spark, toxic):
+    docs, labels = small_corpus(toxic)
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    model = T.fit(d, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    assert model is not None
+    kept = {r.doc_id for r in T.keep_civil(d, model).collect()}
+    assert not kept & {i for i, _, y in labels if y}
+    assert len(kept) > 0.9 * sum(1 - y for _, _, y in labels)
+
+
+def test_long_sentences_are_cut_whole(spark):
+    words = [f"w{i}" for i in range(900)]
+    rows = spark.createDataFrame([(1, " ".join(words) + ". short one"), (0, "x" * 2500)], "y int, text string")
+    out = T._sentences(rows).collect()
+    assert all(len(r.s) <= T.TRAIN_CHARS for r in out) and sum(len(r.s) for r in out if not r.y) == 1500
+    assert {w for r in out if r.y for w in r.s.split()} == {*words, "short", "one"}
