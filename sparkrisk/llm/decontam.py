@@ -91,7 +91,7 @@ def near_values(bits: int, radius: int) -> list[int]:
 class Index:
     """Items (id, text), their fingerprints in a multi-index, and where their shingles lead."""
 
-    def __init__(self, items: list[tuple[int, str]], words_each: int, similarity: float, radius: int):
+    def __init__(self, items: list[tuple[int | None, str]], words_each: int, similarity: float, radius: int):
         self.n, self.similarity, self.radius = words_each, similarity, radius
         self.items = []
         prints, by_code = [], {}
@@ -175,7 +175,7 @@ class Index:
             out[size] = np.flatnonzero(np.cumsum(edge) > 0)
         return out
 
-    def matches(self, text: str) -> list[tuple[int, float, int, int, int]]:
+    def matches(self, text: str) -> list[tuple[int | None, float, int, int, int]]:
         """(item id, similarity, differing bits, first word, words) of each item found: its best window."""
         words = words_of(text)
         if not words:
@@ -196,14 +196,15 @@ class Index:
                     s = weighted_jaccard(own, self.items[i][2])
                     if s >= self.similarity and (i not in best or s > best[i][0]):
                         best[i] = s, bits, start, min(size, len(words) - start)
-        return sorted((self.items[i][0], *b) for i, b in best.items())
+        return sorted(((self.items[i][0], *b) for i, b in best.items()),
+                      key=lambda m: (m[0] is None, m[0] or 0, *m[1:]))
 
 
-def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
+def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int | None, str]]]:
     """Blocks of items of bounded characters; the driver holds one at a time."""
     block, size = [], 0
     for item_id, text in (benchmark.select(F.col(item_col).cast("bigint"), F.col(text_col))
-                          .where(F.col(text_col).isNotNull() & F.col(item_col).isNotNull()).toLocalIterator()):
+                          .where(F.col(text_col).isNotNull()).toLocalIterator()):
         if block and size + len(text) > INDEX_CHARS:
             yield block
             block, size = [], 0
@@ -259,8 +260,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row per input row and benchmark item found in it: id, item_id, similarity, hamming, first_word, n_words.
 
     The best window of each item counts; of equals the first. NULL and empty texts and items match nothing;
-    an item under five words is one shingle; items with a NULL id are left out; repeated rows and items are
-    reported each. Only the named columns are read, so others cannot clash. Either table empty: no rows.
+    an item under five words is one shingle; items with a NULL id are reported with it; repeated rows and items
+    are reported each. Only the named columns are read, so others cannot clash. Either table empty: no rows.
     """
     found = _found(docs, benchmark, text_col, item_col, item_text, words_each, similarity, radius)
     if not found:

@@ -117,3 +117,11 @@ def test_moved_parts_are_found(spark):
     assert got == brute(docs, items) and {(0, 0), (10, 0), (3, 3)} <= got
     assert next(r for r in found if r.doc_id == 0).first_word == 90
     assert {r.doc_id for r in D.keep_clean(d, b).collect()} == {k for k, _ in docs} - {k for k, _ in got}
+
+
+def test_items_without_an_id_count(spark):
+    text = "alpha beta gamma delta eps zeta eta theta"
+    d = spark.createDataFrame([(1, "so " + text + " it goes"), (2, "nothing of the kind in here at all")], "doc_id bigint, text string")
+    b = spark.createDataFrame([(None, text), (None, text), (7, text)], "item_id bigint, text string")
+    assert [r.doc_id for r in D.keep_clean(d, b).collect()] == [2]
+    assert [(r.doc_id, r.item_id) for r in D.contaminated(d, b).collect()] == [(1, 7), (1, None), (1, None)]
