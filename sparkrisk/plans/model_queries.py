@@ -327,11 +327,11 @@ SELECT o_orderkey, {_GAP} AS was_gap, CASE WHEN {_GAP} THEN NULL ELSE o_orderpri
 def _fill_check(spark, d, filled: DataFrame) -> DataFrame:
     """Per order: was it a gap, the known value as it came back, and is the value now one that was observed."""
     before = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderpriority") == PRIORITY_SENTINEL).alias("was_gap"))
-    seen = [r[0] for r in table(spark, d, "orders").where(F.col("o_orderpriority") != PRIORITY_SENTINEL)
-            .select("o_orderpriority").distinct().orderBy("o_orderpriority").limit(100).collect()]
-    return (filled.join(before, "o_orderkey")
+    seen = (table(spark, d, "orders").where(F.col("o_orderpriority") != PRIORITY_SENTINEL)
+            .select(F.col("o_orderpriority").alias("seen")).distinct())
+    return (filled.join(before, "o_orderkey").join(seen, F.col("o_orderpriority") == F.col("seen"), "left")
             .select("o_orderkey", "was_gap", F.when(~F.col("was_gap"), F.col("o_orderpriority")).alias("known_value"),
-                    F.coalesce(F.col("o_orderpriority").isin(seen), F.lit(False)).alias("filled_with_observed")))
+                    F.col("seen").isNotNull().alias("filled_with_observed")))
 
 
 @register("imp2_fill_check", _FILL_SQL)
