@@ -10,16 +10,20 @@ links are counted per pair of hosts before they move, and each round is one join
 from __future__ import annotations
 
 import string
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Steps, small_side
 
-#: Share of rank that follows links; rounds at most; total change (as a share of the seeds) that ends them.
-DAMPING, MAX_ROUNDS, TOLERANCE = 0.85, 30, 1e-4
+#: Share of rank that follows links; total change (as a share of the seeds) that ends the rounds; rounds by which
+#: it must be reached (a round shrinks the change to DAMPING of it at least, so 61 do).
+DAMPING, TOLERANCE, MAX_ROUNDS = 0.85, 1e-4, 200
 #: A host is blocked if its distrust is over this many times its trust.
 RATIO = 2.0
+#: Share of a host's rank by which distrust must outweigh, so that sums in another order cannot tip a balance.
+EPSILON = 1e-9
 #: Fixed values of the contract: (verdict, host, path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -65,7 +69,8 @@ def host_ranks(seeds: DataFrame, links: DataFrame, steps: Steps) -> DataFrame:
     """(host, trust, distrust): personalised PageRank of ``seeds`` (host, good, bad) forward and reversed.
 
     Rank that reaches a host without onward links returns to the seeds, so each kind keeps its seeds' total.
-    Each round is written to shared storage; the one before is deleted.
+    Each round is written to shared storage; the one before is deleted. Rounds end when the tolerance holds and
+    no host gets its first rank any more, however far it is from the seeds.
     """
     out = links.groupBy("source").agg(F.sum("links").alias("all"))
     back = links.groupBy("target").agg(F.sum("links").alias("all"))
@@ -81,7 +86,7 @@ def host_ranks(seeds: DataFrame, links: DataFrame, steps: Steps) -> DataFrame:
     if not moves.head(1):
         return now
     old = ""
-    for _ in range(MAX_ROUNDS):
+    for made in count(1):
         moved = steps.keep(
             moves.join(now, moves["from"] == now["host"]).groupBy(F.col("to").alias("host"))
             .agg(F.sum(F.col("forward") * F.col("trust")).alias("t"), F.sum(F.col("reverse") * F.col("distrust")).alias("b")))
@@ -99,14 +104,18 @@ def host_ranks(seeds: DataFrame, links: DataFrame, steps: Steps) -> DataFrame:
         new_path = steps.last
         change = new.join(now.select("host", F.col("trust").alias("t0"), F.col("distrust").alias("b0")), "host", "left").agg(
             F.sum(F.abs(F.col("trust") - F.coalesce("t0", F.lit(0.0)))),
-            F.sum(F.abs(F.col("distrust") - F.coalesce("b0", F.lit(0.0))))).first()
+            F.sum(F.abs(F.col("distrust") - F.coalesce("b0", F.lit(0.0)))),
+            F.count_if(((F.col("trust") > 0) & (F.coalesce("t0", F.lit(0.0)) == 0))
+                       | ((F.col("distrust") > 0) & (F.coalesce("b0", F.lit(0.0)) == 0)))).first()
         steps.drop(moved_path)
         if old:
             steps.drop(old)
         now, old = new, new_path
-        if (change[0] or 0.0) <= TOLERANCE * good and (change[1] or 0.0) <= TOLERANCE * bad:
-            break
-    return now
+        settled = (change[0] or 0.0) <= TOLERANCE * good and (change[1] or 0.0) <= TOLERANCE * bad
+        if settled and not change[2]:
+            return now
+        if not settled and made >= MAX_ROUNDS:
+            raise RuntimeError(f"host ranks still change by {change[0]}, {change[1]} after {made} rounds")
 
 
 def judge(pages: DataFrame, rules=RULES, page_col: str = "page_id", url_col: str = "url",
@@ -126,8 +135,8 @@ def judge(pages: DataFrame, rules=RULES, page_col: str = "page_id", url_col: str
         F.count_if(F.col("ruled") == "allow").alias("good"), F.count_if(F.col("ruled") == "block").alias("bad")))
     links = steps.keep(host_links(pages, url_col, html_col))
     ranks = host_ranks(seeds, links, steps)
-    # rounded, so that sums in another order cannot tip an exact balance
-    blocked = ranks.where(F.round("distrust", 6) > RATIO * F.round("trust", 6)).select(F.col("host").alias("bad_host"))
+    over = F.col("distrust") - RATIO * F.col("trust")
+    blocked = ranks.where(over > EPSILON * (F.col("distrust") + F.col("trust"))).select(F.col("host").alias("bad_host"))
     known = small_side(blocked)
     return (rows.join(known, rows["host"] == known["bad_host"], "left")
             .select(page_col, "host", "path", "rule",

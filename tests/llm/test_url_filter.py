@@ -102,3 +102,28 @@ def test_query_equals_brute_force(spark):
         host, path, rule, verdict = want[r.page_id]
         by_host = "block" if round(bad.get(host, 0), 6) > U.RATIO * round(good.get(host, 0), 6) else "allow"
         assert tuple(r)[1:] == (host, path, rule, verdict or by_host)
+
+
+def test_thinly_spread_distrust_blocks(spark, monkeypatch):
+    """A host with distrust only is blocked, however many hosts link to the blocked one."""
+    monkeypatch.setattr(U, "TOLERANCE", 0.5)  # the verdict does not hang on the rounds here
+    n = 400_000
+    pages = spark.createDataFrame([(0, "http://bad.com/de/", ""), (1, "http://few.net/", "<a href=http://bad.com>"),
+                                   (2, "http://many.net/", "<a href=http://bad.com>" * n)], "page_id bigint, url string, html string")
+    assert {r.page_id: r.verdict for r in U.judge(pages).collect()} == {0: "block", 1: "block", 2: "block"}
+
+
+def test_ranks_reach_every_linked_host(spark, monkeypatch):
+    """Hosts further from the seeds than the tolerance needs rounds get a rank; no tolerance, no result."""
+    monkeypatch.setattr(U, "TOLERANCE", 0.5)
+    seeds = spark.createDataFrame([("h0", 0, 1)], "host string, good bigint, bad bigint")
+    links = spark.createDataFrame([(f"h{i + 1}", f"h{i}", 1) for i in range(12)], "source string, target string, links bigint")
+    out = {r.host: r.distrust for r in U.host_ranks(seeds, links, Steps(spark, "far")).collect()}
+    assert len(out) == 13 and all(v > 0 for v in out.values())
+    monkeypatch.setattr(U, "TOLERANCE", 0.0)
+    monkeypatch.setattr(U, "MAX_ROUNDS", 3)
+    try:
+        U.host_ranks(seeds, links, Steps(spark, "never"))
+        raise AssertionError("no error")
+    except RuntimeError as e:
+        assert "after 3 rounds" in str(e)
