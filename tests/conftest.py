@@ -6,9 +6,6 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-SF001 = "/root/testdata/sf0.001"
-SF01 = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -16,9 +13,3 @@ def spark():
     s = local_session(4, shuffle_partitions=8, app="sparkrisk-tests")
     yield s
     s.stop()
-
-
-def rows(df, *cols):
-    """Sorted list of tuples for order-insensitive comparison."""
-    sel = df.select(*cols) if cols else df
-    return sorted((tuple(r) for r in sel.collect()), key=lambda t: tuple((v is None, str(v)) for v in t))

@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from conftest import SF001, rows
+from helpers import SF001, rows
 from sparkrisk.operators import models as M
 from sparkrisk.sources import io
 from sparkrisk.streaming.scoring import score_stream, write_predictions

@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SF001
+from helpers import SF001
 from sparkrisk.plans import model_queries  # noqa: F401  (registers model queries)
 from sparkrisk.plans.registry import ORACLE_SQL, QUERIES
 

@@ -5,7 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from sparkrisk.functions import scalar as S
 from sparkrisk.operators import profile as P
 from sparkrisk.operators import shape as SH

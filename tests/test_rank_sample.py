@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from sparkrisk.functions.rank import fold_of, seeded_md5, shuffle_rank
 from sparkrisk.operators import sample as SM
 
