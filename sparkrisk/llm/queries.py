@@ -8,8 +8,8 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (bpe, chat, decontam, licenses, quality_classifier, quality_rules, simhash, toxicity, url_filter,
-               warc)
+from . import (bpe, chat, decontam, licenses, periodic_runs, quality_classifier, quality_rules, simhash, toxicity,
+               url_filter, warc)
 from .common import let_workers_import
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,3 +135,9 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences found in every document."""
     return licenses.found_licenses(read(spark, sf_dir, "documents"))
+
+
+@register
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, and its words without the repeats."""
+    return periodic_runs.run_digests(read(spark, sf_dir, "documents"))
