@@ -8,8 +8,8 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (bpe, chat, decontam, lexical_search, licenses, periodic_runs, quality_classifier, quality_rules, simhash,
-               toxicity, url_filter, warc)
+from . import (bpe, chat, decontam, lexical_search, licenses, ngram_join, periodic_runs, quality_classifier,
+               quality_rules, simhash, toxicity, url_filter, warc)
 from .common import let_workers_import
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -171,3 +171,9 @@ items AS (
 )
 SELECT item_id, rank, doc_id, score FROM best WHERE rank <= 10
 """
+
+
+@register
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle set size and component of every document, by Jaccard similarity."""
+    return ngram_join.similar_documents(read(spark, sf_dir, "documents"))

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.01"
 
 def test_one_query_per_operator():
     names = [n for n in __spark_entry__.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 13))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14))
     assert "pipeline" in __spark_entry__.queries()
     assert set(ORACLE_SQL) <= set(__spark_entry__.oracle_sql())
 
