@@ -58,11 +58,32 @@ def confusion_stats(df: DataFrame, pred: str, truth: str, positive,
     base = _grouped(df.where(t.isNotNull() & p.isNotNull()), by).agg(
         F.count_if(pos_t & pos_p).alias("tp"), F.count_if(~pos_t & pos_p).alias("fp"),
         F.count_if(pos_t & ~pos_p).alias("fn"), F.count_if(~pos_t & ~pos_p).alias("tn"))
-    keys = [] if by is None else ([by] if isinstance(by, str) else list(by))
+    return _two_class(base, [] if by is None else ([by] if isinstance(by, str) else list(by)))
+
+
+def counted_stats(counts: DataFrame, positive, by: Sequence[str] = ()) -> DataFrame:
+    """:func:`confusion_stats` from counts (truth, prediction, n), as the forests and machines give them."""
+    t, p = F.col("truth") == F.lit(positive), F.col("prediction") == F.lit(positive)
+
+    def n(cond: Column) -> Column:
+        return F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).cast("bigint")
+
+    base = counts.groupBy(*by).agg(n(t & p).alias("tp"), n(~t & p).alias("fp"), n(t & ~p).alias("fn"), n(~t & ~p).alias("tn"))
+    return _two_class(base, list(by))
+
+
+def counted_recall(counts: DataFrame, relevant, by: Sequence[str] = ()) -> DataFrame:
+    """:func:`recall` from counts (truth, prediction, n)."""
+    stats_ = counted_stats(counts, relevant, by)
+    return stats_.select(*by, "tp", "fn", F.col("sensitivity").alias("recall"))
+
+
+def _two_class(base: DataFrame, keys: list[str]) -> DataFrame:
+    """The statistics of rows with the four counts tp, fp, fn, tn."""
     tp, fp, fn, tn = (F.col(x).cast("double") for x in ("tp", "fp", "fn", "tn"))
     n = tp + fp + fn + tn
-    acc = (tp + tn) / n
-    pe = ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / (n * n)
+    acc = F.try_divide(tp + tn, n)
+    pe = F.try_divide((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn), n * n)
     sens = F.try_divide(tp, tp + fn)
     spec = F.try_divide(tn, tn + fp)
     return base.select(
@@ -71,10 +92,10 @@ def confusion_stats(df: DataFrame, pred: str, truth: str, positive,
         F.try_divide(acc - pe, 1 - pe).alias("kappa"),
         sens.alias("sensitivity"), spec.alias("specificity"),
         F.try_divide(tp, tp + fp).alias("ppv"), F.try_divide(tn, tn + fn).alias("npv"),
-        ((tp + fn) / n).alias("prevalence"), (tp / n).alias("detection_rate"),
-        ((tp + fp) / n).alias("detection_prevalence"),
+        F.try_divide(tp + fn, n).alias("prevalence"), F.try_divide(tp, n).alias("detection_rate"),
+        F.try_divide(tp + fp, n).alias("detection_prevalence"),
         ((sens + spec) / 2).alias("balanced_accuracy"),
-        (F.greatest(tp + fn, fp + tn) / n).alias("no_information_rate"))
+        F.try_divide(F.greatest(tp + fn, fp + tn), n).alias("no_information_rate"))
 
 
 def confusion_tests(tp: int, fp: int, fn: int, tn: int, conf: float = 0.95) -> dict:

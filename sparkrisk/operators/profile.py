@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import collect_bounded, cut_lineage
+from .radix import rank_values
 
 FLOAT_TYPES = ("double", "float")
 NUMERIC_TYPES = ("double", "float", "int", "bigint", "smallint", "tinyint")
@@ -156,12 +157,6 @@ def drop_sparse(df: DataFrame, threshold: float = 0.5, sentinel: str | None = "?
 
 
 # AGG7 / AGG9 ------------------------------------------------------------------
-SKETCH_ACCURACY = 10_000      # least GK accuracy: rank error <= rows / accuracy
-ACCURACY_MAX = 100_000        # most GK accuracy: a sketch stays a few MB per column and task
-BRACKET_MAX = 1_000_000       # values collected for one target in the last round, at most about this many
-MAX_ROUNDS = 8
-
-
 def _quantile_targets(n: int, p: float) -> tuple[float, int, int]:
     """(position p * (n - 1), the ranks below and above it), 0-based."""
     pos = p * (n - 1)
@@ -186,98 +181,17 @@ def quantile_values(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                     counts: dict[str, int] | None = None) -> tuple[dict, set]:
     """({(column, p): value}, columns that need the sorted fallback).
 
-    Aggregate passes only, no shuffle of the data. Each needed rank k keeps an
-    open range known to hold it and the exact count of values before the range.
-    A round is two aggregates over all targets at once:
-
-    1. a mergeable GK sketch of the values in the range brackets rank k
-       between two sketch values lo <= hi (accuracy between SKETCH_ACCURACY and
-       ACCURACY_MAX, so a sketch stays small per task);
-    2. exact counts below lo, at lo, strictly between, and at hi; the values
-       strictly between are collected only when the sketch bounds them to about
-       BRACKET_MAX, otherwise (lo, hi) becomes the next round's range.
-
-    A hot value sits on a bracket edge and is counted, never collected. At
-    10^12 rows two rounds suffice. Every answer is read off exact counts; a
-    bracket that misses its rank (the sketch guarantee failed) sends the
-    column to :func:`exact_quantiles_sorted`.
+    Every needed rank of every column is found by radix selection (:mod:`.radix`): passes of fixed-size digit counts, no
+    sort, no list of values and no sketch; at most one row a rank and pass reaches the driver.
     """
     cols = list(cols)
     probs = [float(p) for p in probs]
-    vals = {c: _as_value(df, c).cast("double") for c in cols}
     if counts is None:
-        first = df.agg(*[F.count(vals[c]).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+        first = df.agg(*[F.count(_as_value(df, c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
         counts = {c: first[f"n{i}"] for i, c in enumerate(cols)}
-    # target state: [column, rank k, lo, hi, values before the range, values in the range]
-    open_targets = [[c, k, None, None, 0, counts[c]]
-                    for c in cols if counts[c]
-                    for k in sorted({r for p in probs for r in _quantile_targets(counts[c], p)[1:]})]
-    found, failed = {}, set()
-    for _ in range(MAX_ROUNDS):
-        open_targets = [t for t in open_targets if t[0] not in failed]
-        if not open_targets:
-            break
-
-        def in_range(t):
-            v, cond = vals[t[0]], vals[t[0]].isNotNull()
-            if t[2] is not None:
-                cond = cond & (v > F.lit(t[2]))
-            if t[3] is not None:
-                cond = cond & (v < F.lit(t[3]))
-            return cond
-
-        # one sketch per (column, range): targets sharing it ask for all their probabilities at once
-        groups: dict = {}
-        plans, where = [], []
-        for j, t in enumerate(open_targets):
-            r, m = t[1] - t[4], t[5]
-            accuracy = min(ACCURACY_MAX, max(SKETCH_ACCURACY, -(-m // BRACKET_MAX)))
-            eps = 1.0 / accuracy
-            p_lo, p_hi = max(0.0, r / m - 3 * eps - 1.0 / m), min(1.0, (r + 1) / m + 3 * eps + 1.0 / m)
-            plans.append(m * (p_hi - p_lo + 2 * eps) + 2 <= BRACKET_MAX)       # collect this round?
-            key = (t[0], t[2], t[3])
-            g = groups.setdefault(key, {"t": t, "acc": accuracy, "ps": []})
-            where.append((list(groups).index(key), len(g["ps"])))      # (sketch, offset of this target)
-            g["ps"] += [p_lo, p_hi]
-        sketch = [F.percentile_approx(F.when(in_range(g["t"]), vals[key[0]]), g["ps"], g["acc"]).alias(f"s{i}")
-                  for i, (key, g) in enumerate(groups.items())]
-        sk = df.agg(*sketch).first()
-        aggs = []
-        for j, t in enumerate(open_targets):
-            gi, off = where[j]
-            lo, hi = sk[f"s{gi}"][off], sk[f"s{gi}"][off + 1]
-            t.append((lo, hi))
-            v, rng = vals[t[0]], in_range(t)
-            aggs += [F.count_if(rng & (v < F.lit(lo))).alias(f"b{j}"), F.count_if(rng & (v == F.lit(lo))).alias(f"l{j}"),
-                     F.count_if(rng & (v == F.lit(hi))).alias(f"h{j}"),
-                     F.count_if(rng & (v > F.lit(lo)) & (v < F.lit(hi))).alias(f"i{j}")]
-            if plans[j]:
-                aggs.append(F.sort_array(F.collect_list(F.when(rng & (v > F.lit(lo)) & (v < F.lit(hi)), v)))
-                            .alias(f"m{j}"))
-        counted = df.agg(*aggs).first()
-        still = []
-        for j, t in enumerate(open_targets):
-            c, k = t[0], t[1]
-            lo, hi = t.pop()
-            below, at_lo, at_hi, inside = (counted[f"{x}{j}"] for x in "blhi")
-            if hi == lo:
-                at_hi = 0
-            r = k - t[4] - below
-            if r < 0:
-                failed.add(c)
-            elif r < at_lo:
-                found[(c, k)] = lo
-            elif r - at_lo < inside:
-                if plans[j]:
-                    found[(c, k)] = counted[f"m{j}"][r - at_lo]
-                else:                      # narrow: the next round searches (lo, hi)
-                    still.append([c, k, lo, hi, t[4] + below + at_lo, inside])
-            elif r - at_lo - inside < at_hi:
-                found[(c, k)] = hi
-            else:
-                failed.add(c)
-        open_targets = still
-    failed |= {t[0] for t in open_targets}
+    ranks = {c: sorted({r for p in probs for r in _quantile_targets(counts[c], p)[1:]}) if counts[c] else [] for c in cols}
+    found = rank_values(df, ranks)
+    failed = {c for c in cols if any((c, r) not in found for r in ranks[c])}  # rows that changed between the passes
     values = {}
     for c in cols:
         n = counts[c]
@@ -337,8 +251,8 @@ def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None, exact: boo
                     probs: Sequence[float] = (0.25, 0.5, 0.75), digits: int | None = None) -> DataFrame:
     """count, mean, sample std, min, quartiles, max per numeric column (describe()).
 
-    NaN counts as missing. One moments aggregate, then (exact) the two
-    quantile passes of :func:`quantile_values`; ``exact=False`` adds the GK
+    NaN counts as missing. One moments aggregate, then (exact) the radix
+    passes of :func:`quantile_values`; ``exact=False`` adds the GK
     sketch to the moments aggregate instead (a single pass). One row per
     column comes back; nothing row-sized reaches the driver.
     """

@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..operators import ensembles as EN
 from ..operators import evaluate as E
+from ..operators import forest as H
 from ..operators import impute as IM
 from ..operators import models as M
 from ..operators import sample as SM
@@ -68,8 +70,8 @@ def _recall(scored: DataFrame, pred: str = "predicted", by: str | None = None) -
     return out.withColumnRenamed("split", "part") if by == "split" else out
 
 
-def _cv_recall(scored: DataFrame, by: str | None = None) -> DataFrame:
-    return _recall(scored, by=by)
+def _cv_stats(scored: DataFrame, by: str | None = None) -> DataFrame:
+    return _stats(scored, by=by)
 
 
 def _split_data(spark, d) -> DataFrame:
@@ -90,30 +92,32 @@ def _rf(train: DataFrame, numeric=NUMERIC, categorical=CATEGORICAL, trees=TREES)
 # MDL1 + MDL11 + SMP2 + SMP5 + FLT3 + EVL1 --------------------------------------
 @register("mdl1_random_forest_cv")
 def mdl1_random_forest_cv(spark, d):
+    """Recall of a forest per fold, down-sampled inside each; the five forests grow together."""
     data = cut_lineage(SM.assign_folds(lineitem_labelled(spark, d), LINEITEM_KEY, FOLDS, SEED))
-    return E.cross_validate(
-        data, FOLDS,
-        fit=_rf,
-        predict=lambda m, df: M.score(m, df),
-        metrics=_cv_recall,
-        rebalance=lambda df: SM.down_sample(df, LABEL, LINEITEM_KEY, SEED))
+    counts = EN.cross_validate_forests(data, LABEL, LINEITEM_KEY, NUMERIC, CATEGORICAL, FOLDS, [MTRY], TREES, DEPTH,
+                                       class_weights=CLASS_WEIGHTS, seed=SEED)
+    return sig_all(E.counted_recall(counts, POSITIVE, ["fold", "part"]))
 
 
 # MDL3 / SRT3 ---------------------------------------------------------------------
 @register("mdl3_feature_importance")
 def mdl3_feature_importance(spark, d):
+    """(feature, importance, rank) of the final forest on the down-sampled rows."""
     data = SM.down_sample(lineitem_labelled(spark, d), LABEL, LINEITEM_KEY, SEED)
-    model = _rf(data)
-    return sig_all(M.feature_importance(model, data))
+    _, grown = EN.final_forest(data, LABEL, LINEITEM_KEY, NUMERIC, CATEGORICAL, MTRY, TREES, DEPTH, class_weights=CLASS_WEIGHTS, seed=SEED)
+    rows = [(f, v, i + 1) for i, (f, v) in enumerate(H.importances(grown))]
+    return sig_all(spark.createDataFrame(rows, "feature string, importance double, rank int"))
 
 
 # MDL4 + EVL2 ---------------------------------------------------------------------
 @register("mdl4_decision_tree")
 def mdl4_decision_tree(spark, d):
+    """The gain-ratio tree, pruned; statistics of both parts of the split."""
     data = _split_data(spark, d)
-    train = data.where(F.col("split") == "train").drop("split")
-    model = M.decision_tree(train, LABEL, NUMERIC, CATEGORICAL, max_depth=DEPTH, seed=SEED, key=LINEITEM_KEY)
-    return _stats(M.score(model, data), by="split")       # both parts in one scoring pass
+    bins = H.fit_bins(data, LABEL, NUMERIC, CATEGORICAL)
+    binned = H.bin_table(data, bins, LINEITEM_KEY, SEED, [F.col("split").alias("_split")], (F.col("split") == "train").cast("bigint"))
+    tree = EN.gain_ratio_tree(binned, bins, max_depth=DEPTH)
+    return sig_all(E.counted_stats(H.confusion(binned, tree, {"tree": "_split"}), POSITIVE, ["part"]))
 
 
 # MDL5 ------------------------------------------------------------------------------
@@ -139,9 +143,9 @@ def mdl6_boosted_tree_cv(spark, d):
     def predict(model, df):
         return M.cost_sensitive(M.boosted_score(model, df, out="vote"), model.labels, costs)
 
-    down = E.cross_validate(data, FOLDS, fit, predict, _cv_recall,
+    down = E.cross_validate(data, FOLDS, fit, predict, _cv_stats,
                             rebalance=lambda df: SM.down_sample(df, LABEL, LINEITEM_KEY, SEED))
-    up = E.cross_validate(data, FOLDS, fit, predict, _cv_recall,
+    up = E.cross_validate(data, FOLDS, fit, predict, _cv_stats,
                           rebalance=lambda df: SM.up_sample(df, LABEL, LINEITEM_KEY, SEED))
     return SH.stack_tagged({"down": down, "up": up}, tag="rebalance")
 
@@ -149,10 +153,11 @@ def mdl6_boosted_tree_cv(spark, d):
 # MDL7 + DOR5 -----------------------------------------------------------------------
 @register("mdl7_poly_svm")
 def mdl7_poly_svm(spark, d):
-    train, test = _split(spark, d)
-    train = SM.down_sample(train, LABEL, LINEITEM_KEY, SEED)
-    model = M.poly_svm(train, LABEL, NUMERIC, CATEGORICAL, degree=3, class_weights=CLASS_WEIGHTS, seed=SEED)
-    return SH.stack_tagged({"train": _stats(model.transform(train)), "test": _stats(model.transform(test))})
+    """Cubic machines of five folds, down-sampled inside each, and of all down-sampled rows, fitted together: statistics of
+    the training rows of each and of the held-out folds."""
+    data = cut_lineage(SM.assign_folds(lineitem_labelled(spark, d), LINEITEM_KEY, FOLDS, SEED))
+    counts = EN.cross_validate_machines(data, LABEL, LINEITEM_KEY, NUMERIC, CATEGORICAL, FOLDS, class_weights=CLASS_WEIGHTS, seed=SEED)
+    return sig_all(E.counted_stats(counts, POSITIVE, ["model", "part"]))
 
 
 # MDL9 ------------------------------------------------------------------------------
@@ -184,18 +189,9 @@ def mdl10_rf_regressor(spark, d):
 # MDL12 -----------------------------------------------------------------------------
 @register("mdl12_leave_one_out")
 def mdl12_leave_one_out(spark, d):
-    data = _split_data(spark, d)
-    train = data.where(F.col("split") == "train").drop("split")
-    features = NUMERIC + CATEGORICAL
-
-    def fit_and_score(kept):
-        num = [c for c in NUMERIC if c in kept]
-        cat = [c for c in CATEGORICAL if c in kept]
-        model = M.random_forest(train, LABEL, num, cat, trees=TREES, mtry=MTRY, max_depth=DEPTH,
-                                seed=SEED, key=LINEITEM_KEY)
-        return _recall(M.score(model, data), by="split")
-
-    return SEL.leave_one_out_features(features, fit_and_score)
+    """Recall of a forest without each feature in turn, on both parts of the split; all forests grow together."""
+    counts = EN.leave_one_out_forests(_split_data(spark, d), LABEL, LINEITEM_KEY, NUMERIC, CATEGORICAL, "split", MTRY, TREES, DEPTH, seed=SEED)
+    return sig_all(E.counted_recall(counts, POSITIVE, ["dropped", "part"]))
 
 
 # MDL14 + PRJ9 + SRC2 + SRC1 ------------------------------------------------------------
@@ -304,16 +300,12 @@ def flow_regression(spark, d):
 # DOR4 ------------------------------------------------------------------------------------
 @register("dor4_tune_mtry")
 def dor4_tune_mtry(spark, d):
+    """Mean held-out recall by candidates a split: the forests of all folds and settings grow together."""
     data = cut_lineage(SM.assign_folds(lineitem_labelled(spark, d), LINEITEM_KEY, FOLDS, SEED))
-
-    def cv_recall(mtry):
-        fit = (lambda part: M.random_forest(part, LABEL, NUMERIC, CATEGORICAL, trees=SEARCH_TREES, mtry=mtry,
-                                            max_depth=DEPTH, seed=SEED, key=LINEITEM_KEY))
-        res = E.cross_validate(data, FOLDS, fit, lambda m, df: M.score(m, df), _cv_recall)
-        return res.where(F.col("part") == "held_out").agg(F.avg("recall")).first()[0]
-
-    grid = SEL.tune_mtry([1, 2, 4], cv_recall)
-    return sig_all(spark.createDataFrame(grid, "mtry int, held_out_recall double"))
+    counts = EN.cross_validate_forests(data, LABEL, LINEITEM_KEY, NUMERIC, CATEGORICAL, FOLDS, [1, 2, 4], SEARCH_TREES, DEPTH,
+                                       down_sampled=False, seed=SEED)
+    held = E.counted_recall(counts.where(F.col("part") == "held_out"), POSITIVE, ["mtry", "fold"])
+    return sig_all(held.groupBy("mtry").agg(F.avg("recall").alias("held_out_recall")))
 
 
 # What SQL can say of the model queries -----------------------------------------------------
@@ -456,3 +448,6 @@ SELECT attr, value, o_orderstatus, n, n / sum(n) OVER (PARTITION BY attr, value)
 def flagship_class_profile(spark, d):
     from . import flagship
     return flagship.class_profile(spark, d)
+
+
+from . import learning_queries, source_queries  # noqa: E402,F401  (register the companions and the sources)

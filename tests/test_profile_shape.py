@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from helpers import rows
 from sparkrisk.functions import scalar as S
 from sparkrisk.operators import profile as P
+from sparkrisk.operators import radix as R
 from sparkrisk.operators import shape as SH
 
 
@@ -38,16 +39,15 @@ def test_exact_quantiles_match_numpy(spark):
         assert math.isclose(v, float(np.percentile(vals, p * 100)), rel_tol=1e-12, abs_tol=1e-12)
 
 
-def test_sorted_quantiles_and_coarse_sketch_match_numpy(spark, monkeypatch):
+def test_sorted_quantiles_and_radix_passes_match_numpy(spark, monkeypatch):
     rng = np.random.default_rng(2)
     vals = np.concatenate([rng.normal(size=700), np.full(350, -1.0)])  # a third of the rows on one value
     df = spark.createDataFrame([(float(v),) for v in vals], "v double").repartition(5)
     probs = [0.05, 0.5, 0.77, 1.0]
     got = {r.p: r.value for r in P.exact_quantiles_sorted(df, ["v"], probs).collect()}
-    monkeypatch.setattr(P, "SKETCH_ACCURACY", 20)     # wide brackets still give exact answers
     coarse = {r.p: r.value for r in P.exact_quantiles(df, ["v"], probs).collect()}
-    monkeypatch.setattr(P, "ACCURACY_MAX", 20)        # brackets too big to collect: narrowing rounds
-    monkeypatch.setattr(P, "BRACKET_MAX", 30)
+    monkeypatch.setattr(R, "DIGIT", 4)        # many passes of small digits, counts leaving the tasks in pieces
+    monkeypatch.setattr(R, "CELLS", 5)
     narrowed, failed = P.quantile_values(df, ["v"], probs)
     assert not failed
     for p in probs:
