@@ -7,18 +7,21 @@ documents, directly or through others, form a component.
   by hash. Sets of n shingles that reach the similarity share one among their first n - ceil(s * n) + 1.
 * Documents with equal sets are one node. Nodes with an identical prefix and size are one group; only groups go
   through the filters: one row a group and prefix shingle, kept where two groups meet.
-* Pairs of groups pass by size and by the places of the shared shingle in both prefixes, then are expanded to
-  pairs of nodes and verified on the whole sets.
-* Where many groups meet at a shingle, they are first verified against one hub (the same for most shingles of a
-  cluster), and what links becomes one component; nodes of one component are never paired again. After these
-  rounds, every remaining pair of groups that spans two components is verified. So a cluster of near copies
-  costs about a pair a node, and no link between components is lost.
+* Pairs of groups pass by size and by the number of shingles their prefixes share: what they share beyond lies behind
+  the prefix that ends first, so that rest bounds it. They are then expanded to pairs of nodes and verified on the
+  whole sets, which are read once more from the texts, for these nodes only.
+* At each shingle the groups are first paired with one hub, the group that meets most others (for most shingles of
+  a cluster the text that its members were made from), and what links becomes one component; nodes of one component are
+  never paired again. Further rounds take other hubs while many pairs are left. Then every remaining pair of groups that
+  spans two components goes through the filters. So a cluster of near copies costs about a pair a node, and no link
+  between components is lost.
 
 Shingles are compared by 64-bit hash, sets of equal documents by a 128-bit hash of theirs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Steps, chunks
+from .common import CHUNK_BYTES, Steps, chunks, utf8
 from .simhash import components
 
 #: Production parameters: words a shingle, least similarity in percent.
@@ -36,41 +39,79 @@ WORDS_EACH, PERCENT = 5, 80
 BUCKETS = 1 << 18
 #: Bits of the filter that tells which sets a pair needs (2 ** FILTER bits: 4 MB to each task).
 FILTER = 25
-#: Rounds of hubs at most, and open pairs a row from which another round is worth it.
-HUB_ROUNDS, WORTH = 4, 4
-#: Words whose hashes a Python worker remembers.
-WORDS_KNOWN = 1 << 19
+#: Rounds of hubs (one at least), and open pairs a row from which another is worth it (if the last one closed a fifth).
+HUB_ROUNDS, WORTH = 4, 2
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 # --- shingles ----------------------------------------------------------------------------------------------
 
-class WordCodes(dict):
-    """XXH64 of words, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_KNOWN:
-            self.clear()
-        self[word] = code = xxhash.xxh64_intdigest(word)
-        return code
-
-
-def shingle_set(text: bytes, words_each: int, known: WordCodes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the runs of ``words_each`` lower-cased words (fewer words: of all)."""
-    words = text.lower().split()  # on bytes: A-Z only, and words are split at \x20 and \x09-\x0d
-    if not words:
-        return np.zeros(0, np.uint64)
-    codes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    each = min(words_each, len(codes))
-    out = np.full(len(codes) - each + 1, each, np.uint64)
-    for k in range(each):  # each word enters a running hash, so their order counts
+#: Fixed byte tables: A-Z to lower case; the six white-space bytes.
+_LOWER = np.array([c + 32 if 0x41 <= c <= 0x5A else c for c in range(256)], np.uint8)
+_SPACE = np.array([c == 0x20 or 0x09 <= c <= 0x0D for c in range(256)])
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The first n powers of an odd factor and of its inverse, modulo 2 ** 64; kept up to a chunk's length."""
+    if len(_POWERS[0]) >= n:
+        return _POWERS
+    made = []
+    for factor in (int(_MIX), pow(int(_MIX), -1, 1 << 64)):
+        steps = np.full(n, factor, np.uint64)
+        steps[0] = 1
+        made.append(np.multiply.accumulate(steps))
+    if n <= 2 * CHUNK_BYTES:
+        _POWERS[:] = made
+    return made
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every lower-cased word of some texts (bytes end to end), and the number of words of each text.
+
+    Words are runs of other bytes than white space; a hash is the sum of the word's bytes times powers of a factor, as
+    one running sum over all bytes gives it, then scattered.
+    """
+    word = ~_SPACE[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    before, after = np.concatenate([[False], word[:-1]]), np.concatenate([word[1:], [False]])
+    start = np.flatnonzero(word & (edge[:-1] | ~before)) if len(data) else np.zeros(0, np.int64)
+    end = np.flatnonzero(word & (edge[1:] | ~after)) + 1 if len(data) else start
+    up, down = _powers(max(1, len(data)))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=sums[1:])
+    h = (sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h, np.diff(np.searchsorted(start, offsets))
+
+
+def shingle_sets(texts: pa.Array, words_each: int) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of the runs of ``words_each`` lower-cased words (fewer words: of
+    all; NULL or none: empty)."""
+    codes, sizes = word_hashes(*utf8(texts))
+    runs = _hashed_runs(codes, words_each)
+    out, at = [], 0
+    for n in sizes.tolist():
+        here = runs[at:at + n - words_each + 1] if n >= words_each else _hashed_runs(codes[at:at + n], n)[:min(n, 1)]
+        here = np.sort(here)
+        out.append(here[np.concatenate([[True], here[1:] != here[:-1]])] if n else here)
+        at += n
+    return out
+
+
+def _hashed_runs(codes: np.ndarray, each: int) -> np.ndarray:
+    """Hash of every run of ``each`` codes: each enters a running hash, so their order and number count."""
+    out = np.full(max(0, len(codes) - each + 1), each, np.uint64)
+    for k in range(each):
         out ^= codes[k:k + len(out)]
         out *= _MIX
         out ^= out >> np.uint64(32)
     out *= np.uint64(0xC2B2AE3D27D4EB4F)
-    out ^= out >> np.uint64(29)
-    return np.unique(out)
+    return out ^ (out >> np.uint64(29))
 
 
 def bucket_of(hashes: np.ndarray) -> np.ndarray:
@@ -82,20 +123,20 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _sets(texts: pa.Array, words_each: int, known: WordCodes) -> Iterator[np.ndarray]:
+def _sets(texts: pa.Array, words_each: int) -> Iterator[list[np.ndarray]]:
+    """The sets of a batch of texts, a chunk of texts at a time."""
     for part in chunks(texts):
-        for t in part.cast(pa.binary()).to_pylist():
-            yield shingle_set(t or b"", words_each, known)
+        yield shingle_sets(part, words_each)
 
 
 def bucket_counts(docs: DataFrame, text_col: str, words_each: int) -> np.ndarray:
     """Documents' distinct shingles in each bucket, over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = WordCodes(), np.zeros(BUCKETS, np.int64)
+        total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for s in _sets(batch.column(0), words_each, known):
-                np.add.at(total, bucket_of(s), 1)
+            for sets in _sets(batch.column(0), words_each):
+                np.add.at(total, bucket_of(np.concatenate(sets)), 1)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["bucket", "n"])
 
@@ -106,47 +147,44 @@ def bucket_counts(docs: DataFrame, text_col: str, words_each: int) -> np.ndarray
 
 
 def prefixes(docs: DataFrame, id_col: str, text_col: str, words_each: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """(id, n, digest, prefix_digest, prefix) of every row; without words NULL digests and an empty prefix."""
+    """(id, n, digest, prefix_digest, prefix) of every row, the prefix in the order of the shingles; ``weight`` and
+    ``last`` place its end in that order. Without words: NULL digests and an empty prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
-    kind = "struct<n:bigint,digest:binary,prefix_digest:binary,prefix:array<bigint>>"
+    kind = "struct<n:bigint,digest:binary,prefix_digest:binary,weight:bigint,last:bigint,prefix:array<bigint>>"
 
     @F.arrow_udf(kind)
     def of(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        counts, known = shared.value, WordCodes()
+        counts = shared.value
         for texts in it:
-            n, digest, short, first = [], [], [], []
-            for s in _sets(texts, words_each, known):
-                n.append(len(s))
-                head = s[np.argsort(counts[bucket_of(s)], kind="stable")][:prefix_length(len(s), percent)] if len(s) else s
-                digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                short.append(xxhash.xxh3_128_digest(head.tobytes()) if len(s) else None)
-                first.append(head.view(np.int64))
-            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(short, pa.binary()),
-                                              _lists(first)], ["n", "digest", "prefix_digest", "prefix"])
+            n, digest, short, weight, last, first = [], [], [], [], [], []
+            for sets in _sets(texts, words_each):
+                for s in sets:
+                    n.append(len(s))
+                    if not len(s):
+                        for column in (digest, short, weight, last):
+                            column.append(None)
+                        first.append(s.view(np.int64))
+                        continue
+                    own = counts[bucket_of(s)]
+                    head = s[np.argsort(own, kind="stable")[:prefix_length(len(s), percent)]]
+                    digest.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    short.append(xxhash.xxh3_128_digest(head.tobytes()))
+                    weight.append(int(counts[bucket_of(head[-1:])][0]))
+                    last.append(int((head[-1:] ^ np.uint64(1 << 63)).view(np.int64)[0]))  # signed numbers in the order of the hashes
+                    first.append(head.view(np.int64))
+            numbers = [pa.array(c, pa.int64()) for c in (n, weight, last)]
+            yield pa.StructArray.from_arrays([numbers[0], pa.array(digest, pa.binary()), pa.array(short, pa.binary()), *numbers[1:], _lists(first)],
+                                             ["n", "digest", "prefix_digest", "weight", "last", "prefix"])
 
     return docs.select(F.col(id_col).alias("id"), of(F.col(text_col)).alias("h")).select("id", "h.*")
 
 
 # --- candidates --------------------------------------------------------------------------------------------
 
-def _fits(n1: Column, n2: Column, p1: Column, p2: Column, percent: int) -> Column:
-    """Can two sets of n1 and n2 shingles, which share the shingles at places p1 and p2, be similar enough?
-
-    By size; by the smaller set's short prefix; and by what may still be shared from the two places on.
-    """
-    small, large = F.least(n1, n2), F.greatest(n1, n2)
-    need = F.ceil(F.lit(percent) * (n1 + n2) / F.lit(100 + percent) - F.lit(1e-6))
-    short = small - F.ceil(F.lit(2 * percent) * small / F.lit(100 + percent) - F.lit(1e-6)) + 1
-    place = F.when(n1 < n2, p1).when(n2 < n1, p2).otherwise(F.least(p1, p2))
-    # places before the shared ones may hold shared shingles too: at most the smaller of the two places
-    rest = F.least(p1, p2) + F.least(n1 - p1, n2 - p2)
-    return (small * 100 >= large * percent) & (place < short) & (rest >= need)
-
-
-def _filter_bits(nodes: DataFrame) -> np.ndarray:
-    """A bit for every digest of ``nodes`` (column ``digest``): at most 2 ** FILTER / 32 rows to the driver."""
-    h = F.shiftrightunsigned(F.xxhash64("digest"), 64 - FILTER)
-    words = (nodes.select(F.shiftright(h, 5).cast("int").alias("w"), F.pow(F.lit(2.0), h % 32).cast("bigint").alias("b"))
+def _filter_bits(digests: DataFrame) -> np.ndarray:
+    """A bit for every digest, by its first bits: at most 2 ** FILTER / 32 rows to the driver."""
+    h = F.shiftright(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("bigint"), 32 - FILTER)
+    words = (digests.select(F.shiftright(h, 5).cast("int").alias("w"), F.pow(F.lit(2.0), h % 32).cast("bigint").alias("b"))
              .groupBy("w").agg(F.bit_or("b").alias("b")))
     out = np.zeros(1 << (FILTER - 5), np.int64)
     for r in words.collect():
@@ -154,44 +192,30 @@ def _filter_bits(nodes: DataFrame) -> np.ndarray:
     return out
 
 
-def _sets_of(docs: DataFrame, nodes: DataFrame, text_col: str, words_each: int) -> DataFrame:
-    """(node, n, shingles) of ``nodes``: texts are read once more, and those of no needed digest drop out by the bits."""
-    shared = docs.sparkSession.sparkContext.broadcast(_filter_bits(nodes.select("digest")))
-    told = docs.select(F.col(text_col)).mapInArrow(_digested(words_each), "digest binary, shingles array<bigint>")
-
-    @F.arrow_udf("boolean")
-    def wanted(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bits = shared.value
-        for h in it:
-            at = h.to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - FILTER)
-            yield pa.array((bits[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.int64)) & 1 == 1)
-
-    some = told.where(wanted(F.xxhash64("digest")))
-    once = some.groupBy("digest").agg(F.first("shingles").alias("shingles"))
-    return nodes.join(once, "digest").select("node", "n", "shingles")
-
-
-def _digested(words_each: int):
-    """Sets and their digests, each digest once a task."""
+def _sets_of(docs: DataFrame, digests: DataFrame, text_col: str, words_each: int) -> DataFrame:
+    """(digest, shingles) of the ``digests`` (and of few others): texts are read once more, and the sets that are not
+    asked for drop out by the bits in the task that reads them."""
+    shared = docs.sparkSession.sparkContext.broadcast(_filter_bits(digests))
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sent = WordCodes(), set()
+        bits, sent = shared.value, set()
         for batch in batches:
-            digests, sets, size = [], [], 0
-            for s in _sets(batch.column(0), words_each, known):
-                digest = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
-                if digest is None or digest in sent:
-                    continue
-                sent.add(digest)
-                digests.append(digest)
-                sets.append(s.view(np.int64))
-                size += len(s)
-                if size > 1 << 18:
-                    yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), _lists(sets)], ["digest", "shingles"])
-                    digests, sets, size = [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), _lists(sets)], ["digest", "shingles"])
-
-    return told
+            for sets in _sets(batch.column(0), words_each):
+                found, kept = [], []
+                for s in sets:
+                    if not len(s):
+                        continue
+                    digest = xxhash.xxh3_128_digest(s.tobytes())
+                    at = int.from_bytes(digest[:4]) >> (32 - FILTER)
+                    if bits[at >> 5] >> (at & 31) & 1 and digest not in sent:  # copies are sent once a task
+                        sent.add(digest)
+                        found.append(digest)
+                        kept.append(s.view(np.int64))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), _lists(kept)], ["digest", "shingles"])
+
+    sets = docs.select(F.col(text_col)).mapInArrow(told, "digest binary, shingles array<bigint>")
+    return sets.groupBy("digest").agg(F.first("shingles").alias("shingles"))
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -199,99 +223,127 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays + [np.zeros(0, np.int64)])))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, words_each: int, percent: int, steps: Steps) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose whole sets are similar enough."""
-    one = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    both = pairs.join(two, "b").join(one, "a")
+    named = nodes.select("node", "digest")
+    pairs = steps.keep(pairs.join(named.select(F.col("node").alias("a"), F.col("digest").alias("da")), "a")
+                       .join(named.select(F.col("node").alias("b"), F.col("digest").alias("db")), "b"))
+    digests = pairs.select(F.col("da").alias("digest")).unionByName(pairs.select(F.col("db").alias("digest"))).distinct()
+    sets = steps.keep(_sets_of(docs, digests, text_col, words_each))
+    one = sets.select(F.col("digest").alias("da"), F.col("shingles").alias("sa"))
+    two = sets.select(F.col("digest").alias("db"), F.col("shingles").alias("sb"))
+    both = pairs.join(two, "db").join(one, "da")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return (both.where(shared * 100 >= (F.col("na") + F.col("nb") - shared) * percent).select("a", "b"))
+    return both.where(shared * 100 >= (F.size("sa") + F.size("sb") - shared) * percent).select("a", "b")
+
+
+def _group_pairs(met: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b) of ``met`` (a row for each shingle that two groups' prefixes share) that may be similar enough.
+
+    The shingles the sets share beyond their prefixes come after the prefix that ends first in the common order, so they
+    are at most what its set has left.
+    """
+    counted = met.groupBy("a", "b").agg(F.count("*").alias("shared"))
+    sides = [groups.select(F.col("gid").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "weight", "last")]) for side in "ab"]
+    both = counted.join(sides[0], "a").join(sides[1], "b")
+    ends = F.struct("weight_a", "last_a") <= F.struct("weight_b", "last_b")
+    n = F.when(ends, F.col("n_a")).otherwise(F.col("n_b"))
+    rest = F.ceil(n * percent / 100 - F.lit(1e-6)) - 1  # the set's shingles behind its prefix
+    need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent) - F.lit(1e-6))
+    return both.where(_sizes_fit(F.col("n_a"), F.col("n_b"), percent) & (F.col("shared") + rest >= need)).select("a", "b")
+
+
+def _sizes_fit(n1: Column, n2: Column, percent: int) -> Column:
+    return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
 
 
-def _group_pairs(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b) of groups that meet at a shingle and pass the filters; both have (token, gid, n, pos)."""
-    one = left.select("token", *[F.col(c).alias(f"{c}1") for c in left.columns if c != "token"])
-    two = right.select("token", *[F.col(c).alias(f"{c}2") for c in right.columns if c != "token"])
-    met = one.join(two, "token").where("gid1 <> gid2")
-    met = met.where(_fits(F.col("n1"), F.col("n2"), F.col("pos1"), F.col("pos2"), percent))
-    if "lo" in left.columns:  # groups whose nodes all are of one component need no further link
-        met = met.where("NOT (lo1 = hi1 AND lo2 = hi2 AND lo1 = lo2)")
-    return met.select(F.col("gid1").alias("a"), F.col("gid2").alias("b")).distinct()
+def _met(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
+    """(a, b) for every shingle at which two groups of fitting sizes meet, both of (token, gid, n, lo, hi)."""
+    one, two = (side.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("gid", "n", "lo", "hi")]) for side, x in ((left, "a"), (right, "b")))
+    met = one.join(two, "token").where(_sizes_fit(F.col("n_a"), F.col("n_b"), percent))
+    # groups whose nodes all are of one component need no further link
+    return met.where("NOT (lo_a = hi_a AND lo_b = hi_b AND lo_a = lo_b)").select(F.col("gid_a").alias("a"), F.col("gid_b").alias("b"))
 
 
-def _hub(meeting: DataFrame, turn: int) -> DataFrame:
-    """One group of each shingle, chosen by a number of its own, so that a cluster's shingles agree on it."""
-    cols = ["gid", "n", "pos"] + [c for c in ("lo", "hi") if c in meeting.columns]
-    first = F.min(F.struct(F.xxhash64("gid", F.lit(turn)).alias("by"), *cols)).alias("h")
-    return meeting.groupBy("token").agg(first).select("token", *[F.col(f"h.{c}") for c in cols])
+def _hub(state: DataFrame, turn: int) -> DataFrame:
+    """One group of each shingle: first the one that meets most others, then by a number of its own, so that a cluster's
+    shingles agree on it."""
+    by = [F.col("degree"), F.xxhash64("gid")] if not turn else [F.xxhash64("gid", F.lit(turn))]
+    first = F.max(F.struct(*[c.alias(f"by{i}") for i, c in enumerate(by)], "gid", "n", "lo", "hi")).alias("h")
+    return state.groupBy("token").agg(first).select("token", "h.gid", "h.n", "h.lo", "h.hi")
 
 
 def _links(rows: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, words_each: int, percent: int, steps: Steps) -> DataFrame:
     """(node, root) of every linked node. ``rows`` have the prefixes, ``nodes`` (node, digest, n, prefix_digest)."""
-    groups = steps.keep(rows.where("digest IS NOT NULL").groupBy("prefix_digest", "n").agg(F.first("prefix").alias("prefix"))
-                        .withColumn("gid", F.monotonically_increasing_id()))
-    members = nodes.join(groups.select("prefix_digest", "n", "gid"), ["prefix_digest", "n"]).select("node", "digest", "n", "gid")
-    tokens = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token")).repartition("token")
+    firsts = [F.first(c).alias(c) for c in ("weight", "last", "prefix")]
+    groups = steps.keep(rows.where("digest IS NOT NULL").groupBy("prefix_digest", "n").agg(*firsts).withColumn("gid", F.monotonically_increasing_id()))
+    tokens = groups.select("gid", F.explode("prefix").alias("token")).repartition("token")
     often = tokens.groupBy("token").agg(F.count("*").alias("met")).where("met > 1")
-    meeting = steps.keep(tokens.join(often, "token").select("token", "gid", "n", F.col("pos").cast("bigint").alias("pos")))
-    heads = members.groupBy("gid").agg(F.min("node").alias("head"), F.count("*").alias("nodes"))
-    needed = heads.join(meeting.select("gid").distinct().withColumn("meets", F.lit(True)), "gid", "left").where("meets OR nodes > 1")
-    members = steps.keep(members.join(needed.select("gid", "head"), "gid"))
-    sets = steps.keep(_sets_of(docs, members.select("node", "digest", "n"), text_col, words_each))
-    heads = members.where("node = head").select("gid", "head")
-
-    edges, state = None, meeting
+    meeting = steps.keep(tokens.join(often, "token").select("token", "gid", "met"))
+    degrees = meeting.groupBy("gid").agg(F.sum("met").alias("degree"))
+    ends = steps.keep(groups.select("gid", "n", "weight", "last").join(degrees, "gid", "left"))
+    members = steps.keep(nodes.join(groups.select("prefix_digest", "n", "gid"), ["prefix_digest", "n"]).select("node", "gid"))
+    heads = members.groupBy("gid").agg(F.min("node").alias("head"))
+    check = lambda pairs: steps.keep(verified(pairs, nodes, docs, text_col, words_each, percent, steps))
+
+    edges = roots = None
+    state = steps.keep(_open(meeting, ends, members, None))
+    enough, last = WORTH * meeting.count(), math.inf
     for turn in range(HUB_ROUNDS):
-        met = _group_pairs(_hub(state, turn), state, percent)
-        pairs = (met.join(heads.select(F.col("gid").alias("a"), F.col("head").alias("x")), "a")
-                 .join(heads.select(F.col("gid").alias("b"), F.col("head").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
-        if edges is None:
-            pairs = pairs.unionByName(members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")))
-        found = verified(pairs, sets, percent)
-        edges = steps.keep(found if edges is None else found.unionByName(edges))
+        if turn:
+            pairs_left = _left(state)
+            if pairs_left <= enough or pairs_left > 0.8 * last:
+                break
+            last = pairs_left
+        met = _met(_hub(state, turn), state, percent).where("a <> b")
+        pairs = _expanded(_group_pairs(met, ends, percent), heads, "head")
+        if turn == 0:
+            pairs = pairs.unionByName(members.join(heads, "gid").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")))
+        found = check(pairs)
+        edges = found if edges is None else edges.unionByName(found)
         roots = components(edges, steps)
-        state = steps.keep(_open(meeting, members, roots))
-        rows_left, pairs_left = _left(state)
-        if pairs_left <= WORTH * rows_left:
-            break
-    if not rows_left and not _split_groups(members, roots).limit(1).count():
-        return roots
-    met = _group_pairs(state, state, percent).where("a < b")
+        state = steps.keep(_open(meeting, ends, members, roots))
     told = members.join(roots, "node", "left").select("gid", "node", F.coalesce("root", "node").alias("root"))
-    left = told.select(F.col("gid").alias("a"), F.col("node").alias("x"), F.col("root").alias("rx"))
-    right = told.select(F.col("gid").alias("b"), F.col("node").alias("y"), F.col("root").alias("ry"))
-    across = met.join(left, "a").join(right, "b").where("rx <> ry").select("x", "y")
-    own = _split_groups(members, roots)
-    inside = (told.join(own, "gid").select("gid", "node", "root").alias("p")
-              .join(told.join(own, "gid").select("gid", "node", "root").alias("q"), "gid")
-              .where("p.root < q.root").select(F.col("p.node").alias("x"), F.col("q.node").alias("y")))
-    pairs = across.unionByName(inside).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = steps.keep(verified(pairs, sets, percent))
-    return components(more.unionByName(edges), steps) if more.limit(1).count() else roots
-
-
-def _split_groups(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Groups whose nodes are of more than one component."""
-    told = members.join(roots, "node", "left").select("gid", F.coalesce("root", "node").alias("root"))
-    return told.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gid")
-
-
-def _open(meeting: DataFrame, members: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows of shingles at which nodes of several components meet, with the range of their group's components."""
-    told = members.join(roots, "node", "left").select("gid", F.coalesce("root", "node").alias("root"))
+    across = _expanded(_group_pairs(_met(state, state, percent).where("a < b"), ends, percent), told, "node", "root")
+    mixed = told.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gid")
+    inside = _expanded(mixed.select(F.col("gid").alias("a"), F.col("gid").alias("b")), told, "node", "root").where("a < b")
+    pairs = across.unionByName(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = check(pairs)
+    return components(edges.unionByName(more), steps) if more.limit(1).count() else roots
+
+
+def _expanded(pairs: DataFrame, members: DataFrame, what: str, root: str | None = None) -> DataFrame:
+    """Pairs (a, b) of groups as pairs of their members; with ``root``, only of members of different components."""
+    extra = [root] if root else []
+    one, two = (members.select(F.col("gid").alias(side), F.col(what).alias(f"{what}_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in extra if c != what])
+                for side in "ab")
+    both = pairs.join(one, "a").join(two, "b")
+    if root:
+        both = both.where(F.col(f"{root}_a") != F.col(f"{root}_b"))
+    return both.select(F.col(f"{what}_a").alias("a"), F.col(f"{what}_b").alias("b"))
+
+
+def _open(meeting: DataFrame, ends: DataFrame, members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(token, gid, n, degree, lo, hi): the rows of shingles at which nodes of several components meet, with the size of
+    the group's sets, the rows it meets and the range of its components."""
+    if roots is None:
+        told = members.select("gid", F.col("node").alias("root"))
+    else:
+        told = members.join(roots, "node", "left").select("gid", F.coalesce("root", "node").alias("root"))
     spans = told.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    now = meeting.join(spans, "gid")
+    now = meeting.join(ends.select("gid", "n", "degree").join(spans, "gid"), "gid").select("token", "gid", "n", "degree", "lo", "hi")
+    if roots is None:
+        return now
     wide = now.groupBy("token").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where("first <> last")
-    return now.join(wide.select("token"), "token").select("token", "gid", "n", "pos", "lo", "hi")
+    return now.join(wide.select("token"), "token")
 
 
-def _left(state: DataFrame) -> tuple[int, int]:
-    """Rows, and pairs of rows at a shingle that are not of one component."""
+def _left(state: DataFrame) -> int:
+    """Pairs of rows at a shingle that are not of one component."""
     each = state.groupBy("token", "lo", "hi").agg(F.count("*").alias("c"))
     same = F.sum(F.when(F.col("lo") == F.col("hi"), F.col("c") * F.col("c")).otherwise(F.lit(0)))
     per = each.groupBy("token").agg(F.sum("c").alias("c"), same.alias("same"))
-    row = per.agg(F.sum("c"), F.sum((F.col("c") * F.col("c") - F.col("same")) / 2)).first()
-    return int(row[0] or 0), int(row[1] or 0)
+    return int(per.agg(F.sum((F.col("c") * F.col("c") - F.col("same")) / 2)).first()[0] or 0)
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = WORDS_EACH,
@@ -305,14 +357,15 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     if not 0 < percent <= 100:
         raise ValueError(f"percent {percent}: must be over 0 and at most 100")
     steps = Steps(docs.sparkSession, "ngram-join")
-    rows = steps.keep(prefixes(docs, id_col, text_col, words_each, percent, bucket_counts(docs, text_col, words_each)))
-    least = rows.where("digest IS NOT NULL").groupBy("digest", "n", "prefix_digest").agg(F.min("id").alias("least"))
-    # A node is ordered by its smallest id, NULL last, so that a component's root bears its name.
-    node = F.struct(F.col("least").isNull().alias("unnamed"), F.col("least").alias("least"), F.col("digest").alias("digest"))
-    nodes = steps.keep(least.select(node.alias("node"), "digest", "n", "prefix_digest"))
-    roots = _links(rows, nodes, docs, text_col, words_each, percent, steps)
-    named = steps.keep(nodes.join(roots, "node", "left")
-                       .select("digest", F.coalesce("root", "node").getField("least").alias("component_id")))
-    some = rows.where("digest IS NOT NULL").select("id", "n", "digest").join(named, "digest")
+    heads = steps.keep(prefixes(docs, id_col, text_col, words_each, percent, bucket_counts(docs, text_col, words_each)))
+    rows = heads.select("id", "n", "digest")
+    least = heads.where("digest IS NOT NULL").groupBy("digest", "n", "prefix_digest").agg(F.min("id").alias("least"))
+    # Nodes are numbered in the order of their smallest ids, NULL last, so that a component's root bears its name.
+    nodes = steps.keep(least.orderBy(F.asc_nulls_last("least"), "digest").withColumn("node", F.monotonically_increasing_id()))
+    roots = _links(heads, nodes, docs, text_col, words_each, percent, steps)
+    names = nodes.select(F.col("node").alias("root"), F.col("least").alias("name"), F.lit(True).alias("linked"))
+    told = nodes.join(roots, "node", "left").join(names, "root", "left")
+    named = steps.keep(told.select("digest", F.when(F.col("linked"), F.col("name")).otherwise(F.col("least")).alias("component_id")))
+    some = rows.where("digest IS NOT NULL").join(named, "digest")
     out = some.select("id", "n", "component_id").unionByName(rows.where("digest IS NULL").select("id", "n", F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
