@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..session import collect_bounded, cut_lineage
+from .discretise import entropy_bins
 
 
 # SRT4 / SRT3 ------------------------------------------------------------------
@@ -65,13 +66,15 @@ def rank_features(df: DataFrame, label: str, categorical: Sequence[str] = (), nu
     """(feature, info_gain, chi2, dof, cramers_v, rank[, p_value]) ranked by information gain.
 
     Numeric features are cut into ``bins`` equal-width bins first
-    (``cuts='quantile'``: equal-frequency bins from a GK sketch). Information
+    (``cuts='quantile'``: equal-frequency bins from a GK sketch; ``cuts='entropy'``:
+    cuts that pay for their description, see :mod:`.discretise`). Information
     gain is the mutual information of feature and label in nats; chi2 sums
     (O - E)^2 / E over every (value, label) pair of the feature, the
     unobserved pairs through their expected counts (no grid of pairs is built).
     """
     labelled = df.where(F.col(label).isNotNull())
-    data = (quantile_bins(labelled, list(numeric), bins) if cuts == "quantile"
+    data = (entropy_bins(labelled, label, list(numeric)) if cuts == "entropy"
+            else quantile_bins(labelled, list(numeric), bins) if cuts == "quantile"
             else equal_width_bins(labelled, list(numeric), bins))
     feats = list(categorical) + list(numeric)
     long = (data.select(F.col(label).cast("string").alias("_y"), *[F.col(c).cast("string").alias(c) for c in feats])

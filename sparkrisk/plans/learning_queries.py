@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import discretise as DI
 from ..operators import ensembles as EN
 from ..operators import evaluate as E
 from ..operators import forest as H
@@ -191,3 +192,78 @@ def evl2_tests_check(spark, d):
     report = E.confusion_report(li, "pred", "truth", "yes")
     names = ["accuracy_p_value", "accuracy_lower", "accuracy_upper", "mcnemar_p_value"]
     return spark.createDataFrame([(n, round(report[n], 8)) for n in names], "test string, value double")
+
+
+# Entry B: derivations, boosted submission ----------------------------------------------------
+STAY_LEVELS = list(range(1, 6))   # level list of the line number
+CHANGES = (["l_returnflag", "l_linestatus"], ["R", "O"], "n_changes")
+
+
+@register("flow_derivations", """
+SELECT l_orderkey, l_linenumber AS line, l_partkey, coalesce(CASE WHEN l_linenumber BETWEEN 1 AND 5 THEN CAST(l_linenumber AS VARCHAR) END, 'NA') AS l_linenumber,
+       l_returnflag, l_linestatus, strftime(o_orderdate, '%m') AS month,
+       CAST(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS DOUBLE) AS n_days,
+       CAST((l_returnflag IN ('R', 'O')) AS INTEGER) + CAST((l_linestatus IN ('R', 'O')) AS INTEGER) AS n_changes
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+""")
+def flow_derivations(spark, d):
+    """The flow's derivations over lineitem and orders: level list, days and month of a stay, near-constant drop, change count."""
+    from . import flows
+    li = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("line"), "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus",
+                                            "l_shipdate", F.when(F.col("l_quantity") < 0, "odd").otherwise("plain").alias("flat"))
+    both = li.join(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
+    plan = flows.Derivations({"l_linenumber": STAY_LEVELS}, ("o_orderdate", "l_shipdate"), 0.99, CHANGES)
+    frames, cat, num = flows.derive([both], plan, ["l_returnflag", "l_linestatus", "flat"], [])
+    (out,), _ = flows.count_changes(frames, plan, num)
+    assert "flat" not in out.columns and cat == ["l_returnflag", "l_linestatus", "month"]
+    return out.withColumns({"n_changes": F.col("n_changes").cast("int"), "l_linenumber": F.coalesce(F.col("l_linenumber").cast("string"), F.lit("NA"))})
+
+
+@register("mdl6_submission", """
+SELECT doc_id, TRUE AS known_class FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+""")
+def mdl6_submission(spark, d):
+    """Boosted trees on all down-sampled labelled documents: a class for every unlabelled one."""
+    from . import flows
+    train, test = Q._doc_tables(spark, d)
+    out = flows.boosted_submission(train, test, "doc_id", "quality", ["lang", "source"], ["n_chars"], "poor", "good", Q.COSTS_CV["miss"],
+                                   Q.COSTS_CV["false_alarm"], Q.BOOST_ROUNDS, Q.DEPTH, sentinel=Q.FLOW_SENTINEL, seed=SEED)
+    return out.select("doc_id", F.col("quality").isin("good", "poor").alias("known_class"))
+
+
+# MDL13 -----------------------------------------------------------------------------------
+def _cut_sql(c: str) -> str:
+    """SQL of the best first entropy cut of a column, over all cut points."""
+    h = lambda hits, n: _entropy(hits, n) + " "
+    return f"""
+SELECT '{c}' AS feature, arg_max(cut, (gain, -cut)) AS cut, max(gain) / ln(2) AS gain FROM (
+  SELECT cut, {h('hn', 'n')} - (nl * ({h('hl', 'nl')}) + (n - nl) * ({h('(hn - hl)', '(n - nl)')})) / n AS gain FROM (
+    SELECT {c} AS cut, CAST(sum(count(*)) OVER w AS DOUBLE) AS nl, CAST(sum(count(*) FILTER (y = 'high')) OVER w AS DOUBLE) AS hl,
+           CAST(n AS DOUBLE) AS n, CAST(hn AS DOUBLE) AS hn
+    FROM l, total GROUP BY {c}, n, hn WINDOW w AS (ORDER BY {c})) WHERE nl < n)"""
+
+
+@register("mdl13_entropy_cut", f"""
+WITH l AS (SELECT *, {_BAND} AS y FROM lineitem),
+total AS (SELECT count(*) AS n, count(*) FILTER (y = 'high') AS hn FROM l),
+cuts AS ({' UNION ALL '.join(_cut_sql(c) for c in Q.NUMERIC)})
+SELECT feature, cut, round(gain, 9) AS gain FROM cuts
+""")
+def mdl13_entropy_cut(spark, d):
+    """First entropy cut of each numeric column of lineitem and its gain in bits; no cap on cut points."""
+    li = Q.lineitem_labelled(spark, d)
+    classes = DI.classes_of(li, Q.LABEL)
+    prefix, k = DI.prefix_counts(li, Q.LABEL, Q.NUMERIC, classes), len(classes)
+    ends = prefix.groupBy("feature").agg(*[F.max(f"c{j}").alias(f"c{j}") for j in range(k)]).collect()
+    whole = [(r["feature"], None, None, [0] * k, [r[f"c{j}"] for j in range(k)]) for r in ends]
+    found = DI.best_cuts(prefix, whole, k)
+    rows = [(Q.NUMERIC[int(f[1:])], found[i][0], round(found[i][1], 9)) for i, (f, *_) in enumerate(whole) if i in found]
+    return spark.createDataFrame(rows, "feature string, cut double, gain double")
+
+
+@register("mdl13_entropy_rank")
+def mdl13_entropy_rank(spark, d):
+    """Features ranked by information gain after entropy cuts."""
+    from ..operators import select as SEL
+    ranked = SEL.rank_features(Q.lineitem_labelled(spark, d), Q.LABEL, Q.CATEGORICAL, Q.NUMERIC, cuts="entropy")
+    return sig_all(ranked.select("feature", "info_gain", "dof", "rank"))  # a feature without cuts has no chi-squared
