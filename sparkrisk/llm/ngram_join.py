@@ -238,19 +238,22 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str,
 
 
 def _group_pairs(met: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b) of ``met`` (a row for each shingle that two groups' prefixes share) that may be similar enough.
+    """Distinct (a, b) of ``met`` (a row for each shingle that the prefixes of two groups of sizes n_a, n_b share) that may
+    be similar enough.
 
     The shingles the sets share beyond their prefixes come after the prefix that ends first in the common order, so they
     are at most what its set has left.
     """
-    counted = met.groupBy("a", "b").agg(F.count("*").alias("shared"))
-    sides = [groups.select(F.col("gid").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "weight", "last")]) for side in "ab"]
-    both = counted.join(sides[0], "a").join(sides[1], "b")
+    def enough(n: Column) -> Column:
+        rest = F.ceil(n * percent / 100 - F.lit(1e-6)) - 1  # a set's shingles behind its prefix
+        return F.col("shared") + rest >= F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent) - F.lit(1e-6))
+
+    counted = met.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
+    likely = counted.where(enough(F.greatest("n_a", "n_b")))  # whichever prefix ends first
+    sides = [groups.select(F.col("gid").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("weight", "last")]) for side in "ab"]
+    both = likely.join(sides[0], "a").join(sides[1], "b")
     ends = F.struct("weight_a", "last_a") <= F.struct("weight_b", "last_b")
-    n = F.when(ends, F.col("n_a")).otherwise(F.col("n_b"))
-    rest = F.ceil(n * percent / 100 - F.lit(1e-6)) - 1  # the set's shingles behind its prefix
-    need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent) - F.lit(1e-6))
-    return both.where(_sizes_fit(F.col("n_a"), F.col("n_b"), percent) & (F.col("shared") + rest >= need)).select("a", "b")
+    return both.where(enough(F.when(ends, F.col("n_a")).otherwise(F.col("n_b")))).select("a", "b")
 
 
 def _sizes_fit(n1: Column, n2: Column, percent: int) -> Column:
@@ -258,11 +261,11 @@ def _sizes_fit(n1: Column, n2: Column, percent: int) -> Column:
 
 
 def _met(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """(a, b) for every shingle at which two groups of fitting sizes meet, both of (token, gid, n, lo, hi)."""
+    """(a, b, n_a, n_b) for every shingle at which two groups of fitting sizes meet, both of (token, gid, n, lo, hi)."""
     one, two = (side.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("gid", "n", "lo", "hi")]) for side, x in ((left, "a"), (right, "b")))
     met = one.join(two, "token").where(_sizes_fit(F.col("n_a"), F.col("n_b"), percent))
     # groups whose nodes all are of one component need no further link
-    return met.where("NOT (lo_a = hi_a AND lo_b = hi_b AND lo_a = lo_b)").select(F.col("gid_a").alias("a"), F.col("gid_b").alias("b"))
+    return met.where("NOT (lo_a = hi_a AND lo_b = hi_b AND lo_a = lo_b)").select(F.col("gid_a").alias("a"), F.col("gid_b").alias("b"), "n_a", "n_b")
 
 
 def _hub(state: DataFrame, turn: int) -> DataFrame:
