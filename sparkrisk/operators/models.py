@@ -20,7 +20,7 @@ from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
-from pyspark.ml.feature import PolynomialExpansion, StandardScaler, StringIndexer
+from pyspark.ml.feature import StandardScaler, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from .features import assembler_pipeline, encoder_levels, feature_names, gappy_columns
+from .kernel_svm import PolyMap
 
 MAX_DEPTH = 30  # MLlib's hard limit
 
@@ -306,11 +307,8 @@ def maclaurin_features(df: DataFrame, features: str, d: int, dims: int = 512, de
     return df.withColumn(out, array_to_vector(rm_map(vector_to_array(F.col(features)))))
 
 
-EXACT_DIMS = 1000   # monomials up to which the polynomial map is made exactly
-
-
 class PolySVM:
-    """Standardised features -> polynomial map (``dims`` 0: all monomials, else random Maclaurin) -> linear SVM."""
+    """Standardised features -> map of the kernel (gamma x.y)^degree (``dims`` 0: exact, else random Maclaurin) -> linear SVM."""
 
     def __init__(self, labels, prep, svm, d, dims, degree, seed):
         self.labels, self.prep, self.svm = list(labels), prep, svm
@@ -327,17 +325,23 @@ class PolySVM:
 
 
 def _polynomial(x: DataFrame, d: int, dims: int, degree: int, seed: int) -> DataFrame:
-    """``_svm_x`` -> ``rm_features``: every monomial up to ``degree``, or the random map."""
-    if not dims:
-        return PolynomialExpansion(degree=degree, inputCol="_svm_x", outputCol="rm_features").transform(x)
-    return maclaurin_features(x, "_svm_x", d, dims, degree, seed=seed)
+    """``_svm_x`` -> ``rm_features``: the exact map of weighted monomials, or the random map of the same kernel."""
+    if dims:
+        return maclaurin_features(x, "_svm_x", d, dims, degree, seed=seed)
+    exact = PolyMap(d, degree)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def mapped(xs: pd.Series) -> pd.Series:
+        return pd.Series(list(exact(np.stack(xs.to_numpy())))) if len(xs) else pd.Series([], dtype=object)
+
+    return x.withColumn("rm_features", array_to_vector(mapped(vector_to_array("_svm_x"))))
 
 
 def poly_svm(df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str] = (),
-             degree: int = 3, dims: int = 4096, class_weights: Mapping | None = None, reg: float = 0.0,
+             degree: int = 3, dims: int = 0, class_weights: Mapping | None = None, reg: float = 0.0,
              max_iter: int = 100, seed: int = 42) -> PolySVM:
-    """Polynomial-kernel SVM (two classes): over all monomials where they are at most EXACT_DIMS, else over a
-    random map of ``dims`` dimensions."""
+    """Polynomial-kernel SVM (two classes) on MLlib's linear one: over the exact map (``dims`` 0; an error where it has too
+    many dimensions) or a random map of ``dims``. :mod:`.kernel_svm` fits many at once."""
     data = class_weight_col(df, label, class_weights) if class_weights else df
     prep = Pipeline(stages=[
         _label_indexer(label),
@@ -346,8 +350,6 @@ def poly_svm(df: DataFrame, label: str, numeric: Sequence[str], categorical: Seq
     ]).fit(data)
     x = prep.transform(data)
     d = len(x.select("_svm_x").first()[0])
-    if math.comb(d + degree, degree) - 1 <= EXACT_DIMS:
-        dims = 0
     z = _polynomial(x, d, dims, degree, seed)
     svm = LinearSVC(featuresCol="rm_features", labelCol="_label", regParam=reg, maxIter=max_iter)
     if class_weights:

@@ -65,11 +65,6 @@ def _stats(scored: DataFrame, pred: str = "predicted", by: str | None = None) ->
     return out.withColumnRenamed("split", "part") if by == "split" else out
 
 
-def _recall(scored: DataFrame, pred: str = "predicted", by: str | None = None) -> DataFrame:
-    out = sig_all(E.recall(scored, pred, LABEL, POSITIVE, by=by))
-    return out.withColumnRenamed("split", "part") if by == "split" else out
-
-
 def _cv_stats(scored: DataFrame, by: str | None = None) -> DataFrame:
     return _stats(scored, by=by)
 
@@ -79,16 +74,6 @@ def _split_data(spark, d) -> DataFrame:
     return cut_lineage(SM.stratified_split(lineitem_labelled(spark, d), LABEL, LINEITEM_KEY, TRAIN_SHARE, SEED))
 
 
-def _split(spark, d):
-    data = _split_data(spark, d)
-    return data.where(F.col("split") == "train").drop("split"), data.where(F.col("split") == "test").drop("split")
-
-
-def _rf(train: DataFrame, numeric=NUMERIC, categorical=CATEGORICAL, trees=TREES):
-    return M.random_forest(train, LABEL, numeric, categorical, trees=trees, mtry=MTRY,
-                           class_weights=CLASS_WEIGHTS, max_depth=DEPTH, seed=SEED, key=LINEITEM_KEY)
-
-
 # MDL1 + MDL11 + SMP2 + SMP5 + FLT3 + EVL1 --------------------------------------
 @register("mdl1_random_forest_cv")
 def mdl1_random_forest_cv(spark, d):
