@@ -7,7 +7,7 @@ documents, directly or through others, form a component.
   by hash. Sets of n shingles that reach the similarity share one among their first n - ceil(s * n) + 1.
 * Documents with equal sets are one node. Nodes with an identical prefix and size are one group; only groups go
   through the filters: one row a group and prefix shingle, kept where two groups meet.
-* Pairs of groups pass by size and by the number of shingles their prefixes share: what they share beyond lies behind
+* Pairs of groups pass by size, by the bits of their prefixes and by the number of shingles these share: what they share beyond lies behind
   the prefix that ends first, so that rest bounds it. They are then expanded to pairs of nodes and verified on the
   whole sets, which are read once more from the texts, for these nodes only.
 * At each shingle the groups are first paired with one hub, the group that meets most others (for most shingles of
@@ -42,6 +42,9 @@ FILTER = 25
 #: Rounds of hubs (one at least), and open pairs a row from which another is worth it (if the last one closed a fifth).
 HUB_ROUNDS, WORTH = 4, 2
 
+#: Columns of a prefix's bits: every shingle sets one of 64 in one of them.
+BITS = ["s0", "s1", "s2", "s3"]
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -123,6 +126,14 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def prefix_bits(head: np.ndarray) -> np.ndarray:
+    """The bits that a prefix's shingles set, 64 in each of the BITS columns."""
+    at = head * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - 6 - len(BITS).bit_length() + 1)
+    out = np.zeros(len(BITS), np.uint64)
+    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out
+
+
 def _sets(texts: pa.Array, words_each: int) -> Iterator[list[np.ndarray]]:
     """The sets of a batch of texts, a chunk of texts at a time."""
     for part in chunks(texts):
@@ -148,15 +159,16 @@ def bucket_counts(docs: DataFrame, text_col: str, words_each: int) -> np.ndarray
 
 def prefixes(docs: DataFrame, id_col: str, text_col: str, words_each: int, percent: int, counts: np.ndarray) -> DataFrame:
     """(id, n, digest, prefix_digest, prefix) of every row, the prefix in the order of the shingles; ``weight`` and
-    ``last`` place its end in that order. Without words: NULL digests and an empty prefix."""
+    ``last`` place its end in that order, BITS are the bits its shingles set. Without words: NULL digests and an empty prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
-    kind = "struct<n:bigint,digest:binary,prefix_digest:binary,weight:bigint,last:bigint,prefix:array<bigint>>"
+    kind = ("struct<n:bigint,digest:binary,prefix_digest:binary,weight:bigint,last:bigint,"
+            + "".join(f"{b}:bigint," for b in BITS) + "prefix:array<bigint>>")
 
     @F.arrow_udf(kind)
     def of(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counts = shared.value
         for texts in it:
-            n, digest, short, weight, last, first = [], [], [], [], [], []
+            n, digest, short, weight, last, bits, first = [], [], [], [], [], [], []
             for sets in _sets(texts, words_each):
                 for s in sets:
                     n.append(len(s))
@@ -164,6 +176,7 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, words_each: int, perce
                         for column in (digest, short, weight, last):
                             column.append(None)
                         first.append(s.view(np.int64))
+                        bits.append(prefix_bits(s))
                         continue
                     own = counts[bucket_of(s)]
                     head = s[np.argsort(own, kind="stable")[:prefix_length(len(s), percent)]]
@@ -171,10 +184,13 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, words_each: int, perce
                     short.append(xxhash.xxh3_128_digest(head.tobytes()))
                     weight.append(int(counts[bucket_of(head[-1:])][0]))
                     last.append(int((head[-1:] ^ np.uint64(1 << 63)).view(np.int64)[0]))  # signed numbers in the order of the hashes
+                    bits.append(prefix_bits(head))
                     first.append(head.view(np.int64))
             numbers = [pa.array(c, pa.int64()) for c in (n, weight, last)]
-            yield pa.StructArray.from_arrays([numbers[0], pa.array(digest, pa.binary()), pa.array(short, pa.binary()), *numbers[1:], _lists(first)],
-                                             ["n", "digest", "prefix_digest", "weight", "last", "prefix"])
+            set_bits = np.array(bits, np.uint64).reshape(-1, len(BITS)).view(np.int64)
+            yield pa.StructArray.from_arrays([numbers[0], pa.array(digest, pa.binary()), pa.array(short, pa.binary()), *numbers[1:],
+                                              *[pa.array(set_bits[:, i]) for i in range(len(BITS))], _lists(first)],
+                                             ["n", "digest", "prefix_digest", "weight", "last", *BITS, "prefix"])
 
     return docs.select(F.col(id_col).alias("id"), of(F.col(text_col)).alias("h")).select("id", "h.*")
 
@@ -245,8 +261,7 @@ def _group_pairs(met: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     are at most what its set has left.
     """
     def enough(n: Column) -> Column:
-        rest = F.ceil(n * percent / 100 - F.lit(1e-6)) - 1  # a set's shingles behind its prefix
-        return F.col("shared") + rest >= F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent) - F.lit(1e-6))
+        return _enough(F.col("shared"), n, percent)
 
     counted = met.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
     likely = counted.where(enough(F.greatest("n_a", "n_b")))  # whichever prefix ends first
@@ -256,14 +271,32 @@ def _group_pairs(met: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     return both.where(enough(F.when(ends, F.col("n_a")).otherwise(F.col("n_b")))).select("a", "b")
 
 
+def _enough(shared: Column, n: Column, percent: int) -> Column:
+    """Can sets of n_a and n_b shingles whose prefixes share that many be similar enough, if the prefix of the set of n
+    shingles ends first?"""
+    rest = F.ceil(n * percent / 100 - F.lit(1e-6)) - 1  # a set's shingles behind its prefix
+    return shared + rest >= F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent) - F.lit(1e-6))
+
+
+def _may_share(x: str, y: str, percent: int) -> Column:
+    """Shingles that x's prefix shares with y's at most: a bit that only x's has set stands for one that y's has not."""
+    n = F.col(f"n_{x}")
+    missing = sum((F.bit_count(F.col(f"{b}_{x}").bitwiseAND(F.bitwise_not(F.col(f"{b}_{y}")))) for b in BITS), F.lit(0))
+    return n - F.ceil(n * percent / 100 - F.lit(1e-6)) + 1 - missing
+
+
 def _sizes_fit(n1: Column, n2: Column, percent: int) -> Column:
     return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
 
 
 def _met(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """(a, b, n_a, n_b) for every shingle at which two groups of fitting sizes meet, both of (token, gid, n, lo, hi)."""
-    one, two = (side.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("gid", "n", "lo", "hi")]) for side, x in ((left, "a"), (right, "b")))
-    met = one.join(two, "token").where(_sizes_fit(F.col("n_a"), F.col("n_b"), percent))
+    """(a, b, n_a, n_b) for every shingle at which two groups of fitting sizes meet, both of (token, gid, n, lo, hi, BITS).
+
+    Pairs whose bits tell that their prefixes share too little are left out by the join itself.
+    """
+    one, two = (side.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("gid", "n", "lo", "hi", *BITS)]) for side, x in ((left, "a"), (right, "b")))
+    shared = F.least(_may_share("a", "b", percent), _may_share("b", "a", percent))
+    met = one.join(two, "token").where(_sizes_fit(F.col("n_a"), F.col("n_b"), percent) & _enough(shared, F.greatest("n_a", "n_b"), percent))
     # groups whose nodes all are of one component need no further link
     return met.where("NOT (lo_a = hi_a AND lo_b = hi_b AND lo_a = lo_b)").select(F.col("gid_a").alias("a"), F.col("gid_b").alias("b"), "n_a", "n_b")
 
@@ -272,19 +305,20 @@ def _hub(state: DataFrame, turn: int) -> DataFrame:
     """One group of each shingle: first the one that meets most others, then by a number of its own, so that a cluster's
     shingles agree on it."""
     by = [F.col("degree"), F.xxhash64("gid")] if not turn else [F.xxhash64("gid", F.lit(turn))]
-    first = F.max(F.struct(*[c.alias(f"by{i}") for i, c in enumerate(by)], "gid", "n", "lo", "hi")).alias("h")
-    return state.groupBy("token").agg(first).select("token", "h.gid", "h.n", "h.lo", "h.hi")
+    cols = ["gid", "n", "lo", "hi", *BITS]
+    first = F.max(F.struct(*[c.alias(f"by{i}") for i, c in enumerate(by)], *cols)).alias("h")
+    return state.groupBy("token").agg(first).select("token", *[f"h.{c}" for c in cols])
 
 
 def _links(rows: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, words_each: int, percent: int, steps: Steps) -> DataFrame:
     """(node, root) of every linked node. ``rows`` have the prefixes, ``nodes`` (node, digest, n, prefix_digest)."""
-    firsts = [F.first(c).alias(c) for c in ("weight", "last", "prefix")]
+    firsts = [F.first(c).alias(c) for c in ("weight", "last", *BITS, "prefix")]
     groups = steps.keep(rows.where("digest IS NOT NULL").groupBy("prefix_digest", "n").agg(*firsts).withColumn("gid", F.monotonically_increasing_id()))
     tokens = groups.select("gid", F.explode("prefix").alias("token")).repartition("token")
     often = tokens.groupBy("token").agg(F.count("*").alias("met")).where("met > 1")
     meeting = steps.keep(tokens.join(often, "token").select("token", "gid", "met"))
     degrees = meeting.groupBy("gid").agg(F.sum("met").alias("degree"))
-    ends = steps.keep(groups.select("gid", "n", "weight", "last").join(degrees, "gid", "left"))
+    ends = steps.keep(groups.select("gid", "n", "weight", "last", *BITS).join(degrees, "gid", "left"))
     members = steps.keep(nodes.join(groups.select("prefix_digest", "n", "gid"), ["prefix_digest", "n"]).select("node", "gid"))
     heads = members.groupBy("gid").agg(F.min("node").alias("head"))
     check = lambda pairs: steps.keep(verified(pairs, nodes, docs, text_col, words_each, percent, steps))
@@ -327,14 +361,14 @@ def _expanded(pairs: DataFrame, members: DataFrame, what: str, root: str | None
 
 
 def _open(meeting: DataFrame, ends: DataFrame, members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """(token, gid, n, degree, lo, hi): the rows of shingles at which nodes of several components meet, with the size of
+    """(token, gid, n, degree, lo, hi, BITS): the rows of shingles at which nodes of several components meet, with the size of
     the group's sets, the rows it meets and the range of its components."""
     if roots is None:
         told = members.select("gid", F.col("node").alias("root"))
     else:
         told = members.join(roots, "node", "left").select("gid", F.coalesce("root", "node").alias("root"))
     spans = told.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    now = meeting.join(ends.select("gid", "n", "degree").join(spans, "gid"), "gid").select("token", "gid", "n", "degree", "lo", "hi")
+    now = meeting.join(ends.select("gid", "n", "degree", *BITS).join(spans, "gid"), "gid").select("token", "gid", "n", "degree", "lo", "hi", *BITS)
     if roots is None:
         return now
     wide = now.groupBy("token").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where("first <> last")
