@@ -25,10 +25,10 @@ def sig(c: str | Column, digits: int = SIG_DIGITS) -> Column:
 
     Aggregates summed in a different order differ in the last bits between
     engines; the oracle SQL applies the same formatting (printf), so compared
-    values are equal.
+    values are equal. NULL (a statistic that is not defined) stays NULL.
     """
     col = F.col(c) if isinstance(c, str) else c
-    return F.format_string(f"%.{digits - 1}e", col.cast("double")).cast("double")
+    return F.when(col.isNotNull(), F.format_string(f"%.{digits - 1}e", col.cast("double")).cast("double"))
 
 
 def sig_sql(expr: str, digits: int = SIG_DIGITS) -> str:

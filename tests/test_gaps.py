@@ -126,3 +126,14 @@ def test_profiles_take_zero_signs_and_nan(spark):
     assert (row.n_rows, row.n_null, row.n_distinct) == (5, 1, 3)
     near = P.near_constant(df).first()
     assert (near.top_value, near.top_n, near.n_distinct) == ("0.0", 2, 2)
+
+
+def test_undefined_statistics_stay_null(spark):
+    """A statistic without rows to divide by (nothing predicted negative) passes the rounding as NULL."""
+    from sparkrisk.plans.tables import sig_all
+    df = spark.createDataFrame([(1, 0.25), (2, None), (3, NAN)], "k int, v double")
+    out = {r.k: r.v for r in sig_all(df).collect()}
+    assert out[1] == 0.25 and out[2] is None and math.isnan(out[3])
+    told = spark.createDataFrame([("a", "a"), ("b", "a")], "y string, predicted string")
+    stats_ = sig_all(E.confusion_stats(told, "predicted", "y", "a")).first()
+    assert stats_.npv is None and stats_.sensitivity == 1.0
