@@ -246,7 +246,7 @@ def _rebuilt(tree: H.Tree, feature: np.ndarray) -> H.Tree:
     first = np.where(leaf, np.arange(len(old)), new[np.minimum(tree.first[old], len(feature) - 1)])
     goes = np.where(leaf[:, None], 0, tree.goes[old]).astype(np.uint8)
     return replace(tree, feature=feature[old], first=first, goes=goes, counts=tree.counts[old], gain=np.where(leaf, 0, tree.gain[old]),
-                   depth=tree.depth[old], open=np.zeros(0, np.int64))
+                   depth=tree.depth[old], open=np.zeros(0, np.int64), jump=None)
 
 
 def gain_ratio_tree(table: DataFrame, bins: H.Bins, bit: int = 0, max_depth: int = 10, min_rows: int = 2, cf: float | None = 0.25,

@@ -33,7 +33,12 @@ from .features import fit_levels
 from .radix import rank_values
 
 #: Numbers (8 bytes each) that a task's count tables may hold in one pass; rows that it works on at a time.
-CELLS, BLOCK = 1 << 23, 1 << 18
+#: Few rows at a time keep the arrays of a tree in the cache, and a task's memory off the size of its input.
+CELLS, BLOCK = 1 << 23, 10_000
+#: Binned tables are dealt to this many tasks a core, but no task gets fewer rows than TASK_ROWS.
+TASKS, TASK_ROWS = 2, 20_000
+#: Nodes that the first steps of a walk may end in, to be taken at once (bits of a number).
+JUMP = 64
 #: Bins of a feature at most, with the one for missing values.
 MAX_BINS = 256
 #: Models that one membership column can tell apart.
@@ -43,7 +48,15 @@ MAX_MODELS = 62
 POISSON = np.array([math.floor(math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) * 2 ** 32)
                     for k in range(12)], np.uint64)
 
+#: The same by the upper 16 bits of the number; -1 where these do not decide.
+_POISSON_TOP = np.searchsorted(POISSON, np.arange(1 << 16, dtype=np.uint64) << np.uint64(16), side="right").astype(np.int8)
+_POISSON_TOP[(POISSON[POISSON < 1 << 32] >> np.uint64(16)).astype(int)] = -1
+
 _M64 = (1 << 64) - 1
+#: The place of a number's only bit: a de Bruijn sequence times the bit has another upper six bits for each place.
+_BRUIJN = np.uint64(0x03F79D71B4CB0A89)
+_PLACE = np.zeros(64, np.int64)
+_PLACE[((np.uint64(1) << np.arange(64, dtype=np.uint64)) * _BRUIJN >> np.uint64(58)).astype(int)] = np.arange(64)
 
 
 # --- bins --------------------------------------------------------------------------------------------------
@@ -61,6 +74,7 @@ class Bins:
     features: list[str]
     cuts: dict[str, list[float]]
     levels: dict[str, list[str]]
+    rows: int | None = None  # of the table the bins were made from
 
     def sizes(self) -> np.ndarray:
         return np.array([len(self.cuts[f]) + 2 if f in self.cuts else len(self.levels[f]) + 1 for f in self.features])
@@ -74,7 +88,7 @@ def fit_bins(df: DataFrame, label: str, numeric: Sequence[str], categorical: Seq
     if not 2 <= max_bins <= MAX_BINS - 2:
         raise ValueError(f"max_bins {max_bins}: from 2 to {MAX_BINS - 2}")
     n = df.agg(*[F.count(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None))).alias(f"n{i}") for i, c in enumerate(numeric)],
-               F.lit(0)).first()
+               F.count(F.lit(1)).alias("rows")).first()
     ranks = {c: sorted({i * n[j] // max_bins for i in range(1, max_bins)}) if n[j] else [] for j, c in enumerate(numeric)}
     values = rank_values(df, ranks)
     top = df.agg(*[F.max(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None))).alias(f"m{i}") for i, c in enumerate(numeric)],
@@ -88,13 +102,16 @@ def fit_bins(df: DataFrame, label: str, numeric: Sequence[str], categorical: Seq
     classes = [r[0] for r in df.select(label).where(F.col(label).isNotNull()).distinct().orderBy(label).limit(MAX_BINS + 1).collect()]
     if len(classes) > MAX_BINS:
         raise ValueError(f"{label}: over {MAX_BINS} classes")
-    return Bins(label, classes, [*numeric, *categorical], cuts, levels)
+    return Bins(label, classes, [*numeric, *categorical], cuts, levels, n["rows"])
 
 
 def bin_table(df: DataFrame, bins: Bins, key: str | Sequence[str], seed: int = 42, keep: Sequence[str] = (),
               member=None) -> DataFrame:
     """The binned table, written once: ``keep`` columns, ``_y`` (class code, -1 without), ``_member`` (bits of the models
-    that train on the row, or 1), ``_h1`` and ``_h2`` (32 bits each of the key's seeded md5), ``_b0`` ... the bins."""
+    that train on the row, or 1), ``_h1`` and ``_h2`` (32 bits each of the key's seeded md5), ``_b0`` ... the bins.
+
+    Its rows are dealt evenly to TASKS partitions a core, however few files, row groups or partitions ``df`` has: the
+    passes over it are what a forest's time goes into."""
     keys = [key] if isinstance(key, str) else list(key)
     h = seeded_md5(seed, *keys)
     half = lambda a: F.conv(F.substring(h, a, 8), 16, 10).cast("bigint")
@@ -103,8 +120,13 @@ def bin_table(df: DataFrame, bins: Bins, key: str | Sequence[str], seed: int = 4
         y = F.when(F.col(f"`{bins.label}`") == F.lit(c), i).otherwise(y)
     cols = [_numeric_bin(bins.cuts[f])(F.col(f"`{f}`").cast("double")) if f in bins.cuts
             else _level_bin(bins.levels[f])(F.col(f"`{f}`").cast("string")) for f in bins.features]
-    return cut_lineage(df.select(*keep, y.cast("int").alias("_y"), (F.lit(1) if member is None else member).cast("bigint").alias("_member"),
-                                 half(1).alias("_h1"), half(9).alias("_h2"), *[c.alias(f"_b{i}") for i, c in enumerate(cols)]))
+    raw = df.select(*keep, y.cast("int").alias("_y"), (F.lit(1) if member is None else member).cast("bigint").alias("_member"),
+                    half(1).alias("_h1"), half(9).alias("_h2"), *[F.col(f"`{f}`") for f in bins.features])
+    parts = TASKS * df.sparkSession.sparkContext.defaultParallelism
+    if bins.rows is not None:
+        parts = min(parts, max(1, bins.rows // TASK_ROWS))
+    raw = raw.repartition(parts)
+    return cut_lineage(raw.select(*[c for c in raw.columns if c not in bins.features], *[c.alias(f"_b{i}") for i, c in enumerate(cols)]))
 
 
 def _numeric_bin(cuts: list[float]):
@@ -145,8 +167,14 @@ def bag_factors(seed: int, tree: int) -> tuple[int, int, int]:
 def bag(h1: np.ndarray, h2: np.ndarray, seed: int, tree: int) -> np.ndarray:
     """How often the tree draws each row: Poisson(1) of ((a * h1 + b * h2 + c) mod 2 ** 64) div 2 ** 32."""
     a, b, c = (np.uint64(x) for x in bag_factors(seed, tree))
-    u = (h1.astype(np.uint64) * a + h2.astype(np.uint64) * b + c) >> np.uint64(32)
-    return np.searchsorted(POISSON, u, side="right")
+    u = h1.astype(np.uint64, copy=False) * a
+    u += h2.astype(np.uint64, copy=False) * b
+    u += c
+    u >>= np.uint64(32)
+    times = _POISSON_TOP[(u >> np.uint64(16)).view(np.int64)]
+    open_ = np.flatnonzero(times < 0)
+    times[open_] = np.searchsorted(POISSON, u[open_], side="right")
+    return times
 
 
 # --- models ------------------------------------------------------------------------------------------------
@@ -180,18 +208,66 @@ class Tree:
     depth: np.ndarray
     open: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
 
+    jump: tuple | None = None  # see :func:`_jump`
+
     def walk(self, bins: np.ndarray, rows: np.ndarray, steps: int) -> np.ndarray:
         """The node of each of ``rows`` after ``steps`` splits; ``bins`` has a row a feature."""
-        node = np.zeros(len(rows), np.int64)
+        node = None
+        if self.jump and self.jump[0] <= steps and len(self.jump[1]) <= 3 * self.jump[0]:
+            done, used, masks, nodes = self.jump
+            for f, mask in zip(used, masks):
+                part = mask[bins[f][rows]]
+                node = part if node is None else np.bitwise_and(node, part, out=node)
+            node *= _BRUIJN
+            node >>= np.uint64(58)
+            node = nodes[node.view(np.int64)]
+            steps -= done
+        if node is None:
+            node = np.zeros(len(rows), np.int64)
         width, n = self.goes.shape[1], bins.shape[1]
-        flat, goes = bins.ravel(), self.goes.ravel()
+        flat, goes, base = bins.ravel(), self.goes.ravel(), np.maximum(self.feature, 0) * n
         for _ in range(steps):
-            f = self.feature[node]
-            at = flat[np.maximum(f, 0) * n + rows]
-            node = self.first[node] + goes[node * width + at]
+            at = base[node]
+            at += rows
+            at = flat[at]
+            to = self.first[node]
+            node *= width
+            node += at
+            to += goes[node]
+            node = to
         return node
 
 
+def _jump(tree: Tree, steps: int) -> tuple | None:
+    """(steps, features, masks, nodes): where ``steps`` splits lead, at once; None if to more than JUMP nodes.
+
+    ``masks[i, bin]`` has a bit for each node that can be reached with that bin of feature i: the bits of a row's bins of all
+    features have one in common, its node.
+    """
+    ends = [(0, {})]
+    for _ in range(steps):
+        after = []
+        for node, ways in ends:
+            f = int(tree.feature[node])
+            if f < 0:
+                after.append((node, ways))
+                continue
+            for k in range(int(tree.goes[node].max()) + 1):
+                way = tree.goes[node] == k
+                after.append((int(tree.first[node]) + k, {**ways, f: ways[f] & way if f in ways else way}))
+        ends = after
+        if len(ends) > JUMP:
+            return None
+    used = sorted({f for _, ways in ends for f in ways})
+    if not used:
+        return None
+    masks = np.zeros((len(used), tree.goes.shape[1]), np.uint64)
+    for i, (_, ways) in enumerate(ends):
+        for j, f in enumerate(used):
+            masks[j] |= np.where(ways[f], np.uint64(1 << i), np.uint64(0)) if f in ways else np.uint64(1 << i)
+    return steps, used, masks, np.array([n for n, _ in ends])[np.minimum(_PLACE, len(ends) - 1)]
+
+
 @dataclass
 class Forest:
     """Grown trees of every spec over one way of binning."""
@@ -260,29 +336,49 @@ def _blocks(batches: Iterator[pa.RecordBatch], features: int) -> Iterator[tuple]
         yield block(held)
 
 
-def _counts(spec: Spec, tree: Tree, work: Work, block: tuple, classes: int, out: np.ndarray) -> None:
+class Members:
+    """The rows of a block that train the models of one membership bit; the last bit asked for is kept."""
+
+    def __init__(self, block: tuple, classes: int, unit: float = 0.0):
+        self.block, self.classes, self.bit = block, classes, None
+
+    def of(self, bit: int) -> tuple:
+        """(bins, bins times classes plus the row's class, two hashes)."""
+        if bit != self.bit:
+            bins, y, member, h1, h2 = self.block
+            rows = np.flatnonzero((y >= 0) & ((member >> bit) & 1 == 1))
+            mine = bins[:, rows].astype(np.int64)
+            self.bit, self.rows = bit, (mine, mine * self.classes + y[rows], h1[rows].view(np.uint64), h2[rows].view(np.uint64))
+        return self.rows
+
+
+def _counts(spec: Spec, tree: Tree, work: Work, members: Members, out: np.ndarray) -> None:
     """Adds a block's rows to the tree's table of (open node, candidate, bin, class)."""
-    bins, y, member, h1, h2 = block
-    mine = (y >= 0) & ((member >> spec.bit) & 1 == 1)
+    bins, codes, h1, h2 = members.of(spec.bit)
+    n, times = bins.shape[1], None
     if spec.bagged:
-        times = bag(h1, h2, spec.seed, tree.number) * mine
-        rows = np.flatnonzero(times)
+        times = bag(h1, h2, spec.seed, tree.number)
+        rows = np.flatnonzero(times != 0)
         times = times[rows].astype(np.float64)
     else:
-        rows = np.flatnonzero(mine)
-        times = None
-    node = tree.walk(bins, rows, work.step)
-    slot = np.full(len(tree.feature), -1)
-    slot[work.nodes] = np.arange(len(work.nodes))
-    place = slot[node]
-    if (place < 0).any():
-        some = place >= 0
+        rows = np.arange(n)
+    place = np.full(len(tree.feature), -1)
+    place[work.nodes] = np.arange(len(work.nodes))
+    place = place[tree.walk(bins, rows, work.step)]
+    if len(work.nodes) < len(tree.feature) and (place < 0).any():
+        some = np.flatnonzero(place >= 0)
         rows, place, times = rows[some], place[some], times if times is None else times[some]
-    flat, n, cls = bins.ravel(), bins.shape[1], y[rows]
+    flat = codes.ravel()
     for j in range(work.tried.shape[1]):
-        f = work.tried[place, j]
-        cell = (work.at[place, j] + flat[f * n + rows]) * classes + cls
-        out += np.bincount(cell, times, len(out)).astype(np.int64)
+        f = work.tried[:, j]
+        if (f == f[0]).all():
+            cell = codes[f[0]][rows]
+        else:
+            cell = (f * n)[place]
+            cell += rows
+            cell = flat[cell]
+        cell += (work.at[:, j] * members.classes)[place]
+        out += np.bincount(cell, times, len(out))
 
 
 def _level(table: DataFrame, forest: Forest, works: list[Work], choose) -> dict[int, list]:
@@ -293,14 +389,15 @@ def _level(table: DataFrame, forest: Forest, works: list[Work], choose) -> dict[
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         specs, trees, works = pickle.loads(shared.value)
-        tables = [np.zeros(w.cells * classes, np.int64) for w in works]
+        tables = [np.zeros(w.cells * classes) for w in works]  # whole numbers, exact up to 2 ** 53
         for block in _blocks(batches, features):
+            members = Members(block, classes)
             for w, tree, out in zip(works, trees, tables):
-                _counts(specs[tree.spec], tree, w, block, classes, out)
+                _counts(specs[tree.spec], tree, w, members, out)
         for i, out in enumerate(tables):
             if out.any():
                 small = out.max() < 1 << 32
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([(out.astype(np.uint32) if small else out).tobytes()], pa.binary())], ["work", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([out.astype(np.uint32 if small else np.int64).tobytes()], pa.binary())], ["work", "counts"])
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         specs, trees, works = pickle.loads(shared.value)
@@ -477,6 +574,8 @@ def grow(table: DataFrame, bins: Bins, specs: Sequence[Spec], max_depth: int = 1
                 if i in found:
                     _extend(trees[w.index], w, found[i], depth + 1, depth + 1 < max_depth, min_rows)
         for tree in trees:
+            if len(tree.open):
+                tree.jump = _jump(tree, depth + 1) or tree.jump
             tree.open = tree.open[tree.depth[tree.open] > depth]
     return forest
 

@@ -223,3 +223,37 @@ def test_odd_tables(spark):
     grown = H.grow(table, bins, [H.Spec("m", trees=3)])
     assert all(t.feature.tolist() == [-1] for t in grown.trees)
     assert [r.predicted for r in H.probabilities(table, grown).collect()] == ["u"] * 3
+
+
+def test_binned_table_is_dealt_to_all_cores(spark):
+    """One row group of many rows must not leave a forest's passes to one task."""
+    df = spark.range(0, 200_000, 1, 1).selectExpr("id", "cast(id % 100 as double) AS x", "if(id % 7 > 2, 'a', 'b') AS y")
+    bins = H.fit_bins(df, "y", ["x"])
+    table = H.bin_table(df, bins, "id")
+    sizes = [r["n"] for r in table.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    cores = spark.sparkContext.defaultParallelism
+    assert len(sizes) >= cores and sum(sizes) == 200_000 and max(sizes) <= 1.1 * 200_000 / len(sizes)
+
+
+def test_walk_at_once_equals_walk_by_steps(spark, data):
+    bins = H.fit_bins(data, "y", ["x", "z"], ["c"], 16)
+    table = H.bin_table(data, bins, "id")
+    grown = H.grow(table, bins, [H.Spec("m", mtry=2, trees=3)], 8)
+    grown.trees += E.gain_ratio_tree(table, bins, cf=None).trees  # a child a level
+    rows = table.toPandas()
+    b, every = np.array([rows[f"_b{i}"] for i in range(3)], np.int16), np.arange(len(rows))
+    for tree in grown.trees:
+        assert tree.jump and tree.jump[0] >= 4
+        for steps in range(9):
+            node = np.zeros(len(every), np.int64)
+            for _ in range(steps):
+                f = tree.feature[node]
+                node = tree.first[node] + tree.goes[node, b[np.maximum(f, 0), every]]
+            assert np.array_equal(tree.walk(b, every, steps), node)
+
+
+def test_bag_table_equals_search():
+    rng = np.random.default_rng(1)
+    u = np.concatenate([np.array([p + d for p in H.POISSON.tolist() for d in (-1, 0, 1) if p + d < 2**32], np.uint64), rng.integers(0, 2**32, 5000).astype(np.uint64)])
+    top = H._POISSON_TOP[(u >> np.uint64(16)).astype(int)]
+    assert np.array_equal(np.where(top < 0, np.searchsorted(H.POISSON, u, side="right"), top), np.searchsorted(H.POISSON, u, side="right"))
