@@ -39,6 +39,8 @@ CELLS, BLOCK = 1 << 23, 10_000
 TASKS, TASK_ROWS = 2, 20_000
 #: Nodes that the first steps of a walk may end in, to be taken at once (bits of a number).
 JUMP = 64
+#: What the tables of a regression hold in place of classes; its label is a whole number of at most this many bits.
+TARGET, TARGET_BITS = ["rows", "sum"], 32
 #: Bins of a feature at most, with the one for missing values.
 MAX_BINS = 256
 #: Models that one membership column can tell apart.
@@ -75,6 +77,7 @@ class Bins:
     cuts: dict[str, list[float]]
     levels: dict[str, list[str]]
     rows: int | None = None  # of the table the bins were made from
+    target: tuple[float, float] | None = None  # least value and unit of a numeric label, whose ``classes`` are TARGET
 
     def sizes(self) -> np.ndarray:
         return np.array([len(self.cuts[f]) + 2 if f in self.cuts else len(self.levels[f]) + 1 for f in self.features])
@@ -83,8 +86,12 @@ class Bins:
         return np.array([f in self.cuts for f in self.features])
 
 
-def fit_bins(df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str] = (), max_bins: int = 64) -> Bins:
-    """Cuts at the values of the ranks i / max_bins (exact, of distinct ones each once), levels and classes in order."""
+def fit_bins(df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str] = (), max_bins: int = 64,
+             regression: bool = False) -> Bins:
+    """Cuts at the values of the ranks i / max_bins (exact, of distinct ones each once), levels and classes in order.
+
+    ``regression``: the label is a number, kept in units of its range / 2 ** TARGET_BITS, so that sums of it are exact.
+    """
     if not 2 <= max_bins <= MAX_BINS - 2:
         raise ValueError(f"max_bins {max_bins}: from 2 to {MAX_BINS - 2}")
     n = df.agg(*[F.count(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None))).alias(f"n{i}") for i, c in enumerate(numeric)],
@@ -99,6 +106,13 @@ def fit_bins(df: DataFrame, label: str, numeric: Sequence[str], categorical: Seq
     wide = [c for c, v in levels.items() if len(v) > MAX_BINS - 1]
     if wide:
         raise ValueError(f"{wide}: over {MAX_BINS - 1} levels; group rare ones first")
+    if regression:
+        y = F.nanvl(F.col(f"`{label}`").cast("double"), F.lit(None))
+        low, high = df.agg(F.min(y), F.max(y)).first()
+        span = (high - low) if low is not None else 0.0
+        if not math.isfinite(span):
+            raise ValueError(f"{label}: its range is not a number")
+        return Bins(label, list(TARGET), [*numeric, *categorical], cuts, levels, n["rows"], (low or 0.0, span / ((1 << TARGET_BITS) - 1)))
     classes = [r[0] for r in df.select(label).where(F.col(label).isNotNull()).distinct().orderBy(label).limit(MAX_BINS + 1).collect()]
     if len(classes) > MAX_BINS:
         raise ValueError(f"{label}: over {MAX_BINS} classes")
@@ -116,17 +130,24 @@ def bin_table(df: DataFrame, bins: Bins, key: str | Sequence[str], seed: int = 4
     h = seeded_md5(seed, *keys)
     half = lambda a: F.conv(F.substring(h, a, 8), 16, 10).cast("bigint")
     y = F.lit(-1)
-    for i, c in enumerate(bins.classes):
+    if bins.target:
+        low, unit = bins.target
+        value = F.nanvl(F.col(f"`{bins.label}`").cast("double"), F.lit(None))
+        y = F.coalesce(F.round((value - F.lit(low)) / F.lit(unit or 1.0)), F.lit(-1.0))
+    for i, c in enumerate([] if bins.target else bins.classes):
         y = F.when(F.col(f"`{bins.label}`") == F.lit(c), i).otherwise(y)
-    cols = [_numeric_bin(bins.cuts[f])(F.col(f"`{f}`").cast("double")) if f in bins.cuts
-            else _level_bin(bins.levels[f])(F.col(f"`{f}`").cast("string")) for f in bins.features]
-    raw = df.select(*keep, y.cast("int").alias("_y"), (F.lit(1) if member is None else member).cast("bigint").alias("_member"),
+    raw = df.select(*keep, y.cast("bigint" if bins.target else "int").alias("_y"), (F.lit(1) if member is None else member).cast("bigint").alias("_member"),
                     half(1).alias("_h1"), half(9).alias("_h2"), *[F.col(f"`{f}`") for f in bins.features])
     parts = TASKS * df.sparkSession.sparkContext.defaultParallelism
     if bins.rows is not None:
         parts = min(parts, max(1, bins.rows // TASK_ROWS))
     raw = raw.repartition(parts)
-    return cut_lineage(raw.select(*[c for c in raw.columns if c not in bins.features], *[c.alias(f"_b{i}") for i, c in enumerate(cols)]))
+    return cut_lineage(raw.select(*[c for c in raw.columns if c not in bins.features], *[c.alias(f"_b{i}") for i, c in enumerate(_bin_columns(bins))]))
+
+
+def _bin_columns(bins: Bins) -> list:
+    return [_numeric_bin(bins.cuts[f])(F.col(f"`{f}`").cast("double")) if f in bins.cuts
+            else _level_bin(bins.levels[f])(F.col(f"`{f}`").cast("string")) for f in bins.features]
 
 
 def _numeric_bin(cuts: list[float]):
@@ -339,22 +360,23 @@ def _blocks(batches: Iterator[pa.RecordBatch], features: int) -> Iterator[tuple]
 class Members:
     """The rows of a block that train the models of one membership bit; the last bit asked for is kept."""
 
-    def __init__(self, block: tuple, classes: int, unit: float = 0.0):
-        self.block, self.classes, self.bit = block, classes, None
+    def __init__(self, block: tuple, classes: int, target: bool = False):
+        self.block, self.classes, self.target, self.bit = block, 1 if target else classes, target, None
 
     def of(self, bit: int) -> tuple:
-        """(bins, bins times classes plus the row's class, two hashes)."""
+        """(bins, bins times classes plus the row's class, two hashes, label); for a regression bins take the second place."""
         if bit != self.bit:
             bins, y, member, h1, h2 = self.block
             rows = np.flatnonzero((y >= 0) & ((member >> bit) & 1 == 1))
             mine = bins[:, rows].astype(np.int64)
-            self.bit, self.rows = bit, (mine, mine * self.classes + y[rows], h1[rows].view(np.uint64), h2[rows].view(np.uint64))
+            y = y[rows]
+            self.bit, self.rows = bit, (mine, mine if self.target else mine * self.classes + y, h1[rows].view(np.uint64), h2[rows].view(np.uint64), y)
         return self.rows
 
 
 def _counts(spec: Spec, tree: Tree, work: Work, members: Members, out: np.ndarray) -> None:
-    """Adds a block's rows to the tree's table of (open node, candidate, bin, class)."""
-    bins, codes, h1, h2 = members.of(spec.bit)
+    """Adds a block's rows to the tree's table of (open node, candidate, bin, class or TARGET)."""
+    bins, codes, h1, h2, y = members.of(spec.bit)
     n, times = bins.shape[1], None
     if spec.bagged:
         times = bag(h1, h2, spec.seed, tree.number)
@@ -369,6 +391,9 @@ def _counts(spec: Spec, tree: Tree, work: Work, members: Members, out: np.ndarra
         some = np.flatnonzero(place >= 0)
         rows, place, times = rows[some], place[some], times if times is None else times[some]
     flat = codes.ravel()
+    if members.target:
+        times = np.ones(len(rows)) if times is None else times
+        total, pair = times * y[rows], out.reshape(-1, 2)  # of one block: whole numbers, exact
     for j in range(work.tried.shape[1]):
         f = work.tried[:, j]
         if (f == f[0]).all():
@@ -378,20 +403,25 @@ def _counts(spec: Spec, tree: Tree, work: Work, members: Members, out: np.ndarra
             cell += rows
             cell = flat[cell]
         cell += (work.at[:, j] * members.classes)[place]
-        out += np.bincount(cell, times, len(out))
+        if members.target:
+            pair[:, 0] += np.bincount(cell, times, len(pair)).astype(np.int64)
+            pair[:, 1] += np.bincount(cell, total, len(pair)).astype(np.int64)
+        else:
+            out += np.bincount(cell, times, len(out))
 
 
 def _level(table: DataFrame, forest: Forest, works: list[Work], choose) -> dict[int, list]:
     """One pass: the tables of all ``works`` summed over all tasks, and what ``choose`` makes of each tree's."""
     sc = table.sparkSession.sparkContext
-    classes, features = len(forest.bins.classes), len(forest.bins.features)
+    classes, features, target = len(forest.bins.classes), len(forest.bins.features), forest.bins.target is not None
     shared = sc.broadcast(pickle.dumps((forest.specs, [forest.trees[w.index] for w in works], works)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         specs, trees, works = pickle.loads(shared.value)
-        tables = [np.zeros(w.cells * classes) for w in works]  # whole numbers, exact up to 2 ** 53
+        # counts are exact in doubles up to 2 ** 53; sums of a label need the whole number
+        tables = [np.zeros(w.cells * classes, np.int64 if target else np.float64) for w in works]
         for block in _blocks(batches, features):
-            members = Members(block, classes)
+            members = Members(block, classes, target)
             for w, tree, out in zip(works, trees, tables):
                 _counts(specs[tree.spec], tree, w, members, out)
         for i, out in enumerate(tables):
@@ -403,15 +433,18 @@ def _level(table: DataFrame, forest: Forest, works: list[Work], choose) -> dict[
         specs, trees, works = pickle.loads(shared.value)
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                size = works[i].cells * classes
-                part = np.frombuffer(raw, np.uint32 if len(raw) == 4 * size else np.int64)
-                sums[i] = sums[i] + part if i in sums else part.astype(np.int64)
+            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                size, raw = works[i].cells * classes, raw.as_buffer()  # not copied
+                part = np.frombuffer(raw, np.uint32 if raw.size == 4 * size else np.int64)
+                if i in sums:
+                    sums[i] += part
+                else:
+                    sums[i] = part.astype(np.int64)
         for i, total in sums.items():
             best = choose(works[i], total.reshape(-1, classes))
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([pickle.dumps(best)], pa.binary())], ["work", "best"])
 
-    parts = max(1, min(len(works), 4 * sc.defaultParallelism))
+    parts = max(1, min(len(works), 16 * sc.defaultParallelism))  # few trees each: a task reads every task's tables of its own
     counted = table.select("_y", "_member", "_h1", "_h2", *[f"_b{i}" for i in range(features)]).mapInArrow(count, "work int, counts binary")
     rows = counted.repartition(parts, "work").mapInArrow(pick, "work int, best binary").collect()  # a row a tree
     shared.unpersist()
@@ -429,6 +462,14 @@ def impurity(weights: np.ndarray, criterion: str) -> np.ndarray:
     return -(p * np.log(np.where(p > 0, p, 1))).sum(axis=-1)
 
 
+def _variance_gain(left: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Fall of the variance, as a share of the squared range, by splitting off ``left``; the last axis is TARGET."""
+    n, nl = whole[..., 0].astype(float), left[..., 0].astype(float)
+    nr = n - nl
+    off = (left[..., 1] - nl * (whole[..., 1] / np.where(n > 0, n, 1))) / 2.0 ** TARGET_BITS
+    return off * off / np.where(nl > 0, nl, 1) / np.where(nr > 0, nr, 1)
+
+
 @dataclass
 class Splitter:
     """Best split of each open node from its counts; see :func:`grow` for the criteria."""
@@ -487,19 +528,28 @@ class Splitter:
             total = weights.sum(axis=2)
             cls = np.full(m, table.shape[2] - 1) if table.shape[2] == 2 else weights.sum(axis=1).argmax(axis=1)
             share = np.take_along_axis(weights, cls[:, None, None], axis=2)[:, :, 0] / np.where(total > 0, total, 1)
+            if self.criterion == "variance":  # by mean
+                total = table[:, :, 0]
+                share = table[:, :, 1] / np.where(total > 0, total, 1)
             order = np.argsort(np.where(total > 0, share, np.inf), axis=1, kind="stable")  # empty bins last
             table = np.take_along_axis(table, order[:, :, None], axis=1)
         left = table.cumsum(axis=1)
         whole = left[:, -1:, :]
         left = left[:, :-1, :]
         right = whole - left
-        rows_left, rows_right = left.sum(axis=2), right.sum(axis=2)
+        if self.criterion == "variance":
+            rows_left, rows_right = left[:, :, 0], right[:, :, 0]
+        else:
+            rows_left, rows_right = left.sum(axis=2), right.sum(axis=2)
+        valid = (rows_left >= self.min_rows) & (rows_right >= self.min_rows) & (rows_left > 0) & (rows_right > 0)
         wl, wr, wt = left * self.weights, right * self.weights, whole * self.weights
         kind = "gini" if self.criterion == "gini" else "entropy"
         sl, sr, st = wl.sum(axis=2), wr.sum(axis=2), wt.sum(axis=2)
         fl, fr = sl / np.where(st > 0, st, 1), sr / np.where(st > 0, st, 1)
-        gain = impurity(wt, kind) - fl * impurity(wl, kind) - fr * impurity(wr, kind)
-        valid = (rows_left >= self.min_rows) & (rows_right >= self.min_rows) & (rows_left > 0) & (rows_right > 0)
+        if self.criterion == "variance":
+            gain = _variance_gain(left, whole)
+        else:
+            gain = impurity(wt, kind) - fl * impurity(wl, kind) - fr * impurity(wr, kind)
         gain = np.where(valid, gain, -np.inf)
         value = gain
         if self.criterion == "gain_ratio":
@@ -510,7 +560,7 @@ class Splitter:
         way = np.zeros((m, size), np.uint8)
         np.put_along_axis(way, order, (np.arange(size)[None, :] > best[:, None]).astype(np.uint8), axis=1)
         empty = np.zeros((m, size), bool)
-        np.put_along_axis(empty, order, table.sum(axis=2) == 0, axis=1)
+        np.put_along_axis(empty, order, (table[:, :, 0] if self.criterion == "variance" else table.sum(axis=2)) == 0, axis=1)
         if not ordered:  # levels that the node has not seen go with the larger side
             way = np.where(empty, (rows_right[at, best] > rows_left[at, best]).astype(np.uint8)[:, None], way)
         return gain[at, best], value[at, best], way
@@ -540,10 +590,12 @@ def grow(table: DataFrame, bins: Bins, specs: Sequence[Spec], max_depth: int = 1
 
     ``criterion``: "gini" or "entropy" (two children; categories are cut in two by class share), or "gain_ratio" (a
     child a category; of the tests with at least the average gain, that with the best ratio of gain to split
-    information). ``min_rows``: least drawn rows of a child. Rows without a label train nothing. A node stays a leaf at
+    information), or "variance" for a table binned for a regression. ``min_rows``: least drawn rows of a child. Rows without a label train nothing. A node stays a leaf at
     ``max_depth``, if it is pure or no candidate gains over ``min_gain``. A model without training rows has single
     leaves without counts and predicts the first class.
     """
+    if (criterion == "variance") != (bins.target is not None):
+        raise ValueError("a numeric label, and only that, is split by variance")
     if not bins.classes or not bins.features:
         raise ValueError("a forest needs a feature and labelled rows")
     specs = list(specs)
@@ -572,7 +624,7 @@ def grow(table: DataFrame, bins: Bins, specs: Sequence[Spec], max_depth: int = 1
             found = _level(table, forest, works, choose)
             for i, w in enumerate(works):
                 if i in found:
-                    _extend(trees[w.index], w, found[i], depth + 1, depth + 1 < max_depth, min_rows)
+                    _extend(trees[w.index], w, found[i], depth + 1, depth + 1 < max_depth, min_rows, bins.target is not None)
         for tree in trees:
             if len(tree.open):
                 tree.jump = _jump(tree, depth + 1) or tree.jump
@@ -599,7 +651,7 @@ def _passes(todo: list[Work], classes: int) -> Iterator[list[Work]]:
         yield held
 
 
-def _extend(tree: Tree, work: Work, best: dict, depth: int, more: bool, min_rows: int) -> None:
+def _extend(tree: Tree, work: Work, best: dict, depth: int, more: bool, min_rows: int, target: bool = False) -> None:
     """Adds the children of the split nodes; those that can split again are open."""
     n = len(tree.feature)
     nodes, children = work.nodes, best["children"]
@@ -618,7 +670,8 @@ def _extend(tree: Tree, work: Work, best: dict, depth: int, more: bool, min_rows
     tree.gain = np.concatenate([tree.gain, np.zeros(new)])
     tree.depth = np.concatenate([tree.depth, np.full(new, depth)])
     if more:
-        open_ = ((below > 0).sum(axis=1) > 1) & (below.sum(axis=1) >= 2 * max(1, min_rows))
+        drawn = below[:, 0] if target else below.sum(axis=1)
+        open_ = (target | ((below > 0).sum(axis=1) > 1)) & (drawn >= 2 * max(1, min_rows))
         tree.open = np.concatenate([tree.open, n + np.flatnonzero(open_)])
 
 
@@ -726,3 +779,42 @@ def importances(forest: Forest, spec: int = 0) -> list[tuple[str, float]]:
             total += own / own.sum()
     total = total / total.sum() if total.sum() > 0 else total
     return sorted(zip(forest.bins.features, total.tolist()), key=lambda t: (-t[1], t[0]))
+
+
+# --- regression --------------------------------------------------------------------------------------------
+
+#: Least fall of the variance (share of the squared range) of a regression's split: more than rounding makes.
+LEAST_FALL = 1e-18
+
+
+@dataclass
+class RegressionForest:
+    """Grown regression trees; the prediction is the mean of the trees' leaf means."""
+
+    forest: Forest
+
+    def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
+        bins = self.forest.bins
+        shared = df.sparkSession.sparkContext.broadcast(pickle.dumps(self.forest))
+
+        @F.arrow_udf("double")
+        def of(it: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+            forest = pickle.loads(shared.value)
+            low, unit = forest.bins.target
+            heard = [(t, t.counts[:, 1] / np.maximum(t.counts[:, 0], 1)) for t in forest.trees if t.counts[0, 0]]
+            for cols in it:
+                codes = np.array([c.to_numpy(zero_copy_only=False) for c in cols], np.int64)
+                rows, total = np.arange(codes.shape[1]), np.zeros(codes.shape[1])
+                for t, mean in heard:
+                    total += mean[t.walk(codes, rows, int(t.depth.max()))]
+                yield pa.array(low + unit * total / len(heard)) if heard else pa.nulls(codes.shape[1], pa.float64())
+
+        return df.withColumn(out, of(*_bin_columns(bins)))
+
+
+def regression_forest(df: DataFrame, label: str, key: str | Sequence[str], numeric: Sequence[str], categorical: Sequence[str] = (),
+                      trees: int = 100, max_depth: int = 10, max_bins: int = 64, seed: int = 42) -> RegressionForest:
+    """A forest on a numeric label, every feature a candidate at each split; rows without a label train nothing."""
+    bins = fit_bins(df, label, numeric, categorical, max_bins, regression=True)
+    table = bin_table(df, bins, key, seed)
+    return RegressionForest(grow(table, bins, [Spec("forest", 0, None, 0, trees, seed)], max_depth, "variance", min_gain=LEAST_FALL))

@@ -257,3 +257,48 @@ def test_bag_table_equals_search():
     u = np.concatenate([np.array([p + d for p in H.POISSON.tolist() for d in (-1, 0, 1) if p + d < 2**32], np.uint64), rng.integers(0, 2**32, 5000).astype(np.uint64)])
     top = H._POISSON_TOP[(u >> np.uint64(16)).astype(int)]
     assert np.array_equal(np.where(top < 0, np.searchsorted(H.POISSON, u, side="right"), top), np.searchsorted(H.POISSON, u, side="right"))
+
+
+def test_regression_tree_equals_the_plain_one(spark, data):
+    """Splits by fall of variance over all cuts, categories by mean, worked out row by row; leaves predict means."""
+    df = data.selectExpr("id", "x", "z", "c", "if(id % 50 = 0, NULL, 3 * x + coalesce(ascii(c) % 3, 0) + (id % 7) / 10 - 4) AS v")
+    bins = H.fit_bins(df, "v", ["x", "z"], ["c"], 16, regression=True)
+    table = H.bin_table(df, bins, "id", keep=["id", "v"])
+    grown = H.grow(table, bins, [H.Spec("t", trees=1, bagged=False)], 4, "variance", min_gain=H.LEAST_FALL)
+    rows = table.where("v IS NOT NULL").toPandas()
+    b, v, t = np.array([rows[f"_b{i}"] for i in range(3)]), rows["v"].to_numpy(float), grown.trees[0]
+
+    def check(node, of, depth):
+        assert t.counts[node, 0] == len(of)
+        best = 0.0
+        for f in range(3):
+            order = np.arange(bins.sizes()[f])
+            if not bins.ordered()[f]:
+                order = np.array(sorted(order, key=lambda k: v[of][b[f][of] == k].mean() if (b[f][of] == k).any() else np.inf))
+            for cut in range(len(order) - 1):
+                left = np.isin(b[f][of], order[:cut + 1])
+                if 0 < left.sum() < len(of):
+                    best = max(best, v[of].var() - left.mean() * v[of][left].var() - (~left).mean() * v[of][~left].var())
+        if t.feature[node] < 0:
+            assert depth == 4 or best < 1e-9
+            return
+        way = t.goes[node][b[t.feature[node]][of]]
+        parts = [of[way == 0], of[way == 1]]
+        assert best == pytest.approx(v[of].var() - sum(len(p) / len(of) * v[p].var() for p in parts), rel=1e-6)
+        for k, p in enumerate(parts):
+            check(t.first[node] + k, p, depth + 1)
+
+    check(0, np.arange(len(v)), 0)
+    leaf = t.walk(b, np.arange(len(v)), 4)
+    want = {i: v[leaf == n].mean() for i, n in zip(rows["id"], leaf)}
+    got = {r.id: r.prediction for r in H.RegressionForest(grown).transform(df).where("v IS NOT NULL").collect()}
+    assert got == pytest.approx(want, rel=1e-8)
+
+
+def test_regression_forest_is_the_same_on_any_partitioning(spark, data):
+    from sparkrisk.operators import models as M
+    df = data.selectExpr("id", "x", "z", "c", "3 * x + coalesce(ascii(c) % 3, 0) AS v")
+    models = [M.random_forest_regressor(df.repartition(n), "v", ["x", "z"], ["c"], trees=8, max_depth=8, key="id") for n in (1, 5)]
+    assert trees(models[0].forest) == trees(models[1].forest)
+    scored = models[0].transform(df).selectExpr("avg(pow(prediction - v, 2)) AS e", "var_pop(v) AS s").first()
+    assert scored.e < .02 * scored.s
