@@ -138,13 +138,16 @@ def bin_table(df: DataFrame, bins: Bins, key: str | Sequence[str], seed: int = 4
         y = F.when(F.col(f"`{bins.label}`") == F.lit(c), i).otherwise(y)
     raw = df.select(*keep, y.cast("bigint" if bins.target else "int").alias("_y"), (F.lit(1) if member is None else member).cast("bigint").alias("_member"),
                     half(1).alias("_h1"), half(9).alias("_h2"), *[F.col(f"`{f}`") for f in bins.features])
-    parts = TASKS * df.sparkSession.sparkContext.defaultParallelism
-    if bins.rows is not None:
-        parts = min(parts, max(1, bins.rows // TASK_ROWS))
-    raw = raw.repartition(parts)
+    raw = deal(raw, bins.rows)
     return cut_lineage(raw.select(*[c for c in raw.columns if c not in bins.features], *[c.alias(f"_b{i}") for i, c in enumerate(_bin_columns(bins))]))
 
 
+def deal(df: DataFrame, rows: int | None) -> DataFrame:
+    """``df`` in TASKS even partitions a core; fewer if it has few ``rows``."""
+    parts = TASKS * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(parts if rows is None else min(parts, max(1, rows // TASK_ROWS)))
+
+
 def _bin_columns(bins: Bins) -> list:
     return [_numeric_bin(bins.cuts[f])(F.col(f"`{f}`").cast("double")) if f in bins.cuts
             else _level_bin(bins.levels[f])(F.col(f"`{f}`").cast("string")) for f in bins.features]
@@ -414,10 +417,10 @@ def _level(table: DataFrame, forest: Forest, works: list[Work], choose) -> dict[
     """One pass: the tables of all ``works`` summed over all tasks, and what ``choose`` makes of each tree's."""
     sc = table.sparkSession.sparkContext
     classes, features, target = len(forest.bins.classes), len(forest.bins.features), forest.bins.target is not None
-    shared = sc.broadcast(pickle.dumps((forest.specs, [forest.trees[w.index] for w in works], works)))
+    shared, grown = sc.broadcast(pickle.dumps(works)), sc.broadcast(pickle.dumps((forest.specs, [forest.trees[w.index] for w in works])))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        specs, trees, works = pickle.loads(shared.value)
+        works, (specs, trees) = pickle.loads(shared.value), pickle.loads(grown.value)
         # counts are exact in doubles up to 2 ** 53; sums of a label need the whole number
         tables = [np.zeros(w.cells * classes, np.int64 if target else np.float64) for w in works]
         for block in _blocks(batches, features):
@@ -430,7 +433,7 @@ def _level(table: DataFrame, forest: Forest, works: list[Work], choose) -> dict[
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([out.astype(np.uint32 if small else np.int64).tobytes()], pa.binary())], ["work", "counts"])
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        specs, trees, works = pickle.loads(shared.value)
+        works = pickle.loads(shared.value)
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -448,6 +451,7 @@ def _level(table: DataFrame, forest: Forest, works: list[Work], choose) -> dict[
     counted = table.select("_y", "_member", "_h1", "_h2", *[f"_b{i}" for i in range(features)]).mapInArrow(count, "work int, counts binary")
     rows = counted.repartition(parts, "work").mapInArrow(pick, "work int, best binary").collect()  # a row a tree
     shared.unpersist()
+    grown.unpersist()
     return {r["work"]: pickle.loads(r["best"]) for r in rows}
 
 
@@ -626,7 +630,7 @@ def grow(table: DataFrame, bins: Bins, specs: Sequence[Spec], max_depth: int = 1
                 if i in found:
                     _extend(trees[w.index], w, found[i], depth + 1, depth + 1 < max_depth, min_rows, bins.target is not None)
         for tree in trees:
-            if len(tree.open):
+            if len(tree.open) and (depth == 0 or tree.jump and tree.jump[0] == depth):  # until it leads to too many nodes
                 tree.jump = _jump(tree, depth + 1) or tree.jump
             tree.open = tree.open[tree.depth[tree.open] > depth]
     return forest
