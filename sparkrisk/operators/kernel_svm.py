@@ -24,9 +24,12 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .features import fit_levels
+from .forest import deal
 
 #: Dimensions of a map at most (a task holds dims ** 2 numbers a model), and rows mapped at a time.
 MAX_DIMS, BLOCK = 2048, 2048
+#: Rows in the margins of the same models from which their product is worked out once.
+SHARED = 32
 #: Newton steps at most; a step that changes the weights by less than this share ends the fit.
 STEPS, TOLERANCE = 25, 1e-4
 #: Columns of predictors at most.
@@ -86,6 +89,7 @@ class Scaled:
     label: str
     classes: list
     columns: list[tuple[str, str | None, float, float]]
+    rows: int | None = None  # of the table the scaling was made from
 
 
 def _raw(column: str, level: str | None) -> Column:
@@ -100,22 +104,24 @@ def fit_scaled(df: DataFrame, label: str, numeric: Sequence[str], categorical: S
     terms = [(c, None) for c in numeric] + [(c, v) for c, vs in levels.items() for v in vs]
     if len(terms) > MAX_COLUMNS:
         raise ValueError(f"{len(terms)} predictors: at most {MAX_COLUMNS}")
-    row = df.agg(*[f(_raw(*t)).alias(f"{n}{i}") for i, t in enumerate(terms) for n, f in (("m", F.avg), ("s", F.stddev_pop))], F.lit(0)).first()
+    row = df.agg(*[f(_raw(*t)).alias(f"{n}{i}") for i, t in enumerate(terms) for n, f in (("m", F.avg), ("s", F.stddev_pop))],
+                 F.count(F.lit(1)).alias("rows")).first()
     columns = [(c, v, row[f"m{i}"], row[f"s{i}"]) for i, (c, v) in enumerate(terms) if row[f"s{i}"]]
     classes = [r[0] for r in df.select(label).where(F.col(label).isNotNull()).distinct().orderBy(label).limit(3).collect()]
     if len(classes) > 2:
         raise ValueError(f"{label}: a support vector machine tells two classes apart")
-    return Scaled(label, classes, columns)
+    return Scaled(label, classes, columns, row["rows"])
 
 
 def scale_table(df: DataFrame, scaled: Scaled, keep: Sequence = (), member: Column | None = None) -> DataFrame:
     """Written once: ``keep`` columns, ``_y`` (-1, 1; 0 without a label), ``_member`` (bits of the models that train on the
-    row), ``_x0`` ... (a gap has the column's mean, 0)."""
+    row), ``_x0`` ... (a gap has the column's mean, 0); in even partitions for all cores."""
     y = F.lit(0)
     for c, v in zip(scaled.classes, (-1, 1)):
         y = F.when(F.col(f"`{scaled.label}`") == F.lit(c), v).otherwise(y)
     xs = [F.coalesce((_raw(c, v) - F.lit(m)) / F.lit(s), F.lit(0.0)).alias(f"_x{i}") for i, (c, v, m, s) in enumerate(scaled.columns)]
-    return cut_lineage(df.select(*keep, y.cast("int").alias("_y"), (F.lit(1) if member is None else member).cast("bigint").alias("_member"), *xs))
+    table = df.select(*keep, y.cast("int").alias("_y"), (F.lit(1) if member is None else member).cast("bigint").alias("_member"), *xs)
+    return cut_lineage(deal(table, scaled.rows))
 
 
 @dataclass(frozen=True)
@@ -154,6 +160,33 @@ def _blocks(batches: Iterator[pa.RecordBatch], d: int) -> Iterator[tuple[np.ndar
 
 # --- fit ---------------------------------------------------------------------------------------------------
 
+def _products(z: np.ndarray, inside: np.ndarray) -> list[np.ndarray]:
+    """For each model (column of ``inside``) the product z' z of its rows.
+
+    Folds overlap, so most rows lie inside the margins of the same few sets of models: the product of the rows of a set is
+    worked out once and added to each model in it. Rows of sets that few share are left to each model.
+    """
+    size, models = z.shape[1], inside.shape[1]
+    out = [np.zeros((size, size)) for _ in range(models)]
+    found, which, n = np.unique(np.packbits(inside, axis=1), axis=0, return_inverse=True, return_counts=True)
+    which, rest = which.ravel(), np.zeros(len(z), bool)
+    for k in range(len(found)):
+        rows = np.flatnonzero(which == k)
+        of = np.flatnonzero(inside[rows[0]])
+        if n[k] < SHARED and len(of):
+            rest[rows] = True
+        elif len(of):
+            part = z[rows]
+            part = part.T @ part
+            for j in of:
+                out[j] += part
+    for j in range(models):
+        part = z[rest & inside[:, j]]
+        if len(part):
+            out[j] += part.T @ part
+    return out
+
+
 def _sums(table: DataFrame, fitted: Machines, open_: list[int], class_weights: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
     """For each open model: sum of c z z', of c z y over the rows inside its margin, and its loss, by one pass."""
     sc, size = table.sparkSession.sparkContext, fitted.map.dims + 1
@@ -169,12 +202,15 @@ def _sums(table: DataFrame, fitted: Machines, open_: list[int], class_weights: n
             z = np.hstack([fitted.map(x), np.ones((len(x), 1))])
             margin = z @ fitted.weights[open_].T
             cost = class_weights[(y > 0).astype(int)]
+            bits = np.array([fitted.specs[m].bit for m in open_])
+            inside = (y != 0)[:, None] & (member[:, None] >> bits & 1 == 1) & (y[:, None] * margin < 1)
+            for j, h in enumerate(_products(z * np.sqrt(cost)[:, None], inside)):
+                total[open_[j]][:size] += h
+            slopes = z.T @ (inside * (cost * y)[:, None])
+            losses = (inside * cost[:, None] * (1 - y[:, None] * margin) ** 2).sum(axis=0)
             for j, m in enumerate(open_):
-                rows = np.flatnonzero((y != 0) & (member >> fitted.specs[m].bit & 1 == 1) & (y * margin[:, j] < 1))
-                inside, c = z[rows], cost[rows]
-                total[m][:size] += inside.T @ (inside * c[:, None])
-                total[m][size] += inside.T @ (c * y[rows])
-                loss[m] += float((c * (1 - y[rows] * margin[rows, j]) ** 2).sum())
+                total[m][size] += slopes[:, j]
+                loss[m] += float(losses[j])
         for m in open_:
             yield pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), pa.array([total[m].tobytes()], pa.binary()), pa.array([loss[m]])], ["model", "sums", "loss"])
 

@@ -109,3 +109,23 @@ def test_odd_tables(spark, data):
         K.PolyMap(132, 3, 0)
     with pytest.raises(ValueError):
         K.fit_scaled(data, "fold", ["a"])
+
+
+def test_products_of_overlapping_models():
+    """Sets of models that many rows share, and sets of a single row, give each model's own product."""
+    import numpy as np
+    from sparkrisk.operators import kernel_svm as K
+    rng = np.random.default_rng(4)
+    z, fold = rng.normal(size=(900, 7)), rng.integers(0, 9, 900)
+    inside = (fold[:, None] != np.arange(9)) & (rng.random((900, 9)) < np.where(np.arange(900) < 800, 1, .5)[:, None])
+    inside[5] = False
+    for j, h in enumerate(K._products(z, inside)):
+        assert np.allclose(h, z[inside[:, j]].T @ z[inside[:, j]], rtol=1e-12, atol=1e-12)
+
+
+def test_scaled_table_is_dealt_to_all_cores(spark):
+    from pyspark.sql import functions as F
+    from sparkrisk.operators import kernel_svm as K
+    df = spark.range(0, 200_000, 1, 1).selectExpr("id", "cast(id % 100 as double) AS x", "if(id % 7 > 2, 'a', 'b') AS y")
+    table = K.scale_table(df, K.fit_scaled(df, "y", ["x"]))
+    assert table.count() == 200_000 and table.select(F.spark_partition_id().alias("p")).distinct().count() >= spark.sparkContext.defaultParallelism
