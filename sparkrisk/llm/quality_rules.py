@@ -33,16 +33,20 @@ def word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def bigram_hashes(hashes: Column) -> Column:
-    """Hash of each pair of neighbours, from the words' hashes."""
-    pairs = F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(hashes, i + 1)))
+def bucket(h: Column) -> Column:
+    """The lower bits of a hash: its remainder by BUCKETS, a power of two."""
+    return h.bitwiseAND(F.lit(BUCKETS - 1).cast("bigint")).cast("int")
+
+
+def bigrams(hashes: Column) -> Column:
+    """Bucket of each pair of neighbours, from the words' hashes."""
+    pairs = F.transform(hashes, lambda h, i: bucket(F.xxhash64(h, F.get(hashes, i + 1))))
     return F.slice(pairs, F.lit(1), F.greatest(F.size(hashes) - 1, F.lit(0)))
 
 
 def ngrams(hashes: Column) -> Column:
     """Buckets of all unigrams and bigrams."""
-    return F.concat(F.transform(hashes, lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")),
-                    F.transform(bigram_hashes(hashes), lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")))
+    return F.concat(F.transform(hashes, bucket), bigrams(hashes))
 
 
 def split_words(text: Column) -> Column:

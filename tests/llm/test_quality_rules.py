@@ -112,3 +112,15 @@ def test_unlikely_documents_are_rejected(spark):
 def test_plan_has_no_python(odd_docs):
     plan = Q.verdicts(odd_docs, [1] * Q.BUCKETS)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and plan.count("split(") <= 3
+
+
+def test_buckets_are_remainders_and_bigrams_one_pass(spark):
+    """Buckets equal the remainders of the hashes; a bigram is hashed and dealt to its bucket in one step over the words."""
+    from pyspark.sql import functions as F
+    from sparkrisk.llm import quality_rules as Q
+    df = spark.createDataFrame([(["a", "b", "a", "c"],), (["x"],), ([],)], "w array<string>").select(Q.word_hashes(F.col("w")).alias("h"))
+    for r in df.select("h", Q.ngrams(F.col("h")).alias("g")).collect():
+        pairs = spark.createDataFrame(list(zip(r.h, r.h[1:])), "a bigint, b bigint").select(F.xxhash64("a", "b")).collect() if len(r.h) > 1 else []
+        assert r.g == [h % Q.BUCKETS for h in r.h] + [p[0] % Q.BUCKETS for p in pairs]
+    plan = df.select(Q.ngrams(F.col("h")).alias("g"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("transform(") == 3, plan  # one for the words' hashes, one each for uni- and bigrams
