@@ -66,10 +66,12 @@ class PolyMap:
         if self.coef0 > 0:
             x = np.hstack([x, np.full((len(x), 1), math.sqrt(self.coef0))])
         if self.monomials is not None:
-            z = np.ones((len(x), self.dims))
-            for k in range(self.degree):
-                z *= x[:, self.monomials[:, k]]
-            return z * self.root
+            x = np.ascontiguousarray(x.T)  # whole columns are gathered
+            z = x[self.monomials[:, 0]] if self.degree else np.ones((self.dims, x.shape[1]))
+            for k in range(1, self.degree):
+                z *= x[self.monomials[:, k]]
+            z *= self.root[:, None]
+            return np.ascontiguousarray(z.T)
         total = None
         for place, sign in zip(self.place, self.sign):
             sketch = np.zeros((len(x), self.dims))
