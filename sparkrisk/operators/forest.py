@@ -203,10 +203,39 @@ def bag(h1: np.ndarray, h2: np.ndarray, seed: int, tree: int) -> np.ndarray:
 
 # --- models ------------------------------------------------------------------------------------------------
 
+@dataclass(frozen=True)
+class Weigh:
+    """Whole-number weights of a model's training rows, so that sums of them are exact.
+
+    A row counts once and the number in ``copies`` (column, shift, mask) more; for every (column, bit, factor) of
+    ``misses`` whose bit is set its weight is multiplied. ``unit`` is the weight of 1; products under it count as 1.
+    """
+
+    copies: tuple[str, int, int] | None = None
+    misses: tuple[tuple[str, int, float], ...] = ()
+    unit: float = 1.0
+
+    def times(self, extra: Mapping[str, np.ndarray], rows: np.ndarray) -> np.ndarray:
+        """1 and the copies of each of ``rows``."""
+        if self.copies is None:
+            return np.ones(len(rows))
+        name, shift, mask = self.copies
+        return 1.0 + ((extra[name][rows] >> shift) & mask)
+
+    def of(self, extra: Mapping[str, np.ndarray], rows: np.ndarray) -> np.ndarray:
+        weight = np.full(len(rows), self.unit)
+        for name, bit, factor in self.misses:
+            weight *= np.where((extra[name][rows] >> bit) & 1 == 1, factor, 1.0)
+        return np.maximum(np.rint(weight), 1.0) * self.times(extra, rows)
+
+    def columns(self) -> list[str]:
+        return [*([self.copies[0]] if self.copies else []), *[m[0] for m in self.misses]]
+
+
 @dataclass(frozen=True)
 class Spec:
     """One model: a name, the membership bit of its training rows, features (None: all), candidates a split (0: all),
-    trees, and whether its trees draw rows (else every training row counts once)."""
+    trees, whether its trees draw rows (else every training row counts once), and the rows' weights where they have any."""
 
     name: str
     bit: int = 0
@@ -215,6 +244,7 @@ class Spec:
     trees: int = 50
     seed: int = 42
     bagged: bool = True
+    weigh: Weigh | None = None
 
 
 @dataclass
@@ -233,6 +263,7 @@ class Tree:
     open: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
 
     jump: tuple | None = None  # see :func:`_jump`
+    vote: float = 1.0  # weight of its class shares among the model's trees
 
     def walk(self, bins: np.ndarray, rows: np.ndarray, steps: int) -> np.ndarray:
         """The node of each of ``rows`` after ``steps`` splits; ``bins`` has a row a feature."""
@@ -338,8 +369,13 @@ class Work:
     step: int
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], features: int) -> Iterator[tuple]:
-    """(bins as a row a feature, class, membership, two hashes) of up to BLOCK rows."""
+def _extra(specs: Sequence[Spec]) -> list[str]:
+    """Columns that the specs' weights are made of."""
+    return sorted({c for s in specs if s.weigh for c in s.weigh.columns()})
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], features: int, extra: Sequence[str] = ()) -> Iterator[tuple]:
+    """(bins as a row a feature, class, membership, two hashes) of up to BLOCK rows, and the ``extra`` columns by name if any."""
 
     def block(held: list[pa.RecordBatch]) -> tuple:
         table = pa.Table.from_batches(held)
@@ -347,7 +383,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], features: int) -> Iterator[tuple]
         bins = np.empty((features, table.num_rows), np.int16)
         for i in range(features):
             bins[i] = col(f"_b{i}")
-        return bins, col("_y").astype(np.int64), col("_member"), col("_h1"), col("_h2")
+        more = ({c: col(c) for c in extra},) if extra else ()
+        return bins, col("_y").astype(np.int64), col("_member"), col("_h1"), col("_h2"), *more
 
     held, size = [], 0
     for batch in batches:
@@ -369,8 +406,8 @@ class Members:
     def of(self, bit: int) -> tuple:
         """(bins, bins times classes plus the row's class, two hashes, label); for a regression bins take the second place."""
         if bit != self.bit:
-            bins, y, member, h1, h2 = self.block
-            rows = np.flatnonzero((y >= 0) & ((member >> bit) & 1 == 1))
+            bins, y, member, h1, h2 = self.block[:5]
+            self.at = rows = np.flatnonzero((y >= 0) & ((member >> bit) & 1 == 1))
             mine = bins[:, rows].astype(np.int64)
             y = y[rows]
             self.bit, self.rows = bit, (mine, mine if self.target else mine * self.classes + y, h1[rows].view(np.uint64), h2[rows].view(np.uint64), y)
@@ -387,6 +424,8 @@ def _counts(spec: Spec, tree: Tree, work: Work, members: Members, out: np.ndarra
         times = times[rows].astype(np.float64)
     else:
         rows = np.arange(n)
+        if spec.weigh:
+            times = spec.weigh.of(members.block[5] if len(members.block) > 5 else {}, members.at)
     place = np.full(len(tree.feature), -1)
     place[work.nodes] = np.arange(len(work.nodes))
     place = place[tree.walk(bins, rows, work.step)]
@@ -409,21 +448,23 @@ def _counts(spec: Spec, tree: Tree, work: Work, members: Members, out: np.ndarra
         if members.target:
             pair[:, 0] += np.bincount(cell, times, len(pair)).astype(np.int64)
             pair[:, 1] += np.bincount(cell, total, len(pair)).astype(np.int64)
-        else:
-            out += np.bincount(cell, times, len(out))
+        else:  # of one block: whole numbers, exact
+            out += np.bincount(cell, times, len(out)).astype(out.dtype, copy=False)
 
 
 def _level(table: DataFrame, forest: Forest, works: list[Work], choose) -> dict[int, list]:
     """One pass: the tables of all ``works`` summed over all tasks, and what ``choose`` makes of each tree's."""
     sc = table.sparkSession.sparkContext
     classes, features, target = len(forest.bins.classes), len(forest.bins.features), forest.bins.target is not None
+    extra = _extra(forest.specs)
+    whole = target or any(s.weigh for s in forest.specs)
     shared, grown = sc.broadcast(pickle.dumps(works)), sc.broadcast(pickle.dumps((forest.specs, [forest.trees[w.index] for w in works])))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         works, (specs, trees) = pickle.loads(shared.value), pickle.loads(grown.value)
-        # counts are exact in doubles up to 2 ** 53; sums of a label need the whole number
-        tables = [np.zeros(w.cells * classes, np.int64 if target else np.float64) for w in works]
-        for block in _blocks(batches, features):
+        # counts are exact in doubles up to 2 ** 53; sums of a label or of weights need the whole number
+        tables = [np.zeros(w.cells * classes, np.int64 if whole else np.float64) for w in works]
+        for block in _blocks(batches, features, extra):
             members = Members(block, classes, target)
             for w, tree, out in zip(works, trees, tables):
                 _counts(specs[tree.spec], tree, w, members, out)
@@ -448,7 +489,7 @@ def _level(table: DataFrame, forest: Forest, works: list[Work], choose) -> dict[
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([pickle.dumps(best)], pa.binary())], ["work", "best"])
 
     parts = max(1, min(len(works), 16 * sc.defaultParallelism))  # few trees each: a task reads every task's tables of its own
-    counted = table.select("_y", "_member", "_h1", "_h2", *[f"_b{i}" for i in range(features)]).mapInArrow(count, "work int, counts binary")
+    counted = table.select("_y", "_member", "_h1", "_h2", *extra, *[f"_b{i}" for i in range(features)]).mapInArrow(count, "work int, counts binary")
     rows = counted.repartition(parts, "work").mapInArrow(pick, "work int, best binary").collect()  # a row a tree
     shared.unpersist()
     grown.unpersist()
@@ -682,16 +723,16 @@ def _extend(tree: Tree, work: Work, best: dict, depth: int, more: bool, min_rows
 # --- use ---------------------------------------------------------------------------------------------------
 
 def _votes(forest: Forest, block: tuple, spec: int, out_of_bag: bool = False) -> np.ndarray:
-    """Mean class shares of a model's trees for each row of a block; NaN where no tree votes."""
-    bins, _, _, h1, h2 = block
+    """Mean class shares (weighted by the trees' votes) of a model's trees for each row of a block; NaN where no tree votes."""
+    bins, _, _, h1, h2 = block[:5]
     rows = np.arange(bins.shape[1])
     total, n = np.zeros((len(rows), len(forest.bins.classes))), np.zeros(len(rows))
     s = forest.specs[spec]
     for tree in forest.of(spec):
         some = rows[bag(h1, h2, s.seed, tree.number) == 0] if out_of_bag and s.bagged else rows
         leaf = tree.walk(bins, some, int(tree.depth.max()))
-        total[some] += forest.shares(tree)[leaf]
-        n[some] += 1
+        total[some] += tree.vote * forest.shares(tree)[leaf]
+        n[some] += tree.vote
     with np.errstate(invalid="ignore", divide="ignore"):
         return total / n[:, None]
 

@@ -15,12 +15,12 @@ import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 
-from .forest import Bins, Forest, RegressionForest, Spec, Tree
+from .forest import Bins, Forest, RegressionForest, Spec, Tree, Weigh
 from .kernel_svm import Machine, Machines, PolyMap, Scaled
 from .least_squares import LeastSquares
 from .models import BoostedTrees
 
-KINDS = {c.__name__: c for c in (Bins, Forest, RegressionForest, Spec, Tree, Machine, Machines, PolyMap, Scaled, LeastSquares)}
+KINDS = {c.__name__: c for c in (Bins, Forest, RegressionForest, Spec, Tree, Weigh, Machine, Machines, PolyMap, Scaled, LeastSquares)}
 
 
 def _plain(value):

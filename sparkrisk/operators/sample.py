@@ -102,6 +102,20 @@ def _draws(spark, label: str, label_type: str, shortfall: dict, seed: int, n_by_
     return drawn.select(label, pick.alias("_u_rn"))
 
 
+def drawn_again(df: DataFrame, label: str, key: str | Sequence[str], seed: int = 42) -> DataFrame | None:
+    """The rows that ``up_sample`` repeats, once each, with ``_u_extra``: how often each is drawn. None: no row is."""
+    counts = class_counts(df, label)
+    largest = max(counts.values(), default=0)
+    shortfall = {c: largest - n for c, n in counts.items() if n < largest}
+    draws = _draws(df.sparkSession, label, dict(df.dtypes)[label], shortfall, seed, counts)
+    if draws is None:
+        return None
+    copies = draws.groupBy(label, "_u_rn").agg(F.count(F.lit(1)).alias("_u_extra"))
+    ranked = shuffle_rank(df.where(F.col(label).isin(list(shortfall))), key, seed, within=label, out="_u_rn", total=None,
+                          n_hint=sum(counts.values()))
+    return ranked.join(copies, [label, "_u_rn"]).select(*df.columns, "_u_extra")
+
+
 def up_sample(df: DataFrame, label: str, key: str | Sequence[str], seed: int = 42) -> DataFrame:
     """Every class grown to the largest class size: all original rows plus
     (largest - n_class) rows drawn with replacement from the class.

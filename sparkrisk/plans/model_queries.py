@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..operators import boosting as BO
 from ..operators import ensembles as EN
 from ..operators import evaluate as E
 from ..operators import forest as H
@@ -118,21 +119,13 @@ def mdl5_cost_sensitive(spark, d):
 # MDL6 (+ MDL5 on the vote shares) + MDL11 + SMP5 / SMP6 ---------------------------
 @register("mdl6_boosted_tree_cv")
 def mdl6_boosted_tree_cv(spark, d):
+    """Statistics of cost-sensitive boosted trees per fold, down- and up-sampled inside each; the ten models grow together."""
     data = cut_lineage(SM.assign_folds(lineitem_labelled(spark, d), LINEITEM_KEY, FOLDS, SEED))
     costs = M.cost_matrix(["low", "high"], COSTS_CV["miss"], COSTS_CV["false_alarm"])
-
-    def fit(train):
-        return M.boosted_tree(train, LABEL, NUMERIC, CATEGORICAL, rounds=BOOST_ROUNDS, max_depth=DEPTH,
-                              key=LINEITEM_KEY, seed=SEED)
-
-    def predict(model, df):
-        return M.cost_sensitive(M.boosted_score(model, df, out="vote"), model.labels, costs)
-
-    down = E.cross_validate(data, FOLDS, fit, predict, _cv_stats,
-                            rebalance=lambda df: SM.down_sample(df, LABEL, LINEITEM_KEY, SEED))
-    up = E.cross_validate(data, FOLDS, fit, predict, _cv_stats,
-                          rebalance=lambda df: SM.up_sample(df, LABEL, LINEITEM_KEY, SEED))
-    return SH.stack_tagged({"down": down, "up": up}, tag="rebalance")
+    votes, classes = BO.cross_validate_boosted(data, LABEL, LINEITEM_KEY, NUMERIC, CATEGORICAL, FOLDS, BOOST_ROUNDS, DEPTH, seed=SEED)
+    counts = M.cost_sensitive(votes, classes, costs, out="prediction")
+    out = sig_all(E.counted_stats(counts, POSITIVE, ["fold", "part", "rebalance"]))
+    return out.select(*[c for c in out.columns if c != "rebalance"], "rebalance")
 
 
 # MDL7 + DOR5 -----------------------------------------------------------------------
