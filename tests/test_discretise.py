@@ -53,3 +53,38 @@ def test_odd_tables(spark):
 
 def test_pays():
     assert D.pays([50, 50], [50, 0]) and not D.pays([50, 50], [25, 25]) and not D.pays([1, 1], [0, 0])
+
+
+def test_a_pass_tries_no_row_for_every_interval(spark):
+    """Each value meets its own interval only, however many are open; infinite values and closed parts included."""
+    inf = float("inf")
+    values = [(f, v) for f in ("x0", "x1", "x2") for v in [-inf, *[i / 4 for i in range(-8, 80)], inf]]
+    prefix = spark.createDataFrame([(f, v, i, 2 * i) for i, (f, v) in enumerate(values)], "feature string, value double, c0 bigint, c1 bigint")
+    open_ = [("x0", None, 0.0, [0, 0], [9, 9]), ("x1", 3.0, 4.0, [0, 0], [9, 9]), ("x0", 5.0, None, [0, 0], [9, 9]), ("x0", 0.0, 2.5, [0, 0], [9, 9])]
+    got = {(r.feature, r.value): r.i for r in prefix.select("feature", "value", D._interval(open_)("feature", "value").alias("i")).collect()}
+    for f, v in values:
+        fits = [i for i, (g, lo, hi, *_) in enumerate(open_) if f == g and (lo is None or v > lo) and (hi is None or v <= hi)]
+        assert got[f, v] == (fits[0] if fits else None)
+
+
+def test_few_values_are_cut_in_one_pass(spark, monkeypatch):
+    """The same cuts whether an interval is cut by passes over all tasks or to the end in one; few passes in the second case."""
+    rnd = random.Random(9)
+    data = [(float(i), rnd.gauss(0, 1), "uv"[(i // 150) % 2 if rnd.random() > .02 else 0]) for i in range(2400)]
+    df = spark.createDataFrame(data, "a double, b double, y string").repartition(5)
+    seen, passes = [], []
+    plain = D.best_cuts
+    monkeypatch.setattr(D, "best_cuts", lambda *a: passes.append(1) or plain(*a))
+    for few in (0, 700, 50_000):
+        monkeypatch.setattr(D, "FEW", few)
+        passes.clear()
+        seen.append((D.entropy_cuts(df, "y", ["a", "b"]), len(passes)))
+    assert seen[0][0] == seen[1][0] == seen[2][0] and len(seen[0][0]["a"]) >= 15
+    assert seen[2][1] == 0 < seen[1][1] < seen[0][1]
+
+
+def test_thousands_of_cuts_bin_a_table(spark, monkeypatch):
+    points = [float(i) for i in range(5000)]
+    monkeypatch.setattr(D, "entropy_cuts", lambda *a: {"a": points})
+    df = spark.createDataFrame([(-1.0,), (0.0,), (0.5,), (4998.5,), (9999.0,), (None,), (float("nan"),)], "a double")
+    assert rows(D.entropy_bins(df, "y", ["a"])) == rows(spark.createDataFrame([(1,), (1,), (2,), (5000,), (5001,), (None,), (None,)], "a int"))
