@@ -135,6 +135,13 @@ def _initial_draw(df: DataFrame, col: str, key: str, seed: int) -> tuple[DataFra
     return df.where(F.col(col).isNotNull()).unionByName(filled.select(*df.columns)), n
 
 
+def _drawn(scored: DataFrame, donors: DataFrame, sizes: DataFrame, col: str, key: str, flag: str, seed: int, sweep: int) -> DataFrame:
+    """``scored`` without its ``_cart_leaf``, the gaps of ``col`` filled with donors of their leaves drawn for this sweep."""
+    columns = [x for x in scored.columns if x != "_cart_leaf"]
+    picked = _donor_lookup(scored.where(F.col(flag)), donors, ["_cart_leaf"], col, key, seed, f"s{sweep}-{col}", sizes).select(*columns)
+    return scored.where(~F.col(flag)).select(*columns).unionByName(picked)
+
+
 def impute_cart(df: DataFrame, cols: Sequence[str], key: str, numeric: Sequence[str],
                 categorical: Sequence[str], sweeps: int = 2, seed: int = 42, max_depth: int = 10,
                 min_instances: int = 5, layout_partitions: int | None = None) -> DataFrame:
@@ -144,7 +151,8 @@ def impute_cart(df: DataFrame, cols: Sequence[str], key: str, numeric: Sequence[
     be among them; the label must not). Each gap (NULL or NaN) ends with a value
     observed in its column; a wholly empty column stays as it is and predicts
     nothing. Gaps of predictors that are not imputed enter the trees as a
-    missing indicator. Lineage is cut after every column update.
+    missing indicator. Lineage is cut after every column update. A column none of whose predictors is imputed trains on
+    the same rows in every sweep: its tree, leaves and donors are those of the first, and each sweep draws from them anew.
     """
     floats = [c for c, t in df.dtypes if t in ("double", "float") and c in cols]
     df = df.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast(dict(df.dtypes)[c])) for c in floats})
@@ -175,9 +183,15 @@ def impute_cart(df: DataFrame, cols: Sequence[str], key: str, numeric: Sequence[
         stages.append(assembler_pipeline(num, cat, out="_cart_f", one_hot_encode=False, gappy=gappy))
         enc = Pipeline(stages=stages).fit(cur)
         prepared[c] = (enc, max([32] + [n + 1 for n in encoder_levels(enc)]))
+    fixed = {c for c in cols if not any(x in miss_flags for x in [*numeric, *categorical] if x != c)}
+    leaves, held = {c: f"_leaf_{i}" for i, c in enumerate(cols) if c in fixed}, {}
     for sweep in range(1, sweeps + 1):
         for c in cols:
             flag = miss_flags[c]
+            if c in held:
+                donors, sizes = held[c]
+                cur = cut_lineage(_drawn(cur.withColumn("_cart_leaf", F.col(leaves[c])), donors, sizes, c, key, flag, seed, sweep))
+                continue
             enc, bins = prepared[c]
             if types[c] not in NUMERIC:
                 tree = DecisionTreeClassifier(featuresCol="_cart_f", labelCol="_cart_y", leafCol="_cart_leaf",
@@ -196,13 +210,14 @@ def impute_cart(df: DataFrame, cols: Sequence[str], key: str, numeric: Sequence[
             scored = scored.select(*cur.columns, "_cart_leaf").persist(StorageLevel.MEMORY_AND_DISK)
             donors = shuffle_rank(scored.where(~F.col(flag)).select(key, "_cart_leaf", c), key, seed,
                                   within="_cart_leaf", out="_d_rn", total=None, n_hint=n_known[c])
-            gaps = scored.where(F.col(flag))
             # donors and gaps per leaf in one aggregate: one row per leaf (at most 2**depth)
             sizes = (scored.groupBy("_cart_leaf")
                      .agg(F.count_if(~F.col(flag)).alias("_d_n"), F.count_if(F.col(flag)).alias("_g_n"))
                      .where((F.col("_d_n") > 0) & (F.col("_g_n") > 0)))
-            picked = _donor_lookup(gaps, donors, ["_cart_leaf"], c, key, seed, f"s{sweep}-{c}",
-                                   sizes).select(*cur.columns)
-            cur = cut_lineage(scored.where(~F.col(flag)).select(*cur.columns).unionByName(picked))
+            told = scored
+            if c in fixed and sweep < sweeps:  # written once for the sweeps to come; the leaf stays with the row
+                donors, sizes = held[c] = cut_lineage(donors.drop(key)), cut_lineage(sizes)
+                told = scored.withColumn(leaves[c], F.col("_cart_leaf"))
+            cur = cut_lineage(_drawn(told, donors, sizes, c, key, flag, seed, sweep))
             scored.unpersist()
-    return cur.drop(*miss_flags.values())
+    return cur.drop(*miss_flags.values(), *leaves.values())

@@ -143,3 +143,23 @@ def test_impute_cart_numeric_and_chained(spark, separable):
     err = (out.alias("o").join(df.alias("d"), "k").where(F.col("d.x2").isNull())
            .agg(F.avg(F.abs(F.col("o.x2") - F.col("d.x"))).alias("e")).first().e)
     assert err < 25          # leaf donors are close to the truth (x spans 0..100)
+
+
+def test_impute_cart_fits_a_tree_once_where_its_rows_stay(spark, separable, monkeypatch):
+    """A column whose predictors are not imputed has one tree for all sweeps; every sweep draws anew. Chained columns refit."""
+    fits = []
+    plain = IM.canonical_layout
+    monkeypatch.setattr(IM, "canonical_layout", lambda *a: fits.append(1) or plain(*a))   # once a fit
+    df = separable.withColumn("v", F.when(F.col("k") % 5 == 0, None).otherwise(F.col("k").cast("string")))
+    out = {}
+    for sweeps in (1, 2, 3):
+        fits.clear()
+        filled = IM.impute_cart(df, ["v"], "k", ["x"], ["cat"], sweeps=sweeps, seed=3, max_depth=4, min_instances=50)
+        out[sweeps] = {r.k: r.v for r in filled.collect()}
+        assert len(fits) == 1 and filled.columns == df.columns and len(out[sweeps]) == 2000
+        assert all(v == str(k) if k % 5 else int(v) % 5 for k, v in out[sweeps].items())
+    assert out[1] != out[2] != out[3]
+    fits.clear()
+    both = df.withColumn("x2", F.when(F.col("k") % 7 == 0, None).otherwise(F.col("x")))
+    IM.impute_cart(both.withColumn("v", F.substring("v", 1, 1)), ["v", "x2"], "k", ["x2"], ["cat", "v"], sweeps=2, seed=3, max_depth=3)
+    assert len(fits) == 4
