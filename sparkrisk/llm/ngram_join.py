@@ -15,6 +15,10 @@ documents, directly or through others, form a component.
   never paired again. Further rounds take other hubs while many pairs are left. Then every remaining pair of groups that
   spans two components goes through the filters. So a cluster of near copies costs about a pair a node, and no link
   between components is lost.
+* What is left of a cluster then are near copies that mostly just miss the similarity, and they meet at most of their
+  shingles. At shingles of CROWD open groups or more, pairs therefore pass finer bits first, and where two groups
+  prove to meet at an earlier such shingle (they have the same least one of a slot) they are not made again; what
+  they share there is counted afterwards, once a pair.
 
 Shingles are compared by 64-bit hash, sets of equal documents by a 128-bit hash of theirs.
 """
@@ -42,8 +46,14 @@ FILTER = 25
 #: Rounds of hubs (one at least), and open pairs a row from which another is worth it (if the last one closed a fifth).
 HUB_ROUNDS, WORTH = 4, 2
 
+#: Open groups at a shingle from which their pairs are made by finer bits and once, not once a shingle.
+CROWD = 8
+
 #: Columns of a prefix's bits: every shingle sets one of 64 in one of them.
 BITS = ["s0", "s1", "s2", "s3"]
+#: Numbers of 64 bits each that a crowded group's prefix is spread over besides, and slots that have the least hash each of
+#: its crowded shingles.
+FINE, SLOTS = 16, 16
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -126,14 +136,24 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def prefix_bits(head: np.ndarray) -> np.ndarray:
-    """The bits that a prefix's shingles set, 64 in each of the BITS columns."""
-    at = head * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - 6 - len(BITS).bit_length() + 1)
-    out = np.zeros(len(BITS), np.uint64)
+def prefix_bits(head: np.ndarray, words: int = len(BITS)) -> np.ndarray:
+    """The bits that a prefix's shingles set, 64 in each of the BITS columns (or of so many)."""
+    at = head * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - 6 - words.bit_length() + 1)
+    out = np.zeros(words, np.uint64)
     np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
     return out
 
 
+def _fine_bits(prefix: str) -> Column:
+    """The bits of the FINE columns of each prefix, an array."""
+
+    @F.arrow_udf("array<bigint>")
+    def of(heads: pa.Array) -> pa.Array:
+        return _lists([prefix_bits(h.values.to_numpy().view(np.uint64), FINE).view(np.int64) for h in heads])
+
+    return of(F.col(prefix))
+
+
 def _sets(texts: pa.Array, words_each: int) -> Iterator[list[np.ndarray]]:
     """The sets of a batch of texts, a chunk of texts at a time."""
     for part in chunks(texts):
@@ -260,10 +280,14 @@ def _group_pairs(met: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     The shingles the sets share beyond their prefixes come after the prefix that ends first in the common order, so they
     are at most what its set has left.
     """
+    return _likely(met.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared")), groups, percent)
+
+
+def _likely(counted: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs that may be similar enough by the number of shingles that their prefixes have ``shared``."""
     def enough(n: Column) -> Column:
         return _enough(F.col("shared"), n, percent)
 
-    counted = met.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
     likely = counted.where(enough(F.greatest("n_a", "n_b")))  # whichever prefix ends first
     sides = [groups.select(F.col("gid").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("weight", "last")]) for side in "ab"]
     both = likely.join(sides[0], "a").join(sides[1], "b")
@@ -278,10 +302,16 @@ def _enough(shared: Column, n: Column, percent: int) -> Column:
     return shared + rest >= F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent) - F.lit(1e-6))
 
 
-def _may_share(x: str, y: str, percent: int) -> Column:
+def _may_share(x: str, y: str, percent: int, fine: bool = False) -> Column:
     """Shingles that x's prefix shares with y's at most: a bit that only x's has set stands for one that y's has not."""
+    def alone(one: Column, two: Column) -> Column:
+        return F.bit_count(one.bitwiseAND(F.bitwise_not(two)))
+
     n = F.col(f"n_{x}")
-    missing = sum((F.bit_count(F.col(f"{b}_{x}").bitwiseAND(F.bitwise_not(F.col(f"{b}_{y}")))) for b in BITS), F.lit(0))
+    if fine:
+        missing = F.aggregate(F.zip_with(f"fine_{x}", f"fine_{y}", alone), F.lit(0), lambda total, bits: total + bits)
+    else:
+        missing = sum((alone(F.col(f"{b}_{x}"), F.col(f"{b}_{y}")) for b in BITS), F.lit(0))
     return n - F.ceil(n * percent / 100 - F.lit(1e-6)) + 1 - missing
 
 
@@ -289,18 +319,46 @@ def _sizes_fit(n1: Column, n2: Column, percent: int) -> Column:
     return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
 
 
-def _met(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
+def _met(left: DataFrame, right: DataFrame, percent: int, crowded: bool = False) -> DataFrame:
     """(a, b, n_a, n_b) for every shingle at which two groups of fitting sizes meet, both of (token, gid, n, lo, hi, BITS).
 
-    Pairs whose bits tell that their prefixes share too little are left out by the join itself.
+    Pairs whose bits tell that their prefixes share too little are left out by the join itself. ``crowded``: with ``fine`` and
+    ``slots`` too, and a pair is left out wherever it is sure to be met at another shingle: the first that both have as the
+    least of a slot.
     """
-    one, two = (side.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("gid", "n", "lo", "hi", *BITS)]) for side, x in ((left, "a"), (right, "b")))
-    shared = F.least(_may_share("a", "b", percent), _may_share("b", "a", percent))
-    met = one.join(two, "token").where(_sizes_fit(F.col("n_a"), F.col("n_b"), percent) & _enough(shared, F.greatest("n_a", "n_b"), percent))
+    more = ["fine", "slots"] if crowded else []
+    one, two = (side.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("gid", "n", "lo", "hi", *BITS, *more)]) for side, x in ((left, "a"), (right, "b")))
+    fits = _sizes_fit(F.col("n_a"), F.col("n_b"), percent)
+    for fine in [False, True][:1 + crowded]:
+        shared = F.least(_may_share("a", "b", percent, fine), _may_share("b", "a", percent, fine))
+        fits = fits & _enough(shared, F.greatest("n_a", "n_b"), percent)
+    if crowded:
+        same = F.filter(F.zip_with("slots_a", "slots_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
+        fits = fits & (F.coalesce(F.get(same, F.lit(0)), "token") == F.col("token"))
+    met = one.join(two, "token").where(fits)
     # groups whose nodes all are of one component need no further link
     return met.where("NOT (lo_a = hi_a AND lo_b = hi_b AND lo_a = lo_b)").select(F.col("gid_a").alias("a"), F.col("gid_b").alias("b"), "n_a", "n_b")
 
 
+def _across(state: DataFrame, groups: DataFrame, ends: DataFrame, percent: int, steps: Steps) -> DataFrame:
+    """Distinct pairs (a, b) of groups of ``state`` that may be similar enough and are not of one component.
+
+    Shingles of few groups are counted as their pairs meet. At crowded ones a pair is made about once, and the crowded
+    shingles that both have are counted from their lists.
+    """
+    few = _met(*[state.where(F.col("open") < CROWD)] * 2, percent).where("a < b")
+    crowd = state.where(F.col("open") >= CROWD).select("token", "gid", "n", "lo", "hi", *BITS)
+    least = F.array(*[F.min(F.when(F.pmod("token", F.lit(SLOTS)) == i, F.col("token"))) for i in range(SLOTS)])
+    own = steps.keep(crowd.groupBy("gid").agg(least.alias("slots"), F.collect_list("token").alias("tokens")))
+    signs = groups.select("gid", "prefix").join(own, "gid").select("gid", _fine_bits("prefix").alias("fine"), "slots")
+    crowd = crowd.join(signs, "gid")
+    pairs = steps.keep(_met(crowd, crowd, percent, True).where("a < b").distinct())
+    one, two = (own.select(F.col("gid").alias(side), F.col("tokens").alias(f"tokens_{side}")) for side in "ab")
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", F.size(F.array_intersect("tokens_a", "tokens_b")).cast("bigint").alias("met"))
+    counted = few.select("a", "b", "n_a", "n_b", F.lit(1).cast("bigint").alias("met")).unionByName(both)
+    return _likely(counted.groupBy("a", "b", "n_a", "n_b").agg(F.sum("met").alias("shared")), ends, percent)
+
+
 def _hub(state: DataFrame, turn: int) -> DataFrame:
     """One group of each shingle: first the one that meets most others, then by a number of its own, so that a cluster's
     shingles agree on it."""
@@ -341,7 +399,7 @@ def _links(rows: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, wo
         roots = components(edges, steps)
         state = steps.keep(_open(meeting, ends, members, roots))
     told = members.join(roots, "node", "left").select("gid", "node", F.coalesce("root", "node").alias("root"))
-    across = _expanded(_group_pairs(_met(state, state, percent).where("a < b"), ends, percent), told, "node", "root")
+    across = _expanded(_across(state, groups, ends, percent, steps), told, "node", "root")
     mixed = told.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gid")
     inside = _expanded(mixed.select(F.col("gid").alias("a"), F.col("gid").alias("b")), told, "node", "root").where("a < b")
     pairs = across.unionByName(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -362,7 +420,7 @@ def _expanded(pairs: DataFrame, members: DataFrame, what: str, root: str | None
 
 def _open(meeting: DataFrame, ends: DataFrame, members: DataFrame, roots: DataFrame | None) -> DataFrame:
     """(token, gid, n, degree, lo, hi, BITS): the rows of shingles at which nodes of several components meet, with the size of
-    the group's sets, the rows it meets and the range of its components."""
+    the group's sets, the rows it meets and the range of its components; with ``roots`` also ``open``, the rows of the shingle."""
     if roots is None:
         told = members.select("gid", F.col("node").alias("root"))
     else:
@@ -371,8 +429,8 @@ def _open(meeting: DataFrame, ends: DataFrame, members: DataFrame, roots: DataFr
     now = meeting.join(ends.select("gid", "n", "degree", *BITS).join(spans, "gid"), "gid").select("token", "gid", "n", "degree", "lo", "hi", *BITS)
     if roots is None:
         return now
-    wide = now.groupBy("token").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where("first <> last")
-    return now.join(wide.select("token"), "token")
+    wide = now.groupBy("token").agg(F.min("lo").alias("first"), F.max("hi").alias("last"), F.count("*").alias("open")).where("first <> last")
+    return now.join(wide.select("token", "open"), "token")
 
 
 def _left(state: DataFrame) -> int:

@@ -136,3 +136,29 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert rows(J.similar_documents(no_docs)) == []
     none = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), ("k", "z")], "doc_id string, text string")
     assert rows(J.similar_documents(none)) == rows(spark.createDataFrame([(None, 2, None), (None, 2, None), ("k", 1, "k")], "a string, b bigint, c string"))
+
+
+def test_a_crowd_meets_once_a_pair(spark):
+    """Groups that share many shingles: one row a pair, not one a shared shingle."""
+    rnd = np.random.default_rng(3)
+    shared, state = rnd.integers(0, 1 << 62, 20), []
+    for gid in range(30):
+        prefix = np.concatenate([shared, rnd.integers(0, 1 << 62, 10)])
+        bits, fine = (J.prefix_bits(prefix.astype(np.uint64), n).view(np.int64).tolist() for n in (len(J.BITS), J.FINE))
+        slots = [min((int(t) for t in shared if t % J.SLOTS == i), default=None) for i in range(J.SLOTS)]
+        state += [(int(t), gid, 146, gid, gid, *bits, fine, slots) for t in shared]
+    table = spark.createDataFrame(state, "token bigint, gid bigint, n bigint, lo bigint, hi bigint, "
+                                  + "".join(f"{b} bigint, " for b in J.BITS) + "fine array<bigint>, slots array<bigint>")
+    every = J._met(table, table, 80).where("a < b")
+    once = J._met(table, table, 80, True).where("a < b")
+    assert every.count() == 435 * 20
+    assert rows(once) == rows(every.distinct())
+
+
+def test_finer_bits_bound_what_prefixes_share():
+    rnd = np.random.default_rng(1)
+    for _ in range(100):
+        a = rnd.integers(0, 1 << 63, int(rnd.integers(1, 90))).astype(np.uint64)
+        b = np.concatenate([a[:int(rnd.integers(0, len(a) + 1))], rnd.integers(0, 1 << 63, 30).astype(np.uint64)])
+        one, two = J.prefix_bits(a, J.FINE), J.prefix_bits(b, J.FINE)
+        assert len(np.intersect1d(a, b)) <= len(np.unique(a)) - sum(int(x).bit_count() for x in one & ~two)
