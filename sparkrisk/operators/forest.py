@@ -19,7 +19,7 @@ from __future__ import annotations
 import math
 import pickle
 from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -78,9 +78,14 @@ class Bins:
     levels: dict[str, list[str]]
     rows: int | None = None  # of the table the bins were made from
     target: tuple[float, float] | None = None  # least value and unit of a numeric label, whose ``classes`` are TARGET
+    groups: dict[str, list[str]] = field(default_factory=dict)  # features that stand for several, see :func:`group_exclusive`
 
     def sizes(self) -> np.ndarray:
-        return np.array([len(self.cuts[f]) + 2 if f in self.cuts else len(self.levels[f]) + 1 for f in self.features])
+        return np.array([len(self.groups[f]) + 1 if f in self.groups else
+                         len(self.cuts[f]) + 2 if f in self.cuts else len(self.levels[f]) + 1 for f in self.features])
+
+    def apart(self) -> np.ndarray:
+        return np.array([f in self.groups for f in self.features])
 
     def ordered(self) -> np.ndarray:
         return np.array([f in self.cuts for f in self.features])
@@ -119,6 +124,39 @@ def fit_bins(df: DataFrame, label: str, numeric: Sequence[str], categorical: Seq
     return Bins(label, classes, [*numeric, *categorical], cuts, levels, n["rows"])
 
 
+def group_exclusive(df: DataFrame, bins: Bins, exclusive: Sequence[Sequence[str]]) -> Bins:
+    """``bins`` with one feature in place of each group of ``exclusive`` numeric ones, as the dummies of a category are.
+
+    The new feature's bin is the place (from 1) of the member above its cut, or 0; a split sets one bin apart from the rest,
+    which is what the members' own splits do, so trees are the same (see :func:`ungroup`) and rows are counted once a group.
+    A group is made only if it holds for all rows of ``df``: no member is missing or has more than one cut, and no row
+    has two above theirs. One aggregate tells.
+    """
+    taken, able = set(), []
+    for g in map(list, exclusive):
+        if 2 <= len(set(g)) == len(g) < MAX_BINS and not taken & set(g) and all(len(bins.cuts.get(c, [0, 0])) <= 1 for c in g):
+            able.append(g)
+            taken |= set(g)
+    if not able:
+        return bins
+
+    def above(c: str):
+        x = F.col(f"`{c}`").cast("double")
+        return F.when(x.isNull() | F.isnan(x), F.lit(2)).otherwise(_above(bins, c))
+
+    row = df.agg(*[F.max(F.aggregate(F.array(*map(above, g)), F.lit(0), lambda a, x: a + x)).alias(f"g{i}")
+                   for i, g in enumerate(able)]).first()
+    groups = {f"{g[0]} and others": g for i, g in enumerate(able) if row[f"g{i}"] is not None and row[f"g{i}"] <= 1}
+    groups = {f: g for f, g in groups.items() if f not in bins.features}
+    first, inside = {g[0]: f for f, g in groups.items()}, {c for g in groups.values() for c in g}
+    return replace(bins, features=[first.get(c, c) for c in bins.features if c in first or c not in inside], groups=groups)
+
+
+def _above(bins: Bins, c: str):
+    """1 where the member of a group is above its cut, else 0."""
+    return (F.col(f"`{c}`").cast("double") > F.lit(bins.cuts[c][0])).cast("int") if bins.cuts[c] else F.lit(0)
+
+
 def bin_table(df: DataFrame, bins: Bins, key: str | Sequence[str], seed: int = 42, keep: Sequence[str] = (),
               member=None) -> DataFrame:
     """The binned table, written once: ``keep`` columns, ``_y`` (class code, -1 without), ``_member`` (bits of the models
@@ -137,7 +175,7 @@ def bin_table(df: DataFrame, bins: Bins, key: str | Sequence[str], seed: int = 4
     for i, c in enumerate([] if bins.target else bins.classes):
         y = F.when(F.col(f"`{bins.label}`") == F.lit(c), i).otherwise(y)
     raw = df.select(*keep, y.cast("bigint" if bins.target else "int").alias("_y"), (F.lit(1) if member is None else member).cast("bigint").alias("_member"),
-                    half(1).alias("_h1"), half(9).alias("_h2"), *[F.col(f"`{f}`") for f in bins.features])
+                    half(1).alias("_h1"), half(9).alias("_h2"), *_bin_inputs(bins))
     raw = deal(raw, bins.rows)
     return cut_lineage(raw.select(*[c for c in raw.columns if c not in bins.features], *[c.alias(f"_b{i}") for i, c in enumerate(_bin_columns(bins))]))
 
@@ -148,18 +186,33 @@ def deal(df: DataFrame, rows: int | None) -> DataFrame:
     return df.repartition(parts if rows is None else min(parts, max(1, rows // TASK_ROWS)))
 
 
+def _bin_inputs(bins: Bins) -> list:
+    """What the bins are made of: the features, and the bins of groups."""
+    place = {f: F.greatest(*[_above(bins, c) * F.lit(i) for i, c in enumerate(g, 1)]) for f, g in bins.groups.items()}
+    return [place[f].cast("smallint").alias(f) if f in place else F.col(f"`{f}`") for f in bins.features]
+
+
 def _bin_columns(bins: Bins) -> list:
-    return [_numeric_bin(bins.cuts[f])(F.col(f"`{f}`").cast("double")) if f in bins.cuts
+    return [F.col(f"`{f}`") if f in bins.groups else _numeric_bin(bins.cuts[f])(F.col(f"`{f}`").cast("double")) if f in bins.cuts
             else _level_bin(bins.levels[f])(F.col(f"`{f}`").cast("string")) for f in bins.features]
 
 
+def _cut_bins(edges: np.ndarray, values: pa.Array) -> np.ndarray:
+    x = values.fill_null(float("nan")).to_numpy(zero_copy_only=False)
+    return np.where(np.isnan(x), len(edges) + 1, np.searchsorted(edges, x, side="left")).astype(np.int16)
+
+
+def _level_bins(known: list[str], values: pa.Array) -> np.ndarray:
+    at = pc.index_in(values, pa.array(known, values.type))
+    return at.fill_null(len(known)).cast(pa.int16()).to_numpy(zero_copy_only=False)
+
+
 def _numeric_bin(cuts: list[float]):
     edges = np.array(cuts, np.float64)
 
     @F.arrow_udf("smallint")
     def of(values: pa.Array) -> pa.Array:
-        x = values.fill_null(float("nan")).to_numpy(zero_copy_only=False)
-        return pa.array(np.where(np.isnan(x), len(edges) + 1, np.searchsorted(edges, x, side="left")).astype(np.int16))
+        return pa.array(_cut_bins(edges, values))
 
     return of
 
@@ -169,8 +222,7 @@ def _level_bin(levels: list[str]):
 
     @F.arrow_udf("smallint")
     def of(values: pa.Array) -> pa.Array:
-        at = pc.index_in(values, pa.array(known, values.type))
-        return at.fill_null(len(known)).cast(pa.int16())
+        return pa.array(_level_bins(known, values))
 
     return of
 
@@ -436,6 +488,20 @@ def _counts(spec: Spec, tree: Tree, work: Work, members: Members, out: np.ndarra
     if members.target:
         times = np.ones(len(rows)) if times is None else times
         total, pair = times * y[rows], out.reshape(-1, 2)  # of one block: whole numbers, exact
+    if (work.tried == work.tried[0]).all():  # a node's candidates lie side by side: each is counted in a table of its own
+        nodes, starts = len(work.nodes), work.at[0]
+        of_node = out.reshape(nodes, -1)
+        for f, a, b in zip(work.tried[0], starts, [*starts[1:], work.cells // nodes]):
+            cells = (b - a) * members.classes
+            cell = place * cells
+            cell += codes[f][rows]
+            if members.target:
+                one = np.stack([np.bincount(cell, w, nodes * cells) for w in (times, total)], axis=1).reshape(nodes, -1)
+                of_node[:, 2 * a:2 * b] += one.astype(np.int64)
+            else:
+                one = np.bincount(cell, times, nodes * cells).reshape(nodes, -1)
+                of_node[:, a * members.classes:b * members.classes] += one.astype(out.dtype, copy=False)
+        return
     for j in range(work.tried.shape[1]):
         f = work.tried[:, j]
         if (f == f[0]).all():
@@ -525,6 +591,7 @@ class Splitter:
     criterion: str
     min_rows: int
     min_gain: float
+    apart: np.ndarray | None = None  # features of which one bin is set apart from the rest
 
     def __call__(self, work: Work, counts: np.ndarray) -> dict:
         nodes, tried = len(work.nodes), work.tried.shape[1]
@@ -536,7 +603,7 @@ class Splitter:
             node, j = np.nonzero(work.tried == f)
             cells = work.at[node, j][:, None] + np.arange(self.sizes[f])
             table = counts[cells]  # node, bin, class
-            gain, value, way = self._multiway(table) if self.criterion == "gain_ratio" and not self.ordered[f] else self._binary(table, self.ordered[f])
+            gain, value, way = self._multiway(table) if self.criterion == "gain_ratio" and not self.ordered[f] else self._binary(table, self.ordered[f], self.apart is not None and self.apart[f])
             gains[node, j], values[node, j], goes[node, j, :self.sizes[f]] = gain, value, way
         if self.criterion == "gain_ratio":  # only tests of at least the average gain are compared
             real = gains > self.min_gain
@@ -563,13 +630,14 @@ class Splitter:
         return {"feature": feature, "goes": way, "children": children, "own": own, "gain": np.where(good, gains[at, best], 0.0),
                 "below": np.concatenate(below) if below else np.zeros((0, counts.shape[1]), np.int64)}
 
-    def _binary(self, table: np.ndarray, ordered: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _binary(self, table: np.ndarray, ordered: bool, apart: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The best cut of the bins in two: in their order, or categories by their share of the last class (with more than
-        two classes: of the node's most frequent one), which for two classes finds the best of all subsets."""
+        two classes: of the node's most frequent one), which for two classes finds the best of all subsets. ``apart``: one
+        bin but the first and all others."""
         m, size, _ = table.shape
         weights = table * self.weights
         order = np.tile(np.arange(size), (m, 1))
-        if not ordered:
+        if not ordered and not apart:
             total = weights.sum(axis=2)
             cls = np.full(m, table.shape[2] - 1) if table.shape[2] == 2 else weights.sum(axis=1).argmax(axis=1)
             share = np.take_along_axis(weights, cls[:, None, None], axis=2)[:, :, 0] / np.where(total > 0, total, 1)
@@ -580,7 +648,7 @@ class Splitter:
             table = np.take_along_axis(table, order[:, :, None], axis=1)
         left = table.cumsum(axis=1)
         whole = left[:, -1:, :]
-        left = left[:, :-1, :]
+        left = whole - table[:, 1:, :] if apart else left[:, :-1, :]
         right = whole - left
         if self.criterion == "variance":
             rows_left, rows_right = left[:, :, 0], right[:, :, 0]
@@ -603,6 +671,9 @@ class Splitter:
         best = gain.argmax(axis=1)  # the cut is chosen by gain; tests of different features by value
         at = np.arange(m)
         way = np.zeros((m, size), np.uint8)
+        if apart:
+            way[at, best + 1] = 1
+            return gain[at, best], value[at, best], way
         np.put_along_axis(way, order, (np.arange(size)[None, :] > best[:, None]).astype(np.uint8), axis=1)
         empty = np.zeros((m, size), bool)
         np.put_along_axis(empty, order, (table[:, :, 0] if self.criterion == "variance" else table.sum(axis=2)) == 0, axis=1)
@@ -651,7 +722,7 @@ def grow(table: DataFrame, bins: Bins, specs: Sequence[Spec], max_depth: int = 1
     trees = [Tree(i, t, np.full(1, -1), np.zeros(1, np.int64), np.zeros((1, width), np.uint8), np.zeros((1, k), np.int64),
                   np.zeros(1), np.zeros(1, np.int64)) for i, s in enumerate(specs) for t in range(s.trees)]
     forest = Forest(bins, specs, trees, weights)
-    choose = Splitter(sizes, bins.ordered(), weights, criterion, min_rows, min_gain)
+    choose = Splitter(sizes, bins.ordered(), weights, criterion, min_rows, min_gain, bins.apart())
     allowed = [np.array(sorted(bins.features.index(f) for f in (s.features if s.features is not None else bins.features))) for s in specs]
     for depth in range(max_depth):
         todo = []
@@ -845,21 +916,59 @@ class RegressionForest:
         @F.arrow_udf("double")
         def of(it: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
             forest = pickle.loads(shared.value)
-            low, unit = forest.bins.target
+            bins = forest.bins
+            low, unit = bins.target
+            edges = {f: np.array(c, np.float64) for f, c in bins.cuts.items()}
             heard = [(t, t.counts[:, 1] / np.maximum(t.counts[:, 0], 1)) for t in forest.trees if t.counts[0, 0]]
             for cols in it:
-                codes = np.array([c.to_numpy(zero_copy_only=False) for c in cols], np.int64)
+                codes = np.array([_cut_bins(edges[f], c) if f in edges else _level_bins(bins.levels[f], c)
+                                  for f, c in zip(bins.features, cols)], np.int64)
                 rows, total = np.arange(codes.shape[1]), np.zeros(codes.shape[1])
                 for t, mean in heard:
                     total += mean[t.walk(codes, rows, int(t.depth.max()))]
                 yield pa.array(low + unit * total / len(heard)) if heard else pa.nulls(codes.shape[1], pa.float64())
 
-        return df.withColumn(out, of(*_bin_columns(bins)))
+        # binned where it is scored: another function would be another Python worker a task. Not called deterministic, as a
+        # filter on the prediction would otherwise be pushed below it and score all rows again
+        return df.withColumn(out, of.asNondeterministic()(*[F.col(f"`{f}`").cast("double" if f in bins.cuts else "string") for f in bins.features]))
 
 
 def regression_forest(df: DataFrame, label: str, key: str | Sequence[str], numeric: Sequence[str], categorical: Sequence[str] = (),
-                      trees: int = 100, max_depth: int = 10, max_bins: int = 64, seed: int = 42) -> RegressionForest:
-    """A forest on a numeric label, every feature a candidate at each split; rows without a label train nothing."""
+                      trees: int = 100, max_depth: int = 10, max_bins: int = 64, seed: int = 42,
+                      exclusive: Sequence[Sequence[str]] = ()) -> RegressionForest:
+    """A forest on a numeric label, every feature a candidate at each split; rows without a label train nothing.
+
+    ``exclusive``: groups of numeric features of which a row has one above its least value at most (dummies of a category).
+    Their rows are counted once a group; the trees are the same without. Groups that do not hold are not used.
+    """
     bins = fit_bins(df, label, numeric, categorical, max_bins, regression=True)
-    table = bin_table(df, bins, key, seed)
-    return RegressionForest(grow(table, bins, [Spec("forest", 0, None, 0, trees, seed)], max_depth, "variance", min_gain=LEAST_FALL))
+    grouped = group_exclusive(df, bins, exclusive)
+    table = bin_table(df, grouped, key, seed)
+    forest = grow(table, grouped, [Spec("forest", 0, None, 0, trees, seed)], max_depth, "variance", min_gain=LEAST_FALL)
+    return RegressionForest(ungroup(forest, bins))
+
+
+def ungroup(forest: Forest, bins: Bins) -> Forest:
+    """``forest``, grown over groups, with the members' own splits: over ``bins``, from which the groups were made."""
+    if not forest.bins.groups:
+        return forest
+    sizes, place = bins.sizes(), {f: i for i, f in enumerate(bins.features)}
+    trees = []
+    for t in forest.trees:
+        feature, goes = t.feature.copy(), np.zeros((len(t.feature), int(sizes.max())), np.uint8)
+        for node in np.flatnonzero(t.feature >= 0):
+            f = forest.bins.features[t.feature[node]]
+            if f in forest.bins.groups:
+                f = forest.bins.groups[f][int(t.goes[node].argmax()) - 1]
+                goes[node, 1:sizes[place[f]]] = 1
+            else:
+                goes[node, :sizes[place[f]]] = t.goes[node, :sizes[place[f]]]
+            feature[node] = place[f]
+        trees.append(replace(t, feature=feature, goes=goes, jump=None))
+    for t in trees:
+        for steps in range(1, int(t.depth.max()) + 1):
+            jump = _jump(t, steps)
+            if jump is None:
+                break
+            t.jump = jump
+    return replace(forest, bins=bins, trees=trees)

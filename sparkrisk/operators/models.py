@@ -381,17 +381,19 @@ def linear_coefficients(model: PipelineModel, df: DataFrame) -> DataFrame:
 # MDL10 ------------------------------------------------------------------------
 def random_forest_regressor(df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str] = (),
                             trees: int = 100, max_depth: int = 10, max_bins: int = 64, seed: int = 42,
-                            key: str | None = None, layout_partitions: int | None = None) -> H.RegressionForest | PipelineModel:
+                            key: str | None = None, layout_partitions: int | None = None,
+                            exclusive: Sequence[Sequence[str]] = ()) -> H.RegressionForest | PipelineModel:
     """Random forest regressor, every feature a candidate at each split: ``transform`` adds ``prediction``.
 
     All trees grow together over one binned table (:mod:`.forest`). Bags are drawn by ``key``; without one by all columns, so
-    equal rows are drawn alike. A category of more levels than a bin number tells apart goes to MLlib's forest.
+    equal rows are drawn alike. ``exclusive``: groups of dummies among ``numeric``, counted together (the trees are the same).
+    A category of more levels than a bin number tells apart goes to MLlib's forest.
     """
     _depth(max_depth)
     wide = [c for c, v in fit_levels(df, list(categorical)).items() if len(v) > H.MAX_BINS - 1] if categorical else []
     if not wide:
         return H.regression_forest(df, label, df.columns if key is None else key, numeric, categorical, trees, max_depth,
-                                   min(max_bins, H.MAX_BINS - 2), seed)
+                                   min(max_bins, H.MAX_BINS - 2), seed, exclusive)
     data = canonical_layout(df, key, layout_partitions) if key is not None else df
     rf = RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=trees,
                                featureSubsetStrategy="all", maxDepth=max_depth, seed=seed)

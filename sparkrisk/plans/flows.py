@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import evaluate as E
 from ..operators import features as FE
+from ..operators import forest as H
 from ..operators import frequent as FQ
 from ..operators import impute as IM
 from ..operators import least_squares as LS
@@ -195,10 +196,13 @@ def regression_flow(df: DataFrame, key: str, label: str, numeric: Sequence[str],
     features = list(numeric) + dummies
     scale = FE.fit_standardize(encoded.where(F.col("split") == "train") if fit_scope == "train" else encoded,
                                features)
-    ready = cut_lineage(FE.apply_standardize(encoded, scale))
+    # scored by every tree: dealt to all cores, however few partitions a small file was read in
+    ready = cut_lineage(FE.apply_standardize(H.deal(encoded, split.count()), scale))
     tr = ready.where(F.col("split") == "train")
     linear = LS.least_squares(tr, label, features)  # all-level dummies: the design is rank deficient
-    forest = M.random_forest_regressor(tr, label, features, trees=trees, max_depth=max_depth, seed=seed, key=key)
+    sizes = [len(levels[c]) for c in categorical]
+    each = [dummies[sum(sizes[:i]):sum(sizes[:i + 1])] for i in range(len(sizes))]
+    forest = M.random_forest_regressor(tr, label, features, trees=trees, max_depth=max_depth, seed=seed, key=key, exclusive=each)
     parts = {}
     for mname, model in (("linear", linear), ("forest", forest)):
         # one scoring pass over both parts per model, metrics grouped by part

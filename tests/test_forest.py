@@ -302,3 +302,58 @@ def test_regression_forest_is_the_same_on_any_partitioning(spark, data):
     assert trees(models[0].forest) == trees(models[1].forest)
     scored = models[0].transform(df).selectExpr("avg(pow(prediction - v, 2)) AS e", "var_pop(v) AS s").first()
     assert scored.e < .02 * scored.s
+
+
+def _dummies(data):
+    """Standardised dummies of a category with a rare and a missing level, beside a number."""
+    df = data.selectExpr("id", "x", "case when id % 97 = 0 then 'rare' else c end AS c", "id % 4 AS d", "3 * x + coalesce(ascii(c) % 3, 0) + id % 4 AS v")
+    names = {c: sorted(r[0] for r in df.select(F.col(c).cast("string")).distinct().collect() if r[0] is not None) for c in ("c", "d")}
+    cols = {c: [f"{c}_{v}" for v in vs] for c, vs in names.items()}
+    hot = [((F.coalesce(F.col(c).cast("string"), F.lit("")) == v).cast("double") * 7 - 0.3).alias(f"{c}_{v}") for c, vs in names.items() for v in vs]
+    return df.select("id", "x", "v", *hot), ["x", *cols["c"], *cols["d"]], list(cols.values())
+
+
+def test_dummies_counted_together_grow_the_same_trees(spark, data):
+    df, features, groups = _dummies(data)
+    grow = lambda ex: H.regression_forest(df, "v", "id", features, trees=6, max_depth=8, exclusive=ex).forest
+    one_by_one, together = grow(()), grow(groups)
+    assert trees(one_by_one) == trees(together) and any(1 <= f < len(features) for t in together.trees for f in t.feature)
+    assert together.bins.features == features and not together.bins.groups
+    for a, b in zip(one_by_one.trees, together.trees):
+        assert (a.goes == b.goes).all() and (a.counts == b.counts).all()
+    bins = H.fit_bins(df, "v", features, regression=True)
+    assert len(H.group_exclusive(df, bins, groups).features) == 3
+
+
+def test_groups_that_do_not_hold_are_not_used(spark, data):
+    df, features, (c, d) = _dummies(data)
+    bins = H.fit_bins(df, "v", features, regression=True)
+    for other in (df.withColumn(c[0], F.when(F.col("id") != 5, F.col(c[0]))),           # a missing member
+                  df.withColumn(c[0], F.lit(100.0)), df.withColumn(c[1], F.col(c[0]))):  # two above their cuts
+        grouped = H.group_exclusive(other, bins, [c, d])
+        assert list(grouped.groups.values()) == [d] and set(c) < set(grouped.features)
+    assert H.group_exclusive(df, bins, [["x", c[0]], ["none", c[0]], [c[0]]]) == bins
+    assert H.group_exclusive(df, bins, [c, [c[0], d[0]]]).groups.values() != [] and len(H.group_exclusive(df, bins, [c, [c[0], d[0]]]).groups) == 1
+
+
+def test_candidates_are_counted_in_tables_of_their_own(monkeypatch):
+    """Where all features are tried, a block adds up as many numbers as the tree's table has, not as many a candidate."""
+    rng = np.random.default_rng(4)
+    n, sizes = 500, np.array([4, 3, 5])
+    block = (np.array([rng.integers(0, k, n) for k in sizes], np.int16), rng.integers(0, 1 << 32, n), np.ones(n, np.int64),
+             rng.integers(0, 1 << 32, n), rng.integers(0, 1 << 32, n))
+    tree = H.Tree(0, 3, np.array([0, -1, -1]), np.array([1, 1, 2]), np.array([[0, 0, 1, 1, 1], [0] * 5, [0] * 5], np.uint8),
+                  np.zeros((3, 2), np.int64), np.zeros(3), np.array([0, 1, 1]))
+    tried = np.tile(np.arange(3), (2, 1))
+    at = np.concatenate([[0], np.cumsum(sizes[tried].ravel())])
+    work = H.Work(0, np.array([1, 2]), tried, at[:-1].reshape(2, 3), int(at[-1]), 1)
+    out, made, bincount = np.zeros(work.cells * 2, np.int64), [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, w, size: made.append(size) or bincount(x, w, size))
+    H._counts(H.Spec("r"), tree, work, H.Members(block, 2, True), out)
+    assert sum(made) == 2 * work.cells
+    times, want = H.bag(block[3].view(np.uint64), block[4].view(np.uint64), 42, 3), np.zeros((work.cells, 2), np.int64)
+    for i in range(n):
+        node = int(block[0][0, i] >= 2)
+        for j in range(3):
+            want[work.at[node, j] + block[0][j, i]] += times[i], times[i] * block[1][i]
+    assert (out.reshape(-1, 2) == want).all()
