@@ -86,13 +86,20 @@ def _fit_classifier(df: DataFrame, label: str, numeric, categorical, estimator,
     if class_weights:
         data = class_weight_col(data, label, class_weights)
         estimator.setWeightCol("_weight")
+    held = None
     if key is not None:
-        data = canonical_layout(data, key, layout_partitions)
-    enc, bins = _encoder(data, numeric, categorical, one_hot_encode, max_bins)
-    if max_bins:
-        estimator.setMaxBins(bins)
-    indexer = _label_indexer(label).fit(data)
-    return PipelineModel([indexer, enc, estimator.fit(enc.transform(indexer.transform(data)))])
+        # shuffled and sorted once: encoders, split candidates and the fit read it again and again
+        used = dict.fromkeys([label, *numeric, *categorical, *(["_weight"] if class_weights else [])])
+        data = held = canonical_layout(data, key, layout_partitions).select(*used).persist(StorageLevel.DISK_ONLY)
+    try:
+        enc, bins = _encoder(data, numeric, categorical, one_hot_encode, max_bins)
+        if max_bins:
+            estimator.setMaxBins(bins)
+        indexer = _label_indexer(label).fit(data)
+        return PipelineModel([indexer, enc, estimator.fit(enc.transform(indexer.transform(data)))])
+    finally:
+        if held is not None:
+            held.unpersist()
 
 
 # MDL1 -------------------------------------------------------------------------

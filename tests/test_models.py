@@ -4,6 +4,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from helpers import SF001
 from sparkrisk.operators import evaluate as E
 from sparkrisk.operators import impute as IM
 from sparkrisk.operators import models as M
@@ -163,3 +164,31 @@ def test_impute_cart_fits_a_tree_once_where_its_rows_stay(spark, separable, monk
     both = df.withColumn("x2", F.when(F.col("k") % 7 == 0, None).otherwise(F.col("x")))
     IM.impute_cart(both.withColumn("v", F.substring("v", 1, 1)), ["v", "x2"], "k", ["x2"], ["cat", "v"], sweeps=2, seed=3, max_depth=3)
     assert len(fits) == 4
+
+
+def test_a_keyed_fit_reads_its_rows_once(spark):
+    """Encoders, split candidates and the fit share one laid out copy, which goes when the fit is done."""
+    read = spark.sparkContext.accumulator(0)
+
+    def told(i):
+        read.add(1)
+        return i, float(i % 17), "ab"[i % 2], "high" if i % 17 > 5 else "low"
+
+    df = spark.createDataFrame(spark.sparkContext.parallelize(range(500), 3).map(told), "id long, x double, c string, y string")
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    model = M.decision_tree(df, "y", ["x"], ["c"], max_depth=4, key="id", class_weights={"high": 2.0})
+    assert read.value == 500
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == held
+    assert M.score(model, df).where("y = predicted").count() == 500
+
+
+def test_cost_rule_on_counted_leaves_equals_that_on_rows(spark):
+    """mdl5_cost_sensitive: rows counted by leaf first, the same statistics as rows judged one by one."""
+    from sparkrisk.plans import model_queries as Q
+    data = Q._split_data(spark, SF001)
+    model = M.decision_tree(data.where("split = 'train'"), Q.LABEL, Q.NUMERIC, Q.CATEGORICAL, max_depth=Q.DEPTH, seed=Q.SEED, key=Q.LINEITEM_KEY)
+    costs = M.cost_matrix(["low", "high"], Q.COSTS_CV["miss"], Q.COSTS_CV["false_alarm"])
+    one_by_one = Q._stats(M.cost_sensitive(M.score(model, data), M.labels_of(model), costs), by="split").orderBy("part").collect()
+    got = Q.mdl5_cost_sensitive(spark, SF001)
+    assert got.orderBy("part").collect() == one_by_one and len(one_by_one) == 2
+    assert got.columns == list(one_by_one[0].asDict())
