@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..functions.rank import seeded_md5
 from ..session import collect_bounded
+from . import cells as C
 from . import forest as H
 from . import kernel_svm as K
 from .radix import rank_values
@@ -63,6 +64,20 @@ def fold_members(df: DataFrame, label: str, key: str | Sequence[str], folds: Seq
 
 
 # MDL11 / DOR4 -----------------------------------------------------------------
+def _bags(specs: Sequence[H.Spec]):
+    """The measures that the trees of ``specs`` need of a table's cells."""
+    return lambda cells: [C.tree_measure(cells, s, t) for s in specs for t in range(s.trees)]
+
+
+def grown_counts(table: DataFrame, bins: H.Bins, specs: Sequence[H.Spec], part: Mapping[str, str], keep: Sequence[str], max_depth: int,
+                 class_weights: Mapping | None = None) -> DataFrame:
+    """Confusion of all ``specs``, grown over the table's cells where these are few, else over its rows; equal counts."""
+    cells = C.fold_rows(table, bins, _bags(specs), keep)
+    if cells is None:
+        return H.confusion(table, H.grow(table, bins, specs, max_depth, class_weights=class_weights), part)
+    return C.confusion(cells, C.grow(cells, specs, max_depth, class_weights=class_weights), part)
+
+
 def cross_validate_forests(df: DataFrame, label: str, key: str | Sequence[str], numeric: Sequence[str], categorical: Sequence[str] = (),
                            k: int = 5, mtry: Sequence[int] = (0,), trees: int = 50, max_depth: int = 10, max_bins: int = 64,
                            class_weights: Mapping | None = None, down_sampled: bool = True, seed: int = 42,
@@ -81,9 +96,8 @@ def cross_validate_forests(df: DataFrame, label: str, key: str | Sequence[str],
         member = sum((F.when(F.col(fold_col) != f, F.lit(1 << (f - 1))).otherwise(0) for f in range(1, k + 1)), F.lit(0))
     table = H.bin_table(df, bins, key, seed, [F.col(fold_col).alias("_fold")], member)
     specs = [H.Spec(f"{m}/{f}", f - 1, None, m, trees, seed) for m in mtry for f in range(1, k + 1)]
-    grown = H.grow(table, bins, specs, max_depth, class_weights=class_weights)
     part = {s.name: f"CASE WHEN _fold = {s.bit + 1} THEN 'held_out' WHEN (_member & {1 << s.bit}L) <> 0 THEN 'train' END" for s in specs}
-    counts = H.confusion(table, grown, part)
+    counts = grown_counts(table, bins, specs, part, ["_fold"], max_depth, class_weights)
     names = F.split("model", "/")
     return counts.select(names[0].cast("int").alias("mtry"), names[1].cast("int").alias("fold"), "part", "truth", "prediction", "n")
 
@@ -122,8 +136,7 @@ def leave_one_out_forests(df: DataFrame, label: str, key: str | Sequence[str], n
     table = H.bin_table(df, bins, key, seed, [F.col(split_col).alias("_split")], (F.col(split_col) == "train").cast("bigint"))
     names = [*numeric, *categorical]
     specs = [H.Spec(str(i), 0, tuple(x for x in names if x != f), mtry, trees, seed) for i, f in enumerate(names)]
-    grown = H.grow(table, bins, specs, max_depth, class_weights=class_weights)
-    counts = H.confusion(table, grown, {s.name: "_split" for s in specs})
+    counts = grown_counts(table, bins, specs, {s.name: "_split" for s in specs}, ["_split"], max_depth, class_weights)
     dropped = F.element_at(F.array(*[F.lit(f) for f in names]), F.col("model").cast("int") + 1)
     return counts.select(dropped.alias("dropped"), "part", "truth", "prediction", "n")
 
@@ -165,6 +178,7 @@ def tune_mtry_oob(df: DataFrame, label: str, key: str | Sequence[str], numeric:
     """
     bins = H.fit_bins(df, label, numeric, categorical, max_bins)
     table = H.bin_table(df, bins, key, seed)
+    cells = C.fold_rows(table, bins, _bags([H.Spec("bags", 0, None, 0, trees, seed)]), rows=True)
     p = len(bins.features)
     tried: dict[int, tuple[int, int]] = {}
 
@@ -172,7 +186,10 @@ def tune_mtry_oob(df: DataFrame, label: str, key: str | Sequence[str], numeric:
         new = [v for v in dict.fromkeys(values) if v not in tried]
         if new:
             specs = [H.Spec(str(v), 0, None, v, trees, seed) for v in new]
-            found = oob_error(table, H.grow(table, bins, specs, max_depth, class_weights=class_weights))
+            if cells is None:
+                found = oob_error(table, H.grow(table, bins, specs, max_depth, class_weights=class_weights))
+            else:
+                found = oob_error(cells.rows, C.grow(cells, specs, max_depth, class_weights=class_weights))
             tried.update({v: found.get(str(v), (0, 0)) for v in new})
 
     def rate(v: int) -> float:

@@ -375,6 +375,15 @@ def _jump(tree: Tree, steps: int) -> tuple | None:
     return steps, used, masks, np.array([n for n, _ in ends])[np.minimum(_PLACE, len(ends) - 1)]
 
 
+def jump_far(tree: Tree) -> None:
+    """Sets the tree's longest jump."""
+    for steps in range(1, int(tree.depth.max()) + 1):
+        jump = _jump(tree, steps)
+        if jump is None:
+            break
+        tree.jump = jump
+
+
 @dataclass
 class Forest:
     """Grown trees of every spec over one way of binning."""
@@ -700,16 +709,9 @@ class Splitter:
 
 # --- growing -----------------------------------------------------------------------------------------------
 
-def grow(table: DataFrame, bins: Bins, specs: Sequence[Spec], max_depth: int = 10, criterion: str = "gini",
-         class_weights: Mapping | None = None, min_rows: int = 1, min_gain: float = 1e-9) -> Forest:
-    """All trees of all ``specs`` on a binned table (see :func:`bin_table`).
-
-    ``criterion``: "gini" or "entropy" (two children; categories are cut in two by class share), or "gain_ratio" (a
-    child a category; of the tests with at least the average gain, that with the best ratio of gain to split
-    information), or "variance" for a table binned for a regression. ``min_rows``: least drawn rows of a child. Rows without a label train nothing. A node stays a leaf at
-    ``max_depth``, if it is pure or no candidate gains over ``min_gain``. A model without training rows has single
-    leaves without counts and predicts the first class.
-    """
+def start(bins: Bins, specs: Sequence[Spec], criterion: str = "gini", class_weights: Mapping | None = None, min_rows: int = 1,
+          min_gain: float = 1e-9) -> tuple[Forest, Splitter, list[np.ndarray]]:
+    """(forest of bare roots, splitter, features of each spec) that :func:`grow` begins with."""
     if (criterion == "variance") != (bins.target is not None):
         raise ValueError("a numeric label, and only that, is split by variance")
     if not bins.classes or not bins.features:
@@ -724,6 +726,21 @@ def grow(table: DataFrame, bins: Bins, specs: Sequence[Spec], max_depth: int = 1
     forest = Forest(bins, specs, trees, weights)
     choose = Splitter(sizes, bins.ordered(), weights, criterion, min_rows, min_gain, bins.apart())
     allowed = [np.array(sorted(bins.features.index(f) for f in (s.features if s.features is not None else bins.features))) for s in specs]
+    return forest, choose, allowed
+
+
+def grow(table: DataFrame, bins: Bins, specs: Sequence[Spec], max_depth: int = 10, criterion: str = "gini",
+         class_weights: Mapping | None = None, min_rows: int = 1, min_gain: float = 1e-9) -> Forest:
+    """All trees of all ``specs`` on a binned table (see :func:`bin_table`).
+
+    ``criterion``: "gini" or "entropy" (two children; categories are cut in two by class share), or "gain_ratio" (a
+    child a category; of the tests with at least the average gain, that with the best ratio of gain to split
+    information), or "variance" for a table binned for a regression. ``min_rows``: least drawn rows of a child. Rows without a label train nothing. A node stays a leaf at
+    ``max_depth``, if it is pure or no candidate gains over ``min_gain``. A model without training rows has single
+    leaves without counts and predicts the first class.
+    """
+    forest, choose, allowed = start(bins, specs, criterion, class_weights, min_rows, min_gain)
+    specs, trees, k, sizes = forest.specs, forest.trees, len(bins.classes), bins.sizes()
     for depth in range(max_depth):
         todo = []
         for i, tree in enumerate(trees):
@@ -796,14 +813,26 @@ def _extend(tree: Tree, work: Work, best: dict, depth: int, more: bool, min_rows
 def _votes(forest: Forest, block: tuple, spec: int, out_of_bag: bool = False) -> np.ndarray:
     """Mean class shares (weighted by the trees' votes) of a model's trees for each row of a block; NaN where no tree votes."""
     bins, _, _, h1, h2 = block[:5]
-    rows = np.arange(bins.shape[1])
-    total, n = np.zeros((len(rows), len(forest.bins.classes))), np.zeros(len(rows))
+    # rows of the same bins side by side go the same way: the first of each run walks
+    new = np.ones(bins.shape[1], bool)
+    new[1:] = (bins[:, 1:] != bins[:, :-1]).any(axis=0)
+    first, run = np.flatnonzero(new), np.cumsum(new) - 1
+    bins, rows = np.ascontiguousarray(bins[:, first]), np.arange(len(first))
     s = forest.specs[spec]
+    apart = out_of_bag and s.bagged
+    size = len(new) if apart else len(first)
+    total, n = np.zeros((size, len(forest.bins.classes))), np.zeros(size)
     for tree in forest.of(spec):
-        some = rows[bag(h1, h2, s.seed, tree.number) == 0] if out_of_bag and s.bagged else rows
-        leaf = tree.walk(bins, some, int(tree.depth.max()))
-        total[some] += tree.vote * forest.shares(tree)[leaf]
-        n[some] += tree.vote
+        share = tree.vote * forest.shares(tree)[tree.walk(bins, rows, int(tree.depth.max()))]
+        if apart:
+            some = np.flatnonzero(bag(h1, h2, s.seed, tree.number) == 0)
+            total[some] += share[run[some]]
+            n[some] += tree.vote
+        else:
+            total += share
+            n += tree.vote
+    if not apart:
+        total, n = total[run], n[run]
     with np.errstate(invalid="ignore", divide="ignore"):
         return total / n[:, None]
 
@@ -878,7 +907,12 @@ def confusion(table: DataFrame, forest: Forest, part: Mapping[str, str], out_of_
     told = table.select(*cols, *[F.expr(part[n]).cast("string").alias(f"_p{i}") for i, n in enumerate(names)])
     counts = (told.mapInArrow(count, "model int, part string, truth int, prediction int, n bigint")
               .groupBy("model", "part", "truth", "prediction").agg(F.sum("n").alias("n")))
-    name = F.array(*[F.lit(n) for n in names])
+    return named_counts(counts, forest)
+
+
+def named_counts(counts: DataFrame, forest: Forest) -> DataFrame:
+    """Counts by (model, part, truth, prediction) with names in place of numbers."""
+    name = F.array(*[F.lit(s.name) for s in forest.specs])
     cls = F.array(*[F.lit(c) for c in forest.bins.classes])
     return counts.select(F.element_at(name, F.col("model") + 1).alias("model"), "part", F.element_at(cls, F.col("truth") + 1).alias("truth"),
                          F.element_at(cls, F.col("prediction") + 1).alias("prediction"), "n")
@@ -966,9 +1000,5 @@ def ungroup(forest: Forest, bins: Bins) -> Forest:
             feature[node] = place[f]
         trees.append(replace(t, feature=feature, goes=goes, jump=None))
     for t in trees:
-        for steps in range(1, int(t.depth.max()) + 1):
-            jump = _jump(t, steps)
-            if jump is None:
-                break
-            t.jump = jump
+        jump_far(t)
     return replace(forest, bins=bins, trees=trees)
