@@ -66,6 +66,24 @@ def seeded_md5(seed: int | str, *cols: str | Column) -> Column:
     return F.md5(F.concat_ws("-", *parts))
 
 
+def hash_name(seed: int | str, *cols: str) -> str:
+    """Name of the column that :func:`with_hash` adds."""
+    return "_md5_" + "_".join([str(seed), *cols])
+
+
+def with_hash(df: DataFrame, key: str | Sequence[str], seed: int = 42) -> DataFrame:
+    """``df`` with the seeded md5 of its key as a column: written with the rows, it is not worked out again by every pass,
+    and the key columns need not be kept for it (ranks break ties of the hash by the key and do need them)."""
+    keys = _names(key)
+    return df.withColumn(hash_name(seed, *keys), seeded_md5(seed, *keys))
+
+
+def hash_of(df: DataFrame, seed: int | str, *cols: str) -> Column:
+    """The seeded md5 of the key: the column of :func:`with_hash` where ``df`` has it."""
+    name = hash_name(seed, *cols)
+    return F.col(f"`{name}`") if name in df.columns else seeded_md5(seed, *cols)
+
+
 def u32(hex_col: Column) -> Column:
     """First 8 hex digits of an md5 as an unsigned 32-bit number (bigint)."""
     return F.conv(F.substring(hex_col, 1, 8), 16, 10).cast("bigint")
@@ -107,7 +125,7 @@ def shuffle_rank(df: DataFrame, key: str | Sequence[str], seed: int = 42,
 def _hashed(df: DataFrame, keys: list[str], seed: int, groups: list[str], digits: int) -> tuple[DataFrame, list[str]]:
     """``df`` with its order hash, bucket, and a text key per group column that is never NULL; those keys' names."""
     named = [f"_sr_g{i}" for i in range(len(groups))]
-    hashed = (df.withColumn("_sr_h", seeded_md5(seed, *keys))
+    hashed = (df.withColumn("_sr_h", hash_of(df, seed, *keys))
                 .withColumn("_sr_b", F.substring("_sr_h", 1, digits)))
     return hashed.withColumns({n: F.coalesce(F.concat(F.lit("="), F.col(f"`{g}`").cast("string")), F.lit("NULL"))
                                for n, g in zip(named, groups)}), named

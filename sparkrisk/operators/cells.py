@@ -132,12 +132,17 @@ def _unpacked(words: list[list[tuple[int, int]]], codes: Sequence[np.ndarray]) -
     return out
 
 
-def few_cells(table: DataFrame, bins: H.Bins) -> bool:
-    """Are the distinct (bins, class) of the labelled rows under MAX_CELLS? By the bins' sizes, or else by one estimate."""
-    if np.log2(np.maximum(bins.sizes(), 1).astype(float)).sum() + np.log2(max(len(bins.classes), 1)) <= np.log2(MAX_CELLS) or (bins.rows or MAX_CELLS) < MAX_CELLS:
-        return True
-    cols = [*[f"_b{i}" for i in range(len(bins.features))], "_y"]
-    return table.where("_y >= 0").agg(F.approx_count_distinct(F.xxhash64(*cols), 0.02)).first()[0] <= 0.9 * MAX_CELLS
+def _few(labelled: DataFrame, bins: H.Bins, names: Sequence[str]) -> tuple[list, bool]:
+    """(kinds with their rows, are the distinct (bins, class) under MAX_CELLS?) by one pass: at most the product of the bins'
+    sizes or the rows, or else by a sketch of each kind, put together."""
+    spark = labelled.sparkSession
+    most = float(np.prod([*bins.sizes().astype(float), len(bins.classes)]))
+    if min(most, MAX_CELLS if bins.rows is None else bins.rows) < MAX_CELLS:
+        return labelled.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).limit(MAX_KINDS + 1).collect(), True
+    row = F.xxhash64(*[f"_b{i}" for i in range(len(bins.features))], "_y")
+    found = labelled.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"), F.hll_sketch_agg(row, F.lit(14)).alias("_s")).limit(MAX_KINDS + 1).collect()
+    sketches = spark.createDataFrame([(bytes(r["_s"]),) for r in found], "s binary")
+    return found, (sketches.agg(F.hll_sketch_estimate(F.hll_union_agg("s"))).first()[0] or 0) <= 0.95 * MAX_CELLS
 
 
 def fold_rows(table: DataFrame, bins: H.Bins, measures, keep: Sequence[str] = (), rows: bool = False) -> Cells | None:
@@ -147,13 +152,13 @@ def fold_rows(table: DataFrame, bins: H.Bins, measures, keep: Sequence[str] = ()
     sorted by cell over all tasks, with the row's hash behind it: a cell of any number of rows is dealt to several tasks
     and its totals come in parts, which add up like cells. ``rows`` keeps the sorted rows.
     """
-    if bins.target or not bins.classes or not bins.features or not few_cells(table, bins):
+    if bins.target or not bins.classes or not bins.features:
         return None
     spark, features = table.sparkSession, len(bins.features)
     labelled = table.where("_y >= 0")
     names = ["_member", *keep]
-    found = labelled.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).limit(MAX_KINDS + 1).collect()
-    if len(found) > MAX_KINDS or not found:
+    found, few = _few(labelled, bins, names)
+    if not few or len(found) > MAX_KINDS or not found:
         return None
     kinds = sorted(({c: r[c] for c in names} for r in found), key=lambda k: [(v is None, str(v)) for v in k.values()])
     schema = "_kind int, " + ", ".join(f"{c} {t}" for c, t in table.select(*names).dtypes)

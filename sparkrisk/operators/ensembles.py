@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..functions.rank import seeded_md5
-from ..session import collect_bounded
+from ..functions.rank import hash_of
+from ..session import collect_bounded, cut_lineage
 from . import cells as C
 from . import forest as H
 from . import kernel_svm as K
@@ -23,6 +23,8 @@ from .radix import rank_values
 
 #: Hex digits of the row hash by which down-samples are cut: 52 bits, exact as a double.
 HASH_DIGITS = 13
+#: Of these, the first by which rows are counted to find where the cuts are, and (class, fold, digits) counted at most.
+FIRST_DIGITS, FIRST_COUNTS = 3, 1_000_000
 
 
 # SMP5 inside folds ------------------------------------------------------------
@@ -34,24 +36,49 @@ def fold_members(df: DataFrame, label: str, key: str | Sequence[str], folds: Seq
     """A bit for each of ``folds``, in their order: does its down-sampled training part hold the row?
 
     The rows are those of ``down_sample`` on the rows outside the fold: of each class the first m in seeded order, m
-    the size of the smallest class. The cuts of all folds and classes are found by one radix selection over the hash
-    (52 bits; rows equal in these at a cut all stay), so membership is an expression: no row is ranked or moved.
+    the size of the smallest class. One pass counts rows by the first digits of the hash (52 bits), which tells between
+    which digits each cut falls; the rows of these digits are written down, and one radix selection over them finds the
+    cuts (rows equal in the 52 bits at a cut all stay). Membership is an expression: no row is ranked or moved.
     """
     if len(folds) > H.MAX_MODELS:
         raise ValueError(f"{len(folds)} folds: at most {H.MAX_MODELS}")
     keys = [key] if isinstance(key, str) else list(key)
-    at = F.conv(F.substring(seeded_md5(seed, *keys), 1, HASH_DIGITS), 16, 10).cast("double")
-    rows = collect_bounded(df.where(F.col(label).isNotNull()).groupBy(label, fold_col).agg(F.count("*").alias("n")), 100_000, "fold_members")
+    h = hash_of(df, seed, *keys)
+    at = F.conv(F.substring(h, 1, HASH_DIGITS), 16, 10).cast("double")
+    labelled = df.where(F.col(label).isNotNull())
+    of = labelled.select(label, fold_col).distinct().limit(FIRST_COUNTS).count() * 16 ** FIRST_DIGITS
+    digits = F.substring(h, 1, FIRST_DIGITS) if of <= FIRST_COUNTS else F.lit("")  # many folds or classes: all rows are selected from
+    rows = collect_bounded(labelled.groupBy(label, fold_col, digits.alias("_d")).agg(F.count("*").alias("n")), FIRST_COUNTS, "fold_members")
     classes = sorted({r[label] for r in rows}, key=str)
-    cols, ranks = {}, {}
+    told: dict = {}
+    for r in rows:
+        told.setdefault((r[label], r[fold_col]), {})[r["_d"]] = r["n"]
+    cols, ranks, some = {}, {}, set()
     for i, f in enumerate(folds):
-        train = [sum(r["n"] for r in rows if r[label] == c and r[fold_col] != f) for c in classes]
+        by_class: list[dict] = [{} for _ in classes]
+        for (c, g), counts in told.items():
+            if g != f:
+                mine = by_class[classes.index(c)]
+                for k, n in counts.items():
+                    mine[k] = mine.get(k, 0) + n
+        train = [sum(x.values()) for x in by_class]
         least = min((n for n in train if n), default=0)
         for j, (c, n) in enumerate(zip(classes, train)):
             if n > least:
-                cols[f"f{i}_c{j}"] = F.when((F.col(label) == F.lit(c)) & (F.col(fold_col) != f), at)
-                ranks[f"f{i}_c{j}"] = [least - 1]
-    found = rank_values(df.select(*[v.alias(n) for n, v in cols.items()]), ranks) if cols else {}
+                before = 0
+                for k in sorted(by_class[j]):
+                    if before + by_class[j][k] >= least:
+                        break
+                    before += by_class[j][k]
+                cols[f"f{i}_c{j}"] = F.when((F.col("_l") == F.lit(c)) & (F.col("_f") != f) & (F.col("_d") == k), F.col("_at"))
+                ranks[f"f{i}_c{j}"] = [least - 1 - before]
+                some.add(k)
+    found = {}
+    if cols:
+        near = labelled.select(F.col(label).alias("_l"), F.col(fold_col).alias("_f"), digits.alias("_d"), at.alias("_at"))
+        if "" not in some:
+            near = cut_lineage(near.where(F.col("_d").isin(*some)))
+        found = rank_values(near.select(*[v.alias(n) for n, v in cols.items()]), ranks)
     cuts = {name: value for (name, _), value in found.items()}
     bits = F.lit(0).cast("bigint")
     for i, f in enumerate(folds):
@@ -74,6 +101,7 @@ def grown_counts(table: DataFrame, bins: H.Bins, specs: Sequence[H.Spec], part:
     """Confusion of all ``specs``, grown over the table's cells where these are few, else over its rows; equal counts."""
     cells = C.fold_rows(table, bins, _bags(specs), keep)
     if cells is None:
+        table = cut_lineage(H.deal(table, bins.rows))
         return H.confusion(table, H.grow(table, bins, specs, max_depth, class_weights=class_weights), part)
     return C.confusion(cells, C.grow(cells, specs, max_depth, class_weights=class_weights), part)
 
@@ -81,20 +109,21 @@ def grown_counts(table: DataFrame, bins: H.Bins, specs: Sequence[H.Spec], part:
 def cross_validate_forests(df: DataFrame, label: str, key: str | Sequence[str], numeric: Sequence[str], categorical: Sequence[str] = (),
                            k: int = 5, mtry: Sequence[int] = (0,), trees: int = 50, max_depth: int = 10, max_bins: int = 64,
                            class_weights: Mapping | None = None, down_sampled: bool = True, seed: int = 42,
-                           fold_col: str = "fold") -> DataFrame:
+                           fold_col: str = "fold", bins: H.Bins | None = None) -> DataFrame:
     """(mtry, fold, part, truth, prediction, n) of a forest a fold and ``mtry``, all grown together.
 
     Training rows are those outside the fold (down-sampled if asked); ``part`` is "train" for these and "held_out" for the
-    fold. Cuts, levels and classes come from all rows; a forest sees only its training rows' labels.
+    fold. Cuts, levels and classes come from all rows (or are ``bins``, of the same rows); a forest sees only its training
+    rows' labels.
     """
     if k * len(mtry) > 10_000:
         raise ValueError(f"{k} folds x {len(mtry)} settings: too many models")
-    bins = H.fit_bins(df, label, numeric, categorical, max_bins)
+    bins = bins or H.fit_bins(df, label, numeric, categorical, max_bins)
     if down_sampled:
         member = fold_members(df, label, key, range(1, k + 1), seed, fold_col)
     else:
         member = sum((F.when(F.col(fold_col) != f, F.lit(1 << (f - 1))).otherwise(0) for f in range(1, k + 1)), F.lit(0))
-    table = H.bin_table(df, bins, key, seed, [F.col(fold_col).alias("_fold")], member)
+    table = H.bin_table(df, bins, key, seed, [F.col(fold_col).alias("_fold")], member, even=False)
     specs = [H.Spec(f"{m}/{f}", f - 1, None, m, trees, seed) for m in mtry for f in range(1, k + 1)]
     part = {s.name: f"CASE WHEN _fold = {s.bit + 1} THEN 'held_out' WHEN (_member & {1 << s.bit}L) <> 0 THEN 'train' END" for s in specs}
     counts = grown_counts(table, bins, specs, part, ["_fold"], max_depth, class_weights)
@@ -129,11 +158,11 @@ def cross_validate_machines(df: DataFrame, label: str, key: str | Sequence[str],
 # MDL12 ------------------------------------------------------------------------
 def leave_one_out_forests(df: DataFrame, label: str, key: str | Sequence[str], numeric: Sequence[str], categorical: Sequence[str] = (),
                           split_col: str = "split", mtry: int = 0, trees: int = 50, max_depth: int = 10, max_bins: int = 64,
-                          class_weights: Mapping | None = None, seed: int = 42) -> DataFrame:
+                          class_weights: Mapping | None = None, seed: int = 42, bins: H.Bins | None = None) -> DataFrame:
     """(dropped, part, truth, prediction, n): a forest without each feature in turn, trained on the rows whose
     ``split_col`` is "train", all grown together."""
-    bins = H.fit_bins(df, label, numeric, categorical, max_bins)
-    table = H.bin_table(df, bins, key, seed, [F.col(split_col).alias("_split")], (F.col(split_col) == "train").cast("bigint"))
+    bins = bins or H.fit_bins(df, label, numeric, categorical, max_bins)
+    table = H.bin_table(df, bins, key, seed, [F.col(split_col).alias("_split")], (F.col(split_col) == "train").cast("bigint"), even=False)
     names = [*numeric, *categorical]
     specs = [H.Spec(str(i), 0, tuple(x for x in names if x != f), mtry, trees, seed) for i, f in enumerate(names)]
     counts = grown_counts(table, bins, specs, {s.name: "_split" for s in specs}, ["_split"], max_depth, class_weights)

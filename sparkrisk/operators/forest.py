@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rank import seeded_md5
+from ..functions.rank import hash_of
 from ..session import cut_lineage
 from .features import fit_levels
 from .radix import rank_values
@@ -158,14 +158,15 @@ def _above(bins: Bins, c: str):
 
 
 def bin_table(df: DataFrame, bins: Bins, key: str | Sequence[str], seed: int = 42, keep: Sequence[str] = (),
-              member=None) -> DataFrame:
+              member=None, even: bool = True) -> DataFrame:
     """The binned table, written once: ``keep`` columns, ``_y`` (class code, -1 without), ``_member`` (bits of the models
     that train on the row, or 1), ``_h1`` and ``_h2`` (32 bits each of the key's seeded md5), ``_b0`` ... the bins.
 
     Its rows are dealt evenly to TASKS partitions a core, however few files, row groups or partitions ``df`` has: the
-    passes over it are what a forest's time goes into."""
+    passes over it are what a forest's time goes into. Not ``even``: a table that is only folded into cells (see :mod:`.cells`),
+    which deals its rows itself, keeps the partitions of ``df`` if these are enough for all cores."""
     keys = [key] if isinstance(key, str) else list(key)
-    h = seeded_md5(seed, *keys)
+    h = hash_of(df, seed, *keys)
     half = lambda a: F.conv(F.substring(h, a, 8), 16, 10).cast("bigint")
     y = F.lit(-1)
     if bins.target:
@@ -176,7 +177,8 @@ def bin_table(df: DataFrame, bins: Bins, key: str | Sequence[str], seed: int = 4
         y = F.when(F.col(f"`{bins.label}`") == F.lit(c), i).otherwise(y)
     raw = df.select(*keep, y.cast("bigint" if bins.target else "int").alias("_y"), (F.lit(1) if member is None else member).cast("bigint").alias("_member"),
                     half(1).alias("_h1"), half(9).alias("_h2"), *_bin_inputs(bins))
-    raw = deal(raw, bins.rows)
+    if even or df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism:
+        raw = deal(raw, bins.rows)
     return cut_lineage(raw.select(*[c for c in raw.columns if c not in bins.features], *[c.alias(f"_b{i}") for i, c in enumerate(_bin_columns(bins))]))
 
 

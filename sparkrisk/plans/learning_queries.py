@@ -14,6 +14,7 @@ from ..operators import evaluate as E
 from ..operators import forest as H
 from ..operators import frequent as FQ
 from ..operators import least_squares as LS
+from ..session import cut_lineage
 from . import model_queries as Q
 from .registry import SEED, _md5_sql, register
 from .tables import LINEITEM_KEY, sig_all, sig_sql, table
@@ -28,7 +29,7 @@ _BAND = "CASE WHEN l_extendedprice > 2000.0 * l_quantity THEN 'high' ELSE 'low'
 def dor4_oob(spark, d):
     """Out-of-bag error by candidates a split on the down-sampled rows, searched by halving and doubling from 7."""
     from ..operators import sample as SM
-    data = SM.down_sample(Q.lineitem_labelled(spark, d), Q.LABEL, LINEITEM_KEY, SEED)
+    data = cut_lineage(SM.down_sample(Q._hashed(spark, d), Q.LABEL, LINEITEM_KEY, SEED).drop(*LINEITEM_KEY))
     return sig_all(EN.tune_mtry_oob(data, Q.LABEL, LINEITEM_KEY, Q.NUMERIC, Q.CATEGORICAL, trees=Q.SEARCH_TREES, max_depth=Q.DEPTH, seed=SEED))
 
 

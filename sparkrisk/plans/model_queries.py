@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..functions.rank import with_hash
 from ..operators import boosting as BO
 from ..operators import ensembles as EN
 from ..operators import evaluate as E
@@ -75,13 +76,27 @@ def _split_data(spark, d) -> DataFrame:
     return cut_lineage(SM.stratified_split(lineitem_labelled(spark, d), LABEL, LINEITEM_KEY, TRAIN_SHARE, SEED))
 
 
+def _hashed(spark, d) -> DataFrame:
+    """lineitem_labelled with the seeded hash of its key, which folds, down-samples and bags are drawn by."""
+    return with_hash(lineitem_labelled(spark, d), LINEITEM_KEY, SEED)
+
+
+def _fold_data(spark, d) -> DataFrame:
+    """lineitem with its hash and the 'fold' column, materialised once; the key itself has done its work."""
+    return cut_lineage(SM.assign_folds(_hashed(spark, d), LINEITEM_KEY, FOLDS, SEED).drop(*LINEITEM_KEY))
+
+
+def _bins(spark, d) -> H.Bins:
+    """Bins of all rows, from the table's own columns: the passes read no others."""
+    return H.fit_bins(lineitem_labelled(spark, d), LABEL, NUMERIC, CATEGORICAL)
+
+
 # MDL1 + MDL11 + SMP2 + SMP5 + FLT3 + EVL1 --------------------------------------
 @register("mdl1_random_forest_cv")
 def mdl1_random_forest_cv(spark, d):
     """Recall of a forest per fold, down-sampled inside each; the five forests grow together."""
-    data = cut_lineage(SM.assign_folds(lineitem_labelled(spark, d), LINEITEM_KEY, FOLDS, SEED))
-    counts = EN.cross_validate_forests(data, LABEL, LINEITEM_KEY, NUMERIC, CATEGORICAL, FOLDS, [MTRY], TREES, DEPTH,
-                                       class_weights=CLASS_WEIGHTS, seed=SEED)
+    counts = EN.cross_validate_forests(_fold_data(spark, d), LABEL, LINEITEM_KEY, NUMERIC, CATEGORICAL, FOLDS, [MTRY], TREES, DEPTH,
+                                       class_weights=CLASS_WEIGHTS, seed=SEED, bins=_bins(spark, d))
     return sig_all(E.counted_recall(counts, POSITIVE, ["fold", "part"]))
 
 
@@ -171,7 +186,9 @@ def mdl10_rf_regressor(spark, d):
 @register("mdl12_leave_one_out")
 def mdl12_leave_one_out(spark, d):
     """Recall of a forest without each feature in turn, on both parts of the split; all forests grow together."""
-    counts = EN.leave_one_out_forests(_split_data(spark, d), LABEL, LINEITEM_KEY, NUMERIC, CATEGORICAL, "split", MTRY, TREES, DEPTH, seed=SEED)
+    data = cut_lineage(SM.stratified_split(_hashed(spark, d), LABEL, LINEITEM_KEY, TRAIN_SHARE, SEED).drop(*LINEITEM_KEY))
+    counts = EN.leave_one_out_forests(data, LABEL, LINEITEM_KEY, NUMERIC, CATEGORICAL, "split", MTRY, TREES, DEPTH, seed=SEED,
+                                      bins=_bins(spark, d))
     return sig_all(E.counted_recall(counts, POSITIVE, ["dropped", "part"]))
 
 
@@ -282,9 +299,8 @@ def flow_regression(spark, d):
 @register("dor4_tune_mtry")
 def dor4_tune_mtry(spark, d):
     """Mean held-out recall by candidates a split: the forests of all folds and settings grow together."""
-    data = cut_lineage(SM.assign_folds(lineitem_labelled(spark, d), LINEITEM_KEY, FOLDS, SEED))
-    counts = EN.cross_validate_forests(data, LABEL, LINEITEM_KEY, NUMERIC, CATEGORICAL, FOLDS, [1, 2, 4], SEARCH_TREES, DEPTH,
-                                       down_sampled=False, seed=SEED)
+    counts = EN.cross_validate_forests(_fold_data(spark, d), LABEL, LINEITEM_KEY, NUMERIC, CATEGORICAL, FOLDS, [1, 2, 4], SEARCH_TREES, DEPTH,
+                                       down_sampled=False, seed=SEED, bins=_bins(spark, d))
     held = E.counted_recall(counts.where(F.col("part") == "held_out"), POSITIVE, ["mtry", "fold"])
     return sig_all(held.groupBy("mtry").agg(F.avg("recall").alias("held_out_recall")))
 

@@ -102,3 +102,29 @@ def test_out_of_bag_search_by_cells_and_by_rows(spark, data, monkeypatch):
     by_cell = run()
     monkeypatch.setattr(C, "MAX_CELLS", 10)
     assert run() == by_cell
+
+
+def test_hash_column_stands_for_the_key(spark, data):
+    """Bags, folds and down-samples by a written hash are those by the key, also without the key's columns."""
+    from sparkrisk.functions.rank import with_hash
+    plain = SM.assign_folds(data.drop("fold"), "id", 3)
+    hashed = SM.assign_folds(with_hash(data.drop("fold"), "id"), "id", 3)
+    assert sorted(map(tuple, hashed.select("id", "fold").collect())) == sorted(map(tuple, plain.select("id", "fold").collect()))
+    bare = hashed.withColumn("no", F.col("id")).drop("id").checkpoint()
+    bits = lambda df, k: sorted(map(tuple, df.select(k, E.fold_members(df, "y", "id", [1, 2, 3, E.NO_FOLD])).collect()))
+    assert bits(bare, "no") == bits(data, "id")
+    bins = H.fit_bins(data, "y", ["x"], [], 8)
+    rows = lambda df, k: sorted(map(tuple, H.bin_table(df, bins, "id", keep=[F.col(k).alias("k")], even=False).select("k", "_h1", "_h2", "_b0").collect()))
+    assert rows(bare, "no") == rows(data, "id")
+    with pytest.raises(Exception):
+        E.fold_members(data.drop("id"), "y", "id", [1])
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_fold_members_near_the_cuts(spark, data, monkeypatch, most):
+    """Cuts found among the rows of their first digits, or among all rows where digits would be too many."""
+    monkeypatch.setattr(E, "FIRST_COUNTS", max(most, 1000))
+    bits = data.withColumn("m", E.fold_members(data, "y", "id", [1, 2, 3])).collect()
+    for i, f in enumerate([1, 2, 3]):
+        want = {r.id for r in SM.down_sample(data.where(F.col("fold") != f), "y", "id").collect()}
+        assert {r.id for r in bits if r.m >> i & 1} == want
