@@ -16,6 +16,7 @@ import pickle
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from itertools import combinations_with_replacement
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ from .forest import deal
 MAX_DIMS, BLOCK = 2048, 2048
 #: Rows in the margins of the same models from which their product is worked out once.
 SHARED = 32
+#: Combinations of levels at most for which rows are kept apart, and rows of one that are packed together.
+MAX_PATTERNS, PACKED = 64, 1 << 16
 #: Newton steps at most; a step that changes the weights by less than this share ends the fit.
 STEPS, TOLERANCE = 25, 1e-4
 #: Columns of predictors at most.
@@ -170,7 +173,8 @@ def _products(z: np.ndarray, inside: np.ndarray) -> list[np.ndarray]:
     """
     size, models = z.shape[1], inside.shape[1]
     out = [np.zeros((size, size)) for _ in range(models)]
-    found, which, n = np.unique(np.packbits(inside, axis=1), axis=0, return_inverse=True, return_counts=True)
+    sets = inside @ (np.int64(1) << np.arange(models)) if models < 63 else np.packbits(inside, axis=1)
+    found, which, n = np.unique(sets, axis=None if models < 63 else 0, return_inverse=True, return_counts=True)
     which, rest = which.ravel(), np.zeros(len(z), bool)
     for k in range(len(found)):
         rows = np.flatnonzero(which == k)
@@ -216,6 +220,13 @@ def _sums(table: DataFrame, fitted: Machines, open_: list[int], class_weights: n
         for m in open_:
             yield pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), pa.array([total[m].tobytes()], pa.binary()), pa.array([loss[m]])], ["model", "sums", "loss"])
 
+    return _merged_sums(table.mapInArrow(add, _SUMS), len(open_), size, shared)
+
+
+_SUMS = "model int, sums binary, loss double"
+
+
+def _merged_sums(parts: DataFrame, models: int, size: int, shared) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, list] = {}
         for batch in batches:
@@ -225,8 +236,7 @@ def _sums(table: DataFrame, fitted: Machines, open_: list[int], class_weights: n
         for m, (sums, loss) in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), pa.array([sums.tobytes()], pa.binary()), pa.array([loss])], ["model", "sums", "loss"])
 
-    schema = "model int, sums binary, loss double"
-    rows = table.mapInArrow(add, schema).repartition(len(open_), "model").mapInArrow(merge, schema).collect()  # a row a model
+    rows = parts.repartition(models, "model").mapInArrow(merge, _SUMS).collect()  # a row a model
     shared.unpersist()
     out = {}
     for r in rows:
@@ -235,6 +245,124 @@ def _sums(table: DataFrame, fitted: Machines, open_: list[int], class_weights: n
     return out
 
 
+# --- rows of the same levels ---------------------------------------------------------------------------------
+
+class Packed(NamedTuple):
+    """Rows of a scaled table by the pattern of their dummies: (pattern, n, data). Among the rows of a pattern the map is a
+    matrix times the monomials, up to the degree, of the numbers alone: sums are taken over these, which are fewer."""
+
+    rows: DataFrame
+    numbers: list[int]  # columns that are no dummies
+    powers: np.ndarray  # monomials of them: a row each of places in (1, numbers ...)
+    turn: dict[int, np.ndarray]  # of each pattern: (dims + 1, monomials), the last row for the constant
+
+
+def _patterns(scaled: Scaled) -> tuple[list[int], list[int], np.ndarray]:
+    """(numbers, dummies, both values of each dummy)."""
+    of = [i for i, c in enumerate(scaled.columns) if c[1] is not None]
+    return ([i for i in range(len(scaled.columns)) if i not in of], of,
+            np.array([[(v - scaled.columns[i][2]) / scaled.columns[i][3] for v in (0.0, 1.0)] for i in of]).reshape(-1, 2))
+
+
+def _turn(mapped: PolyMap, numbers: list[int], powers: np.ndarray, dummies: dict[int, float]) -> np.ndarray:
+    place = {tuple(p): i for i, p in enumerate(powers.tolist())}
+    at = {c: i + 1 for i, c in enumerate(numbers)}
+    scale = math.sqrt(mapped.gamma)
+    out = np.zeros((mapped.dims + 1, len(powers)))
+    for row, (monomial, root) in enumerate(zip(mapped.monomials.tolist(), mapped.root)):
+        value, left = float(root), []
+        for c in monomial:
+            if c in at:
+                value *= scale
+                left.append(at[c])
+            else:  # a dummy, or the constant that coef0 stands for
+                value *= dummies[c] * scale if c in dummies else math.sqrt(mapped.coef0)
+        out[row, place[tuple(sorted([0] * (mapped.degree - len(left)) + left))]] += value
+    out[mapped.dims, place[(0,) * mapped.degree]] = 1.0
+    return out
+
+
+def pack(table: DataFrame, scaled: Scaled, mapped: PolyMap) -> Packed | None:
+    """None where it would not pay: the map is a sketch, the numbers' monomials are not much fewer, or patterns are many."""
+    numbers, dummies, values = _patterns(scaled)
+    if mapped.monomials is None or not dummies or len(dummies) > 62 or 2 * math.comb(len(numbers) + mapped.degree, mapped.degree) > mapped.dims:
+        return None
+    bits = sum(((F.col(f"_x{i}") > 0).cast("bigint") * F.lit(1 << j) for j, i in enumerate(dummies)), F.lit(0).cast("bigint"))
+    found = [r[0] for r in table.where("_y <> 0").select(bits.alias("p")).distinct().limit(MAX_PATTERNS + 1).collect()]
+    if len(found) > MAX_PATTERNS:
+        return None
+    powers = np.array(list(combinations_with_replacement(range(len(numbers) + 1), mapped.degree)), np.int64).reshape(-1, mapped.degree)
+    turn = {p: _turn(mapped, numbers, powers, {i: float(values[j, p >> j & 1]) for j, i in enumerate(dummies)}) for p in found}
+    names = [f"_x{i}" for i in numbers]
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def send(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            col = lambda name: rows.column(name).to_numpy()
+            pattern = col("_pattern")
+            order = np.argsort(pattern, kind="stable")
+            which, first = np.unique(pattern[order], return_index=True)
+            parts = np.split(order, first[1:])
+            x = np.array([col(c) for c in names]).reshape(len(names), -1)
+            data = [b"".join((x[:, at].tobytes(), col("_member")[at].tobytes(), col("_y")[at].astype(np.int8).tobytes())) for at in parts]
+            return pa.RecordBatch.from_arrays([pa.array(which), pa.array([len(at) for at in parts], pa.int32()), pa.array(data, pa.binary())], ["pattern", "n", "data"])
+
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= PACKED:
+                yield send(held)
+                held, size = [], 0
+        if size:
+            yield send(held)
+
+    told = table.where("_y <> 0").select(*names, "_member", "_y", bits.alias("_pattern"))
+    return Packed(cut_lineage(told.mapInArrow(put, "pattern bigint, n int, data binary")), numbers, powers, turn)
+
+
+def _packed_sums(packed: Packed, fitted: Machines, open_: list[int], class_weights: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
+    """What :func:`_sums` finds, from the packed rows."""
+    size, d = fitted.map.dims + 1, len(packed.numbers)
+    shared = packed.rows.sparkSession.sparkContext.broadcast(pickle.dumps((packed.powers, packed.turn, fitted.weights, [fitted.specs[m].bit for m in open_], open_, class_weights)))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, turn, weights, bits, open_, class_weights = pickle.loads(shared.value)
+        few, bits = len(powers), np.array(bits)
+        sums: dict[int, np.ndarray] = {}
+        loss = np.zeros(len(open_))
+        for batch in batches:
+            for pattern, n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                data = data.as_buffer()
+                numbers = np.frombuffer(data, np.float64, d * n).reshape(d, n)
+                member, y = np.frombuffer(data, np.int64, n, 8 * d * n), np.frombuffer(data, np.int8, n, 8 * (d + 1) * n)
+                mine = sums.setdefault(pattern, np.zeros((len(open_), few + 1, few)))
+                w = weights[open_] @ turn[pattern]
+                for a in range(0, n, BLOCK):
+                    some = slice(a, a + BLOCK)
+                    x = np.vstack([np.ones((1, len(y[some]))), numbers[:, some]])
+                    m = x[powers[:, 0]] if powers.shape[1] else np.ones((1, x.shape[1]))
+                    for k in range(1, powers.shape[1]):
+                        m *= x[powers[:, k]]
+                    sign = y[some].astype(np.float64)
+                    cost = class_weights[(y[some] > 0).astype(int)]
+                    left = 1 - sign * (w @ m)
+                    inside = (left > 0) & (member[some] >> bits[:, None] & 1 == 1)
+                    for j, h in enumerate(_products(np.ascontiguousarray((m * np.sqrt(cost)).T), inside.T)):
+                        mine[j, :few] += h
+                    mine[:, few] += (inside * (cost * sign)) @ m.T
+                    loss += (inside * cost * left ** 2).sum(axis=1)
+        for j, model in enumerate(open_):
+            total = np.zeros((size + 1, size))
+            for pattern, mine in sums.items():
+                t = turn[pattern]
+                total[:size] += t @ mine[j, :few] @ t.T
+                total[size] += t @ mine[j, few]
+            yield pa.RecordBatch.from_arrays([pa.array([model], pa.int32()), pa.array([total.tobytes()], pa.binary()), pa.array([float(loss[j])])], ["model", "sums", "loss"])
+
+    return _merged_sums(packed.rows.mapInArrow(add, _SUMS), len(open_), size, shared)
+
+
 def fit_machines(table: DataFrame, scaled: Scaled, specs: Sequence[Machine], degree: int = 3, dims: int = 0, cost: float = 1.0,
                  class_weights: Mapping | None = None, gamma: float | None = None, coef0: float = 0.0, seed: int = 42) -> Machines:
     """All ``specs`` fitted together on a scaled table; a model without rows of both classes keeps zero weights.
@@ -250,10 +378,11 @@ def fit_machines(table: DataFrame, scaled: Scaled, specs: Sequence[Machine], deg
     penalty[-1] = 1e-6
     best: dict[int, tuple[float, np.ndarray, np.ndarray]] = {}  # objective, weights, step that led there
     open_ = list(range(len(specs)))
+    packed = pack(table, scaled, mapped) if len(scaled.classes) == 2 else None
     for fitted.steps in range(1, STEPS + 1):
         if not open_ or len(scaled.classes) < 2:
             break
-        found = _sums(table, fitted, open_, weights)
+        found = _packed_sums(packed, fitted, open_, weights) if packed else _sums(table, fitted, open_, weights)
         still = []
         for m in open_:
             if m not in found:

@@ -151,8 +151,7 @@ def mdl6_boosted_tree_cv(spark, d):
 def mdl7_poly_svm(spark, d):
     """Cubic machines of five folds, down-sampled inside each, and of all down-sampled rows, fitted together: statistics of
     the training rows of each and of the held-out folds."""
-    data = cut_lineage(SM.assign_folds(lineitem_labelled(spark, d), LINEITEM_KEY, FOLDS, SEED))
-    counts = EN.cross_validate_machines(data, LABEL, LINEITEM_KEY, NUMERIC, CATEGORICAL, FOLDS, class_weights=CLASS_WEIGHTS, seed=SEED)
+    counts = EN.cross_validate_machines(_fold_data(spark, d), LABEL, LINEITEM_KEY, NUMERIC, CATEGORICAL, FOLDS, class_weights=CLASS_WEIGHTS, seed=SEED)
     return sig_all(E.counted_stats(counts, POSITIVE, ["model", "part"]))
 
 

@@ -129,3 +129,31 @@ def test_scaled_table_is_dealt_to_all_cores(spark):
     df = spark.range(0, 200_000, 1, 1).selectExpr("id", "cast(id % 100 as double) AS x", "if(id % 7 > 2, 'a', 'b') AS y")
     table = K.scale_table(df, K.fit_scaled(df, "y", ["x"]))
     assert table.count() == 200_000 and table.select(F.spark_partition_id().alias("p")).distinct().count() >= spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("coef0", [0.0, 1.0])
+def test_sums_by_pattern_are_those_of_rows(spark, data, coef0):
+    """Gradient, Hessian and loss taken over the numbers' monomials of each pattern of dummies."""
+    from pyspark.sql import functions as F
+    wide = data.withColumn("e", F.concat(F.lit("e"), F.col("id") % 7))
+    scaled = K.fit_scaled(wide, "y", ["a", "b"], ["c", "e"])
+    table = K.scale_table(wide.repartition(3), scaled, member=F.expr("CAST(CASE fold WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 3 END AS BIGINT)"))
+    mapped = K.PolyMap(len(scaled.columns), coef0=coef0)
+    packed = K.pack(table, scaled, mapped)
+    assert len(packed.powers) == math.comb(5, 3) < mapped.dims / 2 and len(packed.turn) == 21
+    rng, specs = np.random.default_rng(2), [K.Machine("one", 0), K.Machine("two", 1)]
+    fitted = K.Machines(scaled, mapped, specs, rng.normal(size=(2, mapped.dims + 1)), 0)
+    for open_ in ([0, 1], [1]):
+        by_row, by_pattern = (f(t, fitted, open_, np.array([1.0, 2.0])) for f, t in ((K._sums, table), (K._packed_sums, packed)))
+        for m in open_:
+            for want, got in zip(by_row[m], by_pattern[m]):
+                np.testing.assert_allclose(got, want, rtol=1e-9, atol=1e-7)
+
+
+def test_many_patterns_are_summed_by_row(spark, data, monkeypatch):
+    scaled = K.fit_scaled(data, "y", ["a"], ["c", "y"])
+    table = K.scale_table(data, scaled)
+    mapped = K.PolyMap(len(scaled.columns))
+    assert K.pack(table, scaled, mapped) is not None
+    monkeypatch.setattr(K, "MAX_PATTERNS", 2)
+    assert K.pack(table, scaled, mapped) is None and K.pack(table, scaled, K.PolyMap(len(scaled.columns), dims=64)) is None
