@@ -18,7 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rank import hash_name
 from ..session import cut_lineage
+from . import cells as C
 from . import forest as H
 from .ensembles import _rebuilt, fold_members
 from .sample import drawn_again
@@ -43,21 +45,26 @@ def merged(tree: H.Tree) -> H.Tree:
 
 
 # MDL6 -------------------------------------------------------------------------
-def boost(table: DataFrame, bins: H.Bins, specs: Sequence[H.Spec], rounds: int = 3, max_depth: int = 10) -> H.Forest:
+def boost(table: DataFrame, bins: H.Bins, specs: Sequence[H.Spec], rounds: int = 3, max_depth: int = 10, cells: C.Cells | None = None) -> H.Forest:
     """SAMME (multi-class AdaBoost) of entropy trees for every spec: each round the weight of missed rows grows by exp(vote).
 
     A model ends with a round that misses nothing, or before one that is no better than chance (kept if it is the first).
-    Of each spec the name, the bit, the features and the copies count.
+    Of each spec the name, the bit, the features and the copies count. With the table's ``cells`` (folded for
+    :func:`measures`) equal trees grow over these, and which cells a round missed is told by its trees: no pass writes it down.
     """
     specs = [replace(s, trees=1, mtry=0, bagged=False) for s in specs]
     copies = [s.weigh.copies if s.weigh else None for s in specs]
     most = [1.0 + c[2] if c else 1.0 for c in copies]
     misses: list[list] = [[] for _ in specs]
+    before: list[list] = [[] for _ in specs]  # a model's earlier trees and the factors of their misses
     units = [1.0] * len(specs)
     chance, active, trees = 1.0 - 1.0 / len(bins.classes), list(range(len(specs))), []
     for r in range(rounds):
         now = [replace(specs[s], weigh=H.Weigh(copies[s], tuple(misses[s]), units[s])) for s in active]
-        grown, going = H.grow(table, bins, now, max_depth, "entropy"), []
+        if cells is None:
+            grown, going = H.grow(table, bins, now, max_depth, "entropy"), []
+        else:
+            grown, going = C.grow(cells, now, max_depth, "entropy", missed={i: before[s] for i, s in enumerate(active)}), []
         for s, tree in zip(active, grown.trees):
             tree = merged(tree)
             leaves = tree.counts[tree.feature < 0]
@@ -73,12 +80,14 @@ def boost(table: DataFrame, bins: H.Bins, specs: Sequence[H.Spec], rounds: int =
                 continue
             going.append((s, tree))
             misses[s].append((f"_m{r}", s, math.exp(vote)))
+            before[s].append((tree, math.exp(vote)))
             top = math.prod(m[2] for m in misses[s]) * most[s]
             units[s] = min(2.0 ** WEIGHT_BITS / top, 2.0 ** SUM_BITS * units[s] / (total + wrong * math.exp(vote)))
         active = [s for s, _ in going]
         if not active:
             break
-        table = cut_lineage(table.withColumn(f"_m{r}", _missed(table, going, len(bins.features))))
+        if cells is None:
+            table = cut_lineage(table.withColumn(f"_m{r}", _missed(table, going, len(bins.features))))
     done = [replace(s, weigh=H.Weigh(c) if c else None) for s, c in zip(specs, copies)]
     return H.Forest(bins, done, trees, np.ones(len(bins.classes)))
 
@@ -162,7 +171,56 @@ def vote_counts(table: DataFrame, forest: H.Forest, part: Mapping[str, str]) ->
     told = table.select(*cols, *[F.expr(part[n]).cast("string").alias(f"_p{i}") for i, n in enumerate(names)])
     counts = (told.mapInArrow(count, "model int, part string, truth int, probability array<double>, n bigint")
               .groupBy("model", "part", "truth", "probability").agg(F.sum("n").alias("n")))
-    name = F.array(*[F.lit(n) for n in names])
+    return _named(counts, forest)
+
+
+def measures(specs: Sequence[H.Spec], part: Mapping[str, str], spark):
+    """What boosting and its counts need of a table's cells: the rows, or the copies, of training rows and of parts."""
+    def of(cells: C.Cells) -> list[C.Measure]:
+        copied = [s for s in specs if s.weigh and s.weigh.copies]
+        return [C.spec_measure(cells, s) for s in specs] + [C.Measure(k, None, s.weigh.copies) for s in copied for k in cells.part(spark, part[s.name]).values()]
+
+    return of
+
+
+def cell_vote_counts(cells: C.Cells, forest: H.Forest, part: Mapping[str, str]) -> DataFrame:
+    """What :func:`vote_counts` counts row by row, from the cells."""
+    spark, classes = cells.chunks.sparkSession, len(forest.bins.classes)
+    parts = {sql: cells.part(spark, sql) for sql in dict.fromkeys(part[s.name] for s in forest.specs)}
+    told = []  # of each model its parts and the measures that are added up for them
+    for s in forest.specs:
+        copied = s.weigh and s.weigh.copies
+        told.append({p: [cells.measures[C.Measure(k, None, s.weigh.copies)]] if copied else list(k) for p, k in parts[part[s.name]].items()})
+    shared = spark.sparkContext.broadcast(pickle.dumps((forest, told)))
+
+    def each(bins: np.ndarray, y: np.ndarray, sums: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        forest, told = pickle.loads(shared.value)
+        rows, found = np.arange(len(y)), []
+        for i, mine in enumerate(told):
+            trees, group = forest.of(i), y
+            if not trees:
+                continue
+            leaves = []
+            for t in trees:
+                leaves.append(t.walk(bins, rows, int(t.depth.max())))
+                _, first, group = np.unique(group * len(t.feature) + leaves[-1], return_index=True, return_inverse=True)
+            share = sum(t.vote * forest.shares(t)[leaf[first]] for t, leaf in zip(trees, leaves)) / sum(t.vote for t in trees)
+            for p, of in mine.items():
+                total = np.zeros(len(first), np.int64)
+                np.add.at(total, group, sum(sums[k] for k in of))
+                found += [(i, p, int(y[row]), one.tolist(), int(n)) for row, one, n in zip(first, share, total) if n]
+        cols = list(zip(*found)) if found else [()] * 5
+        kinds = (pa.int32(), pa.string(), pa.int32(), pa.list_(pa.float64()), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["model", "part", "truth", "probability", "n"])
+
+    used = sorted({k for t in told for of in t.values() for k in of})
+    counts = (C.by_chunk(cells, used, each, "model int, part string, truth int, probability array<double>, n bigint")
+              .groupBy("model", "part", "truth", "probability").agg(F.sum("n").alias("n")))
+    return _named(counts, forest)
+
+
+def _named(counts: DataFrame, forest: H.Forest) -> DataFrame:
+    name = F.array(*[F.lit(s.name) for s in forest.specs])
     cls = F.array(*[F.lit(c) for c in forest.bins.classes])
     return counts.select(F.element_at(name, F.col("model") + 1).alias("model"), "part", F.element_at(cls, F.col("truth") + 1).alias("truth"),
                          "probability", "n")
@@ -176,9 +234,10 @@ def with_copies(df: DataFrame, label: str, key: str | Sequence[str], folds: Sequ
     Copies are packed into words: (column, shift, mask) a fold, None where no row is copied. No row is repeated.
     """
     keys = [key] if isinstance(key, str) else list(key)
+    hashed = [c for c in [hash_name(seed, *keys)] if c in df.columns]
     found = {}
     for i, f in enumerate(folds):
-        again = drawn_again(df.where(F.col(fold_col) != f).select(*keys, label), label, keys, seed)
+        again = drawn_again(df.where(F.col(fold_col) != f).select(*keys, label, *hashed), label, keys, seed)
         if again is not None:
             found[i] = again.select(*[F.col(c).alias(f"_k{j}") for j, c in enumerate(keys)], F.lit(i).alias("_i"), "_u_extra")
     if not found:
@@ -205,26 +264,30 @@ def with_copies(df: DataFrame, label: str, key: str | Sequence[str], folds: Sequ
 # MDL11 ------------------------------------------------------------------------
 def cross_validate_boosted(df: DataFrame, label: str, key: str | Sequence[str], numeric: Sequence[str], categorical: Sequence[str] = (),
                            k: int = 5, rounds: int = 3, max_depth: int = 10, max_bins: int = 64, seed: int = 42,
-                           fold_col: str = "fold") -> tuple[DataFrame, list]:
+                           fold_col: str = "fold", bins: H.Bins | None = None) -> tuple[DataFrame, list]:
     """((rebalance, fold, part, truth, probability, n), classes) of boosted trees a fold, whose training rows are those
     outside the fold, down-sampled ("down") or up-sampled ("up"); all grow together.
 
     ``part`` is "train" for the rebalanced training rows (copies counted) and "held_out" for the fold. Cuts, levels and
-    classes come from all rows; a tree sees only its training rows' labels.
+    classes come from all rows (or are ``bins``, of the same rows); a tree sees only its training rows' labels.
     """
     if 2 * k > H.MAX_MODELS:
         raise ValueError(f"{k} folds, rebalanced in two ways: at most {H.MAX_MODELS} models")
     folds = list(range(1, k + 1))
-    bins = H.fit_bins(df, label, numeric, categorical, max_bins)
+    bins = bins or H.fit_bins(df, label, numeric, categorical, max_bins)
     told, copies = with_copies(df, label, key, folds, seed, fold_col)
     member = fold_members(df, label, key, folds, seed, fold_col)
     for f in folds:
         member = member + F.when((F.col(fold_col) != f) & F.col(label).isNotNull(), F.lit(1 << (k + f - 1))).otherwise(0).cast("bigint")
     words = sorted({c[0] for c in copies if c})
-    table = H.bin_table(told, bins, key, seed, [F.col(fold_col).alias("_fold"), *words], member)
+    table = H.bin_table(told, bins, key, seed, [F.col(fold_col).alias("_fold"), *words], member, even=False)
     specs = [H.Spec(f"down/{f}", f - 1) for f in folds] + [H.Spec(f"up/{f}", k + f - 1, weigh=H.Weigh(c) if c else None) for f, c in zip(folds, copies)]
-    grown = boost(table, bins, specs, rounds, max_depth)
-    part = {s.name: f"CASE WHEN _fold = {s.name.split('/')[1]} THEN 'held_out' WHEN (_member & {1 << s.bit}L) <> 0 THEN 'train' END" for s in grown.specs}
+    part = {s.name: f"CASE WHEN _fold = {s.name.split('/')[1]} THEN 'held_out' WHEN (_member & {1 << s.bit}L) <> 0 THEN 'train' END" for s in specs}
+    cells = C.fold_rows(table, bins, measures(specs, part, df.sparkSession), ["_fold"])
+    if cells is None:
+        table = cut_lineage(H.deal(table, bins.rows))
+        votes = vote_counts(table, boost(table, bins, specs, rounds, max_depth), part)
+    else:
+        votes = cell_vote_counts(cells, boost(table, bins, specs, rounds, max_depth, cells), part)
     names = F.split("model", "/")
-    votes = vote_counts(table, grown, part)
     return votes.select(names[0].alias("rebalance"), names[1].cast("int").alias("fold"), "part", "truth", "probability", "n"), bins.classes

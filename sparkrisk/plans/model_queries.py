@@ -138,9 +138,10 @@ def mdl5_cost_sensitive(spark, d):
 @register("mdl6_boosted_tree_cv")
 def mdl6_boosted_tree_cv(spark, d):
     """Statistics of cost-sensitive boosted trees per fold, down- and up-sampled inside each; the ten models grow together."""
-    data = cut_lineage(SM.assign_folds(lineitem_labelled(spark, d), LINEITEM_KEY, FOLDS, SEED))
+    data = cut_lineage(SM.assign_folds(_hashed(spark, d), LINEITEM_KEY, FOLDS, SEED))
     costs = M.cost_matrix(["low", "high"], COSTS_CV["miss"], COSTS_CV["false_alarm"])
-    votes, classes = BO.cross_validate_boosted(data, LABEL, LINEITEM_KEY, NUMERIC, CATEGORICAL, FOLDS, BOOST_ROUNDS, DEPTH, seed=SEED)
+    votes, classes = BO.cross_validate_boosted(data, LABEL, LINEITEM_KEY, NUMERIC, CATEGORICAL, FOLDS, BOOST_ROUNDS, DEPTH, seed=SEED,
+                                              bins=_bins(spark, d))
     counts = M.cost_sensitive(votes, classes, costs, out="prediction")
     out = sig_all(E.counted_stats(counts, POSITIVE, ["fold", "part", "rebalance"]))
     return out.select(*[c for c in out.columns if c != "rebalance"], "rebalance")

@@ -128,3 +128,17 @@ def test_fold_members_near_the_cuts(spark, data, monkeypatch, most):
     for i, f in enumerate([1, 2, 3]):
         want = {r.id for r in SM.down_sample(data.where(F.col("fold") != f), "y", "id").collect()}
         assert {r.id for r in bits if r.m >> i & 1} == want
+
+
+def test_boosting_by_cells_and_by_rows(spark, data, monkeypatch):
+    """Same votes of the same trees for down- and up-sampled folds, without a pass that writes down what a round missed."""
+    from sparkrisk.operators import boosting as B
+    run = lambda: sorted((tuple(r[:4]), tuple(r[4]), r[5]) for r in B.cross_validate_boosted(data, "y", "id", ["x", "z"], ["c"], 3, 3, 3)[0].collect())
+    by_cell = run()
+    assert {r[0][0] for r in by_cell} == {"down", "up"}
+    monkeypatch.setattr(C, "MAX_CELLS", 10)
+    by_row = run()
+    assert by_cell == by_row
+    monkeypatch.undo()
+    monkeypatch.setattr(B, "_missed", None)
+    assert run() == by_row
