@@ -280,7 +280,7 @@ def cross_validate_boosted(df: DataFrame, label: str, key: str | Sequence[str],
     for f in folds:
         member = member + F.when((F.col(fold_col) != f) & F.col(label).isNotNull(), F.lit(1 << (k + f - 1))).otherwise(0).cast("bigint")
     words = sorted({c[0] for c in copies if c})
-    table = H.bin_table(told, bins, key, seed, [F.col(fold_col).alias("_fold"), *words], member, even=False)
+    table = H.bin_table(told, bins, key, seed, [F.col(fold_col).alias("_fold"), *words], member, even=H.narrow(df))
     specs = [H.Spec(f"down/{f}", f - 1) for f in folds] + [H.Spec(f"up/{f}", k + f - 1, weigh=H.Weigh(c) if c else None) for f, c in zip(folds, copies)]
     part = {s.name: f"CASE WHEN _fold = {s.name.split('/')[1]} THEN 'held_out' WHEN (_member & {1 << s.bit}L) <> 0 THEN 'train' END" for s in specs}
     cells = C.fold_rows(table, bins, measures(specs, part, df.sparkSession), ["_fold"])

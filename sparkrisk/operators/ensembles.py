@@ -123,7 +123,7 @@ def cross_validate_forests(df: DataFrame, label: str, key: str | Sequence[str],
         member = fold_members(df, label, key, range(1, k + 1), seed, fold_col)
     else:
         member = sum((F.when(F.col(fold_col) != f, F.lit(1 << (f - 1))).otherwise(0) for f in range(1, k + 1)), F.lit(0))
-    table = H.bin_table(df, bins, key, seed, [F.col(fold_col).alias("_fold")], member, even=False)
+    table = H.bin_table(df, bins, key, seed, [F.col(fold_col).alias("_fold")], member, even=H.narrow(df))
     specs = [H.Spec(f"{m}/{f}", f - 1, None, m, trees, seed) for m in mtry for f in range(1, k + 1)]
     part = {s.name: f"CASE WHEN _fold = {s.bit + 1} THEN 'held_out' WHEN (_member & {1 << s.bit}L) <> 0 THEN 'train' END" for s in specs}
     counts = grown_counts(table, bins, specs, part, ["_fold"], max_depth, class_weights)
@@ -162,7 +162,7 @@ def leave_one_out_forests(df: DataFrame, label: str, key: str | Sequence[str], n
     """(dropped, part, truth, prediction, n): a forest without each feature in turn, trained on the rows whose
     ``split_col`` is "train", all grown together."""
     bins = bins or H.fit_bins(df, label, numeric, categorical, max_bins)
-    table = H.bin_table(df, bins, key, seed, [F.col(split_col).alias("_split")], (F.col(split_col) == "train").cast("bigint"), even=False)
+    table = H.bin_table(df, bins, key, seed, [F.col(split_col).alias("_split")], (F.col(split_col) == "train").cast("bigint"), even=H.narrow(df))
     names = [*numeric, *categorical]
     specs = [H.Spec(str(i), 0, tuple(x for x in names if x != f), mtry, trees, seed) for i, f in enumerate(names)]
     counts = grown_counts(table, bins, specs, {s.name: "_split" for s in specs}, ["_split"], max_depth, class_weights)

@@ -164,7 +164,7 @@ def bin_table(df: DataFrame, bins: Bins, key: str | Sequence[str], seed: int = 4
 
     Its rows are dealt evenly to TASKS partitions a core, however few files, row groups or partitions ``df`` has: the
     passes over it are what a forest's time goes into. Not ``even``: a table that is only folded into cells (see :mod:`.cells`),
-    which deals its rows itself, keeps the partitions of ``df`` if these are enough for all cores."""
+    which deals its rows itself, keeps the partitions of ``df``; see :func:`narrow`."""
     keys = [key] if isinstance(key, str) else list(key)
     h = hash_of(df, seed, *keys)
     half = lambda a: F.conv(F.substring(h, a, 8), 16, 10).cast("bigint")
@@ -177,11 +177,16 @@ def bin_table(df: DataFrame, bins: Bins, key: str | Sequence[str], seed: int = 4
         y = F.when(F.col(f"`{bins.label}`") == F.lit(c), i).otherwise(y)
     raw = df.select(*keep, y.cast("bigint" if bins.target else "int").alias("_y"), (F.lit(1) if member is None else member).cast("bigint").alias("_member"),
                     half(1).alias("_h1"), half(9).alias("_h2"), *_bin_inputs(bins))
-    if even or df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism:
+    if even:
         raw = deal(raw, bins.rows)
     return cut_lineage(raw.select(*[c for c in raw.columns if c not in bins.features], *[c.alias(f"_b{i}") for i, c in enumerate(_bin_columns(bins))]))
 
 
+def narrow(df: DataFrame) -> bool:
+    """Has ``df``, a written table, too few partitions for all cores?"""
+    return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+
+
 def deal(df: DataFrame, rows: int | None) -> DataFrame:
     """``df`` in TASKS even partitions a core; fewer if it has few ``rows``."""
     parts = TASKS * df.sparkSession.sparkContext.defaultParallelism
